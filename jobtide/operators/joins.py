@@ -52,6 +52,14 @@ def refresh_columns(
     return out.withColumn(tag[0], F.lit(tag[1])) if tag else out
 
 
+def unless_empty(result: DataFrame, *sources: DataFrame) -> DataFrame:
+    """No rows at all when any of the sources landed empty, so that a refresh
+    can tell "nothing came" from "came without a value"."""
+    for source in sources:
+        result = result.filter(source.limit(1).agg(F.count(F.lit(1)) > 0).scalar())
+    return result
+
+
 def change_between(
     current: DataFrame, prior: DataFrame, key: str, value: str, out: str
 ) -> DataFrame:

@@ -47,7 +47,7 @@ def number_within(
     and the row counts of the earlier slices are added.  No task ever
     sorts more than one slice of a key.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(seq) / F.lit(slice_rows)).cast("long"))
+    sliced = df.withColumn("_slice", F.expr(f"`{seq}` div {int(slice_rows)}"))
     by_slice = [*keys, "_slice"]
     numbered = sliced.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*by_slice).orderBy(seq))
