@@ -70,7 +70,11 @@ def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFra
         _with_match_fields(feed)
         .withColumn("_place", F.concat(F.lit(" "), match_key("location"), F.lit(" ")))
         .filter(F.col("_place").isNotNull())
-        .select(row_id, "_title", "_day", "_place", F.explode(_word_runs(_words(F.col("_place")), longest)).alias("_run"))
+        .withColumn("_most", longest)
+        .select(
+            row_id, "_title", "_day", "_place",
+            F.explode(_word_runs(_words(F.col("_place")), F.col("_most"))).alias("_run"),
+        )
         .join(cities, "_run")
         .filter(F.col("_place").contains(F.concat(F.lit(" "), F.col("_city"), F.lit(" "))))
         .select(row_id, "_title", "_day", "District", F.length("_city").alias("_length"))

@@ -9,6 +9,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import settled
+
 # A key with at most this many values travels as one array inside the plan; a
 # longer list of values is cut into pieces of about this size.
 PIECE_VALUES = 5_000
@@ -54,6 +56,7 @@ def gap_fill(
     with the most values stays a distributed table; the other keys are
     attached as arrays after a look at their sizes, long ones in pieces.
     """
+    df = settled(df)  # read several times below: its values, their number, and its rows
     values = dict(values or {})
     free = [k for k in keys if k not in values]
     sizes = (

@@ -78,22 +78,22 @@ def exact_median(df: DataFrame, column: str, out: str = "median", accuracy: int
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     margin = 2.0 / accuracy
-    bracket = values.agg(
-        F.percentile_approx("v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy).alias("b")
+    sketch = F.percentile_approx("v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy)
+    around = (
+        values.agg(sketch.alias("b"), F.count(F.lit(1)).alias("n"))
+        .select(F.struct(F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "n"))
+        .scalar()
     )
-    low = bracket.select(F.col("b")[0]).scalar()
-    high = bracket.select(F.col("b")[1]).scalar()
     # One pass: everything below the bracket is one cell, the inside keeps its values.
     cells = (
-        values.filter(F.col("v") <= high)
-        .groupBy(F.when(F.col("v") >= low, F.col("v")).alias("v"))
+        values.filter(F.col("v") <= around["high"])
+        .groupBy(F.when(F.col("v") >= around["low"], F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked = cells.withColumn(
         "upto", F.sum("n").over(Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     )
-    total = values.agg(F.count(F.lit(1)).alias("c")).scalar()
-    lower_rank, upper_rank = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
+    lower_rank, upper_rank = F.floor((around["n"] + 1) / 2), F.floor((around["n"] + 2) / 2)
     missed = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))) >= lower_rank, F.lit(False)) | (
         F.max("upto") < upper_rank
     )

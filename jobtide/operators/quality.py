@@ -10,6 +10,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import has_encoding_fault
+from ..session import settled
 from .ordering import exact_median
 
 # R's mad() scales by this constant so that it estimates a standard deviation.
@@ -128,12 +129,17 @@ def out_of_bounds(df: DataFrame, entity: str, value: str, low: float, high: floa
     )
 
 
-def robust_spread(df: DataFrame, column: str) -> DataFrame:
-    """One row (center, spread): exact median and scaled median absolute deviation."""
-    center = exact_median(df, column, "center")
-    deviations = df.select(F.abs(F.col(column) - center.scalar()).alias("_dev"))
-    spread = exact_median(deviations, "_dev", "_mad")
-    return center.withColumn("spread", F.lit(MAD_CONSTANT) * spread.scalar())
+def robust_spread(df: DataFrame, column: str) -> tuple[float | None, float | None]:
+    """(center, spread): exact median and scaled median absolute deviation.
+
+    The second median needs the first, so each is computed as one number and
+    goes into the next plan as a literal.  (None, None) without any value.
+    """
+    center = exact_median(df, column).first()[0]
+    if center is None:
+        return None, None
+    deviations = df.select(F.abs(F.col(column) - F.lit(center)).alias("_dev"))
+    return center, MAD_CONSTANT * exact_median(deviations, "_dev").first()[0]
 
 
 def change_outliers(
@@ -147,21 +153,21 @@ def change_outliers(
     """Entities whose relative change is both large and unlike everybody else's.
 
     Needs three comparable entities.  With a spread of zero the ceiling alone
-    decides.
+    decides.  The compared pairs are settled once, as three passes read them.
     """
-    pairs = (
+    pairs = settled(
         current.select(name, F.col(value).cast("double").alias("current"))
         .join(prior.select(name, F.col(value).cast("double").alias("prior")), name)
         .filter(F.col("current").isNotNull() & (F.col("prior") != 0))
         .withColumn("pct_change", (F.col("current") - F.col("prior")) / F.col("prior"))
     )
-    stats = robust_spread(pairs, "pct_change")
-    center, spread = stats.select("center").scalar(), stats.select("spread").scalar()
-    enough = pairs.agg(F.count(F.lit(1)) >= OUTLIER_MIN_ENTITIES).scalar()
-    unlike_others = F.when(spread > 0, F.abs(F.col("pct_change") - center) > F.lit(mads) * spread).otherwise(F.lit(True))
-    return pairs.filter(enough & (F.abs("pct_change") > ceiling) & unlike_others).select(
-        name, "prior", "current", "pct_change"
-    )
+    if pairs.limit(OUTLIER_MIN_ENTITIES).count() < OUTLIER_MIN_ENTITIES:
+        return pairs.filter(F.lit(False)).select(name, "prior", "current", "pct_change")
+    center, spread = robust_spread(pairs, "pct_change")
+    flagged = F.abs("pct_change") > ceiling
+    if spread > 0:
+        flagged &= F.abs(F.col("pct_change") - F.lit(center)) > mads * spread
+    return pairs.filter(flagged).select(name, "prior", "current", "pct_change")
 
 
 def halved(before: DataFrame, after: DataFrame, side: str) -> DataFrame:

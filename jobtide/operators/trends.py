@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import settled
 from .asof import DATE, snapshot_marks
 from .ordering import top_per_key
 
@@ -21,8 +22,8 @@ def daily_totals(totals: DataFrame, date: str = DATE, n: str = "n") -> DataFrame
 def week_over_week(totals: DataFrame, min_days_back: int = 5, date: str = DATE, n: str = "n") -> DataFrame:
     """One row: latest total, the as-of earlier total, and their difference
     (null when no snapshot is old enough)."""
-    daily = daily_totals(totals, date, n)
-    marks = snapshot_marks(totals, date, prior=min_days_back)
+    daily = settled(daily_totals(totals, date, n))
+    marks = snapshot_marks(daily, date, prior=min_days_back)
     latest, prior = marks["latest"], marks["prior"]
     at = lambda day: F.max(F.when(F.col(date) == day, F.col(n)))
     return daily.agg(
@@ -81,8 +82,8 @@ def current_trends(
     A category missing at an existing earlier date counts as 0 there; when the
     date itself does not exist the change is null.
     """
-    daily = history.groupBy(category, date).agg(F.sum(n).alias(n))
-    marks = snapshot_marks(history, date, **offsets)
+    daily = settled(history.groupBy(category, date).agg(F.sum(n).alias(n)))
+    marks = snapshot_marks(daily, date, **offsets)
     latest = marks["latest"]
     earlier: dict[str, Column] = {name: marks[name] for name in offsets}
 

@@ -20,6 +20,7 @@ from ..operators.counts import row_counts, row_counts_with_total, with_total_row
 from ..operators.joins import canonical_name
 from ..operators.quality import require_totals_match
 from ..schemas import FACULTY_HISTORY, HE_CATEGORY_COUNTS, HE_POSTINGS_CURRENT
+from ..session import settled
 
 
 def raw_snapshot(rows: DataFrame, snapshot_date: dt.date) -> DataFrame:
@@ -50,7 +51,8 @@ def category_counts(faculty: DataFrame) -> DataFrame:
 
 
 def checked_category_counts(faculty: DataFrame) -> DataFrame:
-    counts = category_counts(faculty)
+    """The same, refused when a total row is not the sum of its parts."""
+    counts = settled(category_counts(faculty))
     require_totals_match(
         counts.filter(F.col("Institution") == "Total"),
         counts.filter(F.col("Institution") != "Total"),
@@ -73,7 +75,7 @@ def with_appointment(faculty: DataFrame) -> DataFrame:
 def history_tables(snapshots: DataFrame, aliases: DataFrame | None = None) -> dict[str, DataFrame]:
     """All history tables from raw snapshots of any number of dates."""
     postings = canonical_name(snapshots, "Institution", aliases) if aliases is not None else snapshots
-    faculty = faculty_rows(postings)
+    faculty = settled(faculty_rows(postings))
     return {
         "postings": postings.select(*HE_POSTINGS_CURRENT.names),
         "faculty_history": faculty,

@@ -16,6 +16,7 @@ from ..operators.identity import add_posting_identity, distinct_postings
 from ..operators.joins import canonical_name
 from ..operators.quality import require_totals_match
 from ..schemas import CATEGORY_COUNTS, POSTINGS_CURRENT, TEACHER_HISTORY
+from ..session import settled
 from ..sources.shape import renumber_sources, union_sources
 
 TEXT_COLUMNS = ("title", "position", "location", "url", "District", "Posting_Source")
@@ -78,7 +79,7 @@ def category_counts(teachers: DataFrame) -> DataFrame:
 
 def checked_category_counts(teachers: DataFrame) -> DataFrame:
     """The same, refused when a total row is not the sum of its parts."""
-    counts = category_counts(teachers)
+    counts = settled(category_counts(teachers))
     require_totals_match(
         counts.filter(F.col("District") == "Total"),
         counts.filter(F.col("District") != "Total"),
@@ -99,9 +100,10 @@ def history_tables(snapshots: DataFrame, aliases: DataFrame | None = None) -> di
     """All history tables from raw snapshots of any number of dates.
 
     One function serves both the weekly append (one date) and the rebuild (all
-    dates), which is what keeps the two equal.
+    dates), which is what keeps the two equal.  The classified postings feed
+    every table, so they are computed once.
     """
-    postings = current_postings(identify(snapshots), aliases)
+    postings = settled(current_postings(identify(snapshots), aliases))
     teachers = teacher_rows(postings)
     return {
         "postings": postings,

@@ -47,6 +47,8 @@ from ..schemas import ENTITY_MAP, conform
 
 K12_TYPE, HE_TYPE = "K-12 District", "Higher Ed Institution"
 ALL = "all"
+# Which row speaks for an identity that occurs more than once.
+ONCE_ORDER = ("title", "url", "District", "location", "date_posted")
 
 
 # -- cubes -------------------------------------------------------------------
@@ -120,7 +122,7 @@ def current_trends_view(
 
 def k12_job_list(postings: DataFrame, as_of: dt.date | Column, district: str | None = None) -> DataFrame:
     """Open K-12 postings, each identity once, dates marked when stale."""
-    jobs = distinct_postings(postings, ["Posting_ID"], order=["title", "url", "District"])
+    jobs = distinct_postings(postings, ["Posting_ID"], order=ONCE_ORDER)
     if district is not None:
         jobs = jobs.filter(squish("District") == district)
     return jobs.select(
@@ -212,7 +214,7 @@ def _with_ratios(df: DataFrame, positions: str) -> DataFrame:
 def district_map(context: DataFrame, current: DataFrame, teacher_history: DataFrame) -> DataFrame:
     """Districts; the vacancy numerator is distinct teacher postings at the latest date."""
     openings = distinct_counts(at_latest(teacher_history), ["District"], out="Vacancy_Numerator")
-    once = distinct_postings(current, ["Posting_ID"], order=["title", "url", "District"])
+    once = distinct_postings(current, ["Posting_ID"], order=ONCE_ORDER)
     jobs = once.withColumn("District", squish("District"))
     filled = _with_activity(
         context.withColumnRenamed("District", "Name"), "Name", jobs, k12_new(teacher_history), openings, "District", "title"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage, so that several readers (or an
-    overwrite of one of its own inputs) see one fixed result that outlives the
-    executors that computed it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to shared storage once and read it back.
+
+    For results that several plans read, or that overwrite one of their own
+    inputs: the work is done once, the rows stay fixed, and they outlive the
+    executors that computed them.  Being Parquet, later reads prune columns and
+    Catalyst knows the real size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,7 +88,8 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def missing_year_rows(existing: DataFrame, snapshot: DataFrame, keys: tuple[str, str] = ("District", "Salary_Year")) -> DataFrame:
     """Snapshot rows whose (entity, year) the archive does not have, each pair once."""
-    once = keep_first(snapshot, list(keys), [c for c in snapshot.columns if c not in keys])
+    others = [c for c in snapshot.columns if c not in keys]
+    once = keep_first(snapshot, list(keys), others or list(keys))
     return once.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*snapshot.columns)
 
 

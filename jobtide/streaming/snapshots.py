@@ -17,21 +17,19 @@ from ..operators.asof import DATE
 from ..sinks.store import replace_dates
 
 
+Derive = Callable[[DataFrame], Mapping[str, DataFrame]]
+Prepare = Callable[[DataFrame], DataFrame]
+
+
 def refresh_dates(
-    spark: SparkSession,
-    raw_path: str,
-    arrived: DataFrame,
-    derive: Callable[[DataFrame], Mapping[str, DataFrame]],
-    targets: Mapping[str, str],
-    date: str = DATE,
+    raw: DataFrame, arrived: DataFrame, derive: Derive, targets: Mapping[str, str], date: str = DATE
 ) -> None:
-    """Derive the dates present in ``arrived`` from all their files; replace them."""
+    """Derive the dates present in ``arrived`` from all their rows in ``raw``; replace them."""
     # One value per snapshot date in the batch; as literals they prune partitions.
     dates = [r[0] for r in arrived.select(date).distinct().collect()]
     if not dates:
         return
-    whole = spark.read.option("mergeSchema", "true").parquet(raw_path).filter(F.col(date).isin(dates))
-    frames = derive(whole)
+    frames = derive(raw.filter(F.col(date).isin(dates)))
     for name, path in targets.items():
         replace_dates(frames[name], path, date)
 
@@ -40,20 +38,32 @@ def follow_snapshots(
     spark: SparkSession,
     raw_path: str,
     schema: T.StructType,
-    derive: Callable[[DataFrame], Mapping[str, DataFrame]],
+    derive: Derive,
     targets: Mapping[str, str],
     checkpoint: str,
+    prepare: Prepare | None = None,
+    glob: str = "*.parquet",
     date: str = DATE,
     files_per_batch: int = 1000,
     once: bool = False,
 ) -> StreamingQuery:
-    """Start the stream; ``once`` takes what is there and stops."""
+    """Start the stream; ``once`` takes what is there and stops.
+
+    ``prepare`` turns landed rows into snapshot rows that carry ``date``, where
+    the folder is not already partitioned by it.
+    """
+    ready = prepare or (lambda df: df)
     arriving = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(raw_path)
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .option("pathGlobFilter", glob)
+        .parquet(raw_path)
     )
 
     def on_batch(batch: DataFrame, _epoch: int) -> None:
-        refresh_dates(batch.sparkSession, raw_path, batch, derive, targets, date)
+        session = batch.sparkSession
+        raw = session.read.schema(schema).option("pathGlobFilter", glob).parquet(raw_path)
+        refresh_dates(ready(raw), ready(batch), derive, targets, date)
 
     writer = arriving.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
