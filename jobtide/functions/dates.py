@@ -6,25 +6,27 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import as_column
+from .text import as_column, computed_once
 
 # Tried in this order, so month-first wins over day-first where both fit.
-# Separators are folded to one space before parsing.
-DATE_PATTERNS = (
-    "MMM d yyyy h:mm a",
-    "MMMM d yyyy h:mm a",
-    "yyyy M d",
-    "yyyyMMdd",
-    "yyyy MMM d",
-    "M d yyyy",
-    "M d yy",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "d M yyyy",
-    "d M yy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyy M d H:mm:ss",
+# Separators are folded to one space before parsing.  Each layout is tried only
+# on text of its shape, as a failed attempt costs far more than the look.
+_N, _MON, _MONTH, _CLOCK = r"\d{1,2}", "[A-Za-z]{3}", "[A-Za-z]{3,9}", r"\d{1,2}:\d{2}"
+DATE_LAYOUTS = (
+    ("MMM d yyyy h:mm a", rf"{_MON} {_N} \d{{4}} {_CLOCK} [A-Za-z]{{2}}"),
+    ("MMMM d yyyy h:mm a", rf"{_MONTH} {_N} \d{{4}} {_CLOCK} [A-Za-z]{{2}}"),
+    ("yyyy M d", rf"\d{{4}} {_N} {_N}"),
+    ("yyyyMMdd", r"\d{8}"),
+    ("yyyy MMM d", rf"\d{{4}} {_MON} {_N}"),
+    ("M d yyyy", rf"{_N} {_N} \d{{4}}"),
+    ("M d yy", rf"{_N} {_N} \d{{2}}"),
+    ("MMM d yyyy", rf"{_MON} {_N} \d{{4}}"),
+    ("MMMM d yyyy", rf"{_MONTH} {_N} \d{{4}}"),
+    ("d M yyyy", rf"{_N} {_N} \d{{4}}"),
+    ("d M yy", rf"{_N} {_N} \d{{2}}"),
+    ("d MMM yyyy", rf"{_N} {_MON} \d{{4}}"),
+    ("d MMMM yyyy", rf"{_N} {_MONTH} \d{{4}}"),
+    ("yyyy M d H:mm:ss", rf"\d{{4}} {_N} {_N} {_CLOCK}:\d{{2}}"),
 )
 
 
@@ -35,7 +37,9 @@ def parse_with(x: Column | str, pattern: str) -> Column:
 def parse_any_date(x: Column | str) -> Column:
     """First listed layout that fits, else null."""
     folded = F.trim(F.regexp_replace(as_column(x).cast("string"), r"[\s,/.\-]+", " "))
-    return F.coalesce(*[parse_with(folded, p) for p in DATE_PATTERNS])
+    return computed_once(
+        folded, lambda t: F.coalesce(*[F.when(t.rlike(f"^{shape}$"), parse_with(t, p)) for p, shape in DATE_LAYOUTS])
+    )
 
 
 def standardize_date(x: Column | str) -> Column:
@@ -56,7 +60,7 @@ def posted_or_listed(x: Column | str, as_of: dt.date | Column, stale_after_days:
     x = as_column(x).cast("string")
     today = as_of if isinstance(as_of, Column) else F.lit(as_of)
     stale = parse_any_date(x) < F.date_sub(today, stale_after_days)
-    return F.when(stale, F.concat(F.lit("Listed since "), x)).otherwise(x)
+    return F.concat(F.when(stale, F.lit("Listed since ")).otherwise(F.lit("")), x)
 
 
 def leading_date(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ projection: no join, no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from itertools import chain
@@ -19,9 +20,18 @@ from .text import as_column, normalize_posting_text
 Rule = tuple[str, ...]
 
 
+def _folded(pattern: str) -> str:
+    """The pattern in lower case, escapes such as \\b left as they are."""
+    return re.sub(r"(?<!\\)[A-Z]+", lambda m: m[0].lower(), pattern)
+
+
 def matches(x: Column, pattern: str) -> Column:
-    """Case-insensitive search, for accented letters too."""
-    return x.rlike("(?iu)" + pattern)
+    """Case-insensitive search, for accented letters too.
+
+    Lower-casing the text once is several times cheaper than a case-insensitive
+    pattern, which folds every character at every position it tries.
+    """
+    return F.lower(x).rlike(_folded(pattern))
 
 
 def classify(x: Column | str, rules: Iterable[Rule], default: str) -> Column:
@@ -34,6 +44,14 @@ def classify(x: Column | str, rules: Iterable[Rule], default: str) -> Column:
     return F.lit(default) if chosen is None else chosen.otherwise(default)
 
 
+def rules_for(rules: list[Rule], labels: Iterable[str]) -> list[Rule]:
+    """The leading rules that decide whether one of the labels applies; the rules
+    after the last of them cannot change that."""
+    wanted = set(labels)
+    last = max(i for i, (label, *_patterns) in enumerate(rules) if label in wanted)
+    return rules[: last + 1]
+
+
 def recode(x: Column | str, labels: Mapping[str, str], default: str | None = None) -> Column:
     """Exact lookup; what is not listed keeps its value, or gets ``default``."""
     x = as_column(x)

@@ -7,6 +7,7 @@ bytes in a string column until something decodes them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +27,15 @@ def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def computed_once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` where ``x`` is evaluated once, however often ``use`` mentions it.
+
+    Spark repeats a column expression in every place it is mentioned; as the
+    only element of an array it is a value by the time ``use`` sees it.
+    """
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _decode_cp1252(x: Column) -> Column:
     """Bytes of ``x`` read as Windows-1252; undefined bytes become ``<81>`` etc."""
     latin = F.decode(x.cast("binary"), "iso-8859-1")
@@ -52,8 +62,13 @@ def normalize_posting_text(x: Column | str) -> Column:
 
 
 def identity_component(x: Column | str) -> Column:
-    """The form in which a field takes part in a posting identity."""
-    return F.regexp_replace(F.lower(normalize_posting_text(x)), r"\s+", " ")
+    """The form in which a field takes part in a posting identity: normalised,
+    lower case, every run of white space one space.
+
+    Line breaks are white space like any other here, and the pattern passes over
+    single spaces, which is nearly all there is.
+    """
+    return F.regexp_replace(F.lower(trim_blanks(repair_invalid_bytes(x))), r"\s{2,}|[^\S ]", " ")
 
 
 def squish(x: Column | str) -> Column:

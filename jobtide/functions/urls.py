@@ -15,12 +15,15 @@ STABLE_POSTING_URL = (
 )
 
 
-def is_statewide_posting(url: Column | str) -> Column:
-    return F.coalesce(normalize_posting_text(url).rlike("(?i)" + STATEWIDE_FEED), F.lit(False))
+def is_statewide_posting(url: Column | str, normalised: bool = False) -> Column:
+    """``normalised`` says that the text went through ``normalize_posting_text`` already."""
+    url = as_column(url) if normalised else normalize_posting_text(url)
+    return F.coalesce(url.rlike("(?i)" + STATEWIDE_FEED), F.lit(False))
 
 
-def is_stable_posting_url(url: Column | str) -> Column:
-    return F.coalesce(normalize_posting_text(url).rlike(STABLE_POSTING_URL), F.lit(False))
+def is_stable_posting_url(url: Column | str, normalised: bool = False) -> Column:
+    url = as_column(url) if normalised else normalize_posting_text(url)
+    return F.coalesce(url.rlike(STABLE_POSTING_URL), F.lit(False))
 
 
 def absolute_url(href: Column | str, base: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import match_key, trim_blanks
 
@@ -27,12 +27,15 @@ def _words(x: F.Column) -> F.Column:
 
 
 def _with_match_fields(df: DataFrame) -> DataFrame:
-    day = trim_blanks(F.col("date_posted").cast("string"))
-    title = match_key("title")
+    """Rows that have a title and a date, with both in the form they are compared in.
+    The conditions look at the given columns, so they are cheap to push down."""
+    dated = isinstance(df.schema["date_posted"].dataType, T.DateType)
+    day = F.col("date_posted").cast("string")
+    present = F.col("date_posted").isNotNull() if dated else trim_blanks(day) != ""
     return (
-        df.withColumn("_title", title)
-        .withColumn("_day", day)
-        .filter((F.col("_title") != "") & (F.col("_day") != ""))
+        df.filter((trim_blanks("title") != "") & present)
+        .withColumn("_title", match_key("title"))
+        .withColumn("_day", day if dated else trim_blanks(day))
     )
 
 
@@ -68,8 +71,8 @@ def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFra
 
     candidates = (
         _with_match_fields(feed)
+        .filter(F.col("location").isNotNull())
         .withColumn("_place", F.concat(F.lit(" "), match_key("location"), F.lit(" ")))
-        .filter(F.col("_place").isNotNull())
         .withColumn("_most", longest)
         .select(
             row_id, "_title", "_day", "_place",

@@ -35,7 +35,7 @@ def _times_wide(spine: DataFrame, df: DataFrame, key: str, size: int) -> DataFra
         .agg(F.collect_list(F.struct(key)).alias("_values"))
     )
     return (
-        spine.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).cast("long"))
+        spine.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
         .join(values, "_piece")
         .withColumn("_value", F.explode("_values"))
         .withColumn(key, F.col("_value")[key])

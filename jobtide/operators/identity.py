@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import identity_component, normalize_posting_text, or_text_na
 from ..functions.urls import is_stable_posting_url, is_statewide_posting
@@ -35,6 +35,13 @@ def posting_source(df: DataFrame) -> Column:
     return F.coalesce(given, F.lit(DIRECT_SOURCE))
 
 
+def _component(df: DataFrame, name: str) -> Column:
+    """A field as it enters the fallback; dates are in their normal form already."""
+    if isinstance(df.schema[name].dataType, T.DateType):
+        return or_text_na(F.col(name).cast("string"))
+    return or_text_na(identity_component(F.col(name).cast("string")))
+
+
 def add_posting_identity(df: DataFrame, seq: str = "seq", slice_rows: int | None = None) -> DataFrame:
     """Add Posting_Source, Posting_Identity_Method and Posting_ID.
 
@@ -45,27 +52,21 @@ def add_posting_identity(df: DataFrame, seq: str = "seq", slice_rows: int | None
     if missing:
         raise ValueError(f"add_posting_identity: missing column(s): {', '.join(missing)}")
 
-    tagged = df.withColumn("Posting_Source", posting_source(df))
-    url = normalize_posting_text("url")
-    statewide = is_statewide_posting("url") | (F.col("Posting_Source") == STATEWIDE_SOURCE)
+    tagged = df.withColumns({"Posting_Source": posting_source(df), "_url": normalize_posting_text("url")})
+    tagged = tagged.withColumn(
+        "_statewide", is_statewide_posting("_url", normalised=True) | (F.col("Posting_Source") == STATEWIDE_SOURCE)
+    )
     base = F.concat_ws(
         SEPARATOR,
-        F.when(statewide, F.lit("opi-fallback")).otherwise(F.lit("source-fallback")),
-        *[
-            or_text_na(identity_component(F.col(c).cast("string")))
-            for c in ("Posting_Source", "District", "title", "location", "date_posted")
-        ],
+        F.when(F.col("_statewide"), F.lit("opi-fallback")).otherwise(F.lit("source-fallback")),
+        *[_component(tagged, c) for c in ("Posting_Source", "District", "title", "location", "date_posted")],
     )
     marked = tagged.withColumns(
-        {
-            "_statewide": statewide,
-            "_stable": ~statewide & is_stable_posting_url("url"),
-            "_base": base,
-        }
+        {"_stable": ~F.col("_statewide") & is_stable_posting_url("_url", normalised=True), "_base": base}
     )
     group = ["_base"]
     if "Archive_Date" in df.columns:
-        marked = marked.withColumn("_day", or_text_na(identity_component(F.col("Archive_Date").cast("string"))))
+        marked = marked.withColumn("_day", _component(marked, "Archive_Date"))
         group.append("_day")
     numbered = number_within(marked, group, seq, "_occurrence", **({"slice_rows": slice_rows} if slice_rows else {}))
     return (
@@ -75,11 +76,11 @@ def add_posting_identity(df: DataFrame, seq: str = "seq", slice_rows: int | None
         )
         .withColumn(
             "Posting_ID",
-            F.when(F.col("_stable"), F.concat(F.lit("url:"), F.lower(url))).otherwise(
+            F.when(F.col("_stable"), F.concat(F.lit("url:"), F.lower("_url"))).otherwise(
                 F.concat(F.lit("fallback:"), F.col("_base"), F.lit("#"), F.col("_occurrence").cast("string"))
             ),
         )
-        .drop("_statewide", "_stable", "_base", "_day", "_occurrence")
+        .drop("_url", "_statewide", "_stable", "_base", "_day", "_occurrence")
     )
 
 

@@ -11,9 +11,12 @@ from ..functions.rules import (
     ADJUNCT_JOB_TYPE,
     FACULTY_JOB_TYPE,
     HE_APPOINTMENT_OF_JOB_TYPE,
+    HE_JOB_TYPE_DEFAULT,
+    HE_JOB_TYPE_RULES,
+    classify,
     he_category,
-    he_job_type,
     recode,
+    rules_for,
 )
 from ..operators.asof import DATE, at_latest
 from ..operators.counts import row_counts, row_counts_with_total, with_total_rows
@@ -32,10 +35,13 @@ def raw_snapshot(rows: DataFrame, snapshot_date: dt.date) -> DataFrame:
 
 
 def faculty_rows(postings: DataFrame) -> DataFrame:
-    """Faculty and adjunct postings with their subject."""
+    """Faculty and adjunct postings with their subject.  Only the rules that can
+    tell these two job types are evaluated."""
+    kept = (FACULTY_JOB_TYPE, ADJUNCT_JOB_TYPE)
+    job_type = classify("Title", rules_for(HE_JOB_TYPE_RULES, kept), HE_JOB_TYPE_DEFAULT)
     return (
-        postings.withColumn("Job_Type", he_job_type("Title"))
-        .filter(F.col("Job_Type").isin(FACULTY_JOB_TYPE, ADJUNCT_JOB_TYPE))
+        postings.withColumn("Job_Type", job_type)
+        .filter(F.col("Job_Type").isin(*kept))
         .withColumn("Category", he_category("Title"))
         .select(*FACULTY_HISTORY.names)
     )

@@ -421,7 +421,7 @@ def extract_postings(payloads: DataFrame, rules: dict[str, Callable[[DataFrame],
     """
     columns = [c for c in payloads.columns if c not in ("body", "url")]
     out = None
-    for platform, rule in (rules or PAGE_RULES).items():
+    for platform, rule in (PAGE_RULES if rules is None else rules).items():
         rows = rule(payloads.filter(F.col("platform") == platform)).select(
             *columns, "item", "Title", "Location", "Posted_Date", "Link"
         )
