@@ -10,6 +10,7 @@ from ..functions.numbers import non_negative
 from ..functions.rules import recode
 from ..operators import asof, counts, dedupe, gapfill, identity, joins, newness, ordering, quality, trends
 from ..plans import k12
+from ..session import settled
 from ..sinks import store
 from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, query, table
 
@@ -232,10 +233,13 @@ def crosswalk_na_rules(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "customer").select("c_nationkey", value.alias("v"))
     return joins.crosswalk_aggregate(
         crosswalk, source, "c_nationkey", "entity",
-        zero_if_matched=F.round(counts.sum_zero_if_matched("v", "matched"), 2),
-        null_if_all_null=F.round(counts.sum_null_if_all_null("v"), 2),
-        mean_of_present=F.round(counts.mean_of_present("v"), 4),
-        n=F.count("matched"),
+        zero_if_matched=counts.sum_zero_if_matched("v"),
+        null_if_all_null=counts.sum_null_if_all_null("v"),
+        mean_of_present=counts.mean_of_present("v"),
+        n=counts.rows_matched("v"),
+    ).select(
+        "entity", F.round("zero_if_matched", 2).alias("zero_if_matched"), F.round("null_if_all_null", 2).alias("null_if_all_null"),
+        F.round("mean_of_present", 4).alias("mean_of_present"), "n",
     )
 
 
@@ -363,7 +367,7 @@ SELECT seq, Posting_ID FROM kept, two WHERE Archive_Date = latest AND previous I
   AND Posting_ID NOT IN (SELECT Posting_ID FROM kept, two WHERE Archive_Date = previous)""",
 )
 def new_since_previous(spark: SparkSession, d: str) -> DataFrame:
-    return newness.new_since_previous(k12.identify(k12_rows(spark, d))).select("seq", "Posting_ID")
+    return newness.new_since_previous(settled(k12.identify(k12_rows(spark, d)))).select("seq", "Posting_ID")
 
 
 @query(
@@ -593,7 +597,8 @@ def mad_outlier(spark: SparkSession, d: str) -> DataFrame:
     "SELECT median(l_extendedprice) AS median FROM lineitem",
 )
 def exact_median(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.exact_median(table(spark, d, "lineitem"), "l_extendedprice")
+    lineitem = table(spark, d, "lineitem")
+    return lineitem.limit(1).select(F.lit(ordering.exact_median(lineitem, "l_extendedprice")).alias("median"))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +10,7 @@ from ..functions import rules
 from ..functions.signals import visible_text
 from ..operators.asof import at_latest
 from ..plans import context, health, higher_ed, k12, views
-from ..session import ensure_checkpoint_dir, settled
+from ..session import settled
 from ..sinks import store
 from ..sources.shape import k12_posting
 from ..streaming.snapshots import follow_snapshots
@@ -24,6 +23,7 @@ from .base import (
     he_rows,
     k12_rows,
     query,
+    scratch,
     sql_case,
     sql_list,
     sql_map,
@@ -166,10 +166,6 @@ def institution_totals(spark: SparkSession, d: str) -> DataFrame:
 # -- written history ---------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _INSTITUTION_TOTALS = f"WITH {HE_SQL} SELECT Institution, Archive_Date, count(*) AS n FROM he GROUP BY ALL"
 
 
@@ -177,7 +173,7 @@ _INSTITUTION_TOTALS = f"WITH {HE_SQL} SELECT Institution, Archive_Date, count(*)
 def incremental_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """A rebuilt history, then two weekly appends, one of them delivered twice:
     the table is what a rebuild of everything gives."""
-    path = _scratch(spark, "totals")
+    path = scratch(spark, "totals")
     rows = he_rows(spark, d)
     first, last = dt.date(2024, 1, 28), dt.date(2024, 1, 30)
     store.replace_dates(higher_ed.institution_totals(rows.filter(F.col("Archive_Date") <= F.lit(first))), path)
@@ -190,7 +186,7 @@ def incremental_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
 @query("streamed_history", _INSTITUTION_TOTALS)
 def streamed_history(spark: SparkSession, d: str) -> DataFrame:
     """The same table kept by a file stream over the landed events."""
-    path, checkpoint = _scratch(spark, "streamed"), _scratch(spark, "stream-state")
+    path, checkpoint = scratch(spark, "streamed"), scratch(spark, "stream-state")
     schema = table(spark, d, "events").schema
 
     def postings(landed: DataFrame) -> DataFrame:

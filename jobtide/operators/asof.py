@@ -45,15 +45,18 @@ def as_of_join(
     """For every left row the right row of the same key with the newest date
     not after the left date; ``right`` holds one row per key and snapshot date.
 
-    The right side becomes one row per key with its dated values in order (as many as
-    there are snapshots).  The left side is then never sorted or windowed:
-    a hot key is only a skewed join partition, which adaptive execution splits.
+    The right side becomes one row per key with its dated values in order, one
+    per snapshot date (the largest values speak for a date that occurs twice).  The
+    left side is then never sorted or windowed: a hot key is only a skewed join
+    partition, which adaptive execution splits.
     """
-    series = (
+    per_date = (
         right.filter(F.col(right_date).isNotNull())
-        .groupBy(*on)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(right_date).alias("_d"), *values))).alias("_series"))
+        .groupBy(*on, F.col(right_date).alias("_d"))
+        .agg(F.max(F.struct(*values)).alias("_v"))
     )
+    dated = F.struct(F.col("_d"), *[F.col(f"_v.{v}").alias(v) for v in values])
+    series = per_date.groupBy(*on).agg(F.sort_array(F.collect_list(dated)).alias("_series"))
     found = F.try_element_at(F.filter("_series", lambda s: s["_d"] <= F.col(left_date)), F.lit(-1))
     joined = left.join(series, list(on), "left").withColumn("_hit", found)
     return joined.select(

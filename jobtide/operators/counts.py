@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,20 +96,34 @@ def pivot_wide(df: DataFrame, keys: Sequence[str], names: Column | str, values:
     )
 
 
-# The four rules for sums over missing values differ on purpose.  ``matched``
-# is a column that is null where the entity found no row at all.
+# The four rules for sums over missing values differ on purpose.  Each works on
+# what a source name was reduced to (its sum, its number of present values, its
+# number of rows), so raw rows are aggregated before they meet a crosswalk.
 
 
-def sum_zero_if_matched(value: str, matched: str) -> Column:
+@dataclass(frozen=True)
+class EntityRule:
+    """How the per-name figures of ``value`` become the figure of an entity."""
+
+    value: str
+    finish: Callable[[str, str, str], Column]
+
+
+def sum_zero_if_matched(value: str) -> EntityRule:
     """Matched rows without any value sum to 0; no matched row gives null."""
-    return F.when(F.count(matched) > 0, F.coalesce(F.sum(value), F.lit(0.0)))
+    return EntityRule(value, lambda total, present, rows: F.when(F.sum(rows) > 0, F.coalesce(F.sum(total), F.lit(0.0))))
 
 
-def sum_null_if_all_null(value: str) -> Column:
+def sum_null_if_all_null(value: str) -> EntityRule:
     """No value at all gives null, matched or not."""
-    return F.sum(value)
+    return EntityRule(value, lambda total, present, rows: F.sum(total))
 
 
-def mean_of_present(value: str) -> Column:
+def mean_of_present(value: str) -> EntityRule:
     """Unweighted mean of the values there are; none gives null."""
-    return F.avg(value)
+    return EntityRule(value, lambda total, present, rows: F.try_divide(F.sum(total), F.nullif(F.sum(present), F.lit(0))))
+
+
+def rows_matched(value: str) -> EntityRule:
+    """Number of source rows, 0 for an entity without any."""
+    return EntityRule(value, lambda total, present, rows: F.coalesce(F.sum(rows), F.lit(0)))

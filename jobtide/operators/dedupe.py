@@ -61,15 +61,24 @@ def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFra
         if lacking:
             raise ValueError(f"remove_feed_duplicates: {name} is missing {', '.join(lacking)}")
 
-    cities = (
+    places = (
         registry.select("District", match_key("City").alias("_city"))
         .withColumn("_run", F.array_join(_words(F.col("_city")), " "))
         .filter(F.col("_run") != "")
-        .distinct()
     )
+    cities = places.select("_city", "_run").distinct()
     longest = cities.agg(F.coalesce(F.max(F.size(_words(F.col("_run")))), F.lit(1))).scalar()
 
-    candidates = (
+    # Direct rows by city: however many districts share one, a feed row meets it once.
+    known = (
+        _with_match_fields(direct)
+        .select("District", "_title", "_day")
+        .distinct()
+        .join(places.select("District", "_city").distinct(), "District")
+        .select("_city", "_title", "_day")
+        .distinct()
+    )
+    named = (
         _with_match_fields(feed)
         .filter(F.col("location").isNotNull())
         .withColumn("_place", F.concat(F.lit(" "), match_key("location"), F.lit(" ")))
@@ -80,16 +89,13 @@ def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFra
         )
         .join(cities, "_run")
         .filter(F.col("_place").contains(F.concat(F.lit(" "), F.col("_city"), F.lit(" "))))
-        .select(row_id, "_title", "_day", "District", F.length("_city").alias("_length"))
+        .groupBy(row_id, "_title", "_day")
+        .agg(F.collect_set("_city").alias("_cities"))
     )
-    # Ties are kept, so rank on length; a group holds the few cities one row names.
-    best = candidates.groupBy(row_id, "_title", "_day").agg(F.max("_length").alias("_longest"), F.collect_set(
-        F.struct(F.col("_length").alias("length"), F.col("District").alias("District"))).alias("_named"))
-    named = best.select(
-        row_id, "_title", "_day",
-        F.explode(F.filter("_named", lambda c: c["length"] == F.col("_longest"))).alias("_c"),
-    ).select(row_id, "_title", "_day", F.col("_c.District").alias("District"))
-
-    known = _with_match_fields(direct).select("District", "_title", "_day").distinct()
-    duplicates = named.join(known, ["District", "_title", "_day"], "left_semi").select(row_id).distinct()
+    # Cities of the greatest length, ties included; a row names only a few.
+    top = F.array_max(F.transform("_cities", lambda c: F.length(c)))
+    best = named.withColumn("_top", top).select(
+        row_id, "_title", "_day", F.explode(F.filter("_cities", lambda c: F.length(c) == F.col("_top"))).alias("_city")
+    )
+    duplicates = best.join(known, ["_city", "_title", "_day"], "left_semi").select(row_id).distinct()
     return feed.join(duplicates, row_id, "left_anti").select(*feed.columns)

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import change_ratio
-from .counts import pivot_wide
+from .counts import EntityRule, pivot_wide
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -85,18 +85,23 @@ def crosswalk_table(spark: SparkSession, names: dict[str, Sequence[str]]) -> Dat
 
 
 def crosswalk_aggregate(
-    crosswalk: DataFrame, source: DataFrame, name: str, entity_out: str, **aggregates: Column
+    crosswalk: DataFrame, source: DataFrame, name: str, entity_out: str, **rules: EntityRule
 ) -> DataFrame:
-    """Aggregate source rows per entity through a crosswalk (1 entity, N names).
+    """One row per entity of the crosswalk (1 entity, N source names).
 
-    Every entity of the crosswalk appears once.  The aggregates may use the
-    column ``matched``, which is null where the entity found no source row.
+    The source is first reduced to one row per name, with partial sums on the
+    map side; a name with most of the rows is no burden to the join.
     """
-    side = source.withColumnRenamed(name, "source_name").withColumn("matched", F.lit(1))
+    values = sorted({r.value for r in rules.values()})
+    per_name = source.groupBy(F.col(name).alias("source_name")).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(v).alias(f"_sum_{v}") for v in values],
+        *[F.count(v).alias(f"_present_{v}") for v in values],
+    )
     return (
-        crosswalk.join(side, "source_name", "left")
+        crosswalk.join(per_name, "source_name", "left")
         .groupBy(F.col("entity").alias(entity_out))
-        .agg(*[expression.alias(label) for label, expression in aggregates.items()])
+        .agg(*[r.finish(f"_sum_{r.value}", f"_present_{r.value}", "_rows").alias(label) for label, r in rules.items()])
     )
 
 

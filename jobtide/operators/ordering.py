@@ -67,40 +67,41 @@ def number_within(
     )
 
 
-def exact_median(df: DataFrame, column: str, out: str = "median", accuracy: int = 100_000) -> DataFrame:
-    """One row holding the exact median of ``column`` (nulls ignored; null if none).
-
-    A quantile sketch brackets the middle: by its error bound at most about
-    ``4 n / accuracy`` rows lie strictly inside.  The rows below the bracket
-    are only counted; those inside are collapsed to one row per distinct value, and only
-    these few cells are put in order.  A built-in ``median`` would gather
-    every distinct value of the column in one task.
+def exact_median(df: DataFrame, column: str, accuracy: int = 100_000, cells: int = 1_000_000) -> float | None:
+    """The exact median of a whole column (nulls ignored; None if there is no value).
+
+    A quantile sketch brackets the middle: by its error bound only about
+    ``4 / accuracy`` of the rows lie inside.  The rows below the bracket are
+    counted, and the bracket is narrowed again while it holds more than
+    ``cells`` rows.  What is left is collapsed to one row per distinct value, and only
+    those few are put in order.  The built-in ``median`` gathers every
+    distinct value of the column in one task.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     margin = 2.0 / accuracy
-    sketch = F.percentile_approx("v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy)
-    around = (
-        values.agg(sketch.alias("b"), F.count(F.lit(1)).alias("n"))
-        .select(F.struct(F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "n"))
-        .scalar()
-    )
-    # One pass: everything below the bracket is one cell, the inside keeps its values.
-    cells = (
-        values.filter(F.col("v") <= around["high"])
-        .groupBy(F.when(F.col("v") >= around["low"], F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = cells.withColumn(
-        "upto", F.sum("n").over(Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    )
-    lower_rank, upper_rank = F.floor((around["n"] + 1) / 2), F.floor((around["n"] + 2) / 2)
-    missed = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))) >= lower_rank, F.lit(False)) | (
-        F.max("upto") < upper_rank
-    )
-    middle = (
-        F.min(F.when(F.col("upto") >= lower_rank, F.col("v")))
-        + F.min(F.when(F.col("upto") >= upper_rank, F.col("v")))
-    ) / 2
-    return ranked.agg(
-        F.when(missed, F.raise_error(F.lit("the quantile bracket missed the middle"))).otherwise(middle).alias(out)
-    )
+    inside, fractions, total, below = values, [0.5 - margin, 0.5 + margin], None, 0
+    while True:
+        sketch = F.percentile_approx("v", [min(1.0, max(0.0, f)) for f in fractions], accuracy)
+        row = inside.agg(F.count(F.lit(1)).alias("n"), sketch.alias("b")).first()
+        if row.n == 0:
+            return None
+        if total is None:
+            total = row.n
+            ranks = (total + 1) // 2, (total + 2) // 2
+        low, high = row.b
+        size = values.agg(
+            F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("n")
+        ).first()
+        if not size.below < ranks[0] <= ranks[1] <= size.below + size.n:
+            raise ArithmeticError("the quantile bracket missed the middle")
+        narrowed = size.n < row.n
+        inside, below = values.filter(F.col("v").between(low, high)), size.below
+        if low == high:
+            return low
+        if size.n <= cells or not narrowed:
+            break
+        fractions = [(ranks[0] - below) / size.n - margin, (ranks[1] - below) / size.n + margin]
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
+    ranked = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    middle = ranked.agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))) for r in ranks]).first()
+    return (middle[0] + middle[1]) / 2

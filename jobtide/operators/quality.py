@@ -135,11 +135,11 @@ def robust_spread(df: DataFrame, column: str) -> tuple[float | None, float | Non
     The second median needs the first, so each is computed as one number and
     goes into the next plan as a literal.  (None, None) without any value.
     """
-    center = exact_median(df, column).first()[0]
+    center = exact_median(df, column)
     if center is None:
         return None, None
     deviations = df.select(F.abs(F.col(column) - F.lit(center)).alias("_dev"))
-    return center, MAD_CONSTANT * exact_median(deviations, "_dev").first()[0]
+    return center, MAD_CONSTANT * exact_median(deviations, "_dev")
 
 
 def change_outliers(

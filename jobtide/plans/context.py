@@ -52,8 +52,8 @@ def teacher_staffing(directory: DataFrame, crosswalk: DataFrame, year: int | Non
     )
     out = crosswalk_aggregate(
         crosswalk, source, "lea_name", "District",
-        Teachers_Total_FTE=sum_zero_if_matched("fte", "matched"),
-        Enrollment=sum_zero_if_matched("enrolled", "matched"),
+        Teachers_Total_FTE=sum_zero_if_matched("fte"),
+        Enrollment=sum_zero_if_matched("enrolled"),
     )
     out = unless_empty(out, directory)
     return out if year is None else out.withColumn("CCD_Year", F.lit(year))
@@ -201,7 +201,7 @@ def enrollment(survey: DataFrame, ids: DataFrame, year: int | str) -> DataFrame:
     totals = (
         survey.select("unitid", first_clean("est_fte", "rep_fte").alias("fte"))
         .groupBy("unitid")
-        .agg(sum_null_if_all_null("fte").alias("Enrollment"))
+        .agg(F.sum("fte").alias("Enrollment"))
     )
     out = ids.join(totals, "unitid", "left").select(
         "Name", "Enrollment", F.lit(str(year)).alias("Enrollment_Year")

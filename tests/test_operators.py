@@ -94,12 +94,12 @@ def test_keep_first_and_top_per_key_equal_brute_force(spark, skewed):
     assert ", Partial" in plan and "WindowGroupLimit" in plan, "groups must be pruned before the shuffle"
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 5, 1000, 1001])
-def test_exact_median(spark, n):
+@pytest.mark.parametrize(("n", "cells"), [(0, 10), (1, 10), (2, 10), (1000, 10), (1001, 3), (1001, 10_000)])
+def test_exact_median(spark, n, cells):
     rng = random.Random(n)
     data = [float(rng.choice([7, rng.randrange(1000)])) for _ in range(n)]
     df = spark.createDataFrame([(x,) for x in data] + [(None,)], "x double")
-    got = ordering.exact_median(df, "x", accuracy=100).first()[0]
+    got = ordering.exact_median(df, "x", accuracy=100, cells=cells)
     if not data:
         assert got is None
     else:
@@ -171,11 +171,11 @@ def test_the_four_rules_for_missing_values(spark):
     walk = joins.crosswalk_table(spark, {"all null": ["n1"], "unmatched": ["zz"], "some": ["n2", "n3"], "neg": ["n4"]})
     source = spark.createDataFrame([("n1", None), ("n2", 3.0), ("n3", None), ("n3", 5.0), ("n4", -1.0)], "name string, v double")
     got = joins.crosswalk_aggregate(
-        walk, source, "name", "e", zero=counts.sum_zero_if_matched("v", "matched"),
-        null=counts.sum_null_if_all_null("v"), mean=counts.mean_of_present("v"),
+        walk, source, "name", "e", zero=counts.sum_zero_if_matched("v"),
+        null=counts.sum_null_if_all_null("v"), mean=counts.mean_of_present("v"), n=counts.rows_matched("v"),
     )
-    assert values(got, "e", "zero", "null", "mean") == [
-        ("all null", 0.0, None, None), ("neg", -1.0, -1.0, -1.0), ("some", 8.0, 8.0, 4.0), ("unmatched", None, None, None),
+    assert values(got, "e", "zero", "null", "mean", "n") == [
+        ("all null", 0.0, None, None, 1), ("neg", -1.0, -1.0, -1.0, 1), ("some", 8.0, 8.0, 4.0, 3), ("unmatched", None, None, None, 0),
     ]
 
 
