@@ -399,16 +399,14 @@ _MAP_COLUMNS = [
 ]
 
 
-def _entities(spark: SparkSession, d: str) -> DataFrame:
-    k12_tables = k12.history_tables(k12_rows(spark, d))
-    districts = views.district_map(
-        _district_registry(spark, d), at_latest(k12_tables["postings"]), k12_tables["teacher_history"]
-    )
-    he_tables = higher_ed.history_tables(he_rows(spark, d))
-    institutions = views.institution_map(
-        _institution_registry(spark, d), at_latest(he_tables["postings"]), he_tables["faculty_history"]
-    )
-    return views.entity_map(districts, institutions)
+def _districts(spark: SparkSession, d: str) -> DataFrame:
+    tables = k12.history_tables(k12_rows(spark, d))
+    return views.district_map(_district_registry(spark, d), at_latest(tables["postings"]), tables["teacher_history"])
+
+
+def _institutions(spark: SparkSession, d: str) -> DataFrame:
+    tables = higher_ed.history_tables(he_rows(spark, d))
+    return views.institution_map(_institution_registry(spark, d), at_latest(tables["postings"]), tables["faculty_history"])
 
 
 # Both sides in one statement: events are defined once, the title tables under two names.
@@ -458,7 +456,8 @@ SELECT {", ".join(_MAP_COLUMNS)}, round(Vacancy_Rate, 9) AS Vacancy_Rate, round(
 def entity_map(spark: SparkSession, d: str) -> DataFrame:
     """Districts and institutions with counts, sample titles, new postings and vacancy rates."""
     rounded = [F.round(c, 9).alias(c) for c in ("Vacancy_Rate", "Students_Per_Teacher", "Marker_Radius")]
-    return _entities(spark, d).select(*_MAP_COLUMNS, *rounded)
+    entities = views.entity_map(_districts(spark, d), _institutions(spark, d))
+    return entities.select(*_MAP_COLUMNS, *rounded)
 
 
 @query(
@@ -469,16 +468,18 @@ SELECT Name, Vacancy_Numerator, Vacancy_Denominator, round(Vacancy_Rate, 9) AS V
 FROM rated WHERE Type = 'K-12 District' AND Vacancy_Rate IS NOT NULL ORDER BY rated.Vacancy_Rate DESC, Name LIMIT 8""",
 )
 def vacancy_leaders(spark: SparkSession, d: str) -> DataFrame:
-    leaders = views.vacancy_leaders(_entities(spark, d), views.K12_TYPE)
+    leaders = views.vacancy_leaders(_districts(spark, d), views.K12_TYPE)
     return leaders.withColumn("Vacancy_Rate", F.round("Vacancy_Rate", 9))
 
 
 @query(
     "vacancy_domain",
-    f"""WITH {_MAP_SQL} SELECT round(coalesce(min(Vacancy_Rate), 0), 9) AS low, round(coalesce(max(Vacancy_Rate), 1), 9) AS high FROM rated""",
+    f"""WITH {_MAP_SQL}
+SELECT round(coalesce(min(Vacancy_Rate), 0), 9) AS low, round(coalesce(max(Vacancy_Rate), 1), 9) AS high
+FROM rated WHERE Type = 'Higher Ed Institution'""",
 )
 def vacancy_domain(spark: SparkSession, d: str) -> DataFrame:
-    domain = views.vacancy_domain(_entities(spark, d))
+    domain = views.vacancy_domain(_institutions(spark, d))
     return domain.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
@@ -492,7 +493,7 @@ SELECT Name AS "District", County, CurrentCount AS "Current Openings", WeeklyNew
 FROM rated WHERE Type = 'K-12 District'""",
 )
 def district_summary(spark: SparkSession, d: str) -> DataFrame:
-    summary = views.district_summary(settled(_entities(spark, d)))
+    summary = views.district_summary(settled(_districts(spark, d)))
     return summary.select(*summary.columns[:8])
 
 
@@ -508,7 +509,7 @@ SELECT Name AS "Institution", County, CurrentCount AS "Current Openings", coales
 FROM rated LEFT JOIN split ON Institution = Name WHERE Type = 'Higher Ed Institution'""",
 )
 def institution_summary(spark: SparkSession, d: str) -> DataFrame:
-    summary = views.institution_summary(settled(_entities(spark, d)), at_latest(he_rows(spark, d)))
+    summary = views.institution_summary(settled(_institutions(spark, d)), at_latest(he_rows(spark, d)))
     return summary.select(
         "Institution", "County", "Current Openings", rules.FACULTY_APPOINTMENT, rules.ADJUNCT_APPOINTMENT, "New This Week",
         "Faculty Vacancy Rate", "Avg Faculty Salary (2024)", "Enrollment", "Enrollment Trend (5yr)",
