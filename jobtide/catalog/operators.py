@@ -74,9 +74,9 @@ _FEED_SQL = """feed AS (SELECT c_custkey AS seq, c_mktsegment || '!' AS title, C
     CASE c_custkey % 4 WHEN 0 THEN 'East nation ' || c_nationkey WHEN 1 THEN 'Nation ' || c_nationkey || ' - Annex'
          WHEN 2 THEN 'Nation ' || c_nationkey || 'x' END AS place FROM customer),
 direct AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment || ' ' AS title, CAST(DATE '2024-01-01' + CAST(c_custkey % 2 AS INTEGER) AS VARCHAR) AS day
-    FROM customer WHERE c_acctbal > 9000),
+    FROM customer WHERE c_mktsegment <> 'BUILDING'),
 registry AS (SELECT n_nationkey AS n, 'nation ' || n_nationkey AS city FROM nation
-    UNION ALL SELECT 100 + n_nationkey, 'east nation ' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)"""
+    UNION ALL SELECT 100 + n_nationkey, 'east nation ' || n_nationkey FROM nation WHERE n_regionkey < 3)"""
 
 
 @query(
@@ -102,7 +102,7 @@ def cross_source_dedup(spark: SparkSession, d: str) -> DataFrame:
         .when(key % 4 == 2, F.concat(F.lit("Nation "), number, F.lit("x")))
         .alias("location"),
     )
-    direct = customer.filter("c_acctbal > 9000").select(
+    direct = customer.filter("c_mktsegment <> 'BUILDING'").select(
         F.concat("c_mktsegment", F.lit("!!")).alias("title"),
         F.date_add(F.lit(dt.date(2024, 1, 1)), (key % 2).cast("int")).alias("date_posted"),
         number.alias("District"),
@@ -111,7 +111,7 @@ def cross_source_dedup(spark: SparkSession, d: str) -> DataFrame:
     registry = nation.select(
         F.col("n_nationkey").alias("District"), F.concat(F.lit("Nation "), F.col("n_nationkey")).alias("City")
     ).unionByName(
-        nation.filter("n_nationkey % 2 = 0").select(
+        nation.filter("n_regionkey < 3").select(
             (F.col("n_nationkey") + 100).alias("District"), F.concat(F.lit("EAST Nation "), F.col("n_nationkey")).alias("City")
         )
     )
@@ -213,7 +213,7 @@ def pivot_appointments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "crosswalk_na_rules",
-    """WITH x AS (SELECT r_name AS entity, n_nationkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 4 <> 0
+    """WITH x AS (SELECT r_name AS entity, n_nationkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey
   UNION ALL SELECT 'Unmatched', -1),
 c AS (SELECT c_nationkey, CASE WHEN c_acctbal >= 0 AND c_nationkey % 3 <> 1 THEN c_acctbal END AS v FROM customer)
 SELECT entity, CASE WHEN count(c_nationkey) > 0 THEN round(coalesce(sum(v), 0), 2) END AS zero_if_matched,
@@ -222,7 +222,7 @@ FROM x LEFT JOIN c ON c_nationkey = n_nationkey GROUP BY entity""",
 )
 def crosswalk_na_rules(spark: SparkSession, d: str) -> DataFrame:
     """Entity sums through a crosswalk, each rule for missing values beside the other."""
-    nation, region = table(spark, d, "nation").filter("n_nationkey % 4 <> 0"), table(spark, d, "region")
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
     crosswalk = region.join(nation, region.r_regionkey == nation.n_regionkey, "left").select(
         F.col("r_name").alias("entity"), F.col("n_nationkey").cast("int").alias("source_name")
     )
@@ -428,12 +428,12 @@ def null_safe_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "onto_registry",
-    """SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 20 THEN n_regionkey * 10 END AS score FROM nation""",
+    """SELECT n_nationkey, n_name, CASE WHEN n_regionkey <> 2 THEN n_regionkey * 10 END AS score FROM nation""",
 )
 def onto_registry(spark: SparkSession, d: str) -> DataFrame:
     """The registry's columns win; entities it lacks disappear, new ones get nulls."""
     nation = table(spark, d, "nation")
-    previous = nation.filter("n_nationkey < 20").select(
+    previous = nation.filter("n_regionkey <> 2").select(
         "n_nationkey", F.lit("stale").alias("n_name"), (F.col("n_regionkey") * 10).alias("score")
     )
     gone = previous.withColumn("n_nationkey", F.col("n_nationkey") + 1000)
@@ -442,17 +442,17 @@ def onto_registry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "refresh_keep_last_good",
-    """WITH f AS (SELECT s_nationkey, round(sum(s_acctbal), 2) AS balance, count(*) AS n FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1)
+    """WITH f AS (SELECT s_nationkey, round(sum(s_acctbal), 2) AS balance, count(*) AS n FROM supplier WHERE s_acctbal >= 0 GROUP BY 1)
 SELECT c_custkey, c_name, balance, n, 'supplier book' AS source FROM customer LEFT JOIN f ON s_nationkey = c_nationkey""",
 )
 def refresh_keep_last_good(spark: SparkSession, d: str) -> DataFrame:
     """A landed group replaces the old columns; an empty one leaves them."""
     base = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("key"), F.lit(-1.0).alias("balance"))
-    suppliers = table(spark, d, "supplier").filter("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("key")).agg(
+    suppliers = table(spark, d, "supplier").filter("s_acctbal >= 0").groupBy(F.col("s_nationkey").alias("key")).agg(
         F.round(F.sum("s_acctbal"), 2).alias("balance"), F.count(F.lit(1)).alias("n")
     )
     fresh = joins.refresh_columns(base, suppliers, "key", ["balance", "n"], ("source", "supplier book"))
-    kept = joins.refresh_columns(fresh, suppliers.filter("key < 0"), "key", ["balance", "n"], ("source", "lost"))
+    kept = joins.refresh_columns(fresh, suppliers.filter(F.lit(False)), "key", ["balance", "n"], ("source", "lost"))
     return kept.drop("key")
 
 
@@ -469,10 +469,11 @@ def vintage_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "canonical_names",
-    """SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Land ' || c_nationkey ELSE 'NATION_' || c_nationkey END AS place FROM customer""",
+    """SELECT c_custkey, CASE WHEN n_regionkey < 3 THEN 'Land ' || c_nationkey ELSE 'NATION_' || c_nationkey END AS place
+FROM customer JOIN nation ON n_nationkey = c_nationkey""",
 )
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
-    aliases = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(
+    aliases = table(spark, d, "nation").filter("n_regionkey < 3").select(
         F.col("n_name").alias("alias"), F.concat(F.lit("Land "), F.col("n_nationkey")).alias("canonical")
     )
     rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("place"))

@@ -663,7 +663,7 @@ def child_poverty(spark: SparkSession, d: str) -> DataFrame:
     """SELECT c_name AS County, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS Median_Household_Income, CAST(c_nationkey AS DOUBLE) AS Median_Gross_Rent,
        CAST(c_custkey + 100 AS DOUBLE) AS Population, 2022 AS ACS_Year,
        round(CASE WHEN c_nationkey > 0 THEN 1.0 / c_nationkey END, 9) AS Mining_Employment_Share,
-       round(CASE WHEN c_custkey % 10 <> 0 AND c_custkey > 0 THEN 100.0 / c_custkey END, 9) AS Population_Change_Pct
+       round(CASE WHEN c_mktsegment <> 'BUILDING' AND c_custkey > 0 THEN 100.0 / c_custkey END, 9) AS Population_Change_Pct
 FROM customer""",
 )
 def county_context(spark: SparkSession, d: str) -> DataFrame:
@@ -673,7 +673,7 @@ def county_context(spark: SparkSession, d: str) -> DataFrame:
         name, F.col("c_acctbal").alias(context.INCOME), F.col("c_nationkey").cast("double").alias(context.RENT),
         (key + 100).alias(context.POPULATION),
     )
-    prior = customer.filter("c_custkey % 10 <> 0").select(
+    prior = customer.filter("c_mktsegment <> 'BUILDING'").select(
         name, F.lit(0.0).alias(context.INCOME), F.lit(0.0).alias(context.RENT), key.alias(context.POPULATION)
     )
     subject = customer.select(
@@ -707,7 +707,7 @@ def institution_context(spark: SparkSession, d: str) -> DataFrame:
         salary_trend=context.salary_trend(salaries, ids, 2000),
         enrollment=context.enrollment(enrolled.filter("year = 2000"), ids, 2000),
         pell=context.pell_share(
-            salaries.filter("year = 3000").select("unitid", F.lit(4).alias("grant_type"), F.lit(1.0).alias("grant_recipients_unitid")),
+            salaries.filter(F.lit(False)).select("unitid", F.lit(4).alias("grant_type"), F.lit(1.0).alias("grant_recipients_unitid")),
             context.enrollment(enrolled, ids, 0), ids, 3000,
         ),
     )
@@ -721,7 +721,7 @@ def institution_context(spark: SparkSession, d: str) -> DataFrame:
     "district_context",
     """WITH x AS (SELECT n_name, n_nationkey FROM nation)
 SELECT n_name AS District, 'County ' || n_regionkey AS County, round(sum(CASE WHEN s_acctbal >= 0 THEN s_acctbal END), 2) AS Teachers_Total_FTE,
-       any_value(CASE WHEN n_nationkey < 20 THEN 0.25::DOUBLE END) AS Child_Poverty_Rate, 'FY0' AS Finance_FY
+       any_value(CASE WHEN n_regionkey <> 2 THEN 0.25::DOUBLE END) AS Child_Poverty_Rate, 'FY0' AS Finance_FY
 FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey""",
 )
 def district_context(spark: SparkSession, d: str) -> DataFrame:
@@ -740,12 +740,12 @@ def district_context(spark: SparkSession, d: str) -> DataFrame:
         F.col("s_nationkey").cast("string").alias("lea_name"), F.lit(1).alias("agency_type"), F.lit(1).alias("number_of_schools"),
         F.col("s_acctbal").alias("teachers_total_fte"), F.lit(5.0).alias("enrollment"),
     )
-    ledger = table(spark, d, "customer").filter("c_custkey < 0").select(
+    ledger = table(spark, d, "customer").filter(F.lit(False)).select(
         F.lit("01").alias("FundCode"), F.col("c_name").alias("DistrictName"), F.lit("FY1").alias("StateFY"), F.lit("1").alias("SumOfAmount")
     )
     landed = context.DistrictSources(
         staffing=context.teacher_staffing(directory, crosswalk, 2023),
-        poverty=nation.filter("n_nationkey < 20").select(
+        poverty=nation.filter("n_regionkey <> 2").select(
             F.col("n_name").alias("District"), F.lit(0.25).alias("Child_Poverty_Rate"), F.lit(2023).alias("SAIPE_Year")
         ),
         finance=context.general_fund_expenditure(ledger, crosswalk),

@@ -55,15 +55,15 @@ def snapshot_csv_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "raw_byte_lines",
-    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '[",\\]', '', 'g'))) AS line FROM documents
+    r"""SELECT doc_id, md5(trim(regexp_replace(text, '[",\\\r\n]+', ' ', 'g'))) AS line FROM documents
 WHERE regexp_matches(text, '^[\x00-\x7f\x{a0}-\x{ff}]*$')""",
 )
 def raw_byte_lines(spark: SparkSession, d: str) -> DataFrame:
     """CSV lines in a legacy single-byte encoding: bytes are kept, repaired, then parsed."""
     path = scratch(spark, "bytes")
-    first = F.trim(F.regexp_replace(F.regexp_extract("text", r"^([^\n]*)", 1), r'[",\\]', ""))
+    flat = F.trim(F.regexp_replace("text", r'[",\\\r\n]+', " "))
     latin = table(spark, d, "documents").filter(F.col("text").rlike("^[\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]*$"))
-    line = F.concat(F.col("doc_id"), F.lit(',"'), first, F.lit('"'))
+    line = F.concat(F.col("doc_id"), F.lit(',"'), flat, F.lit('"'))
     latin.select(F.encode(line, "iso-8859-1").cast("string").alias("value")).write.text(path)
     parsed = files.parse_csv_lines(files.read_raw_lines(spark, path), struct(doc_id="n", title="s"))
     return parsed.select("doc_id", F.md5(F.coalesce("title", F.lit(""))).alias("line"))

@@ -19,7 +19,7 @@ from ..operators.joins import (
     years_ago_columns,
 )
 from ..sources.shape import union_sources
-from ..sources.vintages import YEARS_BACK, latest_vintage
+from ..sources.vintages import YEARS_BACK, at_year, latest_year
 
 # Survey codes and variable names.
 ALL_CODE = 99
@@ -211,10 +211,10 @@ def enrollment(survey: DataFrame, ids: DataFrame, year: int | str) -> DataFrame:
 
 def enrollment_trend(survey: DataFrame, ids: DataFrame, start_year: int, years_back: int = 5) -> DataFrame:
     """Change of enrolment from ``years_back`` years before the newest vintage."""
-    landed = latest_vintage(survey, start_year, YEARS_BACK["enrollment"])
-    newest = landed.agg(F.max("year")).scalar()
-    current = enrollment(landed, ids, "latest")
-    prior = enrollment(survey.filter(F.col("year") == newest - years_back), ids, "prior")
+    newest = latest_year(survey, start_year, YEARS_BACK["enrollment"])
+    current = enrollment(at_year(survey, newest), ids, "latest")
+    earlier = None if newest is None else newest - years_back
+    prior = enrollment(at_year(survey, earlier), ids, "prior")
     return change_between(current, prior, "Name", "Enrollment", "Enrollment_Change_Pct")
 
 
@@ -236,10 +236,9 @@ def pell_share(grants: DataFrame, enrolled: DataFrame, ids: DataFrame, year: int
 
 def same_year_pell_share(grants: DataFrame, survey: DataFrame, ids: DataFrame, start_year: int) -> DataFrame:
     """The newest grants vintage against the enrolment of that very year."""
-    landed = latest_vintage(grants, start_year, YEARS_BACK["grants"])
-    newest = landed.agg(F.max("year")).scalar()
-    enrolled = enrollment(survey.filter(F.col("year") == newest), ids, "same")
-    return pell_share(landed, enrolled, ids, "latest").withColumn("Pell_Year", newest.cast("string"))
+    newest = latest_year(grants, start_year, YEARS_BACK["grants"])
+    enrolled = enrollment(at_year(survey, newest), ids, str(newest))
+    return pell_share(at_year(grants, newest), enrolled, ids, str(newest))
 
 
 @dataclass
