@@ -24,29 +24,19 @@ from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, q
 SELECT seq, Posting_Source, Posting_Identity_Method, Posting_ID FROM identified""",
 )
 def identity_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Small slices on purpose, so that groups are cut and stitched together."""
-    named = identity.add_posting_identity(k12_rows(spark, d), "seq", slice_rows=512)
+    """Equal rows of a snapshot are numbered; a link that names a posting needs no number."""
+    named = identity.add_posting_identity(k12_rows(spark, d), "seq")
     return named.select("seq", "Posting_Source", "Posting_Identity_Method", "Posting_ID")
 
 
 @query(
     "number_within",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY rid) AS n FROM (
-    SELECT *, l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS rid FROM (
-      SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem)))""",
+    "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events",
 )
 def number_within(spark: SparkSession, d: str) -> DataFrame:
-    """Three groups hold all rows: each is numbered in slices by many tasks."""
-    key = F.col("l_orderkey") * 1000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
-    rows = (
-        table(spark, d, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-        .distinct()
-        .withColumn("rid", key)
-    )
-    numbered = ordering.number_within(rows, ["l_returnflag"], "rid", "n", slice_rows=500 * 1000000000)
-    return numbered.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n")
+    """Five groups hold all rows; each is numbered in slices, by many tasks once it is long."""
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    return ordering.number_within(rows, ["event_type"], "event_id", "n").select("event_id", "n")
 
 
 @query(
