@@ -61,14 +61,16 @@ def normalize_posting_text(x: Column | str) -> Column:
     return trim_blanks(F.regexp_replace(repair_invalid_bytes(x), "[\r\n]+", " "))
 
 
-def identity_component(x: Column | str) -> Column:
+def identity_component(x: Column | str, normalised: bool = False) -> Column:
     """The form in which a field takes part in a posting identity: normalised,
     lower case, every run of white space one space.
 
     Line breaks are white space like any other here, and the pattern passes over
-    single spaces, which is nearly all there is.
+    single spaces, which is nearly all there is.  ``normalised`` says that the text
+    went through ``normalize_posting_text`` already.
     """
-    return F.regexp_replace(F.lower(trim_blanks(repair_invalid_bytes(x))), r"\s{2,}|[^\S ]", " ")
+    clean = as_column(x) if normalised else trim_blanks(repair_invalid_bytes(x))
+    return F.regexp_replace(F.lower(clean), r"\s{2,}|[^\S ]", " ")
 
 
 def squish(x: Column | str) -> Column:
@@ -83,15 +85,20 @@ def repair_mojibake(x: Column | str) -> Column:
     properly accented or CJK text fails that test and is left alone.
     """
     x = as_column(x)
+    suspicious = x.rlike("[^\\x01-\\x7f]") & ~x.rlike("[\\x{80}-\\x{9f}]")
+
+    def to_bytes(narrowed: Column) -> Column:
+        # encode() raises on characters outside the code page: give it only safe text.
+        return F.encode(F.when(narrowed.rlike("^[\\x{00}-\\x{ff}]*$"), narrowed), "iso-8859-1")
+
+    def proven(raw: Column) -> Column:
+        candidate = raw.cast("string")
+        corrupted_again = F.translate(F.decode(raw, "iso-8859-1"), C1_CONTROLS, CP1252_CHARS)
+        return F.when(F.is_valid_utf8(candidate) & (corrupted_again == x), candidate)
+
     narrowed = F.translate(x, CP1252_CHARS, C1_CONTROLS)
-    reversible = x.rlike("[^\\x01-\\x7f]") & ~x.rlike("[\\x{80}-\\x{9f}]") & narrowed.rlike(
-        "^[\\x{00}-\\x{ff}]*$"
-    )
-    # encode() raises on characters outside the code page: give it only safe text.
-    raw = F.encode(F.when(reversible, narrowed), "iso-8859-1")
-    candidate = raw.cast("string")
-    corrupted_again = F.translate(F.decode(raw, "iso-8859-1"), C1_CONTROLS, CP1252_CHARS)
-    return F.when(F.is_valid_utf8(candidate) & (corrupted_again == x), candidate).otherwise(x)
+    repaired = computed_once(computed_once(narrowed, to_bytes), proven)
+    return F.coalesce(F.when(suspicious, repaired), x)
 
 
 def repair_title(x: Column | str) -> Column:

@@ -26,47 +26,56 @@ METHOD_SOURCE = "Source fallback: title + location + posted date (no stable post
 SEPARATOR = "\x1f"
 
 
-def posting_source(df: DataFrame) -> Column:
+def posting_source(df: DataFrame, normalised: bool = False) -> Column:
     """The given source tag; without such a column, the one its link implies."""
     if "Posting_Source" in df.columns:
-        given = F.nullif(normalize_posting_text("Posting_Source"), F.lit(""))
+        tag = F.col("Posting_Source") if normalised else normalize_posting_text("Posting_Source")
+        given = F.nullif(tag, F.lit(""))
     else:
-        given = F.when(is_statewide_posting("url"), F.lit(STATEWIDE_SOURCE))
+        given = F.when(is_statewide_posting("url", normalised), F.lit(STATEWIDE_SOURCE))
     return F.coalesce(given, F.lit(DIRECT_SOURCE))
 
 
-def _component(df: DataFrame, name: str) -> Column:
+def _component(df: DataFrame, name: str, normalised: bool) -> Column:
     """A field as it enters the fallback; dates are in their normal form already."""
+    text = F.col(name).cast("string")
     if isinstance(df.schema[name].dataType, T.DateType):
-        return or_text_na(F.col(name).cast("string"))
-    return or_text_na(identity_component(F.col(name).cast("string")))
+        return or_text_na(text)
+    return or_text_na(identity_component(text, normalised))
 
 
-def add_posting_identity(df: DataFrame, seq: str = "seq", slice_rows: int | None = None) -> DataFrame:
+def add_posting_identity(
+    df: DataFrame, seq: str = "seq", slice_rows: int | None = None, normalised: bool = False
+) -> DataFrame:
     """Add Posting_Source, Posting_Identity_Method and Posting_ID.
 
     ``seq`` is a whole number, unique within a snapshot, that fixes the order in
-    which equal rows are numbered.
+    which equal rows are numbered.  ``normalised`` says that the text columns went
+    through ``normalize_posting_text`` already.
     """
     missing = [c for c in (*REQUIRED, seq) if c not in df.columns]
     if missing:
         raise ValueError(f"add_posting_identity: missing column(s): {', '.join(missing)}")
 
-    tagged = df.withColumns({"Posting_Source": posting_source(df), "_url": normalize_posting_text("url")})
+    url = F.col("url") if normalised else normalize_posting_text("url")
+    tagged = df.withColumns({"Posting_Source": posting_source(df, normalised), "_url": url})
     tagged = tagged.withColumn(
         "_statewide", is_statewide_posting("_url", normalised=True) | (F.col("Posting_Source") == STATEWIDE_SOURCE)
     )
     base = F.concat_ws(
         SEPARATOR,
         F.when(F.col("_statewide"), F.lit("opi-fallback")).otherwise(F.lit("source-fallback")),
-        *[_component(tagged, c) for c in ("Posting_Source", "District", "title", "location", "date_posted")],
+        *[
+            _component(tagged, c, normalised and c != "date_posted")
+            for c in ("Posting_Source", "District", "title", "location", "date_posted")
+        ],
     )
     marked = tagged.withColumns(
         {"_stable": ~F.col("_statewide") & is_stable_posting_url("_url", normalised=True), "_base": base}
     )
     group = ["_base"]
     if "Archive_Date" in df.columns:
-        marked = marked.withColumn("_day", _component(marked, "Archive_Date"))
+        marked = marked.withColumn("_day", _component(marked, "Archive_Date", False))
         group.append("_day")
     numbered = number_within(marked, group, seq, "_occurrence", **({"slice_rows": slice_rows} if slice_rows else {}))
     return (

@@ -40,7 +40,8 @@ def combine_sources(direct: list[DataFrame], feed: DataFrame, registry: DataFram
 def identify(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """Normalise text, give every row its identity, keep each identity once per snapshot."""
     text = {c: normalize_posting_text(c) for c in TEXT_COLUMNS if c in rows.columns}
-    return distinct_postings(add_posting_identity(rows.withColumns(text), seq), order=[seq])
+    identified = add_posting_identity(rows.withColumns(text), seq, normalised=True)
+    return distinct_postings(identified, order=[seq])
 
 
 def raw_snapshot(
