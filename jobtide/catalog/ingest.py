@@ -25,8 +25,8 @@ def _page_no(key: str) -> Column:
 def landed(rows: DataFrame, key: str, item: Column, wrap) -> DataFrame:
     """(page, url, body): the items of up to fifty rows in key order, wrapped."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), item.alias("v"))))
-    # A fixed number of partitions, as reading pages costs far more time than their size suggests.
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One partition per core at least, as reading pages costs far more time than their size suggests.
+    partitions = rows.sparkSession.sparkContext.defaultParallelism
     paged = rows.withColumn("page", _page_no(key)).repartition(partitions, "page")
     grouped = paged.groupBy("page").agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
     return grouped.select(

@@ -368,12 +368,15 @@ SHARED_BOARD_LOCATIONS = [
 INSTITUTION_DEPARTMENTS = ("Highlands College",)
 
 
-def k12_position(title: Column | str) -> Column:
-    return classify(normalize_posting_text(title), K12_POSITION_RULES, K12_POSITION_DEFAULT)
+def k12_position(title: Column | str, normalised: bool = False) -> Column:
+    """``normalised`` says that the text went through ``normalize_posting_text`` already."""
+    title = as_column(title) if normalised else normalize_posting_text(title)
+    return classify(title, K12_POSITION_RULES, K12_POSITION_DEFAULT)
 
 
-def k12_subject(title: Column | str) -> Column:
-    return classify(normalize_posting_text(title), K12_SUBJECT_RULES, K12_SUBJECT_DEFAULT)
+def k12_subject(title: Column | str, normalised: bool = False) -> Column:
+    title = as_column(title) if normalised else normalize_posting_text(title)
+    return classify(title, K12_SUBJECT_RULES, K12_SUBJECT_DEFAULT)
 
 
 def k12_broad_category(category: Column | str) -> Column:

@@ -53,13 +53,13 @@ def raw_snapshot(
 
 
 def current_postings(identified: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Classified postings, for one snapshot date or many."""
+    """Classified postings, for one snapshot date or many, from ``identify``'s rows."""
     named = canonical_name(identified, "District", aliases) if aliases is not None else identified
-    return named.withColumn("position", k12_position("title")).select(*POSTINGS_CURRENT.names)
+    return named.withColumn("position", k12_position("title", normalised=True)).select(*POSTINGS_CURRENT.names)
 
 
 def teacher_rows(postings: DataFrame) -> DataFrame:
-    subject = k12_subject("title")
+    subject = k12_subject("title", normalised=True)
     return (
         postings.filter(F.col("position") == TEACHER)
         .withColumn("Category", subject)

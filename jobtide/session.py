@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Landed pages are large rows; keep the batches that go to Python small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
