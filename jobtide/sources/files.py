@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -50,7 +51,7 @@ def _headers(spark: SparkSession, path: str, glob: str) -> dict[str, list[str]]:
     first = lines.groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
     found = defaultdict(list)
     for row in first.toLocalIterator():
-        found[row["header"]].append(row["file_path"])
+        found[row["header"]].append(unquote(row["file_path"]))  # it comes as an escaped URI
     return found
 
 

@@ -308,3 +308,41 @@ def test_names_and_null_safe_keys(spark):
     assert values(joins.canonical_name(df, "District", aliases)) == [("Billings",), ("Butte",), (None,)]
     counted = spark.createDataFrame([(None, 7)], "District string, n int")
     assert values(joins.left_join_null_safe(df, counted, ["District"]))[-1] == (None, 7)
+
+
+def test_dedupe_equals_brute_force_when_one_city_holds_most_districts(spark):
+    rng = random.Random(11)
+    cities = ["Helena", "East Helena", "Butte", "St. Mary", "Big Sky"]
+    registry = [(f"D{i}", "Helena" if i % 3 else rng.choice(cities)) for i in range(60)]
+    titles, days = ["Math T.", "math t", "Art", "Cook!"], [D(2026, 8, d) for d in (1, 2)]
+    direct = [(rng.choice(titles), rng.choice(days), f"D{rng.randrange(80)}") for _ in range(40)]
+    places = [f"{c}, MT" for c in cities] + ["Old East Helena site", "Butte - Helena", "Nowhere", None]
+    feed = [(rng.choice(titles), rng.choice([*days, None]), rng.choice(places)) for _ in range(300)]
+
+    def key(s):
+        out, gap = "", False
+        for c in s.strip().lower():
+            if c.isalnum():
+                out, gap = out + c, False
+            elif not gap:
+                out, gap = out + " ", True
+        return out
+
+    known = {(e, key(t), d) for t, d, e in direct}
+    wanted = []
+    for t, d, place in feed:
+        named = [(e, key(c)) for e, c in registry if place is not None and f" {key(c)} " in f" {key(place)} "]
+        longest = max((len(c) for _, c in named), default=0)
+        if d is None or not any((e, key(t), d) in known for e, c in named if len(c) == longest):
+            wanted.append(place)
+    assert 0 < len(wanted) < len(feed)
+    assert _dedupe(spark, feed, direct, registry) == wanted
+
+
+def test_crosswalk_equals_brute_force_when_one_name_holds_most_rows(spark, skewed):
+    rows, df = skewed
+    names = {"E1": ["hot", "k1"], "E2": ["k2", "k3", "nope"], "E3": ["nope"]}
+    got = joins.crosswalk_aggregate(joins.crosswalk_table(spark, names), df, "k", "e", s=counts.sum_null_if_all_null("v"), n=counts.rows_matched("v"))
+    for e, s, n in values(got):
+        mine = [v for k, _, v in rows if k in names[e]]
+        assert (s, n) == ((sum(mine) if mine else None), len(mine))

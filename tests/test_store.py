@@ -83,6 +83,8 @@ def test_csv_round_trip_and_export(spark, tmp_path):
 
 
 def test_snapshot_files_with_different_columns(spark, tmp_path):
+    tmp_path = tmp_path / "the archive"
+    tmp_path.mkdir()
     (tmp_path / "combined_1.csv").write_text('"X","title","Archive_Date"\n1,"Math, HS","8/6/2026"\n')
     (tmp_path / "combined_2.csv").write_text('"title","Archive_Date","url"\n"Art","2026-08-13",NA\n')
     got = files.read_snapshot_csvs(spark, str(tmp_path))
