@@ -12,11 +12,16 @@ from .words import batches
 
 
 def with_computed(
-    docs: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[StructField], keep: list[str]
+    docs: DataFrame,
+    compute: Callable[[pa.RecordBatch], list[pa.Array]],
+    fields: list[StructField],
+    keep: list[str],
+    reads: tuple[str, ...] = (),
 ) -> DataFrame:
     """``keep`` columns of ``docs`` and the columns that ``compute`` gives for each slice of a few MB of text.
 
-    Computed columns replace columns of the same name.
+    ``compute`` sees the text, the kept columns and those in ``reads``.  Computed columns replace columns
+    of the same name.
     """
     names = [f.name for f in fields]
     kept = [c for c in keep if c not in names]
@@ -26,4 +31,4 @@ def with_computed(
         for batch in batches(frames):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + compute(batch), names=kept + names)
 
-    return docs.select(*dict.fromkeys([f"`{c}`" for c in [*kept, "text"]])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([f"`{c}`" for c in [*kept, "text", *reads]])).mapInArrow(run, schema)
