@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, topk, toxicity
+from . import decontaminate, packing, quality, secrets, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -26,6 +30,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_norm_bucket_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(_table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +60,10 @@ def op10_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_linked_secrets": op1_linked_secrets,
     "op3_quality_votes": op3_quality_votes,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_histogram_shards": op6_histogram_shards,
     "op7_norm_bucket_top5": op7_norm_bucket_top5,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_toxic_sentences": op10_toxic_sentences,
@@ -58,6 +71,55 @@ QUERIES: dict[str, Query] = {
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
+
+
+def _either_case(pattern: str) -> str:
+    """A pattern for letters in either case, without a flag that would also fold non-ASCII letters."""
+    pattern = pattern.removeprefix("(?i)")
+    out, inside = [], False
+    for i, c in enumerate(pattern):
+        inside = (inside or c == "[") and c != "]"
+        if c.isalpha() and not inside and pattern[i - 1] != "\\" and pattern[i - 2 : i] != "\\x":
+            c = f"[{c.lower()}{c.upper()}]"
+        out.append(c)
+    return "".join(out).replace("[a-z]", "[a-zA-Z]").replace("[a-z0-9", "[a-zA-Z0-9").replace("'", "''")
+
+
+def _parts_sql() -> str:
+    patterns = {
+        "assign": _either_case(secrets.ASSIGN), "access": secrets.ACCESS, "hex": secrets.HEX,
+        "weak_id": _either_case(secrets.WEAK_ID), "weak_secret": _either_case(secrets.WEAK_SECRET), "endpoint": _either_case(secrets.ENDPOINT),
+    }
+    return " UNION ALL ".join(
+        f"""SELECT doc_id, '{kind}' AS kind, i, len(hits[i]) AS size, {"len(vals[i])" if kind == "assign" else "99"} AS value,
+        list_sum(list_transform(gaps[:i], lambda x: len(x))) + list_sum(list_transform(hits[:i], lambda x: len(x))) AS e
+        FROM (SELECT doc_id, hits, gaps, vals, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps,
+                 {f"regexp_extract_all(t, '{p}', 2)" if kind == "assign" else "NULL"} AS vals FROM texts))"""
+        for kind, p in patterns.items()
+    )
+
+
+_NEAR = f"o.doc_id = p.doc_id AND o.s <= p.e + {secrets.SCOPE} AND p.s <= o.e + {secrets.SCOPE}"
+_SECRET, _ACCOUNT = "o.kind IN ('assign', 'hex', 'weak_secret')", "o.kind IN ('access', 'weak_id')"
+
+OP1_SQL = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), raw AS ({_parts_sql()}), part AS (
+  SELECT doc_id, CASE WHEN kind = 'assign' AND value < {secrets.LEAST_ASSIGNED} THEN 'weak_secret' ELSE kind END AS kind,
+         CAST(e - size AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM raw), kept AS (
+  SELECT DISTINCT * FROM part p WHERE kind IN ('assign', 'access', 'hex')
+    OR kind = 'weak_secret' AND EXISTS (SELECT 1 FROM part o WHERE {_NEAR} AND ({_ACCOUNT} OR o.kind = 'endpoint'))
+    OR kind = 'weak_id' AND EXISTS (SELECT 1 FROM part o WHERE {_NEAR} AND {_SECRET})
+    OR kind = 'endpoint' AND EXISTS (SELECT 1 FROM part o WHERE {_NEAR} AND {_SECRET})
+       AND EXISTS (SELECT 1 FROM part o WHERE {_NEAR} AND {_ACCOUNT})), listed AS (
+  SELECT *, kind || ':' || s || ':' || e AS entry, list_position({secrets.KINDS}, kind) AS rank,
+         kind IN ('assign', 'access', 'hex') AS strong FROM kept), sums AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, string_agg(entry, ',' ORDER BY s, rank, e) FILTER (strong) AS base,
+         string_agg(entry, ',' ORDER BY s, rank, e) AS spans FROM listed GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN sums USING (doc_id)"""
+
 OP7_SQL = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
@@ -87,4 +149,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op7_norm_bucket_top5": OP7_SQL, "op9_benchmark_windows": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_linked_secrets": OP1_SQL, "op7_norm_bucket_top5": OP7_SQL, "op9_benchmark_windows": OP9_SQL}
