@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, secrets, sharding, topk, toxicity
+from . import decontaminate, neardup, packing, quality, secrets, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op7_norm_bucket_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(docs, benchmark, ["doc_id"])
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_norm_bucket_top5": op7_norm_bucket_top5,
+    "op8_bagminhash_classes": op8_bagminhash_classes,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_toxic_sentences": op10_toxic_sentences,
 }
