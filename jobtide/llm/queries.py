@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, neardup, packing, quality, secrets, sharding, topk, toxicity
+from . import decontaminate, langid, lines, neardup, packing, quality, secrets, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,11 @@ def op1_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+    return fused.select("page_id", "host", "declared", "text_lang", "lang", "confidence", F.to_json("posterior").alias("posterior"))
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -26,6 +31,10 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -65,7 +74,9 @@ def op10_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_linked_secrets": op1_linked_secrets,
+    "op2_language_evidence": op2_language_evidence,
     "op3_quality_votes": op3_quality_votes,
+    "op4_template_lines": op4_template_lines,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_norm_bucket_top5": op7_norm_bucket_top5,
@@ -154,4 +165,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_linked_secrets": OP1_SQL, "op7_norm_bucket_top5": OP7_SQL, "op9_benchmark_windows": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_linked_secrets": OP1_SQL, "op4_template_lines": lines.lines_sql(), "op7_norm_bucket_top5": OP7_SQL, "op9_benchmark_windows": OP9_SQL}
