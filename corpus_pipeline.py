@@ -1,8 +1,75 @@
-"""The corpus pipeline."""
+"""From raw documents to packed sequences: filter, clean, deduplicate, decontaminate, pack.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of
+documents; between stages the rows are written as Parquet and read again.  Null and empty texts, long
+texts, repeated rows, empty tables and extra columns pass through as each operator's docstring says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from jobtide.llm import decontaminate, lines, neardup, packing, quality
+from jobtide.llm.workspace import Workspace
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the neighbour vote does not reject."""
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    return quality.score_quality(docs, model, kept).where("predicted = 1").select(*kept)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose template recurs across documents; n_chars follows the text."""
+    cleaned = lines.drop_recurring(docs)
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", changed)
+    return cleaned.select(*[f"`{c}`" for c in columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the smallest doc_id."""
+    return neardup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of which less than a twentieth of the words stands in benchmark phrases."""
+    kept = [c for c in docs.columns if c not in {f.name for f in decontaminate.FIELDS}]
+    found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"), kept)
+    return found.where(~F.col("contaminated")).select(*[f"`{c}`" for c in kept])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with the sequence and offset of each."""
+    return packing.pack(docs, ["doc_id"])
+
+
+STAGES = [
+    ("quality", filter_quality),
+    ("line dedup", drop_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: No SQL: the quality score, the signatures and the tokeniser are out of its reach. Tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    work = Workspace(spark, "pipeline")
+    docs = _table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        docs = work.settle(stage(spark, docs, sf_dir), str(number))
+        if number:
+            work.drop(str(number - 1))
+    return work.finish(STAGES[-1][1](spark, docs, sf_dir))
