@@ -88,13 +88,14 @@ def occurrences(words, rows: int, phrases: Phrases) -> tuple[np.ndarray, list[se
     index = FMIndex(text, len(phrases.vocabulary))
     for table, owners in zip(phrases.by_length, phrases.owners, strict=True):
         low, high = index.search(table)
-        for phrase in np.flatnonzero(high > low).tolist():
-            at = word_at[index.locate(np.arange(low[phrase], high[phrase]))]
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + table.shape[1], -1)
-            names = {phrases.items[i] for i in owners[phrase].tolist()}
-            for row in np.unique(words.rows[at]).tolist():
-                items[row] |= names
+        phrase = np.repeat(np.arange(len(table)), high - low)
+        inside = np.arange(len(phrase)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        at = word_at[index.locate(low[phrase] + inside)]
+        np.add.at(hit, at, 1)
+        np.add.at(hit, at + table.shape[1], -1)
+        for met in np.unique(words.rows[at] * len(table) + phrase).tolist():
+            row, number = divmod(met, len(table))
+            items[row].update(phrases.items[i] for i in owners[number].tolist())
     return np.cumsum(hit[:-1]) > 0, items
 
 
