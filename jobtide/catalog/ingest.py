@@ -25,10 +25,7 @@ def _page_no(key: str) -> Column:
 def landed(rows: DataFrame, key: str, item: Column, wrap) -> DataFrame:
     """(page, url, body): the items of up to fifty rows in key order, wrapped."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), item.alias("v"))))
-    # One partition per core at least, as reading pages costs far more time than their size suggests.
-    partitions = rows.sparkSession.sparkContext.defaultParallelism
-    paged = rows.withColumn("page", _page_no(key)).repartition(partitions, "page")
-    grouped = paged.groupBy("page").agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
+    grouped = rows.withColumn("page", _page_no(key)).groupBy("page").agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
     return grouped.select(
         "page",
         F.concat(lit("https://board.example/list/"), F.col("page")).alias("url"),
@@ -566,7 +563,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.urls import resolve_url
 
     landed_pages = table(spark, d, "pages").withColumnRenamed("html", "body")
-    found = pages.page_elements(landed_pages, Outline({"link": Pick("nav li a")}))
+    found = pages.read_pages(landed_pages, Outline({"link": Pick("nav li a")}))
     return found.select("page_id", "text", resolve_url("href", "url").alias("target"))
 
 
@@ -578,7 +575,7 @@ FROM pages WHERE regexp_matches(html, '<article[^>]*>\s*<h1>')""",
 )
 def page_headlines(spark: SparkSession, d: str) -> DataFrame:
     landed_pages = table(spark, d, "pages").withColumnRenamed("html", "body")
-    found = pages.page_elements(landed_pages, Outline({"h": Pick("article > h1")}))
+    found = pages.read_pages(landed_pages, Outline({"h": Pick("article > h1")}))
     return found.select("page_id", F.col("text").alias("headline"))
 
 

@@ -94,14 +94,14 @@ def category_counts_now(spark: SparkSession, d: str) -> DataFrame:
          'District ' || (user_id % 40) AS District, event_type, event_id FROM ev),
 registry AS (SELECT DISTINCT 'District ' || (user_id % 40) AS District, 'Town ' || (user_id % 40 % 17) AS city FROM ev),
 known AS (SELECT DISTINCT city, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS tkey, day
-  FROM rows JOIN registry USING (District) WHERE event_type IN ('view', 'purchase'))
-SELECT title, day AS date_posted, place AS location, District, event_id FROM rows WHERE event_type IN ('view', 'purchase')
+  FROM rows JOIN registry USING (District) WHERE event_type <> 'click')
+SELECT title, day AS date_posted, place AS location, District, event_id FROM rows WHERE event_type <> 'click'
 UNION ALL SELECT title, day, place, place, event_id FROM rows WHERE event_type = 'click' AND NOT EXISTS (
   SELECT 1 FROM known WHERE known.city = rows.place AND known.tkey = regexp_replace(lower(rows.title), '[^a-z0-9]+', ' ', 'g')
     AND known.day = rows.day)""",
 )
 def combine_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Two direct platforms and the statewide feed; dates in two layouts; feed
+    """Four direct platforms and the statewide feed; dates in two layouts; feed
     rows that a direct board of the same town shows are dropped."""
     rows = k12_rows(spark, d).join(events(spark, d).select(F.col("event_id").alias("seq"), "event_type"), "seq")
     board = rows.select(
@@ -112,16 +112,13 @@ def combine_sources(spark: SparkSession, d: str) -> DataFrame:
     registry = events(spark, d).select((F.col("user_id") % 40).alias("n")).distinct().select(
         F.concat(F.lit("District "), F.col("n")).alias("District"), F.concat(F.lit("Town "), F.col("n") % 17).alias("City")
     )
+    platforms = {"view": "SchoolSpring", "purchase": "TedK12", "signup": "AppliTrack", "error": "Apptegy"}
     combined = k12.combine_sources(
-        [
-            k12_posting(board.filter("event_type = 'view'"), "SchoolSpring"),
-            k12_posting(board.filter("event_type = 'purchase'"), "TedK12"),
-        ],
+        [k12_posting(board.filter(F.col("event_type") == kind), platform) for kind, platform in platforms.items()],
         k12_posting(feed, "Statewide", district="Location"),
         registry,
     )
-    # The source's rank sits above the row's own number.
-    return combined.select("title", "date_posted", "location", "District", F.expr("seq & ((1L << 56) - 1)").alias("event_id"))
+    return combined.select("title", "date_posted", "location", "District", F.col("seq.page").alias("event_id"))
 
 
 # -- the higher-ed build -----------------------------------------------------

@@ -39,7 +39,7 @@ def _with_match_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFrame, row_id: str = "seq") -> DataFrame:
+def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows of ``feed`` not already present on a direct board.
 
     A feed row is a duplicate when its normalised title and its date equal
@@ -48,12 +48,13 @@ def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFra
     contains "X"); districts sharing that city all count.  Rows without a
     title, a date or a recognisable city are kept.
 
-    Whole-word containment is turned into equality on word runs, so there
-    is no theta join and the work per feed row does not depend on the size
-    of the registry.  A blank registry city never matches.
+    The verdict depends on a row's title, date and location alone, so it is reached
+    once per distinct triple and no row needs an id.  Whole-word containment is
+    turned into equality on word runs, so there is no theta join and the work
+    does not depend on the size of the registry.  A blank registry city never matches.
     """
     for name, df, needed in (
-        ("feed", feed, ("title", "date_posted", "location", row_id)),
+        ("feed", feed, ("title", "date_posted", "location")),
         ("direct", direct, ("title", "date_posted", "District")),
         ("registry", registry, ("District", "City")),
     ):
@@ -78,24 +79,25 @@ def remove_feed_duplicates(feed: DataFrame, direct: DataFrame, registry: DataFra
         .select("_city", "_title", "_day")
         .distinct()
     )
+    triple = ["title", "date_posted", "location"]
     named = (
-        _with_match_fields(feed)
-        .filter(F.col("location").isNotNull())
+        _with_match_fields(feed.select(*triple).filter(F.col("location").isNotNull()).distinct())
         .withColumn("_place", F.concat(F.lit(" "), match_key("location"), F.lit(" ")))
         .withColumn("_most", longest)
         .select(
-            row_id, "_title", "_day", "_place",
+            *triple, "_title", "_day", "_place",
             F.explode(_word_runs(_words(F.col("_place")), F.col("_most"))).alias("_run"),
         )
         .join(cities, "_run")
         .filter(F.col("_place").contains(F.concat(F.lit(" "), F.col("_city"), F.lit(" "))))
-        .groupBy(row_id, "_title", "_day")
+        .groupBy(*triple, "_title", "_day")
         .agg(F.collect_set("_city").alias("_cities"))
     )
     # Cities of the greatest length, ties included; a row names only a few.
     top = F.array_max(F.transform("_cities", lambda c: F.length(c)))
     best = named.withColumn("_top", top).select(
-        row_id, "_title", "_day", F.explode(F.filter("_cities", lambda c: F.length(c) == F.col("_top"))).alias("_city")
+        *triple, "_title", "_day", F.explode(F.filter("_cities", lambda c: F.length(c) == F.col("_top"))).alias("_city")
     )
-    duplicates = best.join(known, ["_city", "_title", "_day"], "left_semi").select(row_id).distinct()
-    return feed.join(duplicates, row_id, "left_anti").select(*feed.columns)
+    duplicates = best.join(known, ["_city", "_title", "_day"], "left_semi").select(*triple).distinct()
+    # A duplicate has all three, so plain equality finds it and rows that lack one stay.
+    return feed.join(duplicates, triple, "left_anti").select(*feed.columns)

@@ -45,12 +45,13 @@ def _component(df: DataFrame, name: str, normalised: bool) -> Column:
 
 
 def add_posting_identity(
-    df: DataFrame, seq: str = "seq", slice_rows: int | None = None, normalised: bool = False
+    df: DataFrame, seq: str = "seq", normalised: bool = False
 ) -> DataFrame:
     """Add Posting_Source, Posting_Identity_Method and Posting_ID.
 
-    ``seq`` is a whole number, unique within a snapshot, that fixes the order in
-    which equal rows are numbered.  ``normalised`` says that the text columns went
+    ``seq`` fixes the order in which equal rows are numbered: a number or a struct,
+    unique within a snapshot.  Rows are grouped by a 128-bit hash of the identity's
+    base text, not by the text.  ``normalised`` says that the text columns went
     through ``normalize_posting_text`` already.
     """
     missing = [c for c in (*REQUIRED, seq) if c not in df.columns]
@@ -73,11 +74,12 @@ def add_posting_identity(
     marked = tagged.withColumns(
         {"_stable": ~F.col("_statewide") & is_stable_posting_url("_url", normalised=True), "_base": base}
     )
-    group = ["_base"]
+    marked = marked.withColumns({"_hi": F.xxhash64("_base"), "_lo": F.xxhash64(F.lit(17), "_base")})
+    group = ["_hi", "_lo"]
     if "Archive_Date" in df.columns:
         marked = marked.withColumn("_day", _component(marked, "Archive_Date", False))
         group.append("_day")
-    numbered = number_within(marked, group, seq, "_occurrence", **({"slice_rows": slice_rows} if slice_rows else {}))
+    numbered = number_within(marked, group, seq, "_occurrence")
     return (
         numbered.withColumn(
             "Posting_Identity_Method",
@@ -89,7 +91,7 @@ def add_posting_identity(
                 F.concat(F.lit("fallback:"), F.col("_base"), F.lit("#"), F.col("_occurrence").cast("string"))
             ),
         )
-        .drop("_url", "_statewide", "_stable", "_base", "_day", "_occurrence")
+        .drop("_url", "_statewide", "_stable", "_base", "_hi", "_lo", "_day", "_occurrence")
     )
 
 

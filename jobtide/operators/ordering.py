@@ -1,10 +1,9 @@
 """Order-dependent operators that stay safe when one key holds most of the rows.
 
-A plain window sorts a whole key group in one task.  The operators here only
-ever give a task a bounded slice of a group: either Spark prunes the group on
-the map side first (``keep_first``, ``top_per_key``), or the group is cut into
-slices of bounded size and the slices are stitched together (``number_within``,
-``exact_median``).
+A plain window sorts a whole key group in one task.  The operators here never
+do: either Spark prunes the group on the map side first (``keep_first``,
+``top_per_key``), or rows are dealt by range and the ranges are stitched together by
+their counts (``number_within``), or only counts travel (``exact_median``).
 """
 
 from __future__ import annotations
@@ -13,10 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows of one key that a single task numbers; the sequence column is unique
-# within a key, so one slice of the sequence can never hold more than this.
-SLICE_ROWS = 1 << 20
-
+from ..session import settled
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -37,71 +33,57 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def number_within(
-    df: DataFrame, keys: Sequence[str], seq: str, out: str, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """1, 2, 3 ... within each key, in order of the integer column ``seq``.
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | str, out: str) -> DataFrame:
+    """1, 2, 3 ... within each key, in the given order; rows equal in it are numbered in any order.
 
-    ``seq`` must be unique within a key.  Each key is cut into slices of
-    ``slice_rows`` consecutive ``seq`` values, rows are numbered inside their slice,
-    and the row counts of the earlier slices are added.  No task ever
-    sorts more than one slice of a key.
+    Rows are dealt by range of (key, order), so a key with many rows is spread over
+    many partitions, and settled there: the input is evaluated once.  Rows are
+    numbered inside their partition; the counts of the key's earlier partitions
+    are added.  A key has at most one count per partition, however many rows it has.
     """
-    sliced = df.withColumn("_slice", F.expr(f"`{seq}` div {int(slice_rows)}"))
-    by_slice = [*keys, "_slice"]
-    numbered = sliced.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*by_slice).orderBy(seq))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*by_slice)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(earlier))
-        .filter(F.col("_before").isNotNull())
-        .drop("_n")
-    )
-    return (
-        numbered.join(offsets, by_slice, "left")
-        .withColumn(out, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("long"))
-        .drop("_slice", "_local", "_before")
+    by = _columns([order] if isinstance(order, str) else order)
+    ranged = settled(df.repartitionByRange(*keys, *by).withColumn("_part", F.spark_partition_id()))
+    parts = [*keys, "_part"]
+    numbered = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*parts).orderBy(*by)))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), F.sum("_n").over(earlier).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return numbered.join(before.filter(F.col("_before").isNotNull()), [F.col("_part") == F.col("_p"), *same], "left").select(
+        *[F.col(c) for c in df.columns if c != out], (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("long").alias(out)
     )
 
 
-def exact_median(df: DataFrame, column: str, accuracy: int = 100_000, cells: int = 1_000_000) -> float | None:
-    """The exact median of a whole column (nulls ignored; None if there is no value).
+def exact_median(df: DataFrame, column: str, ranges: int = 1024) -> float | None:
+    """The exact median of a whole column (nulls and NaN ignored; None if there is no value).
 
-    A quantile sketch brackets the middle: by its error bound only about
-    ``4 / accuracy`` of the rows lie inside.  The rows below the bracket are
-    counted, and the bracket is narrowed again while it holds more than
-    ``cells`` rows.  What is left is collapsed to one row per distinct value, and only
-    those few are put in order.  The built-in ``median`` gathers every
-    distinct value of the column in one task.
+    Each pass counts the values in ``ranges`` equal parts of the interval that holds the
+    wanted rank and goes on with the part that does, until it holds one value only.
+    Only counts are shuffled, and nothing is ever put in order.  A pass cuts the
+    interval to a thousandth, so a few passes settle any column of doubles.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    margin = 2.0 / accuracy
-    inside, fractions, total, below = values, [0.5 - margin, 0.5 + margin], None, 0
-    while True:
-        sketch = F.percentile_approx("v", [min(1.0, max(0.0, f)) for f in fractions], accuracy)
-        row = inside.agg(F.count(F.lit(1)).alias("n"), sketch.alias("b")).first()
-        if row.n == 0:
-            return None
-        if total is None:
-            total = row.n
-            ranks = (total + 1) // 2, (total + 2) // 2
-        low, high = row.b
-        size = values.agg(
-            F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("n")
-        ).first()
-        if not size.below < ranks[0] <= ranks[1] <= size.below + size.n:
-            raise ArithmeticError("the quantile bracket missed the middle")
-        narrowed = size.n < row.n
-        inside, below = values.filter(F.col("v").between(low, high)), size.below
-        if low == high:
-            return low
-        if size.n <= cells or not narrowed:
-            break
-        fractions = [(ranks[0] - below) / size.n - margin, (ranks[1] - below) / size.n + margin]
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
-    ranked = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    middle = ranked.agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))) for r in ranks]).first()
-    return (middle[0] + middle[1]) / 2
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if whole.n == 0:
+        return None
+    ranks = sorted({(whole.n + 1) // 2, (whole.n + 2) // 2})
+    return sum(_ranked(values, rank, whole.low, whole.high, ranges) for rank in ranks) / len(ranks)
+
+
+def _ranked(values: DataFrame, rank: int, low: float, high: float, ranges: int) -> float:
+    """The value of this rank (1 is the smallest), all of which lie in [low, high]."""
+    below = 0  # values before the interval
+    while low < high:
+        step = high / ranges - low / ranges  # the difference itself may overflow
+        if 0 < step < float("inf"):
+            part = F.least(F.floor((F.col("v") / 2 - low / 2) / (step / 2)), F.lit(ranges - 1))
+        else:  # neighbouring values, or infinite ones
+            part = F.when(F.col("v") <= low, 0).when(F.col("v") < high, 1).otherwise(2)
+        inside = values.filter(F.col("v").between(low, high)).groupBy(part.alias("part"))
+        found = inside.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("part").collect()
+        for row in found:
+            if below + row.n >= rank:
+                break
+            below += row.n
+        low, high = row.low, row.high
+    return low

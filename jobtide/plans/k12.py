@@ -17,7 +17,7 @@ from ..operators.joins import canonical_name
 from ..operators.quality import require_totals_match
 from ..schemas import CATEGORY_COUNTS, POSTINGS_CURRENT, TEACHER_HISTORY
 from ..session import settled
-from ..sources.shape import renumber_sources, union_sources
+from ..sources.shape import rank_sources, union_sources
 
 TEXT_COLUMNS = ("title", "position", "location", "url", "District", "Posting_Source")
 TEACHER = "Teacher"
@@ -27,14 +27,14 @@ def combine_sources(direct: list[DataFrame], feed: DataFrame, registry: DataFram
     """Posting rows of all sources with standard dates, feed duplicates removed.
 
     ``direct`` and ``feed`` are in the shape of ``sources.shape.k12_posting``;
-    ``seq`` comes back unique across sources, in their order of precedence.
+    ``seq`` comes back with the precedence of the source in front.
     """
     dated = [
         df.withColumn("date_posted", standardize_date("date_posted")) for df in (*direct, feed)
     ]
     boards = union_sources(*dated[:-1])
     remaining = remove_feed_duplicates(dated[-1], boards, registry)
-    return renumber_sources(union_sources(boards, remaining))
+    return rank_sources(union_sources(boards, remaining))
 
 
 def identify(rows: DataFrame, seq: str = "seq") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Landed pages are large rows; keep the batches that go to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -51,13 +51,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` to shared storage once and read it back.
+    """The frame's rows, worked out once and kept on shared storage.
 
     For results that several plans read, or that overwrite one of their own
-    inputs: the work is done once, the rows stay fixed, and they outlive the
-    executors that computed them.  Being Parquet, later reads prune columns and
-    Catalyst knows the real size.
+    inputs.  This is a reliable checkpoint: the rows stay fixed and outlive the
+    executors that computed them.  With the cleaner setting below, Spark deletes the
+    files as soon as no plan refers to them any more, so no copy is left behind.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(ensure_checkpoint_dir(df.sparkSession))
+    return df.checkpoint()

@@ -1,9 +1,10 @@
 """Find the elements of an HTML page that a few selectors ask for.
 
-This is the only row-wise Python in the package.  It runs inside
-``mapInPandas``: Spark splits the pages over tasks, and only the matched
-elements, not the page, go back to the JVM.  Everything that is then done with
-them (which field is first, fallbacks, pairing, filtering) is Spark code.
+This is the only row-wise Python that reads pages.  It runs inside ``mapInArrow``:
+Spark splits the pages over tasks, and only the matched elements or cards, not
+the page, go back to the JVM.  A reader holds a whole page, so what belongs
+together on a page is put together here and never shuffled.  Everything that
+is then done with it (which field is first, fallbacks, filtering) is Spark code.
 """
 
 from __future__ import annotations
@@ -95,6 +96,8 @@ class Outline:
     picks: dict[str, Pick]
     card: str | None = None
     lead: str | None = None
+    # Elements of the role "header" with a text shorter than this head what follows them.
+    header_below: int | None = None
     _plan: list = field(default_factory=list)
 
     def matches(self, html: str) -> list[tuple]:
@@ -107,6 +110,35 @@ class Outline:
         reader.finish()
         return sorted(reader.found, key=lambda f: (f[1], f[2]))
 
+    def rows(self, html: str) -> list[dict]:
+        """One row per card, or per element without cards, in document order.
+
+        A card has the texts and links of its elements by role.  An element has its own, the
+        newest header at or before it, the text of the element before it, and
+        whether its text is the first of its kind on the page.
+        """
+        found = self.matches(html)
+        if self.card is not None:
+            by_card: dict[int, dict] = {}
+            for card, pos, role, text, href, _, _ in found:
+                row = by_card.setdefault(card, {"item": pos, "fields": {}})
+                row["item"] = min(row["item"], pos)
+                row["fields"].setdefault(role, []).append({"text": text, "href": href})
+            return [{**row, "fields": list(row["fields"].items())} for row in by_card.values()]
+        out, header, before, seen = [], None, None, set()
+        for _, pos, role, text, href, classes, lead in found:
+            if self.header_below is not None and role == "header" and 0 < len(text) < self.header_below:
+                header = text
+            out.append(
+                {
+                    "item": pos, "role": role, "text": text, "href": href, "classes": classes, "lead": lead,
+                    "header": header, "before": before, "first": text not in seen,
+                }
+            )
+            before = text
+            seen.add(text)
+        return out
+
 
 class _Selectors:
     """The compiled selectors, remembering the verdict on each path: pages of one

@@ -1,54 +1,66 @@
 """HTML board pages -> postings, by small per-platform rules.
 
-A page is read once for the few elements its rule names (``outline``); the rest
-of each rule is Spark code over those elements.  Input frames have one row per
-landed page with ``body`` and ``url``; other columns are carried along.
+A page is read once for the few elements its rule names (``outline``), and the
+reader gives back whole cards or single elements; nothing is shuffled.  The rest of
+each rule is Spark code over those rows.  Input frames have one row per landed
+page with ``body`` and ``url``; other columns are carried along unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.rules import department_institution, location_institution, matches
 from ..functions.text import repair_invalid_bytes, trim_blanks
 from ..functions.urls import absolute_url, resolve_url, without_query
+from ..session import settled
 from . import outline as _outline_module
 from .outline import Outline, Pick
 
 # The reader travels with the job, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(_outline_module)
 
+_LINK = T.StructType([T.StructField("text", T.StringType()), T.StructField("href", T.StringType())])
 _FOUND = T.StructType(
     [
-        T.StructField("card", T.IntegerType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("href", T.StringType()),
-        T.StructField("classes", T.StringType()),
-        T.StructField("lead", T.StringType()),
+        T.StructField("item", T.LongType()),
+        T.StructField("fields", T.MapType(T.StringType(), T.ArrayType(_LINK))),
+        *[T.StructField(n, T.StringType()) for n in ("role", "text", "href", "classes", "lead", "header", "before")],
+        T.StructField("first", T.BooleanType()),
     ]
 )
 
 
-def page_elements(pages: DataFrame, outline: Outline) -> DataFrame:
-    """The picked elements of every page, one row each, whole pages read."""
-    kept = [c for c in pages.columns if c != "body"]
+def read_pages(pages: DataFrame, outline: Outline | Mapping[str, Outline], by: str = "platform") -> DataFrame:
+    """The cards or elements of every page, whole pages read; a mapping gives the outline by column ``by``.
+
+    The page's own columns are taken along as they are, in Arrow, so no value is converted.
+    """
+    kept = [c for c in pages.columns if c != "body" and c not in _FOUND.names]
     schema = T.StructType([*pages.select(*kept).schema.fields, *_FOUND.fields])
-    names = _FOUND.names
+    link = pa.struct([("text", pa.string()), ("href", pa.string())])
+    kinds = {"item": pa.int64(), "fields": pa.map_(pa.string(), pa.list_(link)), "first": pa.bool_()}
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch["body"].map(lambda body: outline.matches(body) if isinstance(body, str) else [])
-            long = batch[kept].assign(_hit=hits).explode("_hit").dropna(subset=["_hit"])
-            cells = pd.DataFrame(long["_hit"].tolist(), columns=names, index=long.index)
-            yield pd.concat([long[kept], cells], axis=1)
+            which = batch.column(by).to_pylist() if isinstance(outline, Mapping) else [None] * batch.num_rows
+            owner, rows = [], []
+            for page, (body, name) in enumerate(zip(batch.column("body"), which, strict=True)):
+                plan = outline.get(name) if isinstance(outline, Mapping) else outline
+                found = plan.rows(body.as_py()) if plan is not None and body.is_valid else []
+                owner += [page] * len(found)
+                rows += found
+            own = batch.select(kept).take(pa.array(owner, pa.int64()))
+            cells = [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in _FOUND.names]
+            yield pa.RecordBatch.from_arrays([*own.columns, *cells], names=schema.names)
 
-    return pages.select(*kept, repair_invalid_bytes("body").alias("body")).mapInPandas(find, schema)
+    source = pages.filter(F.col(by).isin(*outline)) if isinstance(outline, Mapping) else pages
+    return source.select(*kept, repair_invalid_bytes("body").alias("body")).mapInArrow(find, schema)
 
 
 def unwrap_script(js: Column | str) -> Column:
@@ -58,34 +70,33 @@ def unwrap_script(js: Column | str) -> Column:
     return F.replace(F.array_join(literals, ""), F.lit("\\'"), F.lit("'"))
 
 
-def _keys(elements: DataFrame) -> list[str]:
-    return [c for c in elements.columns if c not in _FOUND.names]
-
+def _page_columns(found: DataFrame) -> list[str]:
+    return [c for c in found.columns if c not in _FOUND.names]
 
-def cards(elements: DataFrame, **fields: tuple[str, int] | tuple[str, int, str]) -> DataFrame:
-    """One row per card; a field is the n-th element of a role: (role, n) or
-    (role, n, "href").  ``item`` is the place of the card on its page.
 
-    A group is one card of one page, so it is bounded by the page.
-    """
-    roles = {spec[0] for spec in fields.values()}
-    listed = [
-        F.array_sort(
-            F.collect_list(F.when(F.col("role") == role, F.struct("pos", "text", "href")))
-        ).alias(f"_{role}")
-        for role in sorted(roles)
-    ]
-    grouped = elements.groupBy(*_keys(elements), "card").agg(F.min("pos").alias("item"), *listed)
-    return grouped.select(
-        *_keys(elements),
+def with_fields(cards: DataFrame, **fields: tuple[str, int] | tuple[str, int, str]) -> DataFrame:
+    """Cards with named fields; a field is the n-th element of a role: (role, n) or (role, n, "href")."""
+    return cards.select(
+        *_page_columns(cards),
         "item",
         *[
-            F.try_element_at(f"_{spec[0]}", F.lit(spec[1]))[spec[2] if len(spec) > 2 else "text"].alias(name)
+            F.try_element_at(F.col("fields")[spec[0]], F.lit(spec[1]))[spec[2] if len(spec) > 2 else "text"].alias(name)
             for name, spec in fields.items()
         ],
     )
 
 
+@dataclass(frozen=True)
+class PageRule:
+    """What to find on a page, and how the found rows become postings."""
+
+    outline: Outline
+    finish: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, pages: DataFrame) -> DataFrame:
+        return self.finish(read_pages(pages, self.outline))
+
+
 def _postings(
     df: DataFrame, title: Column, location: Column, link: Column, posted: Column | None = None, **more: Column
 ) -> DataFrame:
@@ -102,19 +113,6 @@ def _postings(
     )
 
 
-def _singles(pages: DataFrame, pick: Pick, lead: str | None = None) -> DataFrame:
-    return page_elements(pages, Outline({"x": pick}, lead=lead)).withColumn("item", F.col("pos"))
-
-
-def _first_of_each_text(elements: DataFrame) -> DataFrame:
-    """Repeated texts of a page count once, at their first place."""
-    return elements.groupBy(*_keys_without_item(elements), "text").agg(F.min("pos").alias("item"))
-
-
-def _keys_without_item(elements: DataFrame) -> list[str]:
-    return [c for c in _keys(elements) if c != "item"]
-
-
 def _non_empty(column: str) -> Column:
     return F.coalesce(F.col(column) != "", F.lit(False))
 
@@ -159,21 +157,12 @@ def label_value_postings(pages: DataFrame) -> DataFrame:
         },
         card="ul.postingsList",
     )
-    found = page_elements(html, outline)
-    texts = lambda role: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("pos", "text")))), lambda e: e["text"]
-    )
-    keys = _keys(found)
-    per_card = found.groupBy(*keys, "card").agg(
-        F.min("pos").alias("item"),
-        texts("title").alias("_titles"),
-        texts("label").alias("_labels"),
-        texts("value").alias("_values"),
-    )
-    return per_card.withColumn("_f", _pair_labels(F.col("_labels"), F.col("_values"))).select(
-        *keys,
+    cards = read_pages(html, outline)
+    texts = lambda role: F.coalesce(F.transform(F.col("fields")[role], lambda e: e["text"]), F.array().cast("array<string>"))
+    return cards.withColumn("_f", _pair_labels(texts("label"), texts("value"))).select(
+        *_page_columns(cards),
         "item",
-        F.try_element_at("_titles", F.lit(1)).alias("title"),
+        F.try_element_at(texts("title"), F.lit(1)).alias("title"),
         *[F.col(f"_f.{n}").alias(n) for n in ("position", "position2", "date_posted", "location", "closing_date")],
     )
 
@@ -181,9 +170,19 @@ def label_value_postings(pages: DataFrame) -> DataFrame:
 # -- tables ------------------------------------------------------------------
 
 
-def table_postings(pages: DataFrame) -> DataFrame:
-    """Rows whose first cell links to the posting; the header row is dropped."""
-    outline = Outline(
+def _table(cards: DataFrame) -> DataFrame:
+    rows = with_fields(
+        cards,
+        title=("title", 1), _href=("title", 1, "href"), posted=("posted", 1), _position=("position", 1), location=("location", 1),
+    ).filter(_non_empty("title") & (F.col("title") != "Job Title"))
+    return _postings(
+        rows, F.col("title"), F.col("location"), resolve_url("_href", "url"), F.col("posted"), position=F.col("_position")
+    )
+
+
+#: Rows whose first cell links to the posting; the header row is dropped.
+table_postings = PageRule(
+    Outline(
         {
             "title": Pick("td:nth-child(1) a"),
             "posted": Pick("td:nth-child(2)"),
@@ -191,29 +190,28 @@ def table_postings(pages: DataFrame) -> DataFrame:
             "location": Pick("td:nth-child(4)"),
         },
         card="tr",
-    )
-    rows = cards(
-        page_elements(pages, outline),
-        title=("title", 1), _href=("title", 1, "href"), posted=("posted", 1), _position=("position", 1), location=("location", 1),
-    ).filter(_non_empty("title") & (F.col("title") != "Job Title"))
-    return _postings(
-        rows, F.col("title"), F.col("location"), resolve_url("_href", "url"), F.col("posted"), position=F.col("_position")
-    )
+    ),
+    _table,
+)
 
 
-def statewide_table_postings(pages: DataFrame) -> DataFrame:
-    """Rows of the listing table that hold a details link; the link is the page's own."""
-    outline = Outline(
-        {"cell": Pick("td"), "details": Pick("a[id*=btnJobDetailsPublic]")},
-        card="#ctl00_ContentPlaceHolder1_grdJobListing tr",
-    )
-    rows = cards(
-        page_elements(pages, outline),
-        title=("cell", 1), location=("cell", 2), posted=("cell", 4), _details=("details", 1),
+def _statewide_table(cards: DataFrame) -> DataFrame:
+    rows = with_fields(
+        cards, title=("cell", 1), location=("cell", 2), posted=("cell", 4), _details=("details", 1)
     ).filter(F.col("_details").isNotNull())
     return _postings(rows, F.col("title"), F.col("location"), F.col("url"), F.col("posted"))
 
 
+#: Rows of the listing table that hold a details link; the link is the page's own.
+statewide_table_postings = PageRule(
+    Outline(
+        {"cell": Pick("td"), "details": Pick("a[id*=btnJobDetailsPublic]")},
+        card="#ctl00_ContentPlaceHolder1_grdJobListing tr",
+    ),
+    _statewide_table,
+)
+
+
 # -- cards -------------------------------------------------------------------
 
 
@@ -224,9 +222,7 @@ def jazzhr_postings(pages: DataFrame, institution: Column | str) -> DataFrame:
         {"title": Pick("h3 a"), "detail": Pick("ul.list-group-item-text > li")},
         card=".jobs-list li.list-group-item",
     )
-    rows = cards(
-        page_elements(pages, outline), title=("title", 1), link=("title", 1, "href"), _department=("detail", 2)
-    )
+    rows = with_fields(read_pages(pages, outline), title=("title", 1), link=("title", 1, "href"), _department=("detail", 2))
     department = F.coalesce(F.col("_department"), owner)
     return _postings(
         rows, F.col("title"), department, F.col("link"), Institution=department_institution(department, owner)
@@ -244,8 +240,8 @@ def neogov_postings(pages: DataFrame, institution: Column | str) -> DataFrame:
         },
         card="a.jobs__box",
     )
-    rows = cards(
-        page_elements(pages, outline), title=("title", 1), location=("location", 1), link=("box", 1, "href")
+    rows = with_fields(
+        read_pages(pages, outline), title=("title", 1), location=("location", 1), link=("box", 1, "href")
     )
     return _postings(
         rows, F.col("title"), F.col("location"), without_query("link"),
@@ -253,131 +249,124 @@ def neogov_postings(pages: DataFrame, institution: Column | str) -> DataFrame:
     )
 
 
-def tile_postings(pages: DataFrame) -> DataFrame:
-    """Tiles: the second field is the location, untitled tiles are skipped."""
-    outline = Outline(
+def _tiles(cards: DataFrame) -> DataFrame:
+    rows = with_fields(cards, title=("title", 1), location=("field", 2), link=("link", 1, "href")).filter(_non_empty("title"))
+    return _postings(rows, F.col("title"), F.nullif("location", F.lit("")), F.col("link"))
+
+
+#: Tiles: the second field is the location, untitled tiles are skipped.
+tile_postings = PageRule(
+    Outline(
         {"title": Pick("h2.heading-h4"), "field": Pick("h3.heading-h5"), "link": Pick("a.btn-secondary")},
         card=".tile.w-dyn-item",
-    )
-    rows = cards(
-        page_elements(pages, outline), title=("title", 1), location=("field", 2), link=("link", 1, "href")
-    ).filter(_non_empty("title"))
-    return _postings(rows, F.col("title"), F.nullif("location", F.lit("")), F.col("link"))
+    ),
+    _tiles,
+)
 
 
-def loop_item_postings(pages: DataFrame, town: str = "Billings") -> DataFrame:
-    """Loop items: department or the town as location; the template item has no title."""
-    outline = Outline(
+def _loop_items(cards: DataFrame, town: str = "Billings") -> DataFrame:
+    rows = with_fields(cards, title=("title", 1), link=("title", 1, "href"), _department=("department", 1)).filter(_non_empty("title"))
+    return _postings(rows, F.col("title"), F.coalesce(F.col("_department"), F.lit(town)), F.col("link"))
+
+
+#: Loop items: department or the town as location; the template item has no title.
+loop_item_postings = PageRule(
+    Outline(
         {
             "title": Pick(".elementor-heading-title a"),
             "department": Pick(".elementor-post-info__terms-list-item"),
         },
         card="div.e-loop-item",
-    )
-    rows = cards(
-        page_elements(pages, outline), title=("title", 1), link=("title", 1, "href"), _department=("department", 1)
-    ).filter(_non_empty("title"))
-    return _postings(rows, F.col("title"), F.coalesce(F.col("_department"), F.lit(town)), F.col("link"))
-
+    ),
+    _loop_items,
+)
 
 NOT_A_JOB = "trustee"
 
 
-def file_block_postings(pages: DataFrame, town: str = "Lame Deer") -> DataFrame:
-    """File blocks: the first link without a class; board-of-trustees files are no jobs."""
-    outline = Outline({"title": Pick("a:no-class")}, card="div.wp-block-file")
-    rows = cards(page_elements(pages, outline), title=("title", 1), link=("title", 1, "href")).filter(
+def _file_blocks(cards: DataFrame, town: str = "Lame Deer") -> DataFrame:
+    rows = with_fields(cards, title=("title", 1), link=("title", 1, "href")).filter(
         _non_empty("title") & ~matches(F.col("title"), NOT_A_JOB)
     )
     return _postings(rows, F.col("title"), F.lit(town), F.col("link"))
 
 
+#: File blocks: the first link without a class; board-of-trustees files are no jobs.
+file_block_postings = PageRule(Outline({"title": Pick("a:no-class")}, card="div.wp-block-file"), _file_blocks)
+
+
 # -- single elements ---------------------------------------------------------
 
 # Bold section labels that are not job titles.
 SECTION_LABELS = ("Qualifications:", "Application Process:", "Preferred:", "Required:", "Work Schedule:")
 
 
-def bold_label_postings(pages: DataFrame, town: str = "Miles City") -> DataFrame:
-    """Bold texts ending in a colon, except section labels; repeats count once."""
-    bold = page_elements(pages, Outline({"x": Pick("strong")}))
-    kept = bold.filter(F.col("text").endswith(":") & ~F.col("text").isin(*SECTION_LABELS)).withColumn(
-        "text", F.regexp_replace("text", ":$", "")
-    )
-    rows = _first_of_each_text(kept.filter(F.col("text") != ""))
+def _bold_labels(bold: DataFrame, town: str = "Miles City") -> DataFrame:
+    kept = bold.filter(F.col("first") & F.col("text").endswith(":") & ~F.col("text").isin(*SECTION_LABELS))
+    rows = kept.withColumn("text", F.regexp_replace("text", ":$", "")).filter(F.col("text") != "")
     return _postings(rows, F.col("text"), F.lit(town), F.col("url"))
 
 
-def openings_list_postings(
-    pages: DataFrame, town: str = "Glendive", base: str = "https://www.dawson.edu", heading: str = "Openings"
-) -> DataFrame:
-    """Links in the block right after a heading about openings."""
-    links = _singles(pages, Pick("div .collection-item-label a"), lead="h4").filter(F.col("lead").contains(heading))
+#: Bold texts ending in a colon, except section labels; repeats on a page count once.
+bold_label_postings = PageRule(Outline({"x": Pick("strong")}), _bold_labels)
+
+
+def _openings(links: DataFrame, town: str = "Glendive", base: str = "https://www.dawson.edu", heading: str = "Openings") -> DataFrame:
+    links = links.filter(F.col("lead").contains(heading))
     return _postings(links, F.col("text"), F.lit(town), absolute_url("href", base))
 
 
-def accordion_postings(pages: DataFrame, selector: str, town: str) -> DataFrame:
-    """Every accordion label is a title."""
-    labels = _singles(pages, Pick(selector))
-    return _postings(labels, F.col("text"), F.lit(town), F.col("url"))
+#: Links in the block right after a heading about openings.
+openings_list_postings = PageRule(Outline({"x": Pick("div .collection-item-label a")}, lead="h4"), _openings)
 
 
-def button_accordion_postings(pages: DataFrame) -> DataFrame:
-    return accordion_postings(pages, ".uabb-adv-accordion-button-label", "Pablo")
+def accordion_rule(selector: str, town: str) -> PageRule:
+    """Every accordion label is a title."""
+    return PageRule(Outline({"x": Pick(selector)}), lambda labels: _postings(labels, F.col("text"), F.lit(town), F.col("url")))
 
 
-def trigger_accordion_postings(pages: DataFrame) -> DataFrame:
-    return accordion_postings(pages, ".accordion__trigger", "Helena")
+button_accordion_postings = accordion_rule(".uabb-adv-accordion-button-label", "Pablo")
+trigger_accordion_postings = accordion_rule(".accordion__trigger", "Helena")
 
 
-def pdf_link_postings(pages: DataFrame, town: str = "Crow Agency", base: str = "http://lbhc.edu") -> DataFrame:
-    """PDF links in the table of the page body."""
-    links = _singles(pages, Pick(".field--name-body table a", href=r"\.pdf$"))
+def _pdf_links(links: DataFrame, town: str = "Crow Agency", base: str = "http://lbhc.edu") -> DataFrame:
     return _postings(links, F.col("text"), F.lit(town), absolute_url("href", base))
 
 
-def here_link_postings(pages: DataFrame, town: str = "Harlem", href: str = "_files/ugd") -> DataFrame:
-    """Title link followed by a "here" link to the document: the title comes from
-    the first, the address from the second.  The window spans one page's links."""
-    links = _singles(pages, Pick("a", href=href))
-    in_page = Window.partitionBy(*_keys_without_item(links)).orderBy("pos")
-    here = F.col("text").rlike(r"(?i)^here\.?$")
-    paired = (
-        links.withColumn("_here", here)
-        .withColumn("_title", F.lag("text").over(in_page))
-        .withColumn("_title_is_here", F.lag("_here").over(in_page))
-        .filter(F.col("_here") & F.col("_title").isNotNull() & ~F.col("_title_is_here"))
-    )
-    return _postings(paired, F.col("_title"), F.lit(town), F.col("href"))
+#: PDF links in the table of the page body.
+pdf_link_postings = PageRule(Outline({"x": Pick(".field--name-body table a", href=r"\.pdf$")}), _pdf_links)
+
 
+def _here_links(links: DataFrame, town: str = "Harlem") -> DataFrame:
+    here = lambda c: F.col(c).rlike(r"(?i)^here\.?$")
+    paired = links.filter(here("text") & F.col("before").isNotNull() & ~here("before"))
+    return _postings(paired, F.col("before"), F.lit(town), F.col("href"))
 
-def running_header(df: DataFrame, page: Sequence[str], order: str, header: Column, out: str) -> DataFrame:
-    """The newest header at or before each row of a page, null before the first."""
-    so_far = Window.partitionBy(*page).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(header, ignorenulls=True).over(so_far))
 
+#: Title link followed by a "here" link to the document: the title comes from the first, the address from the second.
+here_link_postings = PageRule(Outline({"x": Pick("a", href="_files/ugd")}), _here_links)
 
 # Attachments that are forms or policies, and header length.
 NOT_A_JOB_FILE = r"Application|W-4|\bI-9\b|Agreement|\bCBA\b|Handbook|Policy"
 HEADER_MAX = 60
 
 
-def file_section_postings(pages: DataFrame) -> DataFrame:
-    """PDF attachments; the last short text block above them is their location."""
-    found = page_elements(
-        pages,
-        Outline(
-            {
-                "header": Pick("div.page-block.page-block-text"),
-                "file": Pick("div.page-block.page-block-files .attachment-type-pdf"),
-            }
-        ),
-    ).withColumn("item", F.col("pos"))
-    is_header = (F.col("role") == "header") & (F.col("text") != "") & (F.char_length("text") < HEADER_MAX)
-    files = running_header(
-        found, _keys_without_item(found), "pos", F.when(is_header, F.col("text")), "_header"
-    ).filter((F.col("role") == "file") & ~matches(F.col("text"), NOT_A_JOB_FILE))
-    return _postings(files, F.col("text"), F.col("_header"), F.col("href"))
+def _file_sections(found: DataFrame) -> DataFrame:
+    files = found.filter((F.col("role") == "file") & ~matches(F.col("text"), NOT_A_JOB_FILE))
+    return _postings(files, F.col("text"), F.col("header"), F.col("href"))
+
+
+#: PDF attachments; the last short text block above them is their location.
+file_section_postings = PageRule(
+    Outline(
+        {
+            "header": Pick("div.page-block.page-block-text"),
+            "file": Pick("div.page-block.page-block-files .attachment-type-pdf"),
+        },
+        header_below=HEADER_MAX,
+    ),
+    _file_sections,
+)
 
 
 # Buttons that lead to a form and not to a job.
@@ -389,15 +378,15 @@ APPLY_BUTTONS = (
 
 
 def button_postings(pages: DataFrame, location: Column | str) -> DataFrame:
-    """Button titles, each once; the tab a page came from is the location."""
-    buttons = page_elements(pages, Outline({"x": Pick("a.en-pe-btn")})).withColumn("text", trim_blanks("text"))
-    rows = _first_of_each_text(buttons.filter((F.col("text") != "") & ~F.col("text").isin(*APPLY_BUTTONS)))
+    """Button titles, each once a page; the tab a page came from is the location."""
+    buttons = read_pages(pages, Outline({"x": Pick("a.en-pe-btn")})).withColumn("text", trim_blanks("text"))
+    rows = buttons.filter(F.col("first") & (F.col("text") != "") & ~F.col("text").isin(*APPLY_BUTTONS))
     place = location if isinstance(location, Column) else F.lit(location)
     return _postings(rows, F.col("text"), place, F.col("url"))
 
 
 # Rules that need nothing but the landed pages, by platform.
-PAGE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
+PAGE_RULES: dict[str, PageRule] = {
     "TedK12": table_postings,
     "Statewide": statewide_table_postings,
     "Livingston": file_section_postings,
@@ -413,19 +402,22 @@ PAGE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def extract_postings(payloads: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Run every platform's rule over its own landed pages and unite the rows.
+def extract_postings(payloads: DataFrame, rules: Mapping[str, PageRule] | None = None) -> DataFrame:
+    """Every platform's rule over its own landed pages, the rows united.
 
-    ``payloads`` is the landed table (platform, entity, url, seq, body, ...); partition it
-    by platform so that each rule scans its own pages only.
+    ``payloads`` is the landed table (platform, entity, url, seq, body, ...).  It is read in one pass, in
+    which the platform of a page picks what is looked for; what was found is settled, as every
+    rule then takes its own part of it.
     """
+    rules = PAGE_RULES if rules is None else rules
+    if not rules:
+        raise ValueError("extract_postings: no rules given")
     columns = [c for c in payloads.columns if c not in ("body", "url")]
+    found = settled(read_pages(payloads, {name: rule.outline for name, rule in rules.items()}))
     out = None
-    for platform, rule in (PAGE_RULES if rules is None else rules).items():
-        rows = rule(payloads.filter(F.col("platform") == platform)).select(
+    for platform, rule in rules.items():
+        rows = rule.finish(found.filter(F.col("platform") == platform)).select(
             *columns, "item", "Title", "Location", "Posted_Date", "Link"
         )
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("extract_postings: no rules given")
     return out

@@ -90,20 +90,18 @@ def listed_postings(
 
 
 def numbered_postings(pages: DataFrame, location: str = "Plentywood") -> DataFrame:
-    """Numbered titles inside announcement lines that may carry an "as of" date."""
+    """Numbered titles inside announcement lines that may carry an "as of" date; ``item`` counts them through the page."""
     kept = [c for c in pages.columns if c not in ("body", "url")]
     announcements = F.filter(F.split(repair_invalid_bytes("body"), "\n"), lambda line: line.rlike(NUMBERED_LINE))
-    per_line = pages.select(
-        *kept, F.col("url").alias("Link"), F.posexplode(announcements).alias("_line", "text")
-    )
-    day = F.regexp_replace(F.regexp_extract("text", NUMBERED_DATE, 1), r",\s*", ",")
-    items = F.filter(
-        F.transform(F.regexp_extract_all("text", F.lit(NUMBERED_ITEM), F.lit(1)), trim_blanks), lambda t: t != ""
-    )
-    return per_line.select(
-        *kept, "_line", "Link", parse_with(day, "MMMM d,yyyy").cast("string").alias("Posted_Date"),
-        F.posexplode(items).alias("_n", "Title"),
-    ).select(
-        *kept, (F.col("_line") * F.lit(1 << 16) + F.col("_n")).alias("item"), "Title",
-        F.lit(location).alias("Location"), "Posted_Date", "Link",
+
+    def titles_of(line: Column) -> Column:
+        day = F.regexp_replace(F.regexp_extract(line, NUMBERED_DATE, 1), r",\s*", ",")
+        found = F.transform(F.regexp_extract_all(line, F.lit(NUMBERED_ITEM), F.lit(1)), trim_blanks)
+        return F.transform(F.filter(found, lambda t: t != ""), lambda t: F.struct(t.alias("title"), day.alias("day")))
+
+    titles = F.flatten(F.transform(announcements, titles_of))
+    rows = pages.select(*kept, F.col("url").alias("Link"), F.posexplode(titles).alias("item", "_t"))
+    return rows.select(
+        *kept, F.col("item").cast("long").alias("item"), F.col("_t.title").alias("Title"),
+        F.lit(location).alias("Location"), parse_with(F.col("_t.day"), "MMMM d,yyyy").cast("string").alias("Posted_Date"), "Link",
     )

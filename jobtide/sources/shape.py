@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Source tags of the K-12 platforms, in order of precedence (the
 # first source to show an identity wins).
@@ -21,23 +20,21 @@ K12_SOURCES = {
 }
 SOURCE_RANK = {name: rank for rank, name in enumerate(K12_SOURCES)}
 
-# Rows one page can hold when a sequence number is built from page and item.
-ITEMS_PER_PAGE = 1 << 20
 
-
-def sequence(page_seq: Column | str = "seq", item: Column | str = "item") -> Column:
-    """Whole-number order of a posting: page order first, then place on the page."""
-    page_seq = F.col(page_seq) if isinstance(page_seq, str) else page_seq
-    item = F.col(item) if isinstance(item, str) else item
-    return page_seq.cast("long") * F.lit(ITEMS_PER_PAGE) + item.cast("long")
+def posting_order(rows: DataFrame, page: str = "seq", item: str = "item") -> Column:
+    """struct<page, item>: page order first, then the place on the page.  Compared field by
+    field, so neither part has a limit; rows that were not read off a page have item 0."""
+    place = F.col(item) if item in rows.columns else F.lit(0)
+    return F.struct(F.col(page).cast("long").alias("page"), place.cast("long").alias("item"))
 
 
 def k12_posting(
     rows: DataFrame, platform: str, district: Column | str = "District", url: Column | str = "Link"
 ) -> DataFrame:
-    """Board rows (Title, Location, Posted_Date, Link, seq) in the posting shape.
+    """Board rows (Title, Location, Posted_Date, Link, seq, item) in the posting shape.
 
-    The position is recomputed from the title later, so it starts as null.
+    ``seq`` becomes the order of the posting: its page, then its place there.  The
+    position is recomputed from the title later, so it starts as null.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     return rows.select(
@@ -49,7 +46,7 @@ def k12_posting(
         as_col(district).alias("District"),
         F.lit(K12_SOURCES[platform]).alias("Posting_Source"),
         F.lit(SOURCE_RANK[platform]).alias("source_rank"),
-        F.col("seq").cast("long").alias("seq"),
+        posting_order(rows).alias("seq"),
     )
 
 
@@ -58,9 +55,11 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def renumber_sources(df: DataFrame, seq: str = "seq", rank: str = "source_rank") -> DataFrame:
-    """Fold the source precedence into ``seq``, keeping it unique across sources."""
-    return df.withColumn(seq, F.col(rank).cast("long") * F.lit(1 << 56) + F.col(seq)).drop(rank)
+def rank_sources(df: DataFrame, seq: str = "seq", rank: str = "source_rank") -> DataFrame:
+    """Put the source precedence in front of the order: struct<rank, then the fields of ``seq``>."""
+    kind = df.schema[seq].dataType
+    fields = [F.col(f"{seq}.{n}").alias(n) for n in kind.names] if isinstance(kind, T.StructType) else [F.col(seq).alias("place")]
+    return df.withColumn(seq, F.struct(F.col(rank).alias("rank"), *fields)).drop(rank)
 
 
 def ingest_audit(expected: DataFrame, rows: DataFrame, failures: DataFrame | None = None, source: str = "source") -> DataFrame:
@@ -88,7 +87,3 @@ def drop_and_lead(df: DataFrame, drop: list[str], lead: list[str]) -> DataFrame:
     """Drop columns if present, put some in front, keep the rest in order."""
     kept = df.drop(*drop)
     return kept.select(*lead, *[c for c in kept.columns if c not in lead])
-
-
-def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))

@@ -20,19 +20,19 @@ def postings(spark, rows, extra=""):
 # -- identity ----------------------------------------------------------------
 
 
-def test_same_stable_url_is_one_identity(spark):
-    rows = [("Math", "HS", "2026-08-11", f"https://x.example/jobs/{n}", "D", DIRECT, i) for i, n in enumerate((101, 102, 101))]
-    out = identity.add_posting_identity(postings(spark, rows)).orderBy("seq").collect()
-    assert out[0].Posting_ID == out[2].Posting_ID != out[1].Posting_ID
-    assert {r.Posting_Identity_Method for r in out} == {"Stable per-posting URL"}
+def test_one_identity_per_posting_address(spark):
+    links = ["https://board.example/careers?id=ab", "https://board.example/careers?id=AB", "https://board.example/notice.pdf", "https://board.example/careers?id=zz"]
+    rows = [("Librarian", "North wing", "2025-02-03", link, "Lakeside", DIRECT, i) for i, link in enumerate(links)]
+    out = [r.Posting_ID for r in identity.add_posting_identity(postings(spark, rows)).orderBy("seq").collect()]
+    assert out[0] == out[1] == "url:https://board.example/careers?id=ab" and len(set(out)) == 3
 
 
-def test_equal_fallback_rows_are_numbered(spark):
-    row = ("Elementary", "City", "2026-08-11", "https://apps.opi.mt.gov/mtjobsforteachers/x", "City", identity.STATEWIDE_SOURCE)
-    out = identity.add_posting_identity(postings(spark, [(*row, 1), (*row, 2)])).orderBy("seq").collect()
-    assert [r.Posting_ID[-2:] for r in out] == ["#1", "#2"]
-    assert all(r.Posting_ID.startswith("fallback:opi-fallback") for r in out)
-    assert all(r.Posting_Identity_Method.startswith("OPI fallback:") for r in out)
+def test_rows_without_an_address_of_their_own_are_counted(spark):
+    feed = "https://apps.opi.mt.gov/mtjobsforteachers/search?page=2"
+    rows = [("Groundskeeper", place, "2025-02-03", feed, place, identity.STATEWIDE_SOURCE, i) for i, place in enumerate(["Ash", "Elm", "Ash", "Ash"])]
+    out = identity.add_posting_identity(postings(spark, rows)).orderBy("seq").collect()
+    assert [r.Posting_ID.rsplit("#")[1] for r in out] == ["1", "1", "2", "3"]
+    assert len({r.Posting_ID for r in out}) == 4 and {r.Posting_Identity_Method for r in out} == {identity.METHOD_STATEWIDE}
 
 
 def test_missing_parts_are_spelled_out(spark):
@@ -71,14 +71,16 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, seq long, v long")
 
 
-@pytest.mark.parametrize("slice_rows", [7, 1000, 1 << 20])
-def test_number_within_equals_brute_force(spark, skewed, slice_rows):
+@pytest.mark.parametrize("order", ["seq", "place"])
+def test_number_within_equals_brute_force(spark, skewed, order):
+    """Also by a struct, with a third of the rows under one key and every page a range of its own."""
     rows, df = skewed
+    df = df.withColumn("place", F.struct(F.expr("seq div 3").alias("page"), F.expr("seq % 3").alias("item")))
     wanted, seen = {}, Counter()
     for k, s, _ in sorted(rows, key=lambda r: r[1]):
         seen[k] += 1
         wanted[k, s] = seen[k]
-    got = {(r.k, r.seq): r.n for r in ordering.number_within(df, ["k"], "seq", "n", slice_rows).collect()}
+    got = {(r.k, r.seq): r.n for r in ordering.number_within(df.repartition(20), ["k"], order, "n").collect()}
     assert got == wanted
 
 
@@ -94,12 +96,25 @@ def test_keep_first_and_top_per_key_equal_brute_force(spark, skewed):
     assert ", Partial" in plan and "WindowGroupLimit" in plan, "groups must be pruned before the shuffle"
 
 
-@pytest.mark.parametrize(("n", "cells"), [(0, 10), (1, 10), (2, 10), (1000, 10), (1001, 3), (1001, 10_000)])
-def test_exact_median(spark, n, cells):
+def test_numbering_missing_keys(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "k string, seq long")
+    assert values(ordering.number_within(df, ["k"], "seq", "n"), "seq", "n") == [(1, 1), (2, 2), (5, 1)]
+
+
+@pytest.mark.parametrize("extreme", [[], [float("inf")] * 3, [-1.7e308, 1.7e308], [5e-324, 1e-323]])
+def test_exact_median_of_extreme_values(spark, extreme):
+    data = extreme + [1.0, 2.0, float("-inf")]
+    s, n = sorted(data), len(data)
+    df = spark.createDataFrame([(x,) for x in [*data, float("nan"), None]], "x double")
+    assert ordering.exact_median(df, "x") == (s[(n - 1) // 2] + s[n // 2]) / 2
+
+
+@pytest.mark.parametrize(("n", "ranges"), [(0, 10), (1, 10), (2, 10), (1000, 10), (1001, 3), (1001, 1024)])
+def test_exact_median(spark, n, ranges):
     rng = random.Random(n)
     data = [float(rng.choice([7, rng.randrange(1000)])) for _ in range(n)]
     df = spark.createDataFrame([(x,) for x in data] + [(None,)], "x double")
-    got = ordering.exact_median(df, "x", accuracy=100, cells=cells)
+    got = ordering.exact_median(df, "x", ranges)
     if not data:
         assert got is None
     else:
@@ -110,40 +125,37 @@ def test_exact_median(spark, n, cells):
 # -- cross-source duplicates -------------------------------------------------
 
 
-def _dedupe(spark, feed, direct, registry):
-    f = spark.createDataFrame([(i, *r) for i, r in enumerate(feed)], "seq long, title string, date_posted date, location string")
+def _kept(spark, feed, direct, registry):
+    f = spark.createDataFrame(feed, "title string, date_posted date, location string")
     d = spark.createDataFrame(direct, "title string, date_posted date, District string")
     g = spark.createDataFrame(registry, "District string, City string")
-    return [r.location for r in dedupe.remove_feed_duplicates(f, d, g).orderBy("seq").collect()]
+    return values(dedupe.remove_feed_duplicates(f, d, g), "location", "title")
 
 
-REGISTRY = [("B Schools", "Billings"), ("H Schools", "Helena"), ("EH Schools", "East Helena")]
+TOWNS = [("Ridge Unified", "Ridge"), ("Mill Unified", "Mill Creek"), ("Creek Unified", "Creek")]
+MAY, JUNE = D(2025, 5, 9), D(2025, 6, 1)
 
 
-def test_only_exact_overlaps_in_the_named_city_go(spark):
-    direct = [("Elementary Teacher", D(2026, 8, 1), "B Schools"), ("Math Teacher", D(2026, 8, 2), "EH Schools")]
+def test_a_feed_row_goes_only_if_title_day_and_town_agree(spark):
+    direct = [("Bus Mechanic", MAY, "Ridge Unified"), ("Cook", JUNE, "Mill Unified")]
     feed = [
-        ("ELEMENTARY teacher", D(2026, 8, 1), "Billings"), ("Elementary Teacher", D(2026, 8, 2), "Billings - Christian School"),
-        ("Science Teacher", D(2026, 8, 1), "Billings - Christian School"), ("Math Teacher", D(2026, 8, 2), "East Helena, MT"),
-        ("Elementary Teacher", D(2026, 8, 1), "Butte"),
+        ("BUS mechanic", MAY, "Ridge (garage)"), ("Bus Mechanic", JUNE, "Ridge"), ("Bus Driver", MAY, "Ridge"),
+        ("Bus Mechanic", MAY, "Harbor"), ("Cook", JUNE, "at Mill Creek, ZZ"), ("Cook", JUNE, "Creek"),
     ]
-    assert _dedupe(spark, feed, direct, REGISTRY) == ["Billings - Christian School", "Billings - Christian School", "Butte"]
+    assert _kept(spark, feed, direct, TOWNS) == [("Creek", "Cook"), ("Harbor", "Bus Mechanic"), ("Ridge", "Bus Driver"), ("Ridge", "Bus Mechanic")]
 
 
-def test_longest_city_wins_and_incomplete_rows_stay(spark):
-    direct = [("T", D(2026, 8, 1), "H Schools")]
-    feed = [
-        ("T", D(2026, 8, 1), "East Helena"), ("T", D(2026, 8, 1), "Helena"), ("T", None, "Helena"), (None, D(2026, 8, 1), "Helena "),
-        ("T", D(2026, 8, 1), None), ("T", D(2026, 8, 1), "Helenaville"), ("T.", D(2026, 8, 1), "Helena!"),
-    ]
-    assert _dedupe(spark, feed, direct, REGISTRY) == ["East Helena", "Helena", "Helena ", None, "Helenaville", "Helena!"]
+def test_the_longest_town_decides_and_incomplete_rows_stay(spark):
+    direct = [("Nurse", MAY, "Creek Unified")]
+    feed = [("Nurse", MAY, "Mill Creek"), ("Nurse", MAY, "Creek"), ("Nurse", MAY, "Creekside"), ("Nurse", None, "Creek"), (None, MAY, "Creek "), ("Nurse", MAY, None)]
+    assert _kept(spark, feed, direct, TOWNS) == [("Creek", "Nurse"), ("Creek ", None), ("Creekside", "Nurse"), ("Mill Creek", "Nurse"), (None, "Nurse")]
 
 
-def test_tied_cities_all_count_and_no_direct_rows_change_nothing(spark):
-    registry = [("A", "Twin"), ("B", "Twin")]
-    feed = [("T", D(2026, 8, 1), "Twin")]
-    assert _dedupe(spark, feed, [("T", D(2026, 8, 1), "B")], registry) == []
-    assert _dedupe(spark, feed, [], registry) == ["Twin"]
+def test_districts_of_one_town_all_count_and_no_direct_rows_change_nothing(spark):
+    registry = [("Upper", "Harbor"), ("Lower", "Harbor"), ("Blank", " ")]
+    feed = [("Nurse", MAY, "Harbor"), ("Nurse", MAY, "Harbor")]
+    assert _kept(spark, feed, [("Nurse", MAY, "Lower")], registry) == []
+    assert _kept(spark, feed, [], registry) == [("Harbor", "Nurse")] * 2
 
 
 def test_dedupe_names_missing_columns(spark):
@@ -336,7 +348,7 @@ def test_dedupe_equals_brute_force_when_one_city_holds_most_districts(spark):
         if d is None or not any((e, key(t), d) in known for e, c in named if len(c) == longest):
             wanted.append(place)
     assert 0 < len(wanted) < len(feed)
-    assert _dedupe(spark, feed, direct, registry) == wanted
+    assert [place for place, _ in _kept(spark, feed, direct, registry)] == sorted(wanted, key=lambda v: (v is None, str(v)))
 
 
 def test_crosswalk_equals_brute_force_when_one_name_holds_most_rows(spark, skewed):
