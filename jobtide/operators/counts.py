@@ -20,18 +20,28 @@ def row_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
-def with_total_rows(parts: DataFrame, keys: Sequence[str], entity: str, value: str = "sum") -> DataFrame:
-    """Part rows plus one row per ``keys`` whose entity is "Total".
+def flagged_totals(parts: DataFrame, keys: Sequence[str], entity: str, value: str = "sum") -> DataFrame:
+    """Part rows plus one total row per ``keys``, told apart by ``is_total`` and not by a name.
 
-    The total is the sum of the parts.  The part rows are already aggregated,
-    so the grouping sets double a small table and not the postings.
+    The total is the sum of the parts, those without an entity included.  The part rows
+    are already aggregated, so the grouping sets double a small table and not the postings.
     """
     cols = [*keys, entity]
     summed = parts.groupingSets([cols, list(keys)], *cols).agg(
-        F.sum(value).alias("_value"), F.grouping(entity).alias("_is_total")
+        F.sum(value).alias("_value"), (F.grouping(entity) == 1).alias("is_total")
     )
-    label = F.when(F.col("_is_total") == 1, F.lit(TOTAL)).otherwise(F.col(entity))
-    return summed.select(*keys, label.alias(entity), F.col("_value").alias(value))
+    return summed.select(*keys, entity, F.col("_value").alias(value), "is_total")
+
+
+def named_totals(flagged: DataFrame, keys: Sequence[str], entity: str, value: str = "sum") -> DataFrame:
+    """The stored form of ``flagged_totals``: the entity of a total row is "Total"."""
+    label = F.when(F.col("is_total"), F.lit(TOTAL)).otherwise(F.col(entity))
+    return flagged.select(*keys, label.alias(entity), value)
+
+
+def with_total_rows(parts: DataFrame, keys: Sequence[str], entity: str, value: str = "sum") -> DataFrame:
+    """Part rows plus one row per ``keys`` whose entity is "Total"."""
+    return named_totals(flagged_totals(parts, keys, entity, value), keys, entity, value)
 
 
 def distinct_counts_with_total(
@@ -46,8 +56,8 @@ def row_counts_with_total(df: DataFrame, keys: Sequence[str], entity: str, out:
 
 
 def without_total_rows(df: DataFrame, entity: str) -> DataFrame:
-    """Must precede any further summing, or every value doubles."""
-    return df.filter(F.col(entity) != TOTAL)
+    """Must precede any further summing, or every value doubles.  Rows without an entity are parts."""
+    return df.filter(~F.col(entity).eqNullSafe(TOTAL))
 
 
 def resum(df: DataFrame, keys: Sequence[str], value: str = "sum", relabel: Mapping[str, Column] | None = None) -> DataFrame:

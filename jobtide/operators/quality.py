@@ -41,12 +41,13 @@ def pad_columns(df: DataFrame, schema: T.StructType, source: str) -> tuple[DataF
     return (df.withColumns(absent) if absent else df), report
 
 
-def require_same_columns(existing: Sequence[str], new: Sequence[str], what: str) -> None:
-    """An append may not add or drop columns silently."""
-    if set(existing) != set(new):
+def require_same_columns(existing: T.StructType, new: T.StructType, what: str) -> None:
+    """An append may not add, drop or retype columns silently."""
+    held, given = ({f.name: f.dataType.simpleString() for f in s.fields} for s in (existing, new))
+    if held != given:
         raise QualityError(
-            f"{what}: column mismatch between existing ({', '.join(sorted(existing))}) "
-            f"and new rows ({', '.join(sorted(new))})"
+            f"{what}: column mismatch between existing ({', '.join(f'{n} {t}' for n, t in sorted(held.items()))}) "
+            f"and new rows ({', '.join(f'{n} {t}' for n, t in sorted(given.items()))})"
         )
 
 

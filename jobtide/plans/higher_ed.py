@@ -19,7 +19,14 @@ from ..functions.rules import (
     rules_for,
 )
 from ..operators.asof import DATE, at_latest
-from ..operators.counts import row_counts, row_counts_with_total, with_total_rows
+from ..operators.counts import (
+    flagged_totals,
+    named_totals,
+    row_counts,
+    row_counts_with_total,
+    with_total_rows,
+    without_total_rows,
+)
 from ..operators.joins import canonical_name
 from ..operators.quality import require_totals_match
 from ..schemas import FACULTY_HISTORY, HE_CATEGORY_COUNTS, HE_POSTINGS_CURRENT
@@ -51,24 +58,23 @@ def institution_totals(postings: DataFrame) -> DataFrame:
     return row_counts(postings, ["Institution", DATE])
 
 
+CATEGORY_KEYS = ["Category", DATE, "Job_Type"]
+
+
 def category_counts(faculty: DataFrame) -> DataFrame:
-    counts = row_counts_with_total(faculty, ["Category", DATE, "Job_Type"], "Institution")
+    counts = row_counts_with_total(faculty, CATEGORY_KEYS, "Institution")
     return counts.select(*HE_CATEGORY_COUNTS.names)
 
 
 def checked_category_counts(faculty: DataFrame) -> DataFrame:
-    """The same, refused when a total row is not the sum of its parts."""
-    counts = settled(category_counts(faculty))
-    require_totals_match(
-        counts.filter(F.col("Institution") == "Total"),
-        counts.filter(F.col("Institution") != "Total"),
-        ["Category", DATE, "Job_Type"],
-    )
-    return counts
+    """The same, refused when a total row is not the sum of its parts; rows are told apart by a flag."""
+    counts = settled(flagged_totals(row_counts(faculty, [*CATEGORY_KEYS, "Institution"], "sum"), CATEGORY_KEYS, "Institution"))
+    require_totals_match(counts.filter("is_total"), counts.filter("not is_total"), CATEGORY_KEYS)
+    return named_totals(counts, CATEGORY_KEYS, "Institution").select(*HE_CATEGORY_COUNTS.names)
 
 
 def category_counts_now(counts: DataFrame) -> DataFrame:
-    parts = at_latest(counts.filter(F.col("Institution") != "Total"))
+    parts = at_latest(without_total_rows(counts, "Institution"))
     return with_total_rows(parts, ["Category", "Job_Type"], "Institution").select(
         "Category", "Job_Type", F.col("sum").alias("Sum"), "Institution"
     )
@@ -79,12 +85,12 @@ def with_appointment(faculty: DataFrame) -> DataFrame:
 
 
 def history_tables(snapshots: DataFrame, aliases: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All history tables from raw snapshots of any number of dates."""
+    """All history tables from raw snapshots of any number of dates; totals that do not add up raise here."""
     postings = canonical_name(snapshots, "Institution", aliases) if aliases is not None else snapshots
     faculty = settled(faculty_rows(postings))
     return {
         "postings": postings.select(*HE_POSTINGS_CURRENT.names),
         "faculty_history": faculty,
         "institution_totals": institution_totals(postings),
-        "category_counts": category_counts(faculty),
+        "category_counts": checked_category_counts(faculty),
     }

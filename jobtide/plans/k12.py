@@ -10,7 +10,14 @@ from ..functions.dates import standardize_date
 from ..functions.rules import k12_broad_category, k12_position, k12_subject
 from ..functions.text import normalize_posting_text
 from ..operators.asof import DATE, at_latest
-from ..operators.counts import distinct_counts, distinct_counts_with_total, with_total_rows
+from ..operators.counts import (
+    distinct_counts,
+    distinct_counts_with_total,
+    flagged_totals,
+    named_totals,
+    with_total_rows,
+    without_total_rows,
+)
 from ..operators.dedupe import remove_feed_duplicates
 from ..operators.identity import add_posting_identity, distinct_postings
 from ..operators.joins import canonical_name
@@ -73,25 +80,25 @@ def district_totals(postings: DataFrame) -> DataFrame:
     return distinct_counts(postings, ["District", DATE], out="n")
 
 
+CATEGORY_KEYS = ["Broad_Category", DATE]
+
+
 def category_counts(teachers: DataFrame) -> DataFrame:
     """Category x date x district with Total rows (a total sums its districts)."""
-    return distinct_counts_with_total(teachers, ["Broad_Category", DATE], "District").select(*CATEGORY_COUNTS.names)
+    return distinct_counts_with_total(teachers, CATEGORY_KEYS, "District").select(*CATEGORY_COUNTS.names)
 
 
 def checked_category_counts(teachers: DataFrame) -> DataFrame:
-    """The same, refused when a total row is not the sum of its parts."""
-    counts = settled(category_counts(teachers))
-    require_totals_match(
-        counts.filter(F.col("District") == "Total"),
-        counts.filter(F.col("District") != "Total"),
-        ["Broad_Category", DATE],
-    )
-    return counts
+    """The same, refused when a total row is not the sum of its parts.  Rows are told apart by a
+    flag, so a posting without a district, or of one called "Total", is a part like any other."""
+    counts = settled(flagged_totals(distinct_counts(teachers, [*CATEGORY_KEYS, "District"]), CATEGORY_KEYS, "District"))
+    require_totals_match(counts.filter("is_total"), counts.filter("not is_total"), CATEGORY_KEYS)
+    return named_totals(counts, CATEGORY_KEYS, "District").select(*CATEGORY_COUNTS.names)
 
 
 def category_counts_now(counts: DataFrame) -> DataFrame:
     """Latest date only, without the date."""
-    parts = at_latest(counts.filter(F.col("District") != "Total"))
+    parts = at_latest(without_total_rows(counts, "District"))
     return with_total_rows(parts, ["Broad_Category"], "District").select(
         "Broad_Category", F.col("sum").alias("Sum"), "District"
     )
@@ -102,7 +109,8 @@ def history_tables(snapshots: DataFrame, aliases: DataFrame | None = None) -> di
 
     One function serves both the weekly append (one date) and the rebuild (all
     dates), which is what keeps the two equal.  The classified postings feed
-    every table, so they are computed once.
+    every table, so they are computed once.  Counts whose totals do not add up raise
+    here, before anything is written.
     """
     postings = settled(current_postings(identify(snapshots), aliases))
     teachers = teacher_rows(postings)
@@ -110,5 +118,5 @@ def history_tables(snapshots: DataFrame, aliases: DataFrame | None = None) -> di
         "postings": postings,
         "teacher_history": teachers,
         "district_totals": district_totals(postings),
-        "category_counts": category_counts(teachers),
+        "category_counts": checked_category_counts(teachers),
     }

@@ -8,7 +8,8 @@ and the cost of a week does not depend on the length of the history.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -18,12 +19,12 @@ from ..operators.ordering import keep_first
 from ..operators.quality import QualityError, require_same_columns
 from ..schemas import RUN_LOG, SALARY_HISTORY
 from ..session import settled
+from ..sources.files import read_snapshots
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether the folder holds anything (asked of the file system that owns it)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, jvm_path = _file_system(spark, path)
     return bool(fs.exists(jvm_path)) and len(fs.listStatus(jvm_path)) > 0
 
 
@@ -32,12 +33,28 @@ def _dates_in(df: DataFrame, date: str) -> list:
     return [r[0] for r in df.select(date).distinct().limit(2).collect()]
 
 
-def replace_dates(df: DataFrame, path: str, date: str = DATE) -> None:
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def replace_dates(df: DataFrame, path: str, dates: Iterable[dt.date] | None = None, date: str = DATE) -> None:
     """Write the frame's dates, replacing those dates and no others.
 
-    Rows are gathered by date before writing, so a date gets few files; adaptive
-    execution cuts a date that holds most of the rows into several write tasks.
+    ``dates`` names the dates that were derived again: those of them the frame has no
+    rows for are cleared, as that is what is now known of them.  Rows are gathered
+    by date before writing, so a date gets few files; adaptive execution cuts a date
+    that holds most of the rows into several write tasks.
     """
+    spark = df.sparkSession
+    if dates is not None:
+        df = settled(df)
+        filled = {str(r[0]) for r in df.select(date).distinct().collect()}
+        for emptied in {str(d) for d in dates} - filled:
+            fs, folder = _file_system(spark, f"{path}/{date}={emptied}")
+            fs.delete(folder, True)
+        if not filled:
+            return
     (
         df.hint("rebalance", F.col(date))
         .write.mode("overwrite")
@@ -49,7 +66,18 @@ def replace_dates(df: DataFrame, path: str, date: str = DATE) -> None:
 
 def write_snapshot(df: DataFrame, path: str, date: str = DATE) -> None:
     """Archive a raw snapshot (before names are canonicalised)."""
-    replace_dates(df, path, date)
+    replace_dates(df, path, date=date)
+
+
+def replace_table(df: DataFrame, path: str, date: str = DATE) -> None:
+    """Write the table anew beside the old one and put it in its place, so that nothing of the old one stays."""
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    df.hint("rebalance", F.col(date)).write.partitionBy(date).parquet(fresh)
+    spark = df.sparkSession
+    fs, old = _file_system(spark, path)
+    fs.delete(old, True)
+    fs.mkdirs(old.getParent())
+    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), old)
 
 
 def replaced(existing: DataFrame, new: DataFrame, date: str = DATE) -> DataFrame:
@@ -63,7 +91,7 @@ def append_by_date(new: DataFrame, path: str, schema: T.StructType | None = None
     """Add one snapshot date to a history table and return the whole table.
 
     No new rows leave the table as it is; more than one date, or columns that differ from
-    the table's, are refused before anything is written.
+    the table's in name or type, are refused before anything is written.
     """
     spark = new.sparkSession
     exists = table_exists(spark, path)
@@ -73,8 +101,8 @@ def append_by_date(new: DataFrame, path: str, schema: T.StructType | None = None
     if not dates:
         return read_history(spark, path, schema) if exists else new
     if exists:
-        require_same_columns(read_history(spark, path, schema).columns, new.columns, "append_by_date")
-    replace_dates(new, path, date)
+        require_same_columns(read_history(spark, path, schema).schema, new.schema, "append_by_date")
+    replace_dates(new, path, date=date)
     return read_history(spark, path, schema)
 
 
@@ -86,18 +114,18 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType | None = N
 # -- year-keyed archive ------------------------------------------------------
 
 
-def missing_year_rows(existing: DataFrame, snapshot: DataFrame, keys: tuple[str, str] = ("District", "Salary_Year")) -> DataFrame:
-    """Snapshot rows whose (entity, year) the archive does not have, each pair once."""
+def missing_year_rows(existing: DataFrame, snapshot: DataFrame, keys: tuple[str, str] = ("District", "Salary_Year"), order: str | None = None) -> DataFrame:
+    """Snapshot rows whose (entity, year) the archive does not have, each pair once.
+
+    Of several rows of a pair the first by ``order`` stays; without one, the row with the
+    fewest missing values, then the one with the smallest values.
+    """
     others = [c for c in snapshot.columns if c not in keys]
-    once = keep_first(snapshot, list(keys), others or list(keys))
+    missing = sum((F.col(c).isNull().cast("int") for c in others), F.lit(0))
+    once = keep_first(snapshot, list(keys), [order] if order else [missing, *[F.asc_nulls_last(c) for c in others]])
     return once.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*snapshot.columns)
 
 
-def needs_year(existing: DataFrame, year: str | None, column: str = "Salary_Year") -> bool:
-    """Whether a given, known year is not yet in the archive."""
-    return year is not None and existing.filter(F.col(column) == year).isEmpty()
-
-
 def archive_year_snapshot(current: DataFrame, path: str, schema: T.StructType = SALARY_HISTORY) -> bool:
     """Append the (entity, year) pairs the archive lacks; true if any were added.
 
@@ -160,7 +188,7 @@ def repair_archive(spark: SparkSession, path: str, column: str = "title", apply:
         both.join(touched, date, "left_semi").withColumn(column, F.col("_repaired")).select(*archive.columns)
     )
     if not fixed.isEmpty():
-        replace_dates(fixed, path, date)
+        replace_dates(fixed, path, date=date)
     return report
 
 
@@ -171,8 +199,9 @@ def rebuild(
 
     ``derive`` maps the snapshots of any number of dates to named frames, the
     same function the weekly append uses, so a rebuild equals the
-    appends week by week.
+    appends week by week.  Whole tables are replaced: a date that is no longer in the
+    archive is no longer in them either.
     """
-    frames = derive(spark.read.option("mergeSchema", "true").parquet(raw_path))
+    frames = derive(read_snapshots(spark, raw_path))
     for name, path in targets.items():
-        replace_dates(frames[name], path, date)
+        replace_table(frames[name], path, date)

@@ -24,14 +24,15 @@ Prepare = Callable[[DataFrame], DataFrame]
 def refresh_dates(
     raw: DataFrame, arrived: DataFrame, derive: Derive, targets: Mapping[str, str], date: str = DATE
 ) -> None:
-    """Derive the dates present in ``arrived`` from all their rows in ``raw``; replace them."""
+    """Derive the dates present in ``arrived`` from all their rows in ``raw``; replace them, also
+    in tables that now have no rows for them."""
     # One value per snapshot date in the batch; as literals they prune partitions.
     dates = [r[0] for r in arrived.select(date).distinct().collect()]
     if not dates:
         return
     frames = derive(raw.filter(F.col(date).isin(dates)))
     for name, path in targets.items():
-        replace_dates(frames[name], path, date)
+        replace_dates(frames[name], path, dates, date)
 
 
 def follow_snapshots(

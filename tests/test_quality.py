@@ -25,9 +25,10 @@ def test_padding_reports_and_types(spark):
 
 
 def test_same_columns_or_error():
-    quality.require_same_columns(["a", "b"], ["b", "a"], "t")
-    with pytest.raises(quality.QualityError, match="column mismatch"):
-        quality.require_same_columns(["a"], ["a", "b"], "t")
+    quality.require_same_columns(struct(a="s", b="x"), struct(b="x", a="s"), "t")
+    for other in (struct(a="s"), struct(a="s", b="x", c="s"), struct(a="s", b="s")):
+        with pytest.raises(quality.QualityError, match="column mismatch"):
+            quality.require_same_columns(struct(a="s", b="x"), other, "t")
 
 
 def test_totals_against_parts(spark):

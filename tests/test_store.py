@@ -5,7 +5,7 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from jobtide.operators.quality import QualityError
-from jobtide.plans import higher_ed, k12
+from jobtide.plans import higher_ed, k12, weekly
 from jobtide.schemas import RAW_PAYLOAD, empty
 from jobtide.sinks import store
 from jobtide.sources import files, shape, vintages
@@ -30,8 +30,9 @@ def test_append_by_date(spark, tmp_path):
     assert store.append_by_date(first.filter("false"), str(tmp_path / "none")).count() == 0
     with pytest.raises(QualityError, match="exactly one"):
         store.append_by_date(first.unionByName(week(spark, D(2026, 8, 20), ("a", 1.0))), path)
-    with pytest.raises(QualityError, match="column mismatch"):
-        store.append_by_date(first.withColumn("extra", F.lit(1)), path)
+    for other in (first.withColumn("extra", F.lit(1)), first.withColumn("n", F.col("n").cast("string"))):
+        with pytest.raises(QualityError, match="column mismatch"):
+            store.append_by_date(other, path)
     assert store.read_history(spark, path).count() == 3
     assert values(store.replaced(first, week(spark, D(2026, 8, 6), ("z", 9.0))), "District") == [("z",)]
 
@@ -54,7 +55,12 @@ def test_year_archive(spark, tmp_path):
     assert store.archive_year_snapshot(salaries(spark, ("a", "2025-26"), ("b", "2026-27")), path) is False
     kept = store.read_history(spark, path)
     assert values(kept, "District", "Salary_Year") == [("a", "2023-24"), ("a", "2024-25"), ("b", "2023-24")]
-    assert store.needs_year(kept, "2030-31") and not store.needs_year(kept, "2023-24") and not store.needs_year(kept, None)
+
+
+def test_complete_rows_come_first(spark):
+    snapshot = spark.createDataFrame([("a", "2024", None, 9.0), ("a", "2024", 5.0, 1.0), ("b", "2024", 2.0, 3.0), ("b", "2024", 1.0, 4.0)], "District string, Salary_Year string, x double, file double")
+    assert values(store.missing_year_rows(snapshot.limit(0), snapshot)) == [("a", "2024", 5.0, 1.0), ("b", "2024", 1.0, 4.0)]
+    assert values(store.missing_year_rows(snapshot.limit(0), snapshot, order="file"), "District", "file") == [("a", 1.0), ("b", 3.0)]
 
 
 def test_overwriting_its_own_source(spark, tmp_path):
@@ -120,7 +126,6 @@ def test_empty_and_column_helpers(spark):
     assert empty(spark, RAW_PAYLOAD).columns == RAW_PAYLOAD.names
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert shape.drop_and_lead(df, ["b", "nope"], ["c"]).columns == ["c", "a"]
-    assert shape.renamed(df, {"a": "z"}).columns == ["z", "b", "c"]
 
 
 # -- repair, rebuild, stream -------------------------------------------------
@@ -186,6 +191,59 @@ def test_appends_equal_rebuild_equal_stream(spark, tmp_path):
     assert counts.filter("District = 'Total'").agg(F.sum("sum")).first() == counts.filter("District <> 'Total'").agg(F.sum("sum")).first()
 
 
+def test_a_rebuild_and_a_late_date_leave_nothing_behind(spark, tmp_path):
+    weeks = k12_weeks(spark)
+    raw, targets = str(tmp_path / "raw"), _paths(tmp_path, "t")
+    for df in weeks:
+        store.write_snapshot(df, raw)
+    store.rebuild(spark, raw, k12.history_tables, targets)
+    # The first date comes again and has no teacher left.
+    late = weeks[0].filter("title = 'Cook'")
+    store.write_snapshot(late, raw)
+    follow_snapshots(spark, raw, spark.read.parquet(raw).schema, k12.history_tables, targets, str(tmp_path / "state"), once=True).awaitTermination()
+    teachers = spark.read.parquet(targets["teacher_history"])
+    assert values(teachers.select("Archive_Date").distinct()) == [(D(2026, 8, 7),), (D(2026, 8, 18),)]
+    assert spark.read.parquet(targets["category_counts"]).filter("Archive_Date = '2026-08-06'").count() == 0
+    # An archive without the other dates.
+    only = str(tmp_path / "only")
+    store.write_snapshot(weeks[2], only)
+    store.rebuild(spark, only, k12.history_tables, targets)
+    for path in targets.values():
+        assert values(spark.read.parquet(path).select("Archive_Date").distinct()) == [(D(2026, 8, 18),)]
+
+
+def test_totals_of_postings_without_a_district(spark):
+    week = k12_weeks(spark)[0].withColumn("District", F.expr("case seq % 3 when 0 then null when 1 then 'Total' else 'D' end"))
+    tables = k12.history_tables(week)
+    counts = tables["category_counts"].filter("Broad_Category = 'Math'")
+    parts, totals = values(counts, "District", "sum"), 5
+    assert sum(n for _, n in parts) == 2 * totals and (None, 2) in parts
+    now = k12.category_counts_now(tables["category_counts"].filter("District is null or District <> 'Total' or sum > 3"))
+    assert now.filter("District is null").count() > 0
+
+
+def test_weekly_job(spark, tmp_path):
+    first, _, last = k12_weeks(spark)
+    raw, targets, log = str(tmp_path / "raw"), _paths(tmp_path, "t"), str(tmp_path / "log")
+    expected = spark.createDataFrame([("D0",), ("D9",)], "source string")
+    job = lambda df: weekly.run_week(df, k12.history_tables, raw, targets, "district_totals", "District", expected, log, dt.datetime(2026, 8, 6))
+    job(first)
+    with pytest.raises(QualityError, match="half"):
+        job(last.limit(2))
+    assert values(spark.read.parquet(raw).select("Archive_Date").distinct()) == [(D(2026, 8, 6),)]
+    with pytest.raises(ValueError, match="one snapshot date"):
+        job(first.unionByName(last))
+    job(last)
+    job(last)
+    assert spark.read.parquet(raw).count() == 32
+    assert spark.read.parquet(log).groupBy("source", "status").count().filter("count = 3").count() == 2
+    rebuilt = _paths(tmp_path, "again")
+    store.rebuild(spark, raw, k12.history_tables, rebuilt)
+    for t in TABLES:
+        a, b = spark.read.parquet(targets[t]), spark.read.parquet(rebuilt[t])
+        assert values(a, *sorted(a.columns)) == values(b, *sorted(b.columns))
+
+
 def test_higher_ed_tables(spark):
     rows = [("Adjunct, Math", "x"), ("Math Professor", "x"), ("Math Professor", "y"), ("Chef", "x")]
     board = spark.createDataFrame([(t, None, None, "u", i) for t, i in rows], "Title string, Location string, Posted_Date date, Link string, Institution string")
