@@ -9,7 +9,6 @@ classes, never the pairs.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bagminhash import PLACES, compact, shingles, signatures, similarity
 from .components import components
 from .words import batches, mix, text_bytes
+from .keys import text_keys
 from .workspace import Workspace
 
 BAND = 4
@@ -30,35 +30,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
-            flat, bounds = text_bytes(batch.column("text"))
-            n, cuts = batch.num_rows, bounds.tolist()
-            rows, hashes, counts = shingles(flat, bounds)
+            n = batch.num_rows
+            rows, hashes, counts = shingles(*text_bytes(batch.column("text")))
             places = compact(signatures(rows, hashes, counts, n))
-            keys = np.frombuffer(
-                b"".join(hashlib.blake2b(flat[lo:hi], digest_size=16).digest() for lo, hi in zip(cuts, cuts[1:], strict=False)), np.int64
-            ).reshape(n, 2)
-            columns = [batch.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            columns = [batch.column(c) for c in ("doc_id", "hi", "lo")]
             columns += [pa.array(np.bincount(rows, minlength=n) > 0), pa.array([x.tobytes() for x in places], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hi", "lo", "worded", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hi long, lo long, worded boolean, places binary")
-
-
-def text_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with the 128-bit key of each text as _hi, _lo."""
-    from pyspark.sql.types import LongType, StructField
-
-    from .arrow import with_computed
-
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        flat, bounds = text_bytes(batch.column("text"))
-        cuts = bounds.tolist()
-        digests = b"".join(hashlib.blake2b(flat[lo:hi], digest_size=16).digest() for lo, hi in zip(cuts, cuts[1:], strict=False))
-        keys = np.frombuffer(digests, np.int64).reshape(-1, 2)
-        return [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-
-    return with_computed(docs, compute, [StructField("_hi", LongType()), StructField("_lo", LongType())], docs.columns)
+    return docs.select("doc_id", "text", *text_keys()).mapInArrow(run, f"doc_id {kind}, hi long, lo long, worded boolean, places binary")
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -185,7 +165,7 @@ def near_duplicates(
     star = members.join(centre, "bucket").where("id <> centre").select(a.alias("a"), b.alias("b")).distinct()
     # Whole texts of the members: of each text, the row with the smallest doc_id.
     wanted = members.select("id").distinct().join(texts.select("id", "hi", "lo", "doc_id"), "id")
-    keyed = text_key(docs.select("doc_id", "text")).select(F.col("_hi").alias("hi"), F.col("_lo").alias("lo"), "doc_id", "text")
+    keyed = docs.select(*text_keys(), "doc_id", "text")
     same = (F.col("k.hi") == F.col("w.hi")) & (F.col("k.lo") == F.col("w.lo")) & F.col("k.doc_id").eqNullSafe(F.col("w.doc_id"))
     found = keyed.alias("k").join(wanted.alias("w"), same).select("w.id", "k.text").dropDuplicates(["id"])
     bodies = work.settle(found, "bodies")
@@ -237,7 +217,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     work, classes = near_duplicates(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hi", "lo")).alias("first")
     chosen = work.settle(classes.groupBy("class").agg(first).select("first.doc_id", "first.hi", "first.lo"), "chosen")
-    rows, picked = text_key(docs).alias("d"), chosen.alias("c")
+    rows, picked = docs.select(*[f"`{c}`" for c in docs.columns], *text_keys("_hi", "_lo")).alias("d"), chosen.alias("c")
     same = (F.col("d._hi") == F.col("c.hi")) & (F.col("d._lo") == F.col("c.lo")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
     kept = rows.join(picked, same, "left_semi").dropDuplicates(["_hi", "_lo", "doc_id"])
     return work.finish(kept.select(*[f"`{c}`" for c in docs.columns]))
