@@ -43,19 +43,25 @@ def text_normalise(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _latin_bytes(df: DataFrame) -> DataFrame:
-    """Documents of a Latin alphabet as single-byte text: what a legacy board lands."""
-    latin = df.filter(F.col("text").rlike("^[\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]*$"))
-    return latin.withColumn("landed", F.encode("text", "iso-8859-1").cast("string"))
+_LATIN = "^[\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]*$"
+_LATIN_SQL = r"regexp_matches(text, '^[\x00-\x7f\x{a0}-\x{ff}]*$')"
+
+
+def _landed_bytes(df: DataFrame) -> DataFrame:
+    """Documents as legacy boards land them: in a single-byte encoding where it has all
+    their characters, else in UTF-8."""
+    single = F.col("text").rlike(_LATIN)
+    return df.withColumn(
+        "landed", F.when(single, F.encode("text", "iso-8859-1")).otherwise(F.encode("text", "utf-8")).cast("string")
+    )
 
 
 @query(
     "invalid_bytes_repair",
-    r"""SELECT doc_id, md5(text) AS repaired, regexp_matches(text, '[^\x00-\x7f]') AS was_invalid
-FROM documents WHERE regexp_matches(text, '^[\x00-\x7f\x{a0}-\x{ff}]*$')""",
+    rf"""SELECT doc_id, md5(text) AS repaired, {_LATIN_SQL} AND regexp_matches(text, '[^\x00-\x7f]') AS was_invalid FROM documents""",
 )
 def invalid_bytes_repair(spark: SparkSession, d: str) -> DataFrame:
-    landed = _latin_bytes(table(spark, d, "documents"))
+    landed = _landed_bytes(table(spark, d, "documents"))
     return landed.select(
         "doc_id", F.md5(text.repair_invalid_bytes("landed")).alias("repaired"),
         (~F.is_valid_utf8("landed")).alias("was_invalid"),
@@ -64,11 +70,11 @@ def invalid_bytes_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "encoding_faults",
-    r"""SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[^\x00-\x7f]')) AS faults, 0::BIGINT AS after_repair
-FROM documents WHERE regexp_matches(text, '^[\x00-\x7f\x{a0}-\x{ff}]*$') GROUP BY lang""",
+    rf"""SELECT lang, count(*) FILTER (WHERE {_LATIN_SQL} AND regexp_matches(text, '[^\x00-\x7f]')) AS faults, 0::BIGINT AS after_repair
+FROM documents GROUP BY lang""",
 )
 def encoding_faults(spark: SparkSession, d: str) -> DataFrame:
-    landed = _latin_bytes(table(spark, d, "documents"))
+    landed = _landed_bytes(table(spark, d, "documents"))
     return landed.groupBy("lang").agg(
         F.count_if(text.has_encoding_fault("landed")).alias("faults"),
         F.count_if(text.has_encoding_fault(text.repair_invalid_bytes("landed"))).alias("after_repair"),
@@ -172,17 +178,14 @@ def stale_marker(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "timeline_window",
-    """SELECT o_orderpriority, greatest(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)) - 365) AS window_start,
-       max(CAST(o_orderdate AS DATE)) AS window_end FROM orders GROUP BY o_orderpriority""",
+    """WITH o AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders)
+SELECT greatest(a, b - 365) AS window_start, b AS window_end, CAST(b - a AS INTEGER) AS span_days,
+       CASE WHEN b - a < 365 THEN 'Only ' || (b - a) || ' days of archived history are currently available.' ELSE '' END AS history_note FROM o""",
 )
 def timeline_window(spark: SparkSession, d: str) -> DataFrame:
-    """The bounded slider window, here per priority."""
-    day = F.col("o_orderdate").cast("date")
-    orders = table(spark, d, "orders")
-    per = orders.groupBy("o_orderpriority").agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    return per.select(
-        "o_orderpriority", F.greatest("a", F.date_sub("b", 365)).alias("window_start"), F.col("b").alias("window_end")
-    )
+    """The bounded slider window over years of orders."""
+    orders = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    return dates.timeline_window(orders, "day")
 
 
 @query(
@@ -279,9 +282,19 @@ def classify_first_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", rules.classify("p_name", _PART_RULES, "Other part").alias("kind"))
 
 
-@query("classify_lookahead")
+@query(
+    "classify_lookahead",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN\p{Mn}_]+|[^\pL\pN\p{Mn}_]+') AS p FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, p[i] AS word, coalesce(regexp_full_match(p[i + 1], '[ \t\n\r\f\v]+'), FALSE) AS spaced,
+         len(regexp_extract(coalesce(p[i + 2], ''), '^[a-z0-9_]*')) AS ahead
+  FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM w) WHERE p[i] IN ('the', 'le', 'der', 'el', 'and', 'et', 'und', 'y')),
+k AS (SELECT doc_id, bool_or(word IN ('the', 'le', 'der', 'el') AND NOT (spaced AND ahead >= 9)) AS article,
+        bool_or(word IN ('and', 'et', 'und', 'y') AND spaced AND ahead > 0) AS connective FROM n GROUP BY doc_id)
+SELECT lang, CASE WHEN article THEN 'article' WHEN connective THEN 'connective' ELSE 'neither' END AS kind, count(*) AS n
+FROM documents LEFT JOIN k USING (doc_id) GROUP BY ALL""",
+)
 def classify_lookahead(spark: SparkSession, d: str) -> DataFrame:
-    """Whole documents against rules that use lookaheads, which the SQL engine lacks."""
+    """Whole documents against rules that use lookaheads; the SQL walks the words instead."""
     found = [("article", r"\b(the|le|der|el)\b(?!\s+\w{9,})"), ("connective", r"\b(and|et|und|y)\b(?=\s+\w)")]
     return (
         table(spark, d, "documents")
@@ -471,11 +484,27 @@ def title_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "schema_padding",
-    """SELECT s_suppkey, s_name, CAST(NULL AS DOUBLE) AS Latitude, CAST(NULL AS VARCHAR) AS County FROM supplier""",
+    """SELECT s_suppkey, s_name, CAST(NULL AS DOUBLE) AS Latitude, CAST(NULL AS VARCHAR) AS County, 'County, Latitude' AS padded FROM supplier""",
 )
 def schema_padding(spark: SparkSession, d: str) -> DataFrame:
+    """Absent columns are added as typed nulls, and reported."""
     from ..schemas import struct
 
     wanted = struct(s_suppkey="n", s_name="s", Latitude="x", County="s")
-    padded, _report = quality.pad_columns(table(spark, d, "supplier").select("s_suppkey", "s_name"), wanted, "supplier")
-    return padded
+    padded, report = quality.pad_columns(table(spark, d, "supplier").select("s_suppkey", "s_name"), wanted, "supplier")
+    names = report.agg(F.array_join(F.sort_array(F.collect_list("missing_column")), ", ")).scalar()
+    return padded.withColumn("padded", names)
+
+
+@query(
+    "missing_columns",
+    """SELECT 'orders' AS file, c AS missing_column, count(*) AS n_rows
+FROM orders, (SELECT unnest(['District', 'Salary_Year']) AS c) GROUP BY ALL""",
+)
+def missing_columns(spark: SparkSession, d: str) -> DataFrame:
+    """What a data set lacks of what its reader needs; columns beyond that are fine."""
+    orders = table(spark, d, "orders")
+    needed = ["o_orderkey", "District", "o_custkey", "Salary_Year"]
+    absent = quality.missing_columns(spark, "orders", orders.columns, needed)
+    rows = orders.agg(F.count(F.lit(1)).alias("n_rows"))
+    return absent.withColumn("n_rows", rows.scalar())

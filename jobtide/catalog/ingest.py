@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans import context
+from ..plans import context, k12
 from ..sources import boards, census, files, pages, rendered, reports, shape, vintages
 from ..sources.outline import Outline, Pick
 from .base import events, query, table
@@ -757,4 +757,84 @@ def platform_rows(spark: SparkSession, d: str) -> DataFrame:
         F.concat(lit("https://x.example/jobs/"), F.col("o_orderkey")).alias("Link"),
         F.concat(lit("District "), F.col("o_custkey")).alias("District"), F.col("o_orderkey").alias("seq"),
     )
-    return shape.k12_posting(rows, "SchoolSpring")
+    return shape.k12_posting(rows, "SchoolSpring").withColumn("seq", F.col("seq.page"))
+
+
+# -- from pages to postings --------------------------------------------------
+
+
+@query(
+    "repeated_pages",
+    f"""SELECT {_TITLE_SQL} AS Title, 'https://t.example/' || o_orderkey AS Link, count(*) AS n
+FROM orders, (SELECT unnest([1, 2])) GROUP BY ALL""",
+)
+def repeated_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page landed twice under one url and one seq: no page takes rows from another."""
+    item = F.concat(
+        lit('<tr><td><a href="https://t.example/'), F.col("o_orderkey"), lit('">'), _tag_text(_job_title()), lit("</a></td></tr>")
+    )
+    html = _html_page(spark, d, item, "<table>", "</table>").drop("page")
+    same = html.withColumns({"url": lit("https://t.example/list"), "seq": lit("1").cast("long")})
+    rows = pages.table_postings(same.unionByName(same))
+    return rows.groupBy("Title", "Link").agg(F.count(lit("1")).alias("n"))
+
+
+@query(
+    "numbered_pages",
+    """WITH n AS (SELECT o_orderkey // 40 AS page, count(*) AS lines FROM orders GROUP BY 1)
+SELECT sum(lines) * 3 AS postings, sum(lines) * 3 AS orders, max(lines) * 3 AS most_on_a_page FROM n""",
+)
+def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of forty announcement lines with three titles each, through the raw snapshot: every posting has a place of its own."""
+    line = F.concat(lit("Classified Positions available as of July 1, 2024: 1. Cook 2. Driver 3. Aide"))
+    lines = _orders(spark, d).select(F.expr("o_orderkey div 40").alias("page"), line.alias("line"))
+    landed_pages = lines.groupBy("page").agg(F.array_join(F.collect_list("line"), "\n").alias("body")).select(
+        F.col("page").alias("seq"), F.concat(lit("https://n.example/"), F.col("page")).alias("url"), "body"
+    )
+    rows = rendered.numbered_postings(landed_pages)
+    board = shape.k12_posting(rows, "Apptegy", district=lit("Plentywood"))
+    nothing = shape.k12_posting(rows.filter("false"), "Statewide", district=lit("x"))
+    registry = spark.createDataFrame([("Plentywood", "Plentywood")], "District string, City string")
+    combined = k12.combine_sources([board], nothing, registry)
+    per_page = combined.groupBy("seq.page").agg(F.count(lit("1")).alias("n"), F.countDistinct("seq").alias("places"))
+    return per_page.agg(F.sum("n").alias("postings"), F.sum("places").alias("orders"), F.max("n").alias("most_on_a_page"))
+
+
+@query(
+    "feed_pages",
+    f"""WITH p AS (SELECT o_orderkey, o_orderpriority || ' aide' AS title, CAST(o_orderdate AS DATE) AS day, 'Town ' || (o_custkey % 20) AS town, o_orderstatus FROM orders),
+known AS (SELECT DISTINCT title, day, town FROM p WHERE o_orderstatus = 'F')
+SELECT title, day AS date_posted, town AS location, count(*) AS n FROM p
+WHERE o_orderstatus = 'F' OR NOT EXISTS (SELECT 1 FROM known WHERE known.title = p.title AND known.day = p.day AND known.town = p.town) GROUP BY ALL""",
+)
+def feed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Statewide listing pages of fifty rows against direct rows: a duplicate on a page takes none of its neighbours along."""
+    orders = _orders(spark, d)
+    title, town = F.concat(F.col("o_orderpriority"), lit(" aide")), F.concat(lit("Town "), F.col("o_custkey") % 20)
+    day = F.date_format("o_orderdate", "MM/dd/yyyy")
+    item = F.when(F.col("o_orderstatus") != "F", F.concat(
+        lit("<tr><td>"), title, lit("</td><td>"), town, lit("</td><td>x</td><td>"), day,
+        lit('</td><td><a id="ctl_btnJobDetailsPublic" href="#">Details</a></td></tr>'),
+    )).otherwise(lit(""))
+    html = _html_page(spark, d, item, '<table id="ctl00_ContentPlaceHolder1_grdJobListing">', "</table>").withColumnRenamed("page", "seq")
+    feed = shape.k12_posting(pages.statewide_table_postings(html), "Statewide", district="Location")
+    direct = orders.filter("o_orderstatus = 'F'").select(
+        title.alias("Title"), town.alias("Location"), day.alias("Posted_Date"), lit("https://d.example").alias("Link"),
+        F.concat(lit("District "), F.col("o_custkey") % 20).alias("District"), F.col("o_orderkey").alias("seq"),
+    )
+    registry = direct.select("District", F.col("Location").alias("City")).distinct()
+    combined = k12.combine_sources([shape.k12_posting(direct, "SchoolSpring")], feed, registry)
+    return combined.groupBy("title", "date_posted", "location").agg(F.count(lit("1")).alias("n"))
+
+
+@query(
+    "lead_columns",
+    "SELECT c_mktsegment, c_custkey, c_name, c_nationkey, c_acctbal, CAST(NULL AS VARCHAR) AS note FROM customer",
+)
+def lead_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns dropped if there, some put in front; a typed empty frame is united with the rows."""
+    from ..schemas import empty, struct
+
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    led = shape.drop_and_lead(rows.withColumn("X", F.lit(1)), ["X", "Unnamed"], ["c_mktsegment"])
+    return shape.union_sources(led, empty(spark, struct(c_custkey="n", note="s")))

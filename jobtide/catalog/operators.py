@@ -12,7 +12,7 @@ from ..operators import asof, counts, dedupe, gapfill, identity, joins, newness,
 from ..plans import k12
 from ..session import settled
 from ..sinks import store
-from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, query, table
+from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, query, scratch, table
 
 
 # -- identity and de-duplication ---------------------------------------------
@@ -595,25 +595,26 @@ def exact_median(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "halving_guard",
     f"""WITH {EVENTS_SQL}, a AS (SELECT user_id, count(*) AS n FROM ev WHERE day < DATE '2024-01-16' GROUP BY 1),
-b AS (SELECT user_id, count(*) AS n FROM ev WHERE day >= DATE '2024-01-25' GROUP BY 1)
+b AS (SELECT user_id, count(*) AS n FROM ev WHERE day >= DATE '2024-01-16' GROUP BY 1)
 SELECT a.user_id, a.n AS before_n, coalesce(b.n, 0) AS after_n FROM a LEFT JOIN b USING (user_id) WHERE coalesce(b.n, 0) < a.n * 0.5""",
 )
 def halving_guard(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d)
-    before = counts.row_counts(rows.filter(F.col("day") < F.lit(dt.date(2024, 1, 16))), ["user_id"])
-    after = counts.row_counts(rows.filter(F.col("day") >= F.lit(dt.date(2024, 1, 25))), ["user_id"])
+    """The second part of the days against the first."""
+    rows, cut = events(spark, d), F.lit(dt.date(2024, 1, 16))
+    before = counts.row_counts(rows.filter(F.col("day") < cut), ["user_id"])
+    after = counts.row_counts(rows.filter(F.col("day") >= cut), ["user_id"])
     return quality.halved(before, after, "user_id")
 
 
 @query(
     "crosswalk_gaps",
-    """WITH m AS (SELECT DISTINCT c_nationkey AS e FROM customer WHERE c_acctbal > 9800), k AS (SELECT DISTINCT s_nationkey AS e FROM supplier)
+    """WITH m AS (SELECT DISTINCT o_custkey AS e FROM orders), k AS (SELECT DISTINCT c_custkey AS e FROM customer)
 SELECT e AS entity, 'not registered' AS problem FROM m WHERE e NOT IN (SELECT e FROM k)
 UNION ALL SELECT e, 'not mapped' FROM k WHERE e NOT IN (SELECT e FROM m)""",
 )
 def crosswalk_gaps(spark: SparkSession, d: str) -> DataFrame:
-    mapped = table(spark, d, "customer").filter("c_acctbal > 9800")
-    return quality.crosswalk_gaps(mapped, table(spark, d, "supplier"), "c_nationkey", "s_nationkey")
+    """Customers that occur in orders against the customer table."""
+    return quality.crosswalk_gaps(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey")
 
 
 # -- history -----------------------------------------------------------------
@@ -634,13 +635,40 @@ def append_replaces_date(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "missing_year_rows",
-    """WITH y AS (SELECT DISTINCT 'C' || o_custkey AS District, CAST(year(o_orderdate) AS VARCHAR) AS Salary_Year FROM orders)
-SELECT District, Salary_Year FROM y WHERE Salary_Year = '2000' AND District NOT IN (
-  SELECT 'C' || o_custkey FROM orders WHERE year(o_orderdate) = 2000 AND o_orderstatus = 'F')""",
+    """SELECT DISTINCT 'C' || o_custkey AS District, CAST(year(o_orderdate) AS VARCHAR) AS Salary_Year FROM orders a
+WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND year(b.o_orderdate) = year(a.o_orderdate) AND b.o_orderstatus = 'F')""",
 )
 def missing_year_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A partly archived year is completed; what is there is not added twice."""
-    rows = table(spark, d, "orders").filter(F.year("o_orderdate") == 2000).select(
-        F.concat(F.lit("C"), F.col("o_custkey")).alias("District"), F.lit("2000").alias("Salary_Year"), "o_orderstatus"
+    """Partly archived years are completed; what is there is not added twice."""
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("C"), F.col("o_custkey")).alias("District"), F.year("o_orderdate").cast("string").alias("Salary_Year"), "o_orderstatus"
     )
     return store.missing_year_rows(rows.filter("o_orderstatus = 'F'"), rows.drop("o_orderstatus"))
+
+
+@query(
+    "append_refusals",
+    """SELECT 'retyped' AS attempt, 'QualityError' AS outcome, count(DISTINCT ts::DATE) AS dates FROM events
+UNION ALL SELECT 'renamed', 'QualityError', count(DISTINCT ts::DATE) FROM events
+UNION ALL SELECT 'two dates', 'QualityError', count(DISTINCT ts::DATE) FROM events""",
+)
+def append_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """Appends with another column, type or a second date are refused, and the table stays as it was."""
+    path = scratch(spark, "refusals")
+    history = counts.row_counts(events(spark, d).withColumnRenamed("day", "Archive_Date"), ["user_id", "Archive_Date"])
+    store.replace_dates(history, path)
+    day = history.filter(F.col("Archive_Date") == history.agg(F.max("Archive_Date")).scalar())
+    attempts = {
+        "retyped": day.withColumn("n", F.col("n").cast("string")),
+        "renamed": day.withColumnRenamed("n", "m"),
+        "two dates": history,
+    }
+    outcomes = []
+    for name, frame in attempts.items():
+        try:
+            store.append_by_date(frame, path)
+            outcomes.append((name, "written"))
+        except quality.QualityError as refused:
+            outcomes.append((name, type(refused).__name__))
+    kept = store.read_history(spark, path).agg(F.countDistinct("Archive_Date").alias("dates"))
+    return spark.createDataFrame(outcomes, "attempt string, outcome string").withColumn("dates", kept.scalar())

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import rules
 from ..functions.signals import visible_text
+from ..operators import quality
 from ..operators.asof import at_latest
 from ..plans import context, health, higher_ed, k12, views
+from ..schemas import ENTITY_MAP
 from ..session import settled
 from ..sinks import store
 from ..sources.shape import k12_posting
@@ -121,6 +123,22 @@ def combine_sources(spark: SparkSession, d: str) -> DataFrame:
     return combined.select("title", "date_posted", "location", "District", F.col("seq.page").alias("event_id"))
 
 
+@query(
+    "counts_without_district",
+    f"""WITH {_TEACHERS_SQL}, renamed AS (SELECT CASE WHEN District IN ('District 3', 'District 4') THEN NULL
+    WHEN District = 'District 5' THEN 'Total' ELSE District END AS District, Broad_Category, Archive_Date, Posting_ID FROM teachers),
+by_district AS (SELECT Broad_Category, Archive_Date, District, count(DISTINCT Posting_ID) AS sum FROM renamed GROUP BY ALL)
+SELECT * FROM by_district UNION ALL SELECT Broad_Category, Archive_Date, 'Total', CAST(sum(sum) AS BIGINT) FROM by_district GROUP BY ALL""",
+)
+def counts_without_district(spark: SparkSession, d: str) -> DataFrame:
+    """Checked counts where some postings have no district and one district is called "Total"."""
+    name = F.col("District")
+    teachers = _teachers(spark, d).withColumn(
+        "District", F.when(name == "District 5", F.lit("Total")).when(~name.isin("District 3", "District 4"), name)
+    )
+    return k12.checked_category_counts(teachers)
+
+
 # -- the higher-ed build -----------------------------------------------------
 
 _HE_SQL = f"""{HE_SQL}, titles AS (SELECT DISTINCT Title, {sql_case("Title", rules.HE_JOB_TYPE_RULES, "Other")} AS Job_Type,
@@ -168,13 +186,13 @@ _INSTITUTION_TOTALS = f"WITH {HE_SQL} SELECT Institution, Archive_Date, count(*)
 
 @query("incremental_equals_rebuild", _INSTITUTION_TOTALS)
 def incremental_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """A rebuilt history, then two weekly appends, one of them delivered twice:
+    """A rebuilt history, then the last two dates appended, one of them delivered twice:
     the table is what a rebuild of everything gives."""
     path = scratch(spark, "totals")
     rows = he_rows(spark, d)
-    first, last = dt.date(2024, 1, 28), dt.date(2024, 1, 30)
-    store.replace_dates(higher_ed.institution_totals(rows.filter(F.col("Archive_Date") <= F.lit(first))), path)
-    for day in (dt.date(2024, 1, 29), last, last):
+    days = [r[0] for r in rows.select("Archive_Date").distinct().orderBy("Archive_Date").collect()]
+    store.replace_dates(higher_ed.institution_totals(rows.filter(F.col("Archive_Date").isin(days[:-2]))), path)
+    for day in (*days[-2:], days[-1]):
         week = rows.filter(F.col("Archive_Date") == F.lit(day))
         store.append_by_date(higher_ed.institution_totals(week), path)
     return store.read_history(spark, path).select("Institution", "Archive_Date", "n")
@@ -273,13 +291,12 @@ AS_OF = dt.date(2024, 7, 10)
     f"""WITH {IDENTITY_SQL}, once AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY Posting_ID ORDER BY title, url, District, location, date_posted) = 1)
 SELECT District, title AS "Title", {_POSITION_SQL} AS "Position", location AS "Location",
        CASE WHEN date_posted < DATE '2024-07-10' - 180 THEN 'Listed since ' ELSE '' END || date_posted AS "Posted / listed",
-       Posting_Source AS "Source", Posting_Identity_Method AS "Identity method", Posting_ID
+       url AS "Link", Posting_Source AS "Source", Posting_Identity_Method AS "Identity method", Posting_ID
 FROM once""",
 )
 def k12_job_list(spark: SparkSession, d: str) -> DataFrame:
-    # One identity may show several links; only what the order decides is compared.
     postings = k12.current_postings(k12.identify(k12_rows(spark, d)))
-    return views.k12_job_list(postings, AS_OF).drop("Link")
+    return views.k12_job_list(postings, AS_OF)
 
 
 @query(
@@ -299,14 +316,14 @@ def he_job_list(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_HE_SQL}, two AS (SELECT max(Archive_Date) AS latest,
     max(Archive_Date) FILTER (WHERE Archive_Date < (SELECT max(Archive_Date) FROM faculty)) AS previous FROM faculty),
 old AS (SELECT DISTINCT Title, Location, Institution FROM faculty, two WHERE Archive_Date = previous)
-SELECT n.Title, n.Institution, n.Location, n.Category, n.Link FROM faculty n, two WHERE Archive_Date = latest
+SELECT n.Title, n.Institution, n.Location, n.Category, n.Link, n.Posted_Date, n.Job_Type, n.Archive_Date,
+       'Faculty/instructor (non-adjunct)' AS Appointment FROM faculty n, two WHERE Archive_Date = latest
   AND Job_Type = 'Instructor/Teacher/Faculty' AND NOT EXISTS (SELECT 1 FROM old WHERE old.Title = n.Title
     AND old.Location IS NOT DISTINCT FROM n.Location AND old.Institution = n.Institution)""",
 )
 def he_new_by_appointment(spark: SparkSession, d: str) -> DataFrame:
     faculty = higher_ed.with_appointment(higher_ed.faculty_rows(he_rows(spark, d)))
-    new = views.he_new(faculty, rules.FACULTY_APPOINTMENT)
-    return new.select("Title", "Institution", "Location", "Category", "Link")
+    return views.he_new(faculty, rules.FACULTY_APPOINTMENT)
 
 
 @query(
@@ -353,6 +370,31 @@ def top_hiring(spark: SparkSession, d: str) -> DataFrame:
 # -- entity map and summaries ------------------------------------------------
 
 
+def _county(n: Column) -> list[Column]:
+    return [
+        (n % 7 * 500.0 + 41000).alias("Median_Household_Income"), (n % 7 * 10.0 + 700).alias("Median_Gross_Rent"),
+        (n % 7 / 100).alias("Mining_Employment_Share"), (n % 7 / 100 - 0.03).alias("Population_Change_Pct"),
+        F.lit(2023).alias("ACS_Year"),
+    ]
+
+
+_COUNTY_SQL = """n % 7 * 500.0::DOUBLE + 41000 AS Median_Household_Income, n % 7 * 10.0::DOUBLE + 700 AS Median_Gross_Rent,
+    (n % 7) / 100::DOUBLE AS Mining_Employment_Share, (n % 7) / 100::DOUBLE - 0.03::DOUBLE AS Population_Change_Pct, 2023 AS ACS_Year"""
+
+
+def _dollars_sql(x: str, suffix: str = "") -> str:
+    return f"'$' || format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT)) || '{suffix}'"
+
+
+def _percent_sql(x: str, signed: bool = False) -> str:
+    sign = f"CASE WHEN {x} >= 0 THEN '+' ELSE '' END || " if signed else ""
+    return f"{sign}printf('%.1f%%', round_even({x} * 1000, 0) / 10 + 0.0)"
+
+
+_COUNTY_SUMMARY = f"""{_dollars_sql("Median_Household_Income")} AS "County Median Income", {_dollars_sql("Median_Gross_Rent", "/mo")} AS "County Median Rent",
+       {_percent_sql("Mining_Employment_Share")} AS "County Mining/Energy Jobs", {_percent_sql("Population_Change_Pct", True)} AS "County Population Trend (5yr)\""""
+
+
 def _district_registry(spark: SparkSession, d: str) -> DataFrame:
     """Context of each district seen in the events, from its number."""
     n = F.col("n")
@@ -368,6 +410,12 @@ def _district_registry(spark: SparkSession, d: str) -> DataFrame:
             (n * 100).cast("double").alias("Enrollment"),
             F.when(n % 3 != 0, n * 1000.0 + 40000).alias("Teacher_Avg_Salary"),
             F.lit("2023-24").alias("Salary_Year"),
+            (n * 100.0 + 30000).alias("Teacher_Salary_10th_Pctile"),
+            (n * 2000.0 + 50000).alias("Teacher_Salary_90th_Pctile"),
+            (n * 125000.0 + 1).alias("Total_General_Fund_Expenditure"),
+            F.lit("2024").alias("Finance_FY"),
+            (n / 100).alias("Child_Poverty_Rate"),
+            *_county(n),
         )
     )
 
@@ -387,15 +435,16 @@ def _institution_registry(spark: SparkSession, d: str) -> DataFrame:
             (n * 0.001 - 0.01).alias("Enrollment_Change_Pct"),
             F.lit("2024").alias("Salary_Year"),
             (n * 1000.0 + 60000).alias("Faculty_Avg_Salary"),
+            (n * 900.0 + 59000).alias("Faculty_Avg_Salary_Y1Ago"),
+            F.when(n % 2 == 0, n * 800.0 + 58000).alias("Faculty_Avg_Salary_Y2Ago"),
+            (n * 1500.0 + 80000).alias("Faculty_Avg_Salary_Professor"),
+            (n / 50).alias("Pell_Recipient_Share"),
+            F.lit("2022").alias("Pell_Year"),
+            *_county(n),
         )
     )
 
 
-_MAP_COLUMNS = [
-    "Name", "Type", "County", "Link", "CurrentCount", "WeeklyNew", "SampleTitles", "Vacancy_Numerator", "Vacancy_Denominator",
-]
-
-
 def _districts(spark: SparkSession, d: str) -> DataFrame:
     tables = k12.history_tables(k12_rows(spark, d))
     return views.district_map(_district_registry(spark, d), at_latest(tables["postings"]), tables["teacher_history"])
@@ -432,29 +481,55 @@ iv AS (SELECT Institution AS e, count(*) AS c FROM faculty, hd WHERE Archive_Dat
 m AS (SELECT 'District ' || n AS Name, 'K-12 District' AS Type, 'County ' || (n % 7) AS County, 'https://d.example/' || n AS Link,
     coalesce(dc.c, 0) AS CurrentCount, coalesce(dn.c, 0) AS WeeklyNew, coalesce(dt.s, '') AS SampleTitles,
     coalesce(dv.c, 0) AS Vacancy_Numerator, CAST(n * 3 AS DOUBLE) AS Vacancy_Denominator, CAST(n * 100 AS DOUBLE) AS Enrollment,
-    CASE WHEN n % 3 <> 0 THEN CAST(n * 1000 + 40000 AS DOUBLE) END AS salary, CAST(NULL AS DOUBLE) AS change
+    CASE WHEN n % 3 <> 0 THEN CAST(n * 1000 + 40000 AS DOUBLE) END AS salary, CAST(NULL AS DOUBLE) AS change, n
   FROM dreg LEFT JOIN dc ON dc.e = 'District ' || n LEFT JOIN dt ON dt.e = 'District ' || n LEFT JOIN dn ON dn.e = 'District ' || n
     LEFT JOIN dv ON dv.e = 'District ' || n
   UNION ALL SELECT 'College ' || n, 'Higher Ed Institution', 'County ' || (n % 7), 'https://c.example/' || n,
     coalesce(ic.c, 0), coalesce(nw.c, 0), coalesce(it.s, ''), coalesce(iv.c, 0), CAST(n * 2 AS DOUBLE), CAST(n * 50 AS DOUBLE),
-    CAST(n * 1000 + 60000 AS DOUBLE), n * 0.001 - 0.01
+    CAST(n * 1000 + 60000 AS DOUBLE), n * 0.001 - 0.01, n
   FROM ireg LEFT JOIN ic ON ic.e = 'College ' || n LEFT JOIN it ON it.e = 'College ' || n LEFT JOIN nw ON nw.e = 'College ' || n
     LEFT JOIN iv ON iv.e = 'College ' || n),
-rated AS (SELECT *, CASE WHEN Vacancy_Denominator >= 10 THEN Vacancy_Numerator / Vacancy_Denominator END AS Vacancy_Rate,
+rated AS (SELECT *, {_COUNTY_SQL}, CASE WHEN Vacancy_Denominator >= 10 THEN Vacancy_Numerator / Vacancy_Denominator END AS Vacancy_Rate,
     CASE WHEN Vacancy_Denominator > 0 THEN Enrollment / Vacancy_Denominator END AS Students_Per_Teacher FROM m)"""
 
 
+def _map_columns_sql() -> str:
+    """Every column of the map; what neither registry has is null."""
+    k12 = lambda x: f"CASE WHEN Type = 'K-12 District' THEN {x} END"
+    he = lambda x: f"CASE WHEN Type <> 'K-12 District' THEN {x} END"
+    own = {
+        "Teacher_Avg_Salary": k12("salary"), "Teacher_Salary_10th_Pctile": k12("n * 100.0::DOUBLE + 30000"),
+        "Teacher_Salary_90th_Pctile": k12("n * 2000.0::DOUBLE + 50000"), "Salary_Year": "CASE WHEN Type = 'K-12 District' THEN '2023-24' ELSE '2024' END",
+        "Total_General_Fund_Expenditure": k12("n * 125000.0::DOUBLE + 1"), "Finance_FY": k12("'2024'"), "Child_Poverty_Rate": k12("n / 100::DOUBLE"),
+        "Faculty_Avg_Salary": he("salary"), "Faculty_Avg_Salary_Y1Ago": he("n * 900.0::DOUBLE + 59000"),
+        "Faculty_Avg_Salary_Y2Ago": he("CASE WHEN n % 2 = 0 THEN n * 800.0::DOUBLE + 58000 END"),
+        "Faculty_Avg_Salary_Professor": he("n * 1500.0::DOUBLE + 80000"), "Faculty_Count": he("n * 2.0::DOUBLE"),
+        "Pell_Recipient_Share": he("n / 50::DOUBLE"), "Pell_Year": he("'2022'"), "Enrollment_Change_Pct": "round(CAST(change AS DOUBLE), 9)",
+        "Vacancy_Rate": "round(Vacancy_Rate, 9)", "Students_Per_Teacher": "round(Students_Per_Teacher, 9)", "Population_Change_Pct": "round(Population_Change_Pct, 9)",
+    }
+    given = {
+        "Name", "Type", "County", "Link", "CurrentCount", "WeeklyNew", "SampleTitles", "Vacancy_Numerator", "Vacancy_Denominator", "Enrollment",
+        "Median_Household_Income", "Median_Gross_Rent", "Mining_Employment_Share", "ACS_Year",
+    }
+    kinds = {"double": "DOUBLE", "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER"}
+    return ", ".join(
+        f"{own[f.name]} AS {f.name}" if f.name in own else f.name if f.name in given else f"CAST(NULL AS {kinds[f.dataType.simpleString()]}) AS {f.name}"
+        for f in ENTITY_MAP.fields
+    )
+
+
+_ROUNDED = ("Vacancy_Rate", "Students_Per_Teacher", "Marker_Radius", "Population_Change_Pct", "Enrollment_Change_Pct")
+
+
 @query(
     "entity_map",
     f"""WITH {_MAP_SQL}
-SELECT {", ".join(_MAP_COLUMNS)}, round(Vacancy_Rate, 9) AS Vacancy_Rate, round(Students_Per_Teacher, 9) AS Students_Per_Teacher,
-       round(least(24.0, 6.0 + 1.2 * sqrt(CurrentCount)), 9) AS Marker_Radius FROM rated""",
+SELECT {_map_columns_sql()}, round(least(24.0, 6.0 + 1.2 * sqrt(CurrentCount)), 9) AS Marker_Radius FROM rated""",
 )
 def entity_map(spark: SparkSession, d: str) -> DataFrame:
-    """Districts and institutions with counts, sample titles, new postings and vacancy rates."""
-    rounded = [F.round(c, 9).alias(c) for c in ("Vacancy_Rate", "Students_Per_Teacher", "Marker_Radius")]
+    """Districts and institutions with counts, sample titles, new postings, vacancy rates and context."""
     entities = views.entity_map(_districts(spark, d), _institutions(spark, d))
-    return entities.select(*_MAP_COLUMNS, *rounded)
+    return entities.withColumns({c: F.round(c, 9) for c in _ROUNDED})
 
 
 @query(
@@ -484,14 +559,16 @@ def vacancy_domain(spark: SparkSession, d: str) -> DataFrame:
     "district_summary",
     f"""WITH {_MAP_SQL}
 SELECT Name AS "District", County, CurrentCount AS "Current Openings", WeeklyNew AS "New This Week",
-       printf('%.1f%%', round_even(Vacancy_Rate * 1000, 0) / 10) AS "Teacher Vacancy Rate", Enrollment,
+       {_percent_sql("Vacancy_Rate")} AS "Teacher Vacancy Rate", Enrollment,
        printf('%.1f', round_even(Students_Per_Teacher * 10, 0) / 10) AS "Students per Teacher",
-       '$' || format('{{:,}}', CAST(salary AS BIGINT)) AS "Teacher Avg Salary (2023-24)"
+       {_dollars_sql("salary")} AS "Teacher Avg Salary (2023-24)",
+       {_dollars_sql("(n * 100 + 30000)::DOUBLE")} || ' - ' || {_dollars_sql("(n * 2000 + 50000)::DOUBLE")} AS "Teacher Salary Range (10th-90th %ile)",
+       {_dollars_sql("(n * 125000 + 1)::DOUBLE")} AS "General Fund Expenditure (FY2024)", {_COUNTY_SUMMARY},
+       {_percent_sql("(n / 100::DOUBLE)")} AS "District Child Poverty Rate"
 FROM rated WHERE Type = 'K-12 District'""",
 )
 def district_summary(spark: SparkSession, d: str) -> DataFrame:
-    summary = views.district_summary(settled(_districts(spark, d)))
-    return summary.select(*summary.columns[:8])
+    return views.district_summary(settled(_districts(spark, d)))
 
 
 @query(
@@ -500,17 +577,17 @@ def district_summary(spark: SparkSession, d: str) -> DataFrame:
     count(*) FILTER (WHERE Appointment = 'Adjunct/part-time faculty') AS a FROM hnow JOIN he_titles USING (Title) GROUP BY 1)
 SELECT Name AS "Institution", County, CurrentCount AS "Current Openings", coalesce(f, 0) AS "Faculty/instructor (non-adjunct)",
        coalesce(a, 0) AS "Adjunct/part-time faculty", WeeklyNew AS "New This Week",
-       printf('%.1f%%', round_even(Vacancy_Rate * 1000, 0) / 10) AS "Faculty Vacancy Rate",
-       '$' || format('{{:,}}', CAST(salary AS BIGINT)) AS "Avg Faculty Salary (2024)", Enrollment,
-       CASE WHEN change >= 0 THEN '+' ELSE '' END || printf('%.1f%%', round_even(change * 1000, 0) / 10 + 0.0) AS "Enrollment Trend (5yr)"
+       {_percent_sql("Vacancy_Rate")} AS "Faculty Vacancy Rate", {_dollars_sql("salary")} AS "Avg Faculty Salary (2024)",
+       {_dollars_sql("(n * 900 + 59000)::DOUBLE")} AS "Avg Faculty Salary (2023)",
+       CASE WHEN n % 2 = 0 THEN {_dollars_sql("(n * 800 + 58000)::DOUBLE")} END AS "Avg Faculty Salary (2022)",
+       {_dollars_sql("(n * 1500 + 80000)::DOUBLE")} AS "Professor Avg Salary (2024)", n * 2.0::DOUBLE AS "Faculty Count", Enrollment,
+       printf('%.1f', round_even(Students_Per_Teacher * 10, 0) / 10) AS "Students per Faculty",
+       {_percent_sql("change", True)} AS "Enrollment Trend (5yr)",
+       {_percent_sql("(n / 50::DOUBLE)")} || ' (2022)' AS "Pell Grant Recipient Share", {_COUNTY_SUMMARY}
 FROM rated LEFT JOIN split ON Institution = Name WHERE Type = 'Higher Ed Institution'""",
 )
 def institution_summary(spark: SparkSession, d: str) -> DataFrame:
-    summary = views.institution_summary(settled(_institutions(spark, d)), at_latest(he_rows(spark, d)))
-    return summary.select(
-        "Institution", "County", "Current Openings", rules.FACULTY_APPOINTMENT, rules.ADJUNCT_APPOINTMENT, "New This Week",
-        "Faculty Vacancy Rate", "Avg Faculty Salary (2024)", "Enrollment", "Enrollment Trend (5yr)",
-    )
+    return views.institution_summary(settled(_institutions(spark, d)), at_latest(he_rows(spark, d)))
 
 
 # -- context -----------------------------------------------------------------
@@ -775,3 +852,29 @@ def corroborated_drift(spark: SparkSession, d: str) -> DataFrame:
     addresses = seen.select(F.col("page_id").cast("string").alias("name"), "url")
     texts = seen.select("url", visible_text("html").alias("text")).dropDuplicates(["url"])
     return health.corroborated(flagged, addresses, texts).select("name", "count", "url", "signal")
+
+
+@query(
+    "health_report",
+    f"""WITH {EVENTS_SQL}, t AS (SELECT user_id, day, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT max(day) AS latest FROM t),
+b AS (SELECT user_id, count(*) AS w, avg(n) AS mean FROM t, m WHERE day < latest GROUP BY 1),
+f AS (SELECT b.user_id FROM b LEFT JOIN t ON t.user_id = b.user_id AND t.day = (SELECT latest FROM m) WHERE w >= 2 AND coalesce(n, 0) <= mean * 0.2)
+SELECT 'drift' AS "check", count(*) AS n, min('source ' || user_id) AS first FROM f
+UNION ALL SELECT 'bounds', count(*), min('Customer ' || c_custkey) FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000
+UNION ALL SELECT 'coverage', 1, 'Phone'""",
+)
+def health_report(spark: SparkSession, d: str) -> DataFrame:
+    """All failed checks of a run in one table, counted by check."""
+    snapshots = events(spark, d).select(F.concat(F.lit("source "), F.col("user_id")).alias("source"), F.col("day").alias("Archive_Date"))
+    customers = table(spark, d, "customer").select(
+        F.concat(F.lit("Customer "), F.col("c_custkey")).alias("District"), F.col("c_acctbal").alias("Balance"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("x")).alias("Phone"),
+    )
+    expected = customers.count()
+    report = health.health_report(
+        drift=health.source_drift(snapshots, "source", valid_from=None),
+        bounds=quality.out_of_bounds(customers, "District", "Balance", 0.0, 9000.0, "Balance"),
+        coverage=quality.coverage_gaps(customers, ["District", "Phone"], expected),
+    )
+    named = F.coalesce(F.when(F.col("check") == "bounds", F.get_json_object("detail", "$.entity")), F.get_json_object("detail", "$.name"))
+    return report.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("first"))
