@@ -13,17 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .keys import text_keys
 from .workspace import Workspace
 
 FIELD = "<*>"
 
 
-def _keys() -> list[Column]:
-    """A 128-bit key of the text; a null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.xxhash64(text).alias("hi"), F.xxhash64(F.lit(17), text).alias("lo")]
-
-
 def _tokens(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\r")), " ", -1)
 
@@ -65,7 +60,7 @@ def drop_recurring(
     # One row for each text and masked line, with the positions it has there. text_id: the smallest doc_id of a text's copies.
     token = F.col("tokens")
     held = work.settle(
-        _lines(docs, *_keys(), F.col("doc_id"))
+        _lines(docs, *text_keys(), F.col("doc_id"))
         .select("hi", "lo", "doc_id", "pos", F.size(token).alias("n"), _leaf(token, lead).alias("leaf"), F.xxhash64(_masked(token)).alias("mask"))
         .groupBy("hi", "lo", "n", "leaf", "mask")
         .agg(F.min("doc_id").alias("text_id"), F.collect_set("pos").alias("at")),
@@ -92,24 +87,27 @@ def drop_recurring(
     per_token = words.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("texts"))
     per_place = per_token.groupBy("leaf", "pos").agg(F.sum("texts").alias("all"), F.max(F.struct("texts", "token")).alias("best"))
     fixed = F.when(F.col("best.texts") >= constant_share * F.col("all"), F.col("best.token"))
+    # Settled sides let adaptive execution split a hot key of the join that follows.
     templates = (
         per_place.groupBy("leaf")
         .agg(F.sort_array(F.collect_list(F.struct("pos", fixed.alias("token")))).alias("places"), F.count(fixed).alias("constant"), F.count("*").alias("n"))
         .where(F.col("constant") >= constant_tokens * F.col("n"))
         .select("leaf", F.transform("places", lambda p: p["token"]).alias("template"))
     )
+    templates = work.settle(templates, "templates")
     fits = F.forall(F.zip_with("tokens", "template", lambda a, b: b.isNull() | (a == b)), lambda x: x)
     fitting = words.join(templates, "leaf").where(fits).select("leaf", "mask")
     by_template = held.join(fitting, ["leaf", "mask"]).groupBy("leaf", "hi", "lo").agg(F.min("text_id").alias("text_id"))
     by_template = by_template.groupBy("leaf").agg(F.count("*").alias("texts"), F.min("text_id").alias("first")).where(F.col("texts") >= least_texts)
     alike = fitting.join(by_template, "leaf").select("mask", "first")
     recurring = work.settle(equal.select("mask", "first").unionByName(alike).groupBy("mask").agg(F.min("first").alias("first")), "recurring")
-    gone = (
+    gone = work.settle(
         held.join(recurring, "mask").where(~F.col("text_id").eqNullSafe(F.col("first")))
-        .groupBy("hi", "lo").agg(F.flatten(F.collect_list("at")).alias("gone"))
+        .groupBy("hi", "lo").agg(F.flatten(F.collect_list("at")).alias("gone")),
+        "gone",
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], "text", *_keys())
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], "text", *text_keys())
     lines = F.split(F.col("text"), "\n", -1)
     # The lambda binds the lines once; array_except keeps order and looks up by hash.
     left = F.transform(
