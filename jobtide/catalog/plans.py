@@ -200,19 +200,12 @@ def incremental_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
 
 @query("streamed_history", _INSTITUTION_TOTALS)
 def streamed_history(spark: SparkSession, d: str) -> DataFrame:
-    """The same table kept by a file stream over the landed events."""
-    path, checkpoint = scratch(spark, "streamed"), scratch(spark, "stream-state")
-    schema = table(spark, d, "events").schema
-
-    def postings(landed: DataFrame) -> DataFrame:
-        return landed.select(
-            F.concat(F.lit("College "), F.col("user_id") % 25).alias("Institution"),
-            F.col("ts").cast("date").alias("Archive_Date"),
-        )
-
+    """The same table kept by a file stream over landed snapshots."""
+    raw, path, checkpoint = scratch(spark, "raw"), scratch(spark, "streamed"), scratch(spark, "stream-state")
+    store.write_snapshot(he_rows(spark, d), raw)
+    schema = spark.read.parquet(raw).schema
     stream = follow_snapshots(
-        spark, d, schema, lambda raw: {"totals": higher_ed.institution_totals(raw)}, {"totals": path}, checkpoint,
-        prepare=postings, glob="events.parquet", once=True,
+        spark, raw, schema, lambda rows: {"totals": higher_ed.institution_totals(rows)}, {"totals": path}, checkpoint, once=True
     )
     stream.awaitTermination()
     return store.read_history(spark, path).select("Institution", "Archive_Date", "n")

@@ -15,33 +15,54 @@ from operator import and_
 
 from pyspark.sql import Column, functions as F
 
-from .text import as_column, normalize_posting_text
+from .text import as_column, computed_once, normalize_posting_text
 
 Rule = tuple[str, ...]
 
 
-def _folded(pattern: str) -> str:
-    """The pattern in lower case, escapes such as \\b left as they are."""
+# Parts of a pattern whose letters are not text to be matched: character classes by name, quotes,
+# numeric escapes and inline flags.
+_NOT_TEXT = re.compile(r"\\[pPQENxuk]|\(\?[a-zA-Z-]+[:)]|\(\?<[A-Za-z]")
+
+
+def _folded(pattern: str) -> str | None:
+    """The pattern in lower case, escapes such as \\b left as they are; None where case means more than text."""
+    if _NOT_TEXT.search(pattern):
+        return None
     return re.sub(r"(?<!\\)[A-Z]+", lambda m: m[0].lower(), pattern)
 
 
-def matches(x: Column, pattern: str) -> Column:
+def matches(x: Column, pattern: str, lowered: Column | None = None) -> Column:
     """Case-insensitive search, for accented letters too.
 
     Lower-casing the text once is several times cheaper than a case-insensitive
-    pattern, which folds every character at every position it tries.
+    pattern, which folds every character at every position it tries.  Patterns that
+    cannot be lower-cased themselves are used as they are, with the flags for it.
     """
-    return F.lower(x).rlike(_folded(pattern))
+    folded = _folded(pattern)
+    if folded is None:
+        return x.rlike(f"(?iu){pattern}")
+    return (F.lower(x) if lowered is None else lowered).rlike(folded)
 
 
 def classify(x: Column | str, rules: Iterable[Rule], default: str) -> Column:
-    """Label of the first rule whose patterns all occur in ``x``; null text gets the default."""
+    """Label of the first rule whose patterns all occur in ``x``; null text gets the default.
+
+    The text is lower-cased once for all rules.
+    """
     x = as_column(x)
-    chosen = None
-    for label, *patterns in rules:
-        hit = reduce(and_, (matches(x, p) for p in patterns))
-        chosen = F.when(hit, label) if chosen is None else chosen.when(hit, label)
-    return F.lit(default) if chosen is None else chosen.otherwise(default)
+    rules = list(rules)
+    if not rules:
+        return F.lit(default)
+
+    def decide(lowered: Column) -> Column:
+        chosen = None
+        for label, *patterns in rules:
+            hit = reduce(and_, (matches(x, p, lowered) for p in patterns))
+            chosen = F.when(hit, label) if chosen is None else chosen.when(hit, label)
+        return chosen.otherwise(default)
+
+    return computed_once(F.lower(x), decide)
 
 
 def rules_for(rules: list[Rule], labels: Iterable[str]) -> list[Rule]:

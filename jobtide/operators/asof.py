@@ -10,8 +10,12 @@ at run time.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import settled
 
 DATE = "Archive_Date"
 
@@ -39,26 +43,47 @@ def at_latest(df: DataFrame, date: str = DATE) -> DataFrame:
     return df.filter(F.col(date) == snapshot_marks(df, date)["latest"])
 
 
+def mark_dates(df: DataFrame, date: str = DATE, **days_back: int) -> dict[str, Column]:
+    """The same marks looked up now and given as literals, so that the plans built on them read the
+    table no further times for its dates and prune its partitions while they are planned."""
+    kind = df.schema[date].dataType
+    names = ["latest", "previous", *days_back]
+    row = df.sparkSession.range(1).select(snapshot_marks(df, date, **days_back).alias("m")).first()["m"]
+    return {name: F.lit(row[name]).cast(kind) for name in names}
+
+
 def as_of_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, values: Sequence[str]
 ) -> DataFrame:
     """For every left row the right row of the same key with the newest date
     not after the left date; ``right`` holds one row per key and snapshot date.
 
-    The right side becomes one row per key with its dated values in order, one
-    per snapshot date (the largest values speak for a date that occurs twice).  The
-    left side is then never sorted or windowed: a hot key is only a skewed join
-    partition, which adaptive execution splits.
+    Both sides are united and dealt by range of (key, date), so a key with many rows is spread over
+    many partitions.  Each partition carries the newest right row forward; the last one
+    of a key's earlier partitions is handed to the partitions after it.  The largest values
+    speak for a date that occurs twice; a left row without a date or a key finds nothing.
     """
     per_date = (
-        right.filter(F.col(right_date).isNotNull())
+        right.filter(reduce(and_, (F.col(c).isNotNull() for c in [right_date, *on])))
         .groupBy(*on, F.col(right_date).alias("_d"))
         .agg(F.max(F.struct(*values)).alias("_v"))
     )
-    dated = F.struct(F.col("_d"), *[F.col(f"_v.{v}").alias(v) for v in values])
-    series = per_date.groupBy(*on).agg(F.sort_array(F.collect_list(dated)).alias("_series"))
-    found = F.try_element_at(F.filter("_series", lambda s: s["_d"] <= F.col(left_date)), F.lit(-1))
-    joined = left.join(series, list(on), "left").withColumn("_hit", found)
-    return joined.select(
-        *left.columns, F.col("_hit._d").alias(right_date), *[F.col(f"_hit.{v}").alias(v) for v in values]
+    hit = F.struct(F.col("_d").alias("d"), *[F.col(f"_v.{v}").alias(v) for v in values])
+    rows = F.struct(*[F.col(c) for c in left.columns])
+    given = per_date.select(*on, "_d", hit.alias("_hit"), F.lit(0).alias("_side"))
+    asked = left.select(*on, F.col(left_date).alias("_d"), rows.alias("_row"), F.lit(1).alias("_side"))
+    both = given.unionByName(asked, allowMissingColumns=True)
+    ranged = settled(both.repartitionByRange(*on, "_d", "_side").withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy(*on, "_part").orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = ranged.withColumn("_own", F.last("_hit", ignorenulls=True).over(here)).filter("_side = 1")
+    before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*on, "_part").agg(F.max("_hit").alias("_end"))  # the newest date is the largest
+    handed = ends.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.col("_part").alias("_to"), F.last("_end", ignorenulls=True).over(before).alias("_handed"))
+    same = [F.col("_part") == F.col("_to"), *[F.col(c) == F.col(f"_on_{c}") for c in on]]
+    joined = carried.join(handed.filter(F.col("_handed").isNotNull()), same, "left")
+    found = F.when(F.col("_d").isNotNull(), F.coalesce("_own", "_handed"))
+    return joined.withColumn("_found", found).select(
+        *[F.col(f"_row.{c}").alias(c) for c in left.columns],
+        F.col("_found.d").alias(right_date),
+        *[F.col(f"_found.{v}").alias(v) for v in values],
     )

@@ -7,40 +7,7 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ..session import settled
-
-# A key with at most this many values travels as one array inside the plan; a
-# longer list of values is cut into pieces of about this size.
-PIECE_VALUES = 5_000
-
-
-def _domain(df: DataFrame, key: str) -> Column:
-    """All values of a key as one array, a missing value included if it occurs."""
-    values = F.sort_array(F.collect_set(key))
-    some_null = F.count_if(F.col(key).isNull()) > 0
-    return df.agg(
-        F.when(some_null, F.array_append(values, F.lit(None))).otherwise(values).alias("values")
-    ).scalar()
-
-
-def _times_wide(spine: DataFrame, df: DataFrame, key: str, size: int) -> DataFrame:
-    """Spine x a key with many values, by an equality join on pieces of the value list."""
-    pieces = -(-size // PIECE_VALUES)
-    values = (
-        df.select(key)
-        .distinct()
-        .groupBy(F.pmod(F.xxhash64(key), F.lit(pieces)).alias("_piece"))
-        .agg(F.collect_list(F.struct(key)).alias("_values"))
-    )
-    return (
-        spine.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
-        .join(values, "_piece")
-        .withColumn("_value", F.explode("_values"))
-        .withColumn(key, F.col("_value")[key])
-        .drop("_piece", "_values", "_value")
-    )
+from pyspark.sql import DataFrame, functions as F
 
 
 def gap_fill(
@@ -51,33 +18,21 @@ def gap_fill(
 ) -> DataFrame:
     """Every combination of the keys' values; absent ones carry ``fill``.
 
-    ``values`` fixes the value list of a key instead of reading it off the data.
-    The result has (product of the value counts) rows by definition.  The key
-    with the most values stays a distributed table; the other keys are
-    attached as arrays after a look at their sizes, long ones in pieces.
+    ``values`` fixes the value list of a key instead of reading it off the data.  The result has
+    (product of the value counts) rows by definition, and it is made as what it is: the
+    product of the keys' distinct values, each a distributed table of its own.  No list of
+    values is gathered anywhere and nothing is decided by their number.
     """
-    df = settled(df)  # read several times below: its values, their number, and its rows
     values = dict(values or {})
-    free = [k for k in keys if k not in values]
-    sizes = (
-        df.agg(*[(F.approx_count_distinct(k) + F.lit(1)).alias(k) for k in free]).first().asDict() if free else {}
-    )
-    anchor = max(free, key=lambda k: sizes[k]) if free else None
-    if anchor is not None:
-        spine = df.select(anchor).distinct()
-    else:
-        spine = df.sparkSession.range(1).select()
+    tables = []
     for key in keys:
-        if key == anchor:
-            continue
         if key in values:
             kind = df.schema[key].dataType
-            listed = F.array(*[F.lit(v).cast(kind) for v in values[key]])
-            spine = spine.withColumn(key, F.explode(listed))
-        elif sizes[key] > PIECE_VALUES:
-            spine = _times_wide(spine, df, key, sizes[key])
+            listed = F.array(*[F.lit(v).cast(kind) for v in values[key]]) if values[key] else F.array().cast(f"array<{kind.simpleString()}>")
+            tables.append(df.sparkSession.range(1).select(F.explode(listed).alias(key)))
         else:
-            spine = spine.withColumn(key, F.explode(_domain(df, key)))
+            tables.append(df.select(key).distinct())
+    spine = reduce(DataFrame.crossJoin, tables)
     rest = [c for c in df.columns if c not in keys]
     right = df.select(*[F.col(k).alias(f"_{k}") for k in keys], *rest)
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))

@@ -13,6 +13,8 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import settled
+
 from ..functions.numbers import change_ratio
 from .counts import EntityRule, pivot_wide
 
@@ -43,12 +45,14 @@ def refresh_columns(
     """Replace a group of columns by a newly landed one, or keep the last good.
 
     All or nothing: an empty ``fresh`` leaves the table as it is; otherwise an
-    entity missing from ``fresh`` gets nulls and not its old values.
+    entity missing from ``fresh`` gets nulls and not its old values.  ``fresh`` is worked out
+    once, for the look whether it is empty and for the join.
     """
+    fresh = settled(fresh.select(key, *columns))
     if fresh.isEmpty():
         return base
     dropped = [*columns, *([tag[0]] if tag else [])]
-    out = base.drop(*dropped).join(fresh.select(key, *columns), key, "left")
+    out = base.drop(*dropped).join(fresh, key, "left")
     return out.withColumn(tag[0], F.lit(tag[1])) if tag else out
 
 

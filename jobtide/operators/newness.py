@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
-from .asof import DATE, snapshot_marks
+from .asof import DATE, mark_dates
 
 
 def new_since_previous(history: DataFrame, keys: Sequence[str] = ("Posting_ID",), date: str = DATE) -> DataFrame:
@@ -20,7 +20,7 @@ def new_since_previous(history: DataFrame, keys: Sequence[str] = ("Posting_ID",)
     The earlier side is reduced to its distinct keys, so one key with many rows
     is skew on the streamed side only, which adaptive execution can split.
     """
-    marks = snapshot_marks(history, date)
+    marks = mark_dates(history, date)
     latest, previous = marks["latest"], marks["previous"]
     now = history.filter((F.col(date) == latest) & previous.isNotNull()).alias("now")
     before = (

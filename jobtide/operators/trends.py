@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import settled
-from .asof import DATE, snapshot_marks
+from .asof import DATE, mark_dates
 from .ordering import top_per_key
 
 TREND_OFFSETS = {"month": 28, "quarter": 90, "year": 365}
@@ -22,8 +21,8 @@ def daily_totals(totals: DataFrame, date: str = DATE, n: str = "n") -> DataFrame
 def week_over_week(totals: DataFrame, min_days_back: int = 5, date: str = DATE, n: str = "n") -> DataFrame:
     """One row: latest total, the as-of earlier total, and their difference
     (null when no snapshot is old enough)."""
-    daily = settled(daily_totals(totals, date, n))
-    marks = snapshot_marks(daily, date, prior=min_days_back)
+    daily = daily_totals(totals, date, n)
+    marks = mark_dates(totals, date, prior=min_days_back)
     latest, prior = marks["latest"], marks["prior"]
     at = lambda day: F.max(F.when(F.col(date) == day, F.col(n)))
     return daily.agg(
@@ -35,10 +34,12 @@ def week_over_week(totals: DataFrame, min_days_back: int = 5, date: str = DATE,
     )
 
 
-def movers(totals: DataFrame, name: str, min_days_back: int = 21, date: str = DATE, n: str = "n") -> DataFrame:
+def movers(
+    totals: DataFrame, name: str, min_days_back: int = 21, date: str = DATE, n: str = "n", marks: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Per entity: prior, latest and delta between two as-of dates; an entity
     absent on one side counts as 0 there.  No rows when no snapshot is old enough."""
-    marks = snapshot_marks(totals, date, prior=min_days_back)
+    marks = marks or mark_dates(totals, date, prior=min_days_back)
     latest, prior = marks["latest"], marks["prior"]
     wide = (
         totals.filter(prior.isNotNull() & ((F.col(date) == latest) | (F.col(date) == prior)))
@@ -53,8 +54,8 @@ def movers(totals: DataFrame, name: str, min_days_back: int = 21, date: str = DA
 
 def biggest_mover(totals: DataFrame, name: str, min_days_back: int = 21, date: str = DATE, n: str = "n") -> DataFrame:
     """The entity with the largest absolute change; name order breaks ties."""
-    marks = snapshot_marks(totals, date, prior=min_days_back)
-    top = movers(totals, name, min_days_back, date, n).orderBy(F.desc(F.abs("delta")), F.col(name)).limit(1)
+    marks = mark_dates(totals, date, prior=min_days_back)
+    top = movers(totals, name, min_days_back, date, n, marks).orderBy(F.desc(F.abs("delta")), F.col(name)).limit(1)
     return top.withColumn("prior_date", marks["prior"]).withColumn("latest_date", marks["latest"])
 
 
@@ -82,8 +83,8 @@ def current_trends(
     A category missing at an existing earlier date counts as 0 there; when the
     date itself does not exist the change is null.
     """
-    daily = settled(history.groupBy(category, date).agg(F.sum(n).alias(n)))
-    marks = snapshot_marks(daily, date, **offsets)
+    daily = history.groupBy(category, date).agg(F.sum(n).alias(n))
+    marks = mark_dates(history, date, **offsets)
     latest = marks["latest"]
     earlier: dict[str, Column] = {name: marks[name] for name in offsets}
 

@@ -36,12 +36,11 @@ def combine_sources(direct: list[DataFrame], feed: DataFrame, registry: DataFram
     ``direct`` and ``feed`` are in the shape of ``sources.shape.k12_posting``;
     ``seq`` comes back with the precedence of the source in front.
     """
-    dated = [
-        df.withColumn("date_posted", standardize_date("date_posted")) for df in (*direct, feed)
-    ]
-    boards = union_sources(*dated[:-1])
-    remaining = remove_feed_duplicates(dated[-1], boards, registry)
-    return rank_sources(union_sources(boards, remaining))
+    marked = [df.withColumn("_feed", F.lit(df is feed)) for df in (*direct, feed)]
+    # Every date is parsed once: the rows are read as rows, as keys of boards and as keys of the feed.
+    rows = settled(union_sources(*marked).withColumn("date_posted", standardize_date("date_posted")))
+    boards, statewide = rows.filter("not _feed").drop("_feed"), rows.filter("_feed").drop("_feed")
+    return rank_sources(union_sources(boards, remove_feed_duplicates(statewide, boards, registry)))
 
 
 def identify(rows: DataFrame, seq: str = "seq") -> DataFrame:

@@ -27,7 +27,7 @@ from ..functions.rules import (
     recode,
 )
 from ..functions.text import squish
-from ..operators.asof import DATE, at_latest
+from ..operators.asof import DATE, at_latest, mark_dates
 from ..operators.counts import (
     TOTAL,
     count_where,
@@ -44,6 +44,7 @@ from ..operators.newness import new_since_previous
 from ..operators.ordering import top_per_key
 from ..operators.trends import biggest_mover, current_trends, daily_totals, last_n_series, top_k, week_over_week
 from ..schemas import ENTITY_MAP, conform
+from ..session import settled
 
 K12_TYPE, HE_TYPE = "K-12 District", "Higher Ed Institution"
 ALL = "all"
@@ -211,23 +212,31 @@ def _with_ratios(df: DataFrame, positions: str) -> DataFrame:
     )
 
 
+def _two_latest(history: DataFrame) -> DataFrame:
+    """The rows of the two newest dates, worked out once: all that the map asks of a history."""
+    marks = mark_dates(history)
+    return settled(history.filter((F.col(DATE) == marks["latest"]) | (F.col(DATE) == marks["previous"])))
+
+
 def district_map(context: DataFrame, current: DataFrame, teacher_history: DataFrame) -> DataFrame:
     """Districts; the vacancy numerator is distinct teacher postings at the latest date."""
-    openings = distinct_counts(at_latest(teacher_history), ["District"], out="Vacancy_Numerator")
+    recent = _two_latest(teacher_history)
+    openings = distinct_counts(at_latest(recent), ["District"], out="Vacancy_Numerator")
     once = distinct_postings(current, ["Posting_ID"], order=ONCE_ORDER)
     jobs = once.withColumn("District", squish("District"))
     filled = _with_activity(
-        context.withColumnRenamed("District", "Name"), "Name", jobs, k12_new(teacher_history), openings, "District", "title"
+        context.withColumnRenamed("District", "Name"), "Name", jobs, k12_new(recent), openings, "District", "title"
     ).withColumnRenamed("Job_Link", "Link")
     return conform(_with_ratios(filled, "Teachers_Total_FTE").withColumn("Type", F.lit(K12_TYPE)), ENTITY_MAP)
 
 
 def institution_map(context: DataFrame, current: DataFrame, faculty_history: DataFrame) -> DataFrame:
     """Institutions; only full-time faculty postings count, like the denominator."""
-    full_time = at_latest(faculty_history).filter(F.col("Job_Type") == FACULTY_JOB_TYPE)
+    recent = _two_latest(faculty_history)
+    full_time = at_latest(recent).filter(F.col("Job_Type") == FACULTY_JOB_TYPE)
     openings = row_counts(full_time, ["Institution"], "Vacancy_Numerator")
     filled = _with_activity(
-        context, "Name", current, he_new(faculty_history), openings, "Institution", "Title"
+        context, "Name", current, he_new(recent), openings, "Institution", "Title"
     )
     return conform(_with_ratios(filled, "Faculty_Count").withColumn("Type", F.lit(HE_TYPE)), ENTITY_MAP)
 

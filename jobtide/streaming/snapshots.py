@@ -1,8 +1,8 @@
 """History kept up to date as snapshot files arrive.
 
 Each micro-batch only tells which snapshot dates have new files.  Those dates
-are derived again from the snapshot zone as a whole and replace what the history
-holds for them.  A snapshot that arrives in several files, twice, or late thus ends
+are derived again from all their rows in the snapshot zone, which is partitioned by date so
+that only they are read, and replace what the history holds for them.  A snapshot that arrives in several files, twice, or late thus ends
 in the same tables, and a replayed batch changes nothing.
 """
 
@@ -18,7 +18,6 @@ from ..sinks.store import replace_dates
 
 
 Derive = Callable[[DataFrame], Mapping[str, DataFrame]]
-Prepare = Callable[[DataFrame], DataFrame]
 
 
 def refresh_dates(
@@ -42,29 +41,16 @@ def follow_snapshots(
     derive: Derive,
     targets: Mapping[str, str],
     checkpoint: str,
-    prepare: Prepare | None = None,
-    glob: str = "*.parquet",
     date: str = DATE,
     files_per_batch: int = 1000,
     once: bool = False,
 ) -> StreamingQuery:
-    """Start the stream; ``once`` takes what is there and stops.
-
-    ``prepare`` turns landed rows into snapshot rows that carry ``date``, where
-    the folder is not already partitioned by it.
-    """
-    ready = prepare or (lambda df: df)
-    arriving = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", glob)
-        .parquet(raw_path)
-    )
+    """Start the stream over a folder partitioned by ``date``; ``once`` takes what is there and stops."""
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(raw_path)
 
     def on_batch(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
-        raw = session.read.schema(schema).option("pathGlobFilter", glob).parquet(raw_path)
-        refresh_dates(ready(raw), ready(batch), derive, targets, date)
+        refresh_dates(session.read.schema(schema).parquet(raw_path), batch, derive, targets, date)
 
     writer = arriving.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

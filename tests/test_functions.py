@@ -280,3 +280,14 @@ def test_visible_text(spark):
 def test_title_lines(spark):
     for line, wanted in [("HS Teacher", True), ("Ends.", False), ("1. Numbered", False), ("* note", False), ("123", False), ("x" * 56, False)]:
         assert one(spark, line, signals.looks_like_title_line("x")) is wanted
+
+
+@pytest.mark.parametrize(
+    ("pattern", "value", "hit"),
+    [
+        (r"Caf\u00E9", "CAFÉ", True), (r"\p{Lu}b", "xÉB", True), (r"\QA.b\E", "xa.B", True), (r"(?U)\bÄ", "ä", True), (r"[A-C]\S", "bx", True),
+        (r"\Bend", "BEND", True), (r"\Bend", "end", False), (r"(?<Name>a)b", "AB", True),
+    ],
+)
+def test_patterns_keep_their_meaning_when_case_is_ignored(spark, pattern, value, hit):
+    assert one(spark, value, rules.matches(F.col("x"), pattern), "string") is hit

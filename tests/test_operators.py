@@ -281,9 +281,8 @@ def test_gap_fill_makes_zeros_and_keeps_missing_keys(spark):
     assert len(got) == 6 and ("x", D(2026, 1, 2), 0) in got and (None, D(2026, 1, 1), 0) in got and (None, D(2026, 1, 2), 5) in got
 
 
-def test_gap_fill_with_given_values_and_wide_keys(spark, monkeypatch):
+def test_gap_fill_with_given_values_and_wide_keys(spark):
     df = spark.createDataFrame([(i, i % 37, "a", 1) for i in range(60)], "p int, q int, r string, n long")
-    monkeypatch.setattr(gapfill, "PIECE_VALUES", 10)
     got = gapfill.gap_fill(df, ["p", "q", "r"], {"n": 0}, {"r": ["a", "b"]})
     assert got.count() == 60 * 37 * 2 and got.agg(F.sum("n")).first()[0] == 60
     assert got.select("p", "q", "r").distinct().count() == 60 * 37 * 2
