@@ -4,6 +4,8 @@ be the rows they were made of."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans import context, k12
@@ -782,11 +784,12 @@ def repeated_pages(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "numbered_pages",
     """WITH n AS (SELECT o_orderkey // 40 AS page, count(*) AS lines FROM orders GROUP BY 1)
-SELECT sum(lines) * 3 AS postings, sum(lines) * 3 AS orders, max(lines) * 3 AS most_on_a_page FROM n""",
+SELECT sum(lines) * 3 AS postings, sum(lines) * 3 AS orders, sum(lines) * 3 AS identities, max(lines) * 3 AS most_on_a_page FROM n""",
 )
 def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of forty announcement lines with three titles each, through the raw snapshot: every posting has a place of its own."""
-    line = F.concat(lit("Classified Positions available as of July 1, 2024: 1. Cook 2. Driver 3. Aide"))
+    """Pages of forty announcement lines with three titles each, through the raw snapshot: every posting has a
+    place and an identity of its own."""
+    line = lit("Classified Positions available as of July 1, 2024: 1. Cook 2. Driver 3. Aide")
     lines = _orders(spark, d).select(F.expr("o_orderkey div 40").alias("page"), line.alias("line"))
     landed_pages = lines.groupBy("page").agg(F.array_join(F.collect_list("line"), "\n").alias("body")).select(
         F.col("page").alias("seq"), F.concat(lit("https://n.example/"), F.col("page")).alias("url"), "body"
@@ -795,9 +798,13 @@ def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
     board = shape.k12_posting(rows, "Apptegy", district=lit("Plentywood"))
     nothing = shape.k12_posting(rows.filter("false"), "Statewide", district=lit("x"))
     registry = spark.createDataFrame([("Plentywood", "Plentywood")], "District string, City string")
-    combined = k12.combine_sources([board], nothing, registry)
-    per_page = combined.groupBy("seq.page").agg(F.count(lit("1")).alias("n"), F.countDistinct("seq").alias("places"))
-    return per_page.agg(F.sum("n").alias("postings"), F.sum("places").alias("orders"), F.max("n").alias("most_on_a_page"))
+    raw = k12.raw_snapshot([board], nothing, registry, dt.date(2024, 7, 2))
+    per_page = raw.groupBy("seq.page").agg(
+        F.count(lit("1")).alias("n"), F.countDistinct("seq").alias("places"), F.countDistinct("Posting_ID").alias("ids")
+    )
+    return per_page.agg(
+        F.sum("n").alias("postings"), F.sum("places").alias("orders"), F.sum("ids").alias("identities"), F.max("n").alias("most_on_a_page")
+    )
 
 
 @query(

@@ -24,6 +24,7 @@ from .base import (
     events,
     he_rows,
     k12_rows,
+    pick,
     query,
     scratch,
     sql_case,
@@ -123,6 +124,45 @@ def combine_sources(spark: SparkSession, d: str) -> DataFrame:
     return combined.select("title", "date_posted", "location", "District", F.col("seq.page").alias("event_id"))
 
 
+@query(
+    "snapshot_to_current",
+    f"""WITH {EVENTS_SQL}, rows AS (
+  SELECT {sql_list(K12_TITLES)}[k % {len(K12_TITLES)} + 1] AS title, day - k % 7 AS day, 'Town ' || (user_id % 17) AS place,
+         'District ' || (user_id % 40) AS District, event_type, event_id FROM ev),
+registry AS (SELECT DISTINCT 'District ' || (user_id % 40) AS District, 'Town ' || (user_id % 40 % 17) AS city FROM ev),
+known AS (SELECT DISTINCT city, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS tkey, day
+  FROM rows JOIN registry USING (District) WHERE event_type <> 'click'),
+united AS (SELECT title, day, place, District, 'direct' AS kind, event_id FROM rows WHERE event_type <> 'click'
+UNION ALL SELECT title, day, place, place, 'feed', event_id FROM rows WHERE event_type = 'click' AND NOT EXISTS (
+  SELECT 1 FROM known WHERE known.city = rows.place AND known.tkey = regexp_replace(lower(rows.title), '[^a-z0-9]+', ' ', 'g')
+    AND known.day = rows.day))
+SELECT title, {sql_case("title", rules.K12_POSITION_RULES, "Other")} AS position, day AS date_posted, place AS location,
+       regexp_replace(District, '^District 1$', 'First District') AS District, DATE '2024-02-01' AS Archive_Date, count(*) AS n, count(*) AS ids
+FROM united GROUP BY ALL""",
+)
+def snapshot_to_current(spark: SparkSession, d: str) -> DataFrame:
+    """The raw snapshot of boards and feed, names canonicalised and titles classified: what a week shows."""
+    rows = events(spark, d).select(
+        "event_type", F.col("event_id").alias("seq"), pick(K12_TITLES, F.col("k")).alias("Title"),
+        F.concat(F.lit("Town "), F.col("user_id") % 17).alias("Location"),
+        F.date_format(F.date_sub("day", F.col("k") % 7), "M/d/yyyy").alias("Posted_Date"),
+        F.concat(F.lit("https://board.example/jobs/"), F.col("event_id")).alias("Link"),
+        F.concat(F.lit("District "), F.col("user_id") % 40).alias("District"),
+    )
+    feed = rows.filter("event_type = 'click'").withColumn("Link", F.lit("https://apps.opi.mt.gov/mtjobsforteachers/list"))
+    registry = events(spark, d).select((F.col("user_id") % 40).alias("n")).distinct().select(
+        F.concat(F.lit("District "), F.col("n")).alias("District"), F.concat(F.lit("Town "), F.col("n") % 17).alias("City")
+    )
+    raw = k12.raw_snapshot(
+        [k12_posting(rows.filter("event_type <> 'click'"), "SchoolSpring")],
+        k12_posting(feed, "Statewide", district="Location"), registry, dt.date(2024, 2, 1),
+    )
+    aliases = spark.createDataFrame([("District 1", "First District")], "alias string, canonical string")
+    current = k12.current_postings(raw, aliases)
+    keys = ["title", "position", "date_posted", "location", "District", "Archive_Date"]
+    return current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("Posting_ID").alias("ids"))
+
+
 @query(
     "counts_without_district",
     f"""WITH {_TEACHERS_SQL}, renamed AS (SELECT CASE WHEN District IN ('District 3', 'District 4') THEN NULL
