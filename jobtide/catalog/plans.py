@@ -11,7 +11,7 @@ from ..functions.signals import visible_text
 from ..operators import quality
 from ..operators.asof import at_latest
 from ..plans import context, health, higher_ed, k12, views
-from ..schemas import ENTITY_MAP
+from ..schemas import DISTRICT_CONTEXT, ENTITY_MAP, INSTITUTION_CONTEXT, conform
 from ..session import settled
 from ..sinks import store
 from ..sources.shape import k12_posting
@@ -861,6 +861,110 @@ def district_context(spark: SparkSession, d: str) -> DataFrame:
     return built.select("District", "County", F.round("Teachers_Total_FTE", 2).alias("Teachers_Total_FTE"), "Child_Poverty_Rate", "Finance_FY")
 
 
+def _counties(spark: SparkSession, d: str) -> DataFrame:
+    """County figures from the regions, through the census grids."""
+    region, key = table(spark, d, "region"), F.col("r_regionkey").cast("double")
+    name = F.concat(F.lit("County "), F.col("r_regionkey"), F.lit(", State")).alias("NAME")
+
+    def grid(people: Column) -> DataFrame:
+        return region.select(name, (key * 1000 + 40000).alias(context.INCOME), (key * 10 + 700).alias(context.RENT), people.alias(context.POPULATION))
+
+    jobs = region.select(name, (key + 50).alias(context.WORKERS), key.alias(context.MINING_WORKERS))
+    return context.county_context(grid(key * 10 + 1000), grid(F.lit(800.0)), jobs, 2022, "State")
+
+
+_COUNTIES_SQL = """c AS (SELECT 'County ' || r_regionkey AS County, r_regionkey * 1000.0::DOUBLE + 40000 AS Median_Household_Income,
+    r_regionkey * 10.0::DOUBLE + 700 AS Median_Gross_Rent, round(r_regionkey::DOUBLE / (r_regionkey + 50), 9) AS Mining_Employment_Share,
+    round((r_regionkey * 10.0::DOUBLE + 1000 - 800) / 800, 9) AS Population_Change_Pct, 2022 AS ACS_Year FROM region)"""
+_COUNTY_RATIOS = ("Mining_Employment_Share", "Population_Change_Pct")
+
+
+@query(
+    "district_context_landed",
+    f"""WITH {_COUNTIES_SQL}, staff AS (SELECT s_nationkey AS k, round(sum(CASE WHEN s_acctbal >= 0 THEN s_acctbal END), 2) AS fte, count(*) * 5.0::DOUBLE AS e FROM supplier GROUP BY 1),
+poor AS (SELECT c_nationkey AS k, round(avg(CASE WHEN c_acctbal >= 0 THEN c_acctbal / 100 END), 6) AS rate FROM customer GROUP BY 1),
+spent AS (SELECT c_nationkey AS k, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1)
+SELECT n_name AS District, c.County, 0.0::DOUBLE AS Latitude, 0.0::DOUBLE AS Longitude, 'https://x.example' AS Job_Link,
+       n_nationkey * 10.0::DOUBLE AS Teacher_Count, 1.0::DOUBLE AS Teacher_Salary_10th_Pctile, 2.0::DOUBLE AS Teacher_Avg_Salary, 3.0::DOUBLE AS Teacher_Salary_90th_Pctile,
+       '2023-24' AS Salary_Year, '{context.SALARY_TAG}' AS Salary_Source, coalesce(fte, CASE WHEN e > 0 THEN 0 END) AS Teachers_Total_FTE, e AS Enrollment, 2023 AS CCD_Year,
+       '{context.STAFFING_TAG}' AS CCD_Source, Median_Household_Income, Median_Gross_Rent, Mining_Employment_Share, Population_Change_Pct, ACS_Year,
+       rate AS Child_Poverty_Rate, 2022 AS SAIPE_Year, total AS Total_General_Fund_Expenditure, 'FY25' AS Finance_FY, '{context.FINANCE_TAG}' AS Finance_Source
+FROM nation JOIN c ON c.County = 'County ' || n_regionkey LEFT JOIN staff ON staff.k = n_nationkey LEFT JOIN poor ON poor.k = n_nationkey LEFT JOIN spent ON spent.k = n_nationkey""",
+)
+def district_context_landed(spark: SparkSession, d: str) -> DataFrame:
+    """All five groups landed, all columns: nothing of the previous table is left."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    registry = nation.select(
+        F.col("n_name").alias("District"), F.concat(F.lit("County "), F.col("n_regionkey")).alias("County"),
+        F.lit(0.0).alias("Latitude"), F.lit(0.0).alias("Longitude"), F.lit("https://x.example").alias("Job_Link"),
+    )
+    previous = nation.select(
+        F.col("n_name").alias("District"), F.lit("FY0").alias("Finance_FY"), F.lit(-1.0).alias("Enrollment"), F.lit("1999").alias("Salary_Year")
+    )
+    crosswalk = nation.select(F.col("n_name").alias("entity"), F.col("n_nationkey").cast("string").alias("source_name"))
+    directory = table(spark, d, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("lea_name"), F.lit(1).alias("agency_type"), F.lit(1).alias("number_of_schools"),
+        F.col("s_acctbal").alias("teachers_total_fte"), F.lit(5.0).alias("enrollment"),
+    )
+    poverty = customer.select(F.col("c_nationkey").cast("string").alias("SD_NAME"), F.col("c_acctbal").cast("string").alias(context.POVERTY_RATE))
+    ledger = customer.select(
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("01")).otherwise(F.lit("1")).alias("FundCode"),
+        F.col("c_nationkey").cast("string").alias("DistrictName"), F.lit("FY25").alias("StateFY"), F.col("c_acctbal").cast("string").alias("SumOfAmount"),
+    )
+    landed = context.DistrictSources(
+        salary=nation.select(
+            F.col("n_name").alias("District"), (F.col("n_nationkey") * 10.0).alias("Teacher_Count"), F.lit(1.0).alias("Teacher_Salary_10th_Pctile"),
+            F.lit(2.0).alias("Teacher_Avg_Salary"), F.lit(3.0).alias("Teacher_Salary_90th_Pctile"), F.lit("2023-24").alias("Salary_Year"),
+        ),
+        staffing=context.teacher_staffing(directory, crosswalk, 2023),
+        county=_counties(spark, d),
+        poverty=context.child_poverty([poverty], crosswalk, 2022),
+        finance=context.general_fund_expenditure(ledger, crosswalk),
+    )
+    built = conform(context.district_context(registry, previous, landed), DISTRICT_CONTEXT)
+    places = {"Teachers_Total_FTE": 2, "Child_Poverty_Rate": 6, "Total_General_Fund_Expenditure": 2} | dict.fromkeys(_COUNTY_RATIOS, 9)
+    return built.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+@query(
+    "institution_context_landed",
+    f"""WITH {_SURVEY_SQL}, {_SALARY_SQL}, {_COUNTIES_SQL}, g AS (SELECT c_custkey AS unitid, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS r FROM customer)
+SELECT c_name AS Name, c.County, 0.0::DOUBLE AS Longitude, 0.0::DOUBLE AS Latitude, 'https://x.example' AS Link, p0.pay AS Faculty_Avg_Salary,
+       CASE WHEN c_custkey % 3 <> 0 THEN p0.pay * 2 END AS Faculty_Avg_Salary_Professor, CASE WHEN p0.n > 1 THEN CAST(p0.n AS DOUBLE) END AS Faculty_Count,
+       '2000' AS Salary_Year, '{context.HE_SALARY_TAG}' AS Salary_Source, p1.pay AS Faculty_Avg_Salary_Y1Ago, p2.pay AS Faculty_Avg_Salary_Y2Ago,
+       t0.e AS Enrollment, '2000' AS Enrollment_Year, round(CASE WHEN t5.e > 0 THEN (t0.e - t5.e) / t5.e END, 6) AS Enrollment_Change_Pct,
+       round(CASE WHEN t1.e > 0 THEN r / t1.e END, 9) AS Pell_Recipient_Share, '1999' AS Pell_Year,
+       Median_Household_Income, Median_Gross_Rent, Mining_Employment_Share, Population_Change_Pct, ACS_Year
+FROM customer JOIN c ON c.County = 'County ' || (c_nationkey % 5) JOIN g ON g.unitid = c_custkey
+  LEFT JOIN pay p0 ON p0.unitid = c_custkey AND p0.year = 2000 LEFT JOIN pay p1 ON p1.unitid = c_custkey AND p1.year = 1999
+  LEFT JOIN pay p2 ON p2.unitid = c_custkey AND p2.year = 1998 LEFT JOIN totals t0 ON t0.unitid = c_custkey AND t0.year = 2000
+  LEFT JOIN totals t1 ON t1.unitid = c_custkey AND t1.year = 1999 LEFT JOIN totals t5 ON t5.unitid = c_custkey AND t5.year = 1995""",
+)
+def institution_context_landed(spark: SparkSession, d: str) -> DataFrame:
+    """All six groups landed, all columns."""
+    customer, ids = table(spark, d, "customer"), _ids(spark, d)
+    registry = customer.select(
+        F.col("c_name").alias("Institution"), F.concat(F.lit("County "), F.col("c_nationkey") % 5).alias("County"),
+        F.lit(0.0).alias("Longitude"), F.lit(0.0).alias("Latitude"), F.lit("https://x.example").alias("Job_Link"),
+    )
+    previous = ids.select("Name", F.lit(0.5).alias("Pell_Recipient_Share"), F.lit("kept").alias("Pell_Year"), F.lit(-1.0).alias("Enrollment"))
+    salaries, enrolled = _salary_survey(spark, d), _enrollment_survey(spark, d)
+    grants = customer.select(
+        F.col("c_custkey").alias("unitid"), F.lit(4).alias("grant_type"), F.lit(1999).alias("year"), F.col("c_acctbal").alias("grant_recipients_unitid")
+    )
+    landed = context.InstitutionSources(
+        salary=context.faculty_salaries(salaries.filter("year = 2000"), ids, 2000),
+        salary_trend=context.salary_trend(salaries, ids, 2000),
+        enrollment=context.enrollment(enrolled.filter("year = 2000"), ids, 2000),
+        enrollment_trend=context.enrollment_trend(enrolled, ids, 2000),
+        pell=context.same_year_pell_share(grants, enrolled, ids, 2003),
+        county=_counties(spark, d),
+    )
+    built = conform(context.institution_context(registry, previous, landed), INSTITUTION_CONTEXT)
+    places = {"Enrollment_Change_Pct": 6, "Pell_Recipient_Share": 9} | dict.fromkeys(_COUNTY_RATIOS, 9)
+    return built.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 # -- health ------------------------------------------------------------------
 
 
