@@ -40,23 +40,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-K12_TITLES = [
-    "Math Teacher", "Special Education Teacher", "Resource Room Teacher", "Paraprofessional", "Route Bus Driver",
-    "Elementary Teacher - Part-Time", "Welding Instructor", "Substitute Teacher", "School Counselor",
-    "Pre-K Teacher", "Head Volleyball Coach", "Music Teacher", "Library Media Specialist", "Custodian",
-    "High School Principal", "Food Service Cook", "English Teacher", "ESL Teacher",
-    "Technology Education Teacher Assistant", "PE Teacher", "Art Teacher", "Biology Teacher",
-    "Business Teacher", "History Teacher", "STEM Teacher", "Gifted Teacher", "Virtual Teacher", "Desk Clerk",
-    "English as a Second Language Teacher", "Language Arts Coordinator Teacher", "Daycare Lead", "Astronaut",
-]
-HE_TITLES = [
-    "Adjunct Instructor, Music", "Custodian 1-Part-Time", "Part-Time Nursing Faculty", "Assistant Professor of Biology",
-    "Professor of Law", "Librarian", "Student Worker - Gym", "Registered Nurse", "Pooled Position - Grounds",
-    "Administrative Associate III", "Academic Advisor II", "Sous Chef", "Admissions Coordinator", "Dean of Students",
-    "Head Coach", "Accountant II", "Research Scientist", "Network Specialist", "Plumber", "Lifeguard",
-    "Director of Facilities", "Astronomer", "Lecturer in Computer Science", "Welding Instructor",
-    "Instructor of Spanish", "Extension Educator", "Math Instructor", "Economics Professor", "Theatre Lecturer",
-]
+# Title -> the position, subject and broad category it must get.
+K12_EXPECTED = {
+    "Math Teacher": ("Teacher", "Mathematics Education", "Math"),
+    "Special Education Teacher": ("Teacher", "Special Education - General", "Special Education - General"),
+    "Resource Room Teacher": ("Teacher", "Special Education - Resource/Life Skills", "Special Education - Resource/Life Skills"),
+    "Paraprofessional": ("Paraprofessional", "Uncategorized", "Other"),
+    "Route Bus Driver": ("Transportation", "Uncategorized", "Other"),
+    "Elementary Teacher - Part-Time": ("Part-Time Teacher", "Elementary Education", "Elementary"),
+    "Welding Instructor": ("Teacher", "Technical Education", "CTE - Trades, Ag & Technical"),
+    "Substitute Teacher": ("Substitute", "Substitute Teaching", "Other"),
+    "School Counselor": ("Support Services", "Uncategorized", "Other"),
+    "Pre-K Teacher": ("Teacher", "Early Childhood Education", "Early Childhood"),
+    "Head Volleyball Coach": ("Athletics", "Uncategorized", "Other"),
+    "Music Teacher": ("Teacher", "Music Education", "Music"),
+    "Library Media Specialist": ("Teacher", "Library Media", "Library Media"),
+    "Custodian": ("Custodial/Maintenance", "Uncategorized", "Other"),
+    "High School Principal": ("Administration", "Uncategorized", "Other"),
+    "Food Service Cook": ("Food Services", "Uncategorized", "Other"),
+    "English Teacher": ("Teacher", "English Language Arts Education", "English Language Arts Secondary"),
+    "ESL Teacher": ("Teacher", "Language Education", "Language"),
+    "Technology Education Teacher Assistant": ("Teacher", "Uncategorized", "Other"),
+    "PE Teacher": ("Teacher", "Physical Education", "Physical Education"),
+    "Art Teacher": ("Teacher", "Art Teacher", "Art"),
+    "Biology Teacher": ("Teacher", "Science Education", "Science"),
+    "Business Teacher": ("Teacher", "Business and Economics", "CTE - Business & Family Sciences"),
+    "History Teacher": ("Teacher", "Social Studies Education", "Secondary Social Studies"),
+    "STEM Teacher": ("Teacher", "STEM Teacher", "Science"),
+    "Gifted Teacher": ("Teacher", "Gifted and Talented", "Gifted and Talented"),
+    "Virtual Teacher": ("Teacher", "Virtual Education", "Other"),
+    "Desk Clerk": ("Staff", "Uncategorized", "Other"),
+    "English as a Second Language Teacher": ("Teacher", "Elementary Education", "Elementary"),
+    "Language Arts Coordinator Teacher": ("Teacher", "Uncategorized", "Other"),
+    "Daycare Lead": ("Child Care", "Uncategorized", "Other"),
+    "Astronaut": ("Other", "Uncategorized", "Other"),
+}
+# Title -> the job type, category and appointment it must get.
+HE_EXPECTED = {
+    "Adjunct Instructor, Music": ("Adjunct/Part-Time Faculty", "The Arts", "Adjunct/part-time faculty"),
+    "Custodian 1-Part-Time": ("Support Services", "Uncategorized", "Adjunct/part-time faculty"),
+    "Part-Time Nursing Faculty": ("Adjunct/Part-Time Faculty", "CTE - Health Sciences", "Adjunct/part-time faculty"),
+    "Assistant Professor of Biology": ("Instructor/Teacher/Faculty", "Science", "Faculty/instructor (non-adjunct)"),
+    "Professor of Law": ("Instructor/Teacher/Faculty", "Legal", "Faculty/instructor (non-adjunct)"),
+    "Librarian": ("Instructor/Teacher/Faculty", "Library", "Faculty/instructor (non-adjunct)"),
+    "Student Worker - Gym": ("Student Positions", "Uncategorized", "Other / not faculty"),
+    "Registered Nurse": ("Healthcare", "Uncategorized", "Other / not faculty"),
+    "Pooled Position - Grounds": ("Temporary Position", "Uncategorized", "Other / not faculty"),
+    "Administrative Associate III": ("Staff", "Uncategorized", "Other / not faculty"),
+    "Academic Advisor II": ("Advising and Student Services", "Uncategorized", "Other / not faculty"),
+    "Sous Chef": ("Culinary", "Uncategorized", "Other / not faculty"),
+    "Admissions Coordinator": ("Professional", "Uncategorized", "Other / not faculty"),
+    "Dean of Students": ("Administration", "Uncategorized", "Other / not faculty"),
+    "Head Coach": ("Coaching or Athletics", "Uncategorized", "Other / not faculty"),
+    "Accountant II": ("Accounting/Finance", "Uncategorized", "Other / not faculty"),
+    "Research Scientist": ("Research & Science", "Uncategorized", "Other / not faculty"),
+    "Network Specialist": ("Technical", "Uncategorized", "Other / not faculty"),
+    "Plumber": ("Maintenance & Service", "Uncategorized", "Other / not faculty"),
+    "Lifeguard": ("Support Services", "Uncategorized", "Other / not faculty"),
+    "Director of Facilities": ("Maintenance & Service", "Uncategorized", "Other / not faculty"),
+    "Astronomer": ("Other", "Uncategorized", "Other / not faculty"),
+    "Lecturer in Computer Science": ("Instructor/Teacher/Faculty", "CTE - Business & Computing", "Faculty/instructor (non-adjunct)"),
+    "Welding Instructor": ("Instructor/Teacher/Faculty", "CTE - Trades & Engineering", "Faculty/instructor (non-adjunct)"),
+    "Instructor of Spanish": ("Instructor/Teacher/Faculty", "Language", "Faculty/instructor (non-adjunct)"),
+    "Extension Educator": ("Instructor/Teacher/Faculty", "Extension/Outreach", "Faculty/instructor (non-adjunct)"),
+    "Math Instructor": ("Instructor/Teacher/Faculty", "Math", "Faculty/instructor (non-adjunct)"),
+    "Economics Professor": ("Instructor/Teacher/Faculty", "CTE - Business & Computing", "Faculty/instructor (non-adjunct)"),
+    "Theatre Lecturer": ("Instructor/Teacher/Faculty", "The Arts", "Faculty/instructor (non-adjunct)"),
+}
+K12_TITLES, HE_TITLES = list(K12_EXPECTED), list(HE_EXPECTED)
 
 
 def sql_list(values: list[str]) -> str:
@@ -176,3 +227,8 @@ def sql_map(column: str, labels: dict[str, str], default: str) -> str:
     quote = lambda s: s.replace("'", "''")
     whens = " ".join(f"WHEN '{quote(k)}' THEN '{quote(v)}'" for k, v in labels.items())
     return f"CASE {column} {whens} ELSE {default} END"
+
+
+def sql_expected(column: str, expected: dict[str, tuple[str, ...]], place: int) -> str:
+    """The expected label of a fixed title, independent of the rules that are put to the test."""
+    return sql_map(column, {title: labels[place] for title, labels in expected.items()}, "'unknown title'")

@@ -8,13 +8,16 @@ from ..functions import dates, numbers, rules, signals, text, urls
 from ..operators import quality
 from .base import (
     EVENTS_SQL,
+    HE_EXPECTED,
     HE_SQL,
+    K12_EXPECTED,
     K12_SQL,
     events,
     he_rows,
     k12_rows,
     query,
     sql_case,
+    sql_expected,
     sql_map,
     table,
 )
@@ -207,33 +210,16 @@ def timeline_note(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "classify_position",
     f"""WITH {K12_SQL}
-SELECT seq, title, {sql_case("title", rules.K12_POSITION_RULES, rules.K12_POSITION_DEFAULT)} AS position FROM k12""",
+SELECT seq, title, {sql_expected("title", K12_EXPECTED, 0)} AS position FROM k12""",
 )
 def classify_position(spark: SparkSession, d: str) -> DataFrame:
     return k12_rows(spark, d).select("seq", "title", rules.k12_position("title").alias("position"))
 
 
-# RE2 has no lookaheads: the same rules with the exclusions written as words to the right.
-_SUBJECT_SQL_RULES = [
-    (label, pattern.replace("(?!nomy)", "").replace("(?!indergarten)", ""))
-    for label, pattern in rules.K12_SUBJECT_RULES
-]
-_SUBJECT_SQL = (
-    sql_case("t", _SUBJECT_SQL_RULES, rules.K12_SUBJECT_DEFAULT)
-    .replace("(?! Teacher Assistant)", "")
-    .replace(r"(?!\s+as\s+a\s+Second\s+Language|\s+Learner|\s+Language\s+Learner)", "")
-    .replace(r"(?!\s*Coordinator)", "")
-)
-
-
 @query(
     "classify_subject",
-    f"""WITH {K12_SQL}, masked AS (
-  SELECT seq, title, replace(replace(replace(title, 'Technology Education Teacher Assistant', 'x'),
-         'Language Arts Coordinator', 'x'), 'English as a Second Language', 'as a Second Language') AS t
-  FROM k12), c AS (
-  SELECT seq, title, {_SUBJECT_SQL} AS subject FROM masked), b AS (
-  SELECT *, {sql_map("subject", rules.K12_BROAD_CATEGORY, "'Other'")} AS broad FROM c), s AS (
+    f"""WITH {K12_SQL}, b AS (
+  SELECT seq, {sql_expected("title", K12_EXPECTED, 1)} AS subject, {sql_expected("title", K12_EXPECTED, 2)} AS broad FROM k12), s AS (
   SELECT *, {sql_map("broad", rules.K12_SHORT_LABELS, "broad")} AS short_label FROM b)
 SELECT seq, subject, broad, short_label, {sql_map("short_label", rules.K12_COLLAPSED, "short_label")} AS collapsed FROM s""",
 )
@@ -250,10 +236,9 @@ def classify_subject(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "classify_he",
     f"""WITH {HE_SQL}
-SELECT Link, {sql_case("Title", rules.HE_JOB_TYPE_RULES, rules.HE_JOB_TYPE_DEFAULT)} AS job_type,
-       {sql_case("Title", rules.HE_CATEGORY_RULES, rules.HE_CATEGORY_DEFAULT)} AS category,
-       {sql_map(sql_case("Title", rules.HE_CATEGORY_RULES, rules.HE_CATEGORY_DEFAULT), rules.HE_COLLAPSED, "'Uncategorized'")} AS collapsed,
-       {sql_case("Title", rules.HE_APPOINTMENT_RULES, rules.OTHER_APPOINTMENT)} AS appointment
+SELECT Link, {sql_expected("Title", HE_EXPECTED, 0)} AS job_type, {sql_expected("Title", HE_EXPECTED, 1)} AS category,
+       {sql_map(sql_expected("Title", HE_EXPECTED, 1), rules.HE_COLLAPSED, "'Uncategorized'")} AS collapsed,
+       {sql_expected("Title", HE_EXPECTED, 2)} AS appointment
 FROM he""",
 )
 def classify_he(spark: SparkSession, d: str) -> DataFrame:

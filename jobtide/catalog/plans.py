@@ -18,8 +18,10 @@ from ..sources.shape import k12_posting
 from ..streaming.snapshots import follow_snapshots
 from .base import (
     EVENTS_SQL,
+    HE_EXPECTED,
     HE_SQL,
     IDENTITY_SQL,
+    K12_EXPECTED,
     K12_TITLES,
     events,
     he_rows,
@@ -27,22 +29,18 @@ from .base import (
     pick,
     query,
     scratch,
-    sql_case,
+    sql_expected,
     sql_list,
     sql_map,
     table,
 )
-from .functions import _SUBJECT_SQL
 
 # -- the K-12 build ----------------------------------------------------------
 
-_POSITION_SQL = sql_case("title", rules.K12_POSITION_RULES, rules.K12_POSITION_DEFAULT)
-# Classified once per distinct title, and joined back.
-_TEACHERS_SQL = f"""{IDENTITY_SQL}, titles AS (SELECT DISTINCT title, replace(replace(replace(title,
-    'Technology Education Teacher Assistant', 'x'), 'Language Arts Coordinator', 'x'),
-    'English as a Second Language', 'as a Second Language') AS t, {_POSITION_SQL} AS position FROM kept),
-subjects AS (SELECT title, position, {_SUBJECT_SQL} AS Category FROM titles),
-classes AS (SELECT *, {sql_map("Category", rules.K12_BROAD_CATEGORY, "'Other'")} AS Broad_Category FROM subjects),
+_POSITION_SQL = sql_expected("title", K12_EXPECTED, 0)
+_TEACHERS_SQL = f"""{IDENTITY_SQL}, titles AS (SELECT DISTINCT title, {_POSITION_SQL} AS position FROM kept),
+subjects AS (SELECT title, position, {sql_expected("title", K12_EXPECTED, 1)} AS Category FROM titles),
+classes AS (SELECT *, {sql_expected("title", K12_EXPECTED, 2)} AS Broad_Category FROM subjects),
 teachers AS (SELECT * FROM kept JOIN classes USING (title) WHERE position = 'Teacher'),
 parts AS (SELECT Broad_Category, Archive_Date, District, count(DISTINCT Posting_ID) AS sum FROM teachers GROUP BY ALL),
 allsum AS (SELECT Broad_Category, Archive_Date, coalesce(District, 'Total') AS District, CAST(sum(sum) AS BIGINT) AS sum
@@ -136,7 +134,7 @@ united AS (SELECT title, day, place, District, 'direct' AS kind, event_id FROM r
 UNION ALL SELECT title, day, place, place, 'feed', event_id FROM rows WHERE event_type = 'click' AND NOT EXISTS (
   SELECT 1 FROM known WHERE known.city = rows.place AND known.tkey = regexp_replace(lower(rows.title), '[^a-z0-9]+', ' ', 'g')
     AND known.day = rows.day))
-SELECT title, {sql_case("title", rules.K12_POSITION_RULES, "Other")} AS position, day AS date_posted, place AS location,
+SELECT title, {_POSITION_SQL} AS position, day AS date_posted, place AS location,
        regexp_replace(District, '^District 1$', 'First District') AS District, DATE '2024-02-01' AS Archive_Date, count(*) AS n, count(*) AS ids
 FROM united GROUP BY ALL""",
 )
@@ -181,9 +179,8 @@ def counts_without_district(spark: SparkSession, d: str) -> DataFrame:
 
 # -- the higher-ed build -----------------------------------------------------
 
-_HE_SQL = f"""{HE_SQL}, titles AS (SELECT DISTINCT Title, {sql_case("Title", rules.HE_JOB_TYPE_RULES, "Other")} AS Job_Type,
-    {sql_case("Title", rules.HE_CATEGORY_RULES, "Uncategorized")} AS Category,
-    {sql_case("Title", rules.HE_APPOINTMENT_RULES, rules.OTHER_APPOINTMENT)} AS Appointment FROM he),
+_HE_SQL = f"""{HE_SQL}, titles AS (SELECT DISTINCT Title, {sql_expected("Title", HE_EXPECTED, 0)} AS Job_Type,
+    {sql_expected("Title", HE_EXPECTED, 1)} AS Category, {sql_expected("Title", HE_EXPECTED, 2)} AS Appointment FROM he),
 faculty AS (SELECT he.*, Job_Type, Category FROM he JOIN titles USING (Title)
     WHERE Job_Type IN ('Instructor/Teacher/Faculty', 'Adjunct/Part-Time Faculty')),
 hesum AS (SELECT Category, Archive_Date, CASE WHEN grouping(Institution) = 1 THEN 'Total' ELSE Institution END AS Institution,
