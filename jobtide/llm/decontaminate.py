@@ -119,7 +119,8 @@ def _search(docs: DataFrame, phrases: Phrases, keep: list[str], again: bool) ->
         base = np.searchsorted(words.rows, np.arange(n + 1))
         hit, items = occurrences(words, n, shared.value)
         if again:  # what the blocks before this one have found
-            for row, (spans, names) in enumerate(zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+            before = zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            for row, (spans, names) in enumerate(before):
                 items[row] |= set(names)
                 for span in spans:
                     hit[base[row] + span["start"] : base[row] + span["end"]] = True
@@ -163,7 +164,9 @@ def find_contamination(
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block")
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+        "text",
+        F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"),
     )
     found = docs
     for block in range(blocks):

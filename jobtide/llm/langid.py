@@ -82,11 +82,13 @@ def language_model(docs: DataFrame, least_documents: int = 20) -> tuple[list[str
                     rows[name] = rows.get(name, 0) + int(mine.sum())
         for name, total in totals.items():
             some = np.flatnonzero(total)
-            columns = [pa.array([name] * (len(some) + 1)), pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], rows[name]))]
+            buckets, counts = np.append(some, -1).astype(np.int32), np.append(total[some], rows[name])
+            columns = [pa.array([name] * len(buckets)), pa.array(buckets), pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
     labelled = docs.where(F.col("lang").isNotNull()).select("text", "lang")
-    counted = labelled.mapInArrow(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    partial = labelled.mapInArrow(run, "lang string, bucket int, n double")
+    counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, buckets, n = (counted.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
     languages = sorted(str(x) for x in names[(buckets < 0) & (n >= least_documents)])
     table = np.full((len(languages), BUCKETS), 0.5)
@@ -108,10 +110,11 @@ def _evidence(pages: DataFrame, table: np.ndarray, overlap: float) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 raw = [x or "" for x in part.column("text").to_pylist()]
-                likely = trigrams(*text_bytes(pa.array([page_text(x) for x in raw], pa.large_string()))) @ shared.value.T / overlap
+                texts = pa.array([page_text(x) for x in raw], pa.large_string())
+                likely = (trigrams(*text_bytes(texts)) @ shared.value.T / overlap).astype(float)
                 found = [_DECLARED.search(x) for x in raw]
                 declared = pa.array([m[1].lower() if m else "" for m in found], pa.string())
-                columns = [part.column("page_id"), part.column("url"), declared, pa.array(likely.astype(float).tolist(), pa.list_(pa.float64()))]
+                columns = [part.column("page_id"), part.column("url"), declared, pa.array(likely.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "declared", "likely"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -130,7 +133,9 @@ def _sums(soft: Column, width: int) -> list[Column]:
     return [F.array(*[F.sum(soft[i]) for i in range(width)]).alias("soft"), F.sum("n").alias("n")]
 
 
-def identify(pages: DataFrame, docs: DataFrame, *, strength: float = 5.0, overlap: float = 3.0, least_documents: int = 20) -> DataFrame:
+def identify(
+    pages: DataFrame, docs: DataFrame, *, strength: float = 5.0, overlap: float = 3.0, least_documents: int = 20
+) -> DataFrame:
     """page_id, host, declared, text_lang, lang, confidence and posterior (by language) for every page.
 
     Languages are those of ``docs.lang``.  text_lang is the text's choice alone, lang that of all evidence;
@@ -147,38 +152,52 @@ def identify(pages: DataFrame, docs: DataFrame, *, strength: float = 5.0, overla
     if not width:
         nothing = F.lit(None).cast("string")
         return work.finish(
-            pages.select("page_id", host.alias("host"), F.lit("").alias("declared"), nothing.alias("text_lang"), nothing.alias("lang"),
-                         F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,double>").alias("posterior"))
+            pages.select(
+                "page_id", host.alias("host"), F.lit("").alias("declared"), nothing.alias("text_lang"), nothing.alias("lang"),
+                F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,double>").alias("posterior"),
+            )
         )
-    seen = _evidence(pages, table, overlap).withColumn("host", host).withColumn("soft", _normal(F.col("likely"))).withColumn("n", F.lit(1.0))
     seen = work.settle(
-        seen.select("page_id", "declared", "likely", "soft", "n", "host",
-                    F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix")),
+        _evidence(pages, table, overlap).select(
+            "page_id", "declared", "likely",
+            _normal(F.col("likely")).alias("soft"),
+            F.lit(1.0).alias("n"),
+            host.alias("host"),
+            F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+            F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"),
+        ),
         "seen",
     )
     sums = _sums(F.col("soft"), width)
     hosts = work.settle(seen.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
-    domains, suffixes, whole = hosts.groupBy("domain").agg(*sums), hosts.groupBy("suffix").agg(*sums), hosts.agg(*sums).first()
+    domains, suffixes = hosts.groupBy("domain").agg(*sums), hosts.groupBy("suffix").agg(*sums)
+    whole = hosts.agg(*sums).first()
     total, pages_seen = np.array(whole["soft"] if whole["n"] else [0.0] * width), whole["n"] or 0.0
     share = ((total + 1) / (pages_seen + width)).tolist()
     literal = lambda values: F.array(*map(F.lit, values))
     # Shares of each language, from the whole down to the host (whose own page is taken out later).
-    domain_share = F.zip_with("soft", literal(share), lambda s, up: (s + strength * up) / (F.col("n") + strength)).alias("domain_share")
-    priors = hosts.join(domains.select("domain", domain_share), "domain").select("host", F.col("soft").alias("h_soft"), F.col("n").alias("h_n"), "domain_share")
+    domain_share = F.zip_with("soft", literal(share), lambda s, up: (s + strength * up) / (F.col("n") + strength))
+    priors = hosts.join(domains.select("domain", domain_share.alias("domain_share")), "domain").select(
+        "host", F.col("soft").alias("h_soft"), F.col("n").alias("h_n"), "domain_share"
+    )
     declared = seen.groupBy("declared").agg(*sums).select("declared", F.col("soft").alias("d_soft"), F.col("n").alias("d_n"))
     suffixes = suffixes.select("suffix", F.col("soft").alias("s_soft"), F.col("n").alias("s_n"))
     every = seen.join(priors, "host").join(declared, "declared").join(suffixes, "suffix")
     own = F.col("soft")
-    at_host = F.zip_with(F.zip_with("h_soft", own, lambda s, p: s - p), "domain_share", lambda s, up: (s + strength * up) / (F.col("h_n") - 1 + strength))
+    without = lambda sums: F.zip_with(sums, own, lambda s, p: s - p)
+    others = F.col("h_n") - 1
+    at_host = F.zip_with(without("h_soft"), "domain_share", lambda s, up: (s + strength * up) / (others + strength))
 
     def given_language(soft: str, n: str) -> Column:
         """P(mark | language) without the page itself, smoothed towards the mark's share of all pages."""
         mark = F.col(n) / F.lit(max(pages_seen, 1.0))
-        left = F.zip_with(F.zip_with(F.col(soft), own, lambda s, p: s - p), F.zip_with(literal(total.tolist()), own, lambda t, p: t - p), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-        return F.transform(left, lambda x: (F.greatest(x["s"], F.lit(0.0)) + strength * mark) / (F.greatest(x["t"], F.lit(0.0)) + strength))
+        positive = lambda x: F.greatest(x, F.lit(0.0))
+        with_mark, pages_of = without(soft), without(literal(total.tolist()))
+        return F.zip_with(with_mark, pages_of, lambda s, t: (positive(s) + strength * mark) / (positive(t) + strength))
 
     log = lambda values: F.transform(values, lambda x: F.log(F.greatest(x, F.lit(1e-12))))
-    fused = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [F.col("likely"), log(at_host), log(given_language("d_soft", "d_n")), log(given_language("s_soft", "s_n"))])
+    evidence = [F.col("likely"), log(at_host), log(given_language("d_soft", "d_n")), log(given_language("s_soft", "s_n"))]
+    fused = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), evidence)
     names = literal(languages)
     best = lambda values: F.get(names, (F.array_position(values, F.array_max(values)) - 1).cast("int"))
     judged = every.withColumn("fused", fused).withColumn("p", F.transform(_normal(F.col("fused")), lambda x: F.round(x, 6)))

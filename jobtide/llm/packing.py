@@ -129,8 +129,9 @@ def pieces(
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(owner)) for c in kept] + columns, names=kept + new)
 
-    kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["piece int", "start long", "length long", "ids_crc32 long"])
-    return docs.select(*dict.fromkeys([f"`{c}`" for c in [*kept, "text"]])).mapInArrow(run, kinds)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    kinds += ["piece int", "start long", "length long", "ids_crc32 long"]
+    return docs.select(*dict.fromkeys([f"`{c}`" for c in [*kept, "text"]])).mapInArrow(run, ", ".join(kinds))
 
 
 def pack(
@@ -151,10 +152,11 @@ def pack(
     pieces whatever the size of the corpus; a group wastes at most its few last sequences.
     """
     work = Workspace(docs.sparkSession, "pack")
-    cut = work.settle(
-        pieces(docs, keep, vocabulary, ranks, capacity, closing_id).withColumn("_row", F.monotonically_increasing_id()), "pieces"
-    )
-    names = [c for c in cut.columns if c != "_row"]
+    new = ["piece", "start", "length", "ids_crc32"]
+    kept = {f"in_{i}": c for i, c in enumerate(c for c in keep if c not in (*new, "sequence_id", "offset"))}
+    named = docs.select(*[F.col(f"`{c}`").alias(name) for name, c in kept.items()], "text")
+    numbered = pieces(named, list(kept), vocabulary, ranks, capacity, closing_id)
+    cut = work.settle(numbered.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     short = cut.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_pieces))
 
@@ -171,7 +173,8 @@ def pack(
         .applyInArrow(pack_group, "_row long, _packed long, _offset long")
     )
     joined = cut.join(placed, "_row", "left").select(
-        *[f"`{c}`" for c in names],
+        *[F.col(name).alias(c) for name, c in kept.items()],
+        *new,
         F.coalesce("_packed", F.col("_row") * 2).alias("sequence_id"),
         F.coalesce("_offset", F.lit(0).cast("long")).alias("offset"),
     )

@@ -42,7 +42,11 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
             good, parts = _integers(batch.column(1))
             norms = [float(np.sqrt((x.astype(float) ** 2).sum())) for x in parts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(good)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(norms, pa.float64())],
+                [
+                    batch.column(0).take(pa.array(good)),
+                    pa.array([x.tobytes() for x in parts], pa.binary()),
+                    pa.array(norms, pa.float64()),
+                ],
                 names=["vec_id", "v", "norm"],
             )
 
@@ -126,8 +130,9 @@ def top_products(
     reach = spark.sparkContext.broadcast((known.column("bucket").to_numpy(), known.column("longest").to_numpy()))
     # Seeds: the longest vectors. Each query's k-th best product with them must be reached.
     longest = own.orderBy(F.desc("norm"), "vec_id", "v").limit(seeds).select("vec_id", "v", "norm").toArrow()
+    lead = _matrix(longest.column("v")) if len(longest) else None
     seed = spark.sparkContext.broadcast(
-        (longest.column("vec_id").to_numpy(), _matrix(longest.column("v")) if len(longest) else None, max(longest.column("norm").to_pylist(), default=0.0))
+        (longest.column("vec_id").to_numpy(), lead, max(longest.column("norm").to_pylist(), default=0.0))
     )
 
     def thresholds(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +158,8 @@ def top_products(
         queries.withColumn("bucket", F.explode("buckets"))
         .join(F.broadcast(buckets.select("bucket", "blocks")), "bucket")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"), "bucket", "part", "vec_id", "v", "norm", "least")
+        .withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
+        .select("q_block", "bucket", "part", "vec_id", "v", "norm", "least")
     )
     asked = work.settle(asked, "asked")
     wanted = asked.select("q_block", "bucket", "part").distinct()
@@ -166,9 +172,10 @@ def top_products(
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({name: pa.array([], pa.int64()) for name in ("query_id", "vec_id", "score")})
         right = right.sort_by([("norm", "descending"), ("vec_id", "ascending")])
-        q_ids, q, q_norms, least = left.column("vec_id").to_numpy(), _matrix(left.column("v")), left.column("norm").to_numpy(), left.column("least").to_numpy()
+        q_ids, q, q_norms = left.column("vec_id").to_numpy(), _matrix(left.column("v")), left.column("norm").to_numpy()
+        least = left.column("least").to_numpy()
         ids, v, norms = right.column("vec_id").to_numpy(), _matrix(right.column("v")), right.column("norm").to_numpy()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(q)):

@@ -128,15 +128,15 @@ def words_of(flat: np.ndarray, bounds: np.ndarray, stems: tuple[int, ...] = ())
     return Words(hashes, np.searchsorted(bounds, starts, side="right") - 1, starts, ends, leading)
 
 
-def batches(frames: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose texts hold about ``limit`` bytes (at least one row each)."""
+def batches(frames: Iterator[pa.RecordBatch], limit: int = 2 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``rows`` rows whose texts hold about ``limit`` bytes (at least one row each)."""
     for batch in frames:
         if not batch.num_rows:
             continue
         column = batch.column("text").cast(pa.large_string())
         lengths = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1])
-        slot = np.cumsum(lengths + 64) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
+        by_size, by_row = np.cumsum(lengths) // limit, np.arange(batch.num_rows) // rows
+        cuts = [0, *(np.flatnonzero(np.diff(by_size) | np.diff(by_row)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)

@@ -54,7 +54,7 @@ def fixture(spark):
 
 def test_classes_equal_brute_force(spark, fixture):
     texts, ids = fixture
-    docs = H.documents(spark, texts, ids=ids, schema=H.DOC + ", id int, bucket int", extra=(1, 2)).repartition(5)
+    docs = H.documents(spark, texts, ids=ids, schema=H.DOC + ", id int, hi int, first int, in_0 int", extra=(1, 2, 3, 4)).repartition(5)
     want_of = H.duplicate_classes(list(zip(ids, texts, strict=True)))
     members = {}
     for position, top in want_of.items():

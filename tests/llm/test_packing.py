@@ -36,8 +36,9 @@ def test_the_tree_finds_what_a_linear_search_finds(lengths, capacity):
 
 def test_round_trip_of_ids(spark):
     texts = ["", None, "one two", "é ß 中文 😀 <|endoftext|> x", "word and more " * 1500, "a" * 5000, "twin", "twin", " ".join(["x1"] * 1023)]
-    docs = H.documents(spark, texts, ids=[*range(7), 6, None], schema=H.DOC + ", piece string, offset int", extra=("p", 3))
-    rows = packing.pack(docs, ["doc_id", "piece"], group_pieces=4).collect()
+    docs = H.documents(spark, texts, ids=[*range(7), 6, None], schema=H.DOC + ", piece string, _row int", extra=("p", 3))
+    rows = packing.pack(docs, ["doc_id", "piece", "_row"], group_pieces=4).collect()
+    assert {r["_row"] for r in rows} == {3}
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for doc_id, text in {i: t for i, t in zip([*range(7), None], [*texts[:7], texts[8]], strict=True)}.items():
         ids = np.array(full.encode(text or "", add_special_tokens=False).ids + [2], "<u4")

@@ -35,5 +35,6 @@ def test_segments_do_not_change_words(monkeypatch):
 
 def test_slices_keep_all_rows_in_order():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (0, 10, 5000, 1, 1, 3000)], "n": [0, 1, 2, 3, 4, 5]})
-    got = [x for part in W.batches(iter([batch, batch.slice(0, 0)]), limit=1000) for x in part.column("n").to_pylist()]
-    assert got == [0, 1, 2, 3, 4, 5]
+    parts = list(W.batches(iter([batch, batch.slice(0, 0)]), limit=1000, rows=2))
+    assert [x for part in parts for x in part.column("n").to_pylist()] == [0, 1, 2, 3, 4, 5]
+    assert max(part.num_rows for part in parts) == 2
