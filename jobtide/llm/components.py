@@ -15,6 +15,12 @@ def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
     return edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _flatter(parent: DataFrame) -> DataFrame:
+    """Every node under its root's root."""
+    above = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return parent.join(above, "root").select("node", F.col("top").alias("root"))
+
+
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """node, root (the smallest node of its component) for every node that has an edge (columns a, b).
 
@@ -23,28 +29,24 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     edges lie before anything is shuffled, and no list of neighbours is ever made.
     """
     a, b = F.col("a"), F.col("b")
-    open_ = work.settle(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), f"{name}-0")
-    found, step = None, 0
+    ordered = edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    open_, trees = work.settle_narrow(ordered.distinct(), f"{name}-edges-0"), []
     while not open_.isEmpty():
-        step += 1
+        step = len(trees) + 1
         both = open_.unionByName(open_.select(b.alias("a"), a.alias("b")))
-        parent = both.groupBy(a.alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root"))
-        parent, jump = work.settle(parent, f"{name}-{step}-tree-0"), 0
+        smallest = both.groupBy(a.alias("node")).agg(F.min("b").alias("root"))
+        parent, depth = smallest.select("node", F.least("node", "root").alias("root")), 0
         while True:
-            jump += 1
+            parent, depth = work.settle_narrow(_flatter(_flatter(parent)), f"{name}-tree-{step}-{depth}"), depth + 1
             above = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            flatter = work.settle(parent.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), f"{name}-{step}-tree-{jump}")
-            moved = not flatter.where("moved").isEmpty()
-            work.drop(f"{name}-{step}-tree-{jump - 1}")
-            parent = flatter.select("node", "root")
-            if not moved:
+            if parent.join(above, "root").where(F.col("top") != F.col("root")).isEmpty():
                 break
-        if found is None:
-            found = parent
-        else:
-            later = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = work.settle(found.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{name}-{step}-found")
-        open_ = work.settle(_relabel(open_, parent), f"{name}-{step}")
-    if found is None:
-        found = open_.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return found
+        trees.append(parent)
+        open_ = work.settle_narrow(_relabel(open_, parent), f"{name}-edges-{step}")
+    if not trees:
+        return open_.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = trees[0]
+    for later in trees[1:]:
+        later = later.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        found = found.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return work.settle_narrow(found, name)

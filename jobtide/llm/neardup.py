@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bagminhash import PLACES, compact, shingles, signatures, similarity
 from .components import components
@@ -41,6 +41,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *text_keys()).mapInArrow(run, f"doc_id {kind}, hi long, lo long, worded boolean, places binary")
 
 
+#: A row's text and id.  Joining and de-duplicating by the same columns takes one shuffle of the texts.
+_KEY = ["hi", "lo", "doc", "no_doc"]
+
+
+def _doc_key() -> list[Column]:
+    """doc_id as columns without nulls."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.col("doc_id").isNull().alias("no_doc")]
+
+
 def _bands(texts: DataFrame) -> DataFrame:
     """id, bucket for each band of each text: four places of 16 bits make a bucket's number."""
 
@@ -49,7 +58,8 @@ def _bands(texts: DataFrame) -> DataFrame:
         for batch in frames:
             places = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint64).reshape(-1, BANDS)
             ids = np.repeat(batch.column("id").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix(places ^ salts).reshape(-1).view(np.int64))], names=["id", "bucket"])
+            buckets = mix(places ^ salts).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(buckets)], names=["id", "bucket"])
 
     return texts.where("worded").select("id", "places").mapInArrow(run, "id long, bucket long")
 
@@ -72,7 +82,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 known = dict(zip(a + b, batch.column("a_text").to_pylist() + batch.column("b_text").to_pylist(), strict=True))
                 sets = dict(zip(known, _multisets(list(known.values())), strict=True))
                 good = [i for i in range(len(a)) if similarity(sets[a[i]], sets[b[i]]) >= threshold]
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], names=["a", "b"])
+                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"{end}_text")), end)
@@ -164,15 +174,15 @@ def near_duplicates(
     a, b = F.least("id", "centre"), F.greatest("id", "centre")
     star = members.join(centre, "bucket").where("id <> centre").select(a.alias("a"), b.alias("b")).distinct()
     # Whole texts of the members: of each text, the row with the smallest doc_id.
-    wanted = members.select("id").distinct().join(texts.select("id", "hi", "lo", "doc_id"), "id")
-    keyed = docs.select(*text_keys(), "doc_id", "text")
-    same = (F.col("k.hi") == F.col("w.hi")) & (F.col("k.lo") == F.col("w.lo")) & F.col("k.doc_id").eqNullSafe(F.col("w.doc_id"))
-    found = keyed.alias("k").join(wanted.alias("w"), same).select("w.id", "k.text").dropDuplicates(["id"])
-    bodies = work.settle(found, "bodies")
+    wanted = members.select("id").distinct().join(texts.select("id", *_KEY[:2], *_doc_key()), "id")
+    bodies = docs.select("text", *text_keys(), *_doc_key()).join(wanted, _KEY).dropDuplicates(_KEY)
+    bodies = work.settle(bodies.select("id", "text"), "bodies")
     links = work.settle(_verify(star, bodies, threshold), "links")
     joined = components(work, links, "star")
     # Buckets that still hold different classes; of two members the star has compared both.
-    labelled = members.join(joined, members["id"] == joined["node"], "left").select("bucket", "id", "members", F.coalesce("root", "id").alias("class"))
+    labelled = members.join(joined, members["id"] == joined["node"], "left").select(
+        "bucket", "id", "members", F.coalesce("root", "id").alias("class")
+    )
     mixed = (
         labelled.where("members > 2").groupBy("bucket")
         .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("id").alias("first")).where("low <> high")
@@ -191,8 +201,9 @@ def near_duplicates(
             "dealt",
         )
         met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "class", "places", "text"
-        )
+            "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            "block", "id", "class", "places", "text",
+        )
         more = met.groupBy("root", "low", "high").applyInArrow(lambda t: _across(t, threshold, agreement), "a long, b long")
         links = links.unionByName(work.settle(more, "more"))
         joined = components(work, links, "all")
@@ -217,7 +228,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     work, classes = near_duplicates(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hi", "lo")).alias("first")
     chosen = work.settle(classes.groupBy("class").agg(first).select("first.doc_id", "first.hi", "first.lo"), "chosen")
-    rows, picked = docs.select(*[f"`{c}`" for c in docs.columns], *text_keys("_hi", "_lo")).alias("d"), chosen.alias("c")
-    same = (F.col("d._hi") == F.col("c.hi")) & (F.col("d._lo") == F.col("c.lo")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-    kept = rows.join(picked, same, "left_semi").dropDuplicates(["_hi", "_lo", "doc_id"])
-    return work.finish(kept.select(*[f"`{c}`" for c in docs.columns]))
+    work.keep_only("chosen")
+    names = {f"in_{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for name, c in names.items()], *text_keys(), *_doc_key())
+    kept = rows.join(chosen.select(*_KEY[:2], *_doc_key()), _KEY, "left_semi").dropDuplicates(_KEY)
+    return kept.select(*[F.col(name).alias(c) for name, c in names.items()])

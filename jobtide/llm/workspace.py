@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+FILES_PER_CORE = 4
+
+
 class Workspace:
     """A folder below ``spark.checkpoint.dir`` for one call.
 
     ``settle`` writes a frame as Parquet and reads it back: the work is done once, the rows stay fixed,
     and a lost executor loses none of them.  ``finish`` settles the result beside the folder and deletes
-    the folder, so that a call leaves its result and nothing else.
+    the folder, so that a call leaves its result and nothing else.  Where the result is the input itself
+    but for what one small table says, ``keep_only`` leaves that table and the result is joined when read.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -28,10 +32,20 @@ class Workspace:
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         return self._write(df, f"{self.folder}/{name}")
 
+    def settle_narrow(self, df: DataFrame, name: str) -> DataFrame:
+        """For the many narrow tables of a loop: a few files per core, as opening more takes longer than reading them."""
+        return self.settle(df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism), name)
+
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if status.getPath().getName() != name:
+                self.drop(status.getPath().getName())
+
     def finish(self, df: DataFrame) -> DataFrame:
         result = self._write(df, f"{self.folder}-result")
         self.drop()
