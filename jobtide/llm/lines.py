@@ -19,22 +19,23 @@ from .workspace import Workspace
 FIELD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\r")), " ", -1)
+def _masked(line: Column) -> Column:
+    """The line with its tokens with digits replaced.  Tokens are parted by single blanks."""
+    # Each match starts where a token starts and runs to its first digit without a choice, so the search is linear.
+    field = F.regexp_replace(line, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)
+    return F.when(line.rlike("[0-9]"), field).otherwise(line)
 
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+def _lines(docs: DataFrame, lead: int, *columns: Column) -> DataFrame:
+    """A row for each line that is not blank: pos, the line without blanks at its ends, n (tokens) and leaf.
 
-
-def _leaf(tokens: Column, lead: int) -> Column:
-    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, lead)))
-
-
-def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
-    """A row for each line that is not blank."""
-    exploded = docs.select(*columns, F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("pos", "line"))
-    return exploded.withColumn("tokens", _tokens(F.col("line"))).where((F.size("tokens") > 1) | (F.col("tokens")[0] != ""))
+    The leaf is the path in the tree: the number of tokens, then the first tokens, masked.
+    """
+    exploded = docs.select(*columns, F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("pos", "raw"))
+    line = F.btrim("raw", F.lit(" \t\r")).alias("line")
+    kept = exploded.select(*[c for c in exploded.columns if c != "raw"], line).where(F.col("line") != "")
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return kept.withColumns({"n": n, "leaf": F.xxhash64(n, _masked(F.substring_index("line", " ", lead)))})
 
 
 def drop_recurring(
@@ -58,10 +59,9 @@ def drop_recurring(
     """
     work = Workspace(docs.sparkSession, "lines")
     # One row for each text and masked line, with the positions it has there. text_id: the smallest doc_id of a text's copies.
-    token = F.col("tokens")
     held = work.settle(
-        _lines(docs, *text_keys(), F.col("doc_id"))
-        .select("hi", "lo", "doc_id", "pos", F.size(token).alias("n"), _leaf(token, lead).alias("leaf"), F.xxhash64(_masked(token)).alias("mask"))
+        _lines(docs, lead, *text_keys(), F.col("doc_id"))
+        .select("hi", "lo", "doc_id", "pos", "n", "leaf", F.xxhash64(_masked(F.col("line"))).alias("mask"))
         .groupBy("hi", "lo", "n", "leaf", "mask")
         .agg(F.min("doc_id").alias("text_id"), F.collect_set("pos").alias("at")),
         "held",
@@ -78,19 +78,27 @@ def drop_recurring(
     )
     weights = held.where(F.col("n") >= least_tokens).join(leaves, "leaf").groupBy("leaf", "mask").agg(F.count("*").alias("texts"))
     words = (
-        _lines(docs).where(F.size(token) >= least_tokens).select(_leaf(token, lead).alias("leaf"), "tokens")
+        _lines(docs, lead).where(F.col("n") >= least_tokens).select("leaf", "line")
         .join(leaves, "leaf", "left_semi")
-        .select("leaf", _masked(token).alias("tokens"))
-        .groupBy("leaf", F.xxhash64("tokens").alias("mask")).agg(F.first("tokens").alias("tokens"))
+        .select("leaf", _masked(F.col("line")).alias("masked"))
+        .groupBy("leaf", F.xxhash64("masked").alias("mask")).agg(F.first("masked").alias("masked"))
     )
-    words = work.settle(words.join(weights, ["leaf", "mask"]), "words")
-    per_token = words.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("texts"))
-    per_place = per_token.groupBy("leaf", "pos").agg(F.sum("texts").alias("all"), F.max(F.struct("texts", "token")).alias("best"))
+    words = words.join(weights, ["leaf", "mask"]).withColumn("tokens", F.split("masked", " ", -1))
+    words = work.settle(words.drop("masked"), "words")
+    tokens = words.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token"))
+    per_token = tokens.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("texts"))
+    per_place = per_token.groupBy("leaf", "pos").agg(
+        F.sum("texts").alias("all"), F.max(F.struct("texts", "token")).alias("best")
+    )
     fixed = F.when(F.col("best.texts") >= constant_share * F.col("all"), F.col("best.token"))
     # Settled sides let adaptive execution split a hot key of the join that follows.
     templates = (
         per_place.groupBy("leaf")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", fixed.alias("token")))).alias("places"), F.count(fixed).alias("constant"), F.count("*").alias("n"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("pos", fixed.alias("token")))).alias("places"),
+            F.count(fixed).alias("constant"),
+            F.count("*").alias("n"),
+        )
         .where(F.col("constant") >= constant_tokens * F.col("n"))
         .select("leaf", F.transform("places", lambda p: p["token"]).alias("template"))
     )
@@ -98,32 +106,43 @@ def drop_recurring(
     fits = F.forall(F.zip_with("tokens", "template", lambda a, b: b.isNull() | (a == b)), lambda x: x)
     fitting = words.join(templates, "leaf").where(fits).select("leaf", "mask")
     by_template = held.join(fitting, ["leaf", "mask"]).groupBy("leaf", "hi", "lo").agg(F.min("text_id").alias("text_id"))
-    by_template = by_template.groupBy("leaf").agg(F.count("*").alias("texts"), F.min("text_id").alias("first")).where(F.col("texts") >= least_texts)
-    alike = fitting.join(by_template, "leaf").select("mask", "first")
-    recurring = work.settle(equal.select("mask", "first").unionByName(alike).groupBy("mask").agg(F.min("first").alias("first")), "recurring")
+    by_template = by_template.groupBy("leaf").agg(F.count("*").alias("texts"), F.min("text_id").alias("first"))
+    alike = fitting.join(by_template.where(F.col("texts") >= least_texts), "leaf").select("mask", "first")
+    both = equal.select("mask", "first").unionByName(alike)
+    recurring = work.settle(both.groupBy("mask").agg(F.min("first").alias("first")), "recurring")
     gone = work.settle(
         held.join(recurring, "mask").where(~F.col("text_id").eqNullSafe(F.col("first")))
         .groupBy("hi", "lo").agg(F.flatten(F.collect_list("at")).alias("gone")),
         "gone",
     )
+    work.keep_only("gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], "text", *text_keys())
     lines = F.split(F.col("text"), "\n", -1)
     # The lambda binds the lines once; array_except keeps order and looks up by hash.
-    left = F.transform(
-        F.array(lines),
-        lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda i: F.get(own, i)), "\n"),
-    )[0]
+    def stays(own: Column) -> Column:
+        positions = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+        return F.array_join(F.transform(positions, lambda i: F.get(own, i)), "\n")
+
+    left = F.transform(F.array(lines), stays)[0]
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     columns = [(text if c == "text" else F.col(f"in_{i}")).alias(c) for i, c in enumerate(names)]
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    result = keyed.join(gone, ["hi", "lo"], "left").select(
-        *columns, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")
+    return keyed.join(gone, ["hi", "lo"], "left").select(
+        *columns,
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    return work.finish(result)
 
 
-def lines_sql(least_texts: int = 8, lead: int = 3, least_tokens: int = 4, constant_share: float = 0.8, constant_tokens: float = 0.7, table: str = "documents") -> str:
+def lines_sql(
+    least_texts: int = 8,
+    lead: int = 3,
+    least_tokens: int = 4,
+    constant_share: float = 0.8,
+    constant_tokens: float = 0.7,
+    table: str = "documents",
+) -> str:
     """The same rows in DuckDB SQL: doc_id, text, n_lines, n_dropped."""
     return f"""WITH src AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM {table}), raw AS (
   SELECT DISTINCT coalesce(text, '') AS t, i, string_split(trim(lines[i], ' ' || chr(9) || chr(13)), ' ') AS w
