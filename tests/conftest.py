@@ -1,11 +1,6 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-
-from jobtide.session import local_session  # noqa: E402
+from jobtide.session import local_session
 
 
 @pytest.fixture(scope="session")

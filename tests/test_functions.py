@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import values
+from .conftest import values
 from pyspark.sql import functions as F
 
 from jobtide.functions import dates, numbers, rules, signals, text, urls

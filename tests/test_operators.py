@@ -3,7 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import values
+from .conftest import values
 from pyspark.sql import functions as F
 
 from jobtide.operators import asof, counts, dedupe, gapfill, identity, joins, newness, ordering, trends

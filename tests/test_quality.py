@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import values
+from .conftest import values
 
 from jobtide.operators import quality
 from jobtide.plans import health

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import values
+from .conftest import values
 from pyspark.sql import functions as F
 
 from jobtide.sources import boards, census, pages, rendered, reports
