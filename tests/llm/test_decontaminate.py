@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import decontaminate as D, fmindex, queries
 
 

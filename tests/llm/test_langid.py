@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import langid
 
 PAGE = "page_id long, url string, html string"

@@ -1,4 +1,4 @@
-import helpers as H
+from . import helpers as H
 import pytest
 from jobtide.llm import lines
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import bagminhash, components, neardup
 from jobtide.llm.workspace import Workspace
 

@@ -5,7 +5,7 @@ import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import packing
 
 

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 import __spark_entry__ as entry
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import lines, packing, quality, queries
 
 LABELS = "/root/testdata/sf0.01"

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import quality
 
 SF = "/root/testdata/sf0.01"

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import queries, secrets
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3"

@@ -2,7 +2,7 @@ import zlib
 
 import pytest
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import sharding
 
 

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import queries, topk
 
 KIND = "vec_id long, embedding array<float>"

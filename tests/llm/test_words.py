@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-import helpers as H
+from . import helpers as H
 from jobtide.llm import words as W
 
 
