@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, lines, neardup, packing, quality, secrets, sharding, topk, toxicity
+from . import decontaminate, interaction, langid, lines, neardup, packing, quality, secrets, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op10_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "offending")
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_linked_secrets": op1_linked_secrets,
     "op2_language_evidence": op2_language_evidence,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op8_bagminhash_classes": op8_bagminhash_classes,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_toxic_sentences": op10_toxic_sentences,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
@@ -165,4 +170,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_linked_secrets": OP1_SQL, "op4_template_lines": lines.lines_sql(), "op7_norm_bucket_top5": OP7_SQL, "op9_benchmark_windows": OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op1_linked_secrets": OP1_SQL,
+    "op4_template_lines": lines.lines_sql(),
+    "op7_norm_bucket_top5": OP7_SQL,
+    "op9_benchmark_windows": OP9_SQL,
+    "op13_filter_interactions": interaction.audit_sql(),
+}
