@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, interaction, langid, lines, neardup, packing, quality, secrets, sharding, topk, toxicity
+from . import decontaminate, interaction, langid, lines, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op10_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "offending")
 
 
+def op11_capture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_bagminhash_classes": op8_bagminhash_classes,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_toxic_sentences": op10_toxic_sentences,
+    "op11_capture_transactions": op11_capture_transactions,
     "op13_filter_interactions": op13_filter_interactions,
 }
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -175,5 +180,6 @@ ORACLE: dict[str, str] = {
     "op4_template_lines": lines.lines_sql(),
     "op7_norm_bucket_top5": OP7_SQL,
     "op9_benchmark_windows": OP9_SQL,
+    "op11_capture_transactions": warc.ROUND_TRIP_SQL,
     "op13_filter_interactions": interaction.audit_sql(),
 }

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Keys that hold at least this share of the rows, and at least HOT_ROWS of them, are looked up by broadcast.
+#: A key with at least this share of the rows (and at least HOT_ROWS of them) is looked up by broadcast.
 HOT_SHARE = 1 / 1_000
 HOT_ROWS = 1_000
 
 
-def look_up(rows: DataFrame, values: DataFrame, counts: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` left-joined with ``values`` on ``key``.
+def look_up(rows: DataFrame, values: DataFrame, counts: DataFrame, key: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` with the other columns of ``values``, null where their key has none.
 
-    ``values`` has one row for each key, without null keys; ``counts`` says how many of the rows have a key
-    (key, n).  At most 1 / HOT_SHARE keys can hold that share of ``total`` rows, so that many rows of
-    ``values`` are broadcast at most; their rows are not shuffled.  All other keys meet in a shuffle in
-    which no key has more than that share.
+    ``key`` is a string column of all three; ``values`` and ``counts`` (key, n: how many rows have it) hold a
+    key once.  At most 1 / HOT_SHARE keys can have that share of ``total`` rows: so many rows of ``values``
+    are broadcast at most.  Rows with such a key, or with none, go through the shuffle under keys of their
+    own, made from ``spread``, so that no task gets more than that share of the rows by one key.
     """
-    bar = max(HOT_ROWS, total * HOT_SHARE)
-    hot = counts.where(F.col("n") >= bar).select(key)
-    hot_values = values.join(F.broadcast(hot), key, "left_semi")
     names = [c for c in values.columns if c != key]
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    columns = [f"`{c}`" for c in rows.columns] + names
-    warm = marked.where("_hot").drop("_hot").join(F.broadcast(hot_values), key, "left").select(*columns)
-    cold = marked.where("_hot is null").drop("_hot").join(values, key, "left").select(*columns)
-    return warm.unionByName(cold)
+    bar = max(HOT_ROWS, total * HOT_SHARE)
+    hot = values.join(F.broadcast(counts.where(F.col("n") >= bar).select(key)), key, "left_semi")
+    hot = hot.select(key, F.struct(*names).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    marked = marked.withColumn("_meet", F.when(alone, F.concat(F.lit("\0"), spread.cast("string"))).otherwise(F.col(key)))
+    cold = values.select(F.col(key).alias("_meet"), F.struct(*names).alias("_cold"))
+    found = F.coalesce(F.col("_hot"), F.col("_cold"))
+    return marked.join(cold, "_meet", "left").select(
+        *[f"`{c}`" for c in rows.columns], *[found[c].alias(c) for c in names]
+    )
