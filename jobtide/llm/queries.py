@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, interaction, langid, lines, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
+from . import decontaminate, interaction, langid, lines, neardup, packing, partcodes, quality, secrets, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,11 @@ def op11_capture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = partcodes.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(partcodes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_toxic_sentences": op10_toxic_sentences,
     "op11_capture_transactions": op11_capture_transactions,
+    "op12_part_codes": op12_part_codes,
     "op13_filter_interactions": op13_filter_interactions,
 }
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -181,5 +187,6 @@ ORACLE: dict[str, str] = {
     "op7_norm_bucket_top5": OP7_SQL,
     "op9_benchmark_windows": OP9_SQL,
     "op11_capture_transactions": warc.ROUND_TRIP_SQL,
+    "op12_part_codes": partcodes.codes_sql(),
     "op13_filter_interactions": interaction.audit_sql(),
 }
