@@ -16,6 +16,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settled
+from .ordering import HOT_ROWS, apart, hot_keys
 
 DATE = "Archive_Date"
 
@@ -53,15 +54,17 @@ def mark_dates(df: DataFrame, date: str = DATE, **days_back: int) -> dict[str, C
 
 
 def as_of_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, values: Sequence[str]
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, values: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """For every left row the right row of the same key with the newest date
     not after the left date; ``right`` holds one row per key and snapshot date.
 
-    Both sides are united and dealt by range of (key, date), so a key with many rows is spread over
-    many partitions.  Each partition carries the newest right row forward; the last one
-    of a key's earlier partitions is handed to the partitions after it.  The largest values
-    speak for a date that occurs twice; a left row without a date or a key finds nothing.
+    Both sides are united and settled, so each is evaluated once, and the newest right row is carried forward in
+    order of the date.  Only keys found to be hot are dealt by range of (key, date) over many
+    partitions; there the last right row of a key's earlier partitions is handed to the partitions
+    after it.  The largest values speak for a date that occurs twice; a left row without a date or a
+    key finds nothing.
     """
     per_date = (
         right.filter(reduce(and_, (F.col(c).isNotNull() for c in [right_date, *on])))
@@ -73,7 +76,24 @@ def as_of_join(
     given = per_date.select(*on, "_d", hit.alias("_hit"), F.lit(0).alias("_side"))
     asked = left.select(*on, F.col(left_date).alias("_d"), rows.alias("_row"), F.lit(1).alias("_side"))
     both = given.unionByName(asked, allowMissingColumns=True)
-    ranged = settled(both.repartitionByRange(*on, "_d", "_side").withColumn("_part", F.spark_partition_id()))
+    rows = settled(both)
+    hot = hot_keys(rows, on, hot_rows)
+    cold, warm = (rows, None) if hot is None else apart(rows, hot, on)
+    here = Window.partitionBy(*on).orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = cold.withColumn("_found", F.last("_hit", ignorenulls=True).over(here)).filter("_side = 1").select("_row", "_d", "_found")
+    if warm is not None:
+        found = found.unionByName(_carried_by_range(warm, on))
+    hit = F.when(F.col("_d").isNotNull(), F.col("_found"))
+    return found.withColumn("_found", hit).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in left.columns],
+        F.col("_found.d").alias(right_date),
+        *[F.col(f"_found.`{v}`").alias(v) for v in values],
+    )
+
+
+def _carried_by_range(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The asked rows with the newest right row of their key, worked out in ranges of (key, date)."""
+    ranged = settled(rows.repartitionByRange(*on, "_d", "_side").withColumn("_part", F.spark_partition_id()))
     here = Window.partitionBy(*on, "_part").orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
     carried = ranged.withColumn("_own", F.last("_hit", ignorenulls=True).over(here)).filter("_side = 1")
     before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,9 +101,4 @@ def as_of_join(
     handed = ends.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.col("_part").alias("_to"), F.last("_end", ignorenulls=True).over(before).alias("_handed"))
     same = [F.col("_part") == F.col("_to"), *[F.col(c) == F.col(f"_on_{c}") for c in on]]
     joined = carried.join(handed.filter(F.col("_handed").isNotNull()), same, "left")
-    found = F.when(F.col("_d").isNotNull(), F.coalesce("_own", "_handed"))
-    return joined.withColumn("_found", found).select(
-        *[F.col(f"_row.{c}").alias(c) for c in left.columns],
-        F.col("_found.d").alias(right_date),
-        *[F.col(f"_found.{v}").alias(v) for v in values],
-    )
+    return joined.select("_row", "_d", F.coalesce("_own", "_handed").alias("_found"))

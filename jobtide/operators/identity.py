@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import identity_component, normalize_posting_text, or_text_na
 from ..functions.urls import is_stable_posting_url, is_statewide_posting
-from .ordering import keep_first, number_within
+from ..session import settled
+from .ordering import keep_first, number_settled
 
 REQUIRED = ("title", "location", "date_posted", "url", "District")
 
@@ -79,20 +80,18 @@ def add_posting_identity(
     if "Archive_Date" in df.columns:
         marked = marked.withColumn("_day", _component(marked, "Archive_Date", False))
         group.append("_day")
-    numbered = number_within(marked, group, seq, "_occurrence")
-    return (
-        numbered.withColumn(
-            "Posting_Identity_Method",
-            F.when(F.col("_stable"), METHOD_URL).when(F.col("_statewide"), METHOD_STATEWIDE).otherwise(METHOD_SOURCE),
-        )
-        .withColumn(
-            "Posting_ID",
-            F.when(F.col("_stable"), F.concat(F.lit("url:"), F.lower("_url"))).otherwise(
-                F.concat(F.lit("fallback:"), F.col("_base"), F.lit("#"), F.col("_occurrence").cast("string"))
-            ),
-        )
-        .drop("_url", "_statewide", "_stable", "_base", "_hi", "_lo", "_day", "_occurrence")
+    # One copy, read in two parts: a row whose link is its identity needs no number.
+    rows = settled(marked)
+    method = F.when(F.col("_statewide"), METHOD_STATEWIDE).otherwise(METHOD_SOURCE)
+    fallback = F.concat(F.lit("fallback:"), F.col("_base"), F.lit("#"), F.col("_occurrence").cast("string"))
+    by_link = rows.filter("_stable").withColumns(
+        {"Posting_Identity_Method": F.lit(METHOD_URL), "Posting_ID": F.concat(F.lit("url:"), F.lower("_url"))}
     )
+    by_fields = number_settled(rows.filter("not _stable"), group, seq, "_occurrence").withColumns(
+        {"Posting_Identity_Method": method, "Posting_ID": fallback}
+    )
+    own = ["_url", "_statewide", "_stable", "_base", "_hi", "_lo", "_day"]
+    return by_link.drop(*own).unionByName(by_fields.drop(*own, "_occurrence"))
 
 
 def distinct_postings(

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import NullType
 
 # Adaptive execution does the runtime part of the scale work: it coalesces
 # small shuffle partitions, splits skewed join partitions, and turns a shuffle
@@ -16,7 +20,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Landed pages are large rows; keep the batches that go to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -50,15 +53,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def _shared_path(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder on shared storage, which is deleted when the session's process ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, folder = _shared_path(spark, path)
+    files.mkdirs(folder)  # only what is there can be marked
+    files.deleteOnExit(folder)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, folder = _shared_path(spark, path)
+    files.delete(folder, True)
+
+
+def _copied(df: DataFrame, path: str) -> DataFrame:
+    # A column without a type cannot be stored, and need not be.
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, NullType)]
+    kept = df.drop(*void)
+    kept.write.mode("overwrite").parquet(path)
+    back = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns])
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The frame's rows, worked out once and kept on shared storage.
+    """The frame's rows, worked out once and kept as Parquet on shared storage until the session's process ends.
 
-    For results that several plans read, or that overwrite one of their own
-    inputs.  This is a reliable checkpoint: the rows stay fixed and outlive the
-    executors that computed them.  With the cleaner setting below, Spark deletes the
-    files as soon as no plan refers to them any more, so no copy is left behind.
+    For results that several plans read.  The rows stay fixed, plans read only the columns they
+    need, and the copy outlives the executors that computed it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(ensure_checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    return _copied(df, shared_folder(df.sparkSession, "settled"))
+
+
+@contextmanager
+def settled_for_now(df: DataFrame) -> Iterator[DataFrame]:
+    """The same, deleted at the end of the block: for rows that are read inside it only."""
+    path = shared_folder(df.sparkSession, "settled")
+    try:
+        yield _copied(df, path)
+    finally:
+        delete_folder(df.sparkSession, path)

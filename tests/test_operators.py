@@ -1,12 +1,13 @@
 import datetime as dt
 import random
+import statistics
 from collections import Counter, defaultdict
 
 import pytest
 from .conftest import values
 from pyspark.sql import functions as F
 
-from jobtide.operators import asof, counts, dedupe, gapfill, identity, joins, newness, ordering, trends
+from jobtide.operators import asof, counts, dedupe, gapfill, identity, joins, newness, ordering, quality, trends
 
 D = dt.date
 DIRECT = "SchoolSpring (direct district board)"
@@ -71,8 +72,21 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, seq long, v long")
 
 
+def counted(spark, df):
+    """The frame, and a counter of the rows that were evaluated."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    return df.mapInPandas(look, df.schema), seen
+
+
+@pytest.mark.parametrize("hot_rows", [50, ordering.HOT_ROWS])
 @pytest.mark.parametrize("order", ["seq", "place"])
-def test_number_within_equals_brute_force(spark, skewed, order):
+def test_number_within_equals_brute_force(spark, skewed, order, hot_rows):
     """Also by a struct, with a third of the rows under one key and every page a range of its own."""
     rows, df = skewed
     df = df.withColumn("place", F.struct(F.expr("seq div 3").alias("page"), F.expr("seq % 3").alias("item")))
@@ -80,8 +94,9 @@ def test_number_within_equals_brute_force(spark, skewed, order):
     for k, s, _ in sorted(rows, key=lambda r: r[1]):
         seen[k] += 1
         wanted[k, s] = seen[k]
-    got = {(r.k, r.seq): r.n for r in ordering.number_within(df.repartition(20), ["k"], order, "n").collect()}
-    assert got == wanted
+    once, evaluated = counted(spark, df.repartition(20))
+    got = {(r.k, r.seq): r.n for r in ordering.number_within(once, ["k"], order, "n", hot_rows).collect()}
+    assert got == wanted and evaluated.value == len(rows)
 
 
 def test_keep_first_and_top_per_key_equal_brute_force(spark, skewed):
@@ -98,7 +113,17 @@ def test_keep_first_and_top_per_key_equal_brute_force(spark, skewed):
 
 def test_numbering_missing_keys(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "k string, seq long")
-    assert values(ordering.number_within(df, ["k"], "seq", "n"), "seq", "n") == [(1, 1), (2, 2), (5, 1)]
+    for hot_rows in (1, 2, 9):
+        assert values(ordering.number_within(df, ["k"], "seq", "n", hot_rows), "seq", "n") == [(1, 1), (2, 2), (5, 1)]
+
+
+def test_identity_evaluates_its_input_once_and_numbers_no_stable_rows(spark):
+    rows = [(f"T{i % 3}", "L", D(2026, 1, 1), f"https://x.example/jobs/{i}" if i % 2 else None, "D", i) for i in range(100)]
+    once, evaluated = counted(spark, spark.createDataFrame(rows, "title string, location string, date_posted date, url string, District string, seq long"))
+    got = identity.add_posting_identity(once)
+    assert got.filter("Posting_ID like 'url:%'").count() == 50 and evaluated.value == 100
+    plan = got.filter("Posting_Identity_Method like 'Stable%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("Union")[0] and sorted(r.Posting_ID.split("#")[1] for r in got.filter("seq % 6 = 0").collect()) == sorted(str(i) for i in range(1, 18))
 
 
 @pytest.mark.parametrize("extreme", [[], [float("inf")] * 3, [-1.7e308, 1.7e308], [5e-324, 1e-323]])
@@ -114,7 +139,9 @@ def test_exact_median(spark, n, ranges):
     rng = random.Random(n)
     data = [float(rng.choice([7, rng.randrange(1000)])) for _ in range(n)]
     df = spark.createDataFrame([(x,) for x in data] + [(None,)], "x double")
-    got = ordering.exact_median(df, "x", ranges)
+    once, evaluated = counted(spark, df)
+    got = ordering.exact_median(once, "x", ranges)
+    assert evaluated.value <= 2 * (n + 1)
     if not data:
         assert got is None
     else:
@@ -122,6 +149,24 @@ def test_exact_median(spark, n, ranges):
         assert got == (s[(n - 1) // 2] + s[n // 2]) / 2
 
 
+@pytest.mark.parametrize("n", [40_000, 40_001])
+def test_robust_spread_reads_its_input_four_times(spark, n):
+    """Many ties, a wide range, equal and missing values and NaN."""
+    rng = random.Random(n)
+    data = [rng.choice([3.0, 3.0, rng.gauss(0, 10), rng.expovariate(0.001)]) for _ in range(n)]
+    df = spark.createDataFrame([(x,) for x in [*data, None, float("nan")]], "x double")
+    once, evaluated = counted(spark, df)
+    center, spread = quality.robust_spread(once, "x")
+    assert evaluated.value == 4 * (n + 2)
+    assert center == statistics.median(data) and spread == 1.4826 * statistics.median([abs(x - center) for x in data])
+
+
+def test_an_unlucky_bracket_is_opened(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SKETCH", 10**9)  # an error the sketch cannot keep to
+    data = [float(x % 977) for x in range(5000)]
+    assert ordering.exact_median(spark.createDataFrame([(x,) for x in data], "x double"), "x") == statistics.median(data)
+
+
 # -- cross-source duplicates -------------------------------------------------
 
 
@@ -257,6 +302,28 @@ def test_as_of_join(spark):
     assert values(got, "id", "s", "v") == [(1, D(2026, 1, 5), 20), (2, None, None), (3, None, None)]
 
 
+@pytest.mark.parametrize("hot_rows", [20, ordering.HOT_ROWS])
+def test_as_of_join_equals_brute_force(spark, hot_rows):
+    rng = random.Random(2)
+    key = lambda: rng.choice(["hot", "hot", f"k{rng.randrange(30)}", None])
+    day = lambda: rng.choice([None] + [D(2026, 1, 1) + dt.timedelta(rng.randrange(90)) for _ in range(20)])
+    left = [(i, key(), day()) for i in range(1500)]
+    right = [(key(), day(), rng.randrange(100)) for _ in range(900)]
+    best = {}
+    for k, d, v in right:
+        if k is not None and d is not None:
+            best[k, d] = max(best.get((k, d), 0), v)
+    wanted = []
+    for i, k, d in left:
+        held = [x for kk, x in best if kk == k and d is not None and x <= d]
+        wanted.append((i, max(held, default=None), best[k, max(held)] if held else None))
+    a, seen_a = counted(spark, spark.createDataFrame(left, "id int, k string, d date"))
+    b, seen_b = counted(spark, spark.createDataFrame(right, "k string, s date, v int"))
+    got = asof.as_of_join(a, b, ["k"], "d", "s", ["v"], hot_rows)
+    assert sorted(tuple(r) for r in got.select("id", "s", "v").collect()) == sorted(wanted)
+    assert (seen_a.value, seen_b.value) == (1500, 900)
+
+
 # -- newness and gaps --------------------------------------------------------
 
 
