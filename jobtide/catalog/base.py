@@ -7,12 +7,11 @@ from a list of phrases by the number in the event's properties.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,8 +31,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder on the shared storage the session names."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder on the shared storage the session names, deleted when the session's process ends."""
+    return shared_folder(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

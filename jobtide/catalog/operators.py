@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import non_negative
 from ..functions.rules import recode
-from ..operators import asof, counts, dedupe, gapfill, identity, joins, newness, ordering, quality, trends
+from ..operators import asof, checks, counts, dedupe, gapfill, identity, joins, newness, ordering, quality, trends
 from ..plans import k12
+from ..schemas import empty, struct
 from ..session import settled
 from ..sinks import store
 from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, query, scratch, table
@@ -569,7 +570,8 @@ def robust_spread(spark: SparkSession, d: str) -> DataFrame:
     now, before = _yearly(spark, d, 2000), _yearly(spark, d, 1999).withColumnRenamed("value", "prior")
     changes = now.join(before, "name").select(((F.col("value") - F.col("prior")) / F.col("prior")).alias("c"))
     center, spread = quality.robust_spread(changes, "c")
-    return changes.limit(1).select(F.lit(round(center, 9)).alias("center"), F.lit(round(spread, 9)).alias("spread"))
+    rounded = [None if x is None else round(x, 9) for x in (center, spread)]
+    return spark.range(1).select(*[F.lit(x).cast("double").alias(name) for x, name in zip(rounded, ("center", "spread"))])
 
 
 @query(
@@ -589,18 +591,18 @@ def mad_outlier(spark: SparkSession, d: str) -> DataFrame:
 )
 def exact_median(spark: SparkSession, d: str) -> DataFrame:
     lineitem = table(spark, d, "lineitem")
-    return lineitem.limit(1).select(F.lit(ordering.exact_median(lineitem, "l_extendedprice")).alias("median"))
+    return spark.range(1).select(F.lit(ordering.exact_median(lineitem, "l_extendedprice")).cast("double").alias("median"))
 
 
 @query(
     "halving_guard",
-    f"""WITH {EVENTS_SQL}, a AS (SELECT user_id, count(*) AS n FROM ev WHERE day < DATE '2024-01-16' GROUP BY 1),
-b AS (SELECT user_id, count(*) AS n FROM ev WHERE day >= DATE '2024-01-16' GROUP BY 1)
+    f"""WITH {EVENTS_SQL}, a AS (SELECT user_id, count(*) AS n FROM ev WHERE day < DATE '2024-01-21' GROUP BY 1),
+b AS (SELECT user_id, count(*) AS n FROM ev WHERE day >= DATE '2024-01-21' GROUP BY 1)
 SELECT a.user_id, a.n AS before_n, coalesce(b.n, 0) AS after_n FROM a LEFT JOIN b USING (user_id) WHERE coalesce(b.n, 0) < a.n * 0.5""",
 )
 def halving_guard(spark: SparkSession, d: str) -> DataFrame:
-    """The second part of the days against the first."""
-    rows, cut = events(spark, d), F.lit(dt.date(2024, 1, 16))
+    """The last third of the days against the first two: some entities lose more than half, others do not."""
+    rows, cut = events(spark, d), F.lit(dt.date(2024, 1, 21))
     before = counts.row_counts(rows.filter(F.col("day") < cut), ["user_id"])
     after = counts.row_counts(rows.filter(F.col("day") >= cut), ["user_id"])
     return quality.halved(before, after, "user_id")
@@ -608,13 +610,44 @@ def halving_guard(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "crosswalk_gaps",
-    """WITH m AS (SELECT DISTINCT o_custkey AS e FROM orders), k AS (SELECT DISTINCT c_custkey AS e FROM customer)
+    """WITH m AS (SELECT DISTINCT l_suppkey * 3 AS e FROM lineitem), k AS (SELECT DISTINCT c_custkey AS e FROM customer WHERE c_nationkey <> 7)
 SELECT e AS entity, 'not registered' AS problem FROM m WHERE e NOT IN (SELECT e FROM k)
 UNION ALL SELECT e, 'not mapped' FROM k WHERE e NOT IN (SELECT e FROM m)""",
 )
 def crosswalk_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Customers that occur in orders against the customer table."""
-    return quality.crosswalk_gaps(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey")
+    """Every supplier is mapped to one customer; those of one nation are not registered, and most customers are not mapped."""
+    mapped = table(spark, d, "lineitem").select((F.col("l_suppkey") * 3).alias("entity"))
+    registry = table(spark, d, "customer").filter("c_nationkey <> 7")
+    return quality.crosswalk_gaps(mapped, registry, "entity", "c_custkey")
+
+
+@query(
+    "observed_checks",
+    """SELECT 'coverage' AS "check", 'p_odd' AS name, count(*) FILTER (p_partkey % 2 = 1) AS actual, count(*) AS rows FROM part
+UNION ALL SELECT 'bounds', 'p_size', count(*) FILTER (p_size < 5 OR p_size > 40), count(*) FROM part
+UNION ALL SELECT 'encoding', 'p_text', count(*) FILTER (p_partkey % 5 = 0), count(*) FROM part""",
+)
+def observed_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks counted while the rows are written, so that the table is read once."""
+    parts = table(spark, d, "part").select(
+        "p_size", F.when(F.col("p_partkey") % 2 == 1, 1).alias("p_odd"),
+        F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("\ufffd"))).otherwise(F.col("p_name")).alias("p_text"),
+    )
+    asked = [checks.coverage(["p_odd", "p_text"]), checks.bounds("p_size", 5, 40), checks.encoding("p_text")]
+    watched, seen = checks.observed(parts, asked)
+    written = scratch(spark, "observed")
+    watched.write.parquet(written)
+    found = [(f.check, f.name, f.actual) for f in checks.failures(asked, seen.get)]
+    rows = spark.read.parquet(written).agg(F.count(F.lit(1)).alias("rows")).scalar()
+    return spark.createDataFrame(found, "check string, name string, actual long").withColumn("rows", rows)
+
+
+@query("typed_empty", "SELECT o_orderkey AS Posting_rank, o_orderpriority AS title, CAST(NULL AS VARCHAR) AS url FROM orders WHERE o_orderstatus = 'P'")
+def typed_empty(spark: SparkSession, d: str) -> DataFrame:
+    """A source without rows has its columns and types, so that it unites with the others."""
+    schema = struct(Posting_rank="n", title="s", url="s")
+    found = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("Posting_rank"), F.col("o_orderpriority").alias("title"))
+    return empty(spark, schema).unionByName(found, allowMissingColumns=True)
 
 
 # -- history -----------------------------------------------------------------

@@ -988,27 +988,50 @@ def corroborated_drift(spark: SparkSession, d: str) -> DataFrame:
     return health.corroborated(flagged, addresses, texts).select("name", "count", "url", "signal")
 
 
+_SIGNAL_SQL = r"""CASE WHEN html IS NULL THEN 'inconclusive'
+       WHEN len(regexp_extract_all(html, '(?i)apply now|view details|job title|posted:|closing date|date posted|JobID')) >= 3 THEN 'likely_broken'
+       WHEN regexp_matches(html, '(?i)no (open |current )?(job|position|vacan)|no openings|not currently (hiring|accepting)|there are (currently )?no')
+         THEN 'looks_genuinely_empty' ELSE 'inconclusive' END"""
+
+
 @query(
     "health_report",
-    f"""WITH {EVENTS_SQL}, t AS (SELECT user_id, day, count(*) AS n FROM ev GROUP BY ALL), m AS (SELECT max(day) AS latest FROM t),
-b AS (SELECT user_id, count(*) AS w, avg(n) AS mean FROM t, m WHERE day < latest GROUP BY 1),
-f AS (SELECT b.user_id FROM b LEFT JOIN t ON t.user_id = b.user_id AND t.day = (SELECT latest FROM m) WHERE w >= 2 AND coalesce(n, 0) <= mean * 0.2)
-SELECT 'drift' AS "check", count(*) AS n, min('source ' || user_id) AS first FROM f
-UNION ALL SELECT 'bounds', count(*), min('Customer ' || c_custkey) FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000
-UNION ALL SELECT 'coverage', 1, 'Phone'""",
+    f"""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events), t AS (SELECT user_id, day, count(*) AS n FROM e GROUP BY ALL),
+m AS (SELECT max(day) AS latest FROM t), b AS (SELECT user_id, count(*) AS w, avg(n) AS mean FROM t, m WHERE day < latest GROUP BY 1),
+f AS (SELECT b.user_id, mean, coalesce(n, 0) AS n FROM b LEFT JOIN t ON t.user_id = b.user_id AND t.day = (SELECT latest FROM m)
+  WHERE w >= 2 AND coalesce(n, 0) <= mean * 0.2), s AS (
+  SELECT f.*, {_SIGNAL_SQL} AS signal FROM f LEFT JOIN pages ON page_id = user_id), y AS (
+  SELECT o_custkey, year(o_orderdate) AS y, round(sum(o_totalprice)) AS t FROM orders GROUP BY 1, 2), p AS (
+  SELECT a.o_custkey AS name, b.t AS prior, a.t AS current, (a.t - b.t) / b.t AS c
+  FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND a.y = 2000 AND b.y = 1999 WHERE b.t <> 0), c AS (
+  SELECT median(c) AS center FROM p), d AS (SELECT 1.4826 * median(abs(c - center)) AS spread FROM p, c), x AS (
+  SELECT 'drift' AS "check", 'source' AS name, CAST(user_id AS VARCHAR) AS entity, CAST(n AS DOUBLE) AS actual,
+         'mean ' || CAST(CAST(round(mean, 2) AS DECIMAL(38,2)) AS VARCHAR) AS detail FROM s
+  UNION ALL SELECT 'page', 'source', CAST(user_id AS VARCHAR), n, signal FROM s
+  UNION ALL SELECT 'bounds', 'Balance', 'Customer ' || c_custkey, c_acctbal, '0.0 to 9000.0' FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000
+  UNION ALL SELECT 'coverage', 'Phone', NULL, count(*) FILTER (c_custkey % 2 = 0), 'at least ' || count(*) FROM customer
+  UNION ALL SELECT 'plausibility', 'value', CAST(name AS VARCHAR), c,
+    CAST(CAST(prior AS DECIMAL(38,2)) AS VARCHAR) || ' to ' || CAST(CAST(current AS DECIMAL(38,2)) AS VARCHAR)
+    FROM p, c, d WHERE (SELECT count(*) FROM p) >= 3 AND abs(c) > 0.25 AND (spread = 0 OR abs(c - center) > 3 * spread))
+SELECT "check", name, entity, round(actual, 6) AS actual, detail FROM x""",
 )
 def health_report(spark: SparkSession, d: str) -> DataFrame:
-    """All failed checks of a run in one table, counted by check."""
-    snapshots = events(spark, d).select(F.concat(F.lit("source "), F.col("user_id")).alias("source"), F.col("day").alias("Archive_Date"))
+    """Everything that is wrong in one table: silent sources and their pages, values out of bounds, columns
+    with gaps, and changes too large to be true."""
+    snapshots = events(spark, d).select(F.col("user_id").cast("string").alias("source"), F.col("day").alias("Archive_Date"))
+    seen = table(spark, d, "pages")
+    urls = seen.select(F.col("page_id").cast("string").alias("name"), "url")
+    texts = seen.select("url", visible_text("html").alias("text")).dropDuplicates(["url"])
     customers = table(spark, d, "customer").select(
         F.concat(F.lit("Customer "), F.col("c_custkey")).alias("District"), F.col("c_acctbal").alias("Balance"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("x")).alias("Phone"),
     )
-    expected = customers.count()
-    report = health.health_report(
-        drift=health.source_drift(snapshots, "source", valid_from=None),
-        bounds=quality.out_of_bounds(customers, "District", "Balance", 0.0, 9000.0, "Balance"),
-        coverage=quality.coverage_gaps(customers, ["District", "Phone"], expected),
+    spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("name"), F.year("o_orderdate").alias("year"))
+    spent = spent.agg(F.round(F.sum("o_totalprice")).alias("value"))
+    year = lambda y: spent.filter(F.col("year") == y).select("name", "value")
+    report = health.source_health(
+        health.source_checks(snapshots, "source", urls, texts, valid_from=None),
+        health.value_checks(customers, "District", ["District", "Phone"], {"Balance": (0.0, 9000.0)}),
+        health.salary_checks(year(2000), year(1999), mads=3.0),
     )
-    named = F.coalesce(F.when(F.col("check") == "bounds", F.get_json_object("detail", "$.entity")), F.get_json_object("detail", "$.name"))
-    return report.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("first"))
+    return report.withColumn("actual", F.round("actual", 6))

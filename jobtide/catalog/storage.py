@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.rules import ADJUNCT_JOB_TYPE, FACULTY_JOB_TYPE, he_job_type
 from ..functions.text import C1_CONTROLS, CP1252_CHARS
+from ..operators.checks import coverage, encoding
 from ..operators.counts import row_counts
+from ..operators.newness import new_by_date
 from ..operators.quality import QualityError
+from ..operators.trends import deltas_by_date
 from ..plans import higher_ed, k12, weekly
 from ..schemas import SALARY_HISTORY, struct
 from ..session import settled
 from ..sinks import store
+from ..sinks.changes import Change
 from ..sources import files, shape
 from ..streaming.snapshots import follow_snapshots
-from .base import HE_SQL, events, he_rows, k12_rows, query, scratch, table
+from .base import HE_EXPECTED, HE_SQL, events, he_rows, k12_rows, query, scratch, sql_list, table
 from .plans import _HE_SQL, _TEACHERS_SQL
 
 
@@ -115,20 +122,46 @@ def year_archive(spark: SparkSession, d: str) -> DataFrame:
     return store.read_history(spark, path).select("District", "Salary_Year")
 
 
-@query("archive_repair", "SELECT doc_id, md5(text) AS title FROM documents")
-def archive_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Titles in a date-partitioned archive, repaired in place.  Where the corruption can be proven the
-    title was archived corrupted; the others go in as they are and come out unchanged."""
-    path = scratch(spark, "archive")
+def _landed_titles(spark: SparkSession, d: str, path: str) -> None:
+    """Titles in a date-partitioned archive of three files per date.  Where the corruption can be proven the
+    title is archived corrupted; the others go in as they are."""
     corrupted = F.translate(F.decode(F.encode("text", "utf-8"), "iso-8859-1"), C1_CONTROLS, CP1252_CHARS)
     day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("doc_id") % 7).cast("int"))
     lost = F.hex(F.encode("text", "utf-8")).rlike("^(..)*(81|8D|8F|90|9D)")
-    title = F.when(lost, F.col("text")).otherwise(corrupted)
-    store.write_snapshot(table(spark, d, "documents").select("doc_id", title.alias("title"), day.alias("Archive_Date")), path)
+    title = F.when(lost | (F.col("doc_id") % 3 == 1), F.col("text")).otherwise(corrupted)
+    rows = table(spark, d, "documents").select("doc_id", title.alias("title"), day.alias("Archive_Date"))
+    for part in range(3):
+        rows.filter(F.col("doc_id") % 3 == part).repartition("Archive_Date").write.mode("append").partitionBy("Archive_Date").parquet(path)
+
+
+@query("archive_repair", "SELECT doc_id, md5(text) AS title FROM documents")
+def archive_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in an archive, repaired in place, file by file; files without changes are not rewritten."""
+    path = scratch(spark, "archive")
+    _landed_titles(spark, d, path)
     store.repair_archive(spark, path, apply=True)
     return spark.read.parquet(path).select("doc_id", F.md5("title").alias("title"))
 
 
+@query(
+    "archive_repair_report",
+    r"""WITH t AS (SELECT doc_id, text, doc_id % 7 AS day, doc_id % 3 AS part FROM documents
+  WHERE doc_id % 3 <> 1 AND regexp_matches(text, '[^\x00-\x7F]') AND NOT regexp_matches(hex(encode(text)), '^(..)*(81|8D|8F|90|9D)'))
+SELECT DATE '2024-01-01' + CAST(day AS INTEGER) AS Archive_Date, doc_id % 3 AS part, count(*) AS titles, md5(string_agg(md5(text), ',' ORDER BY md5(text))) AS repaired
+FROM t GROUP BY ALL""",
+)
+def archive_repair_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the repair would change, by date and file: every file with a change, how many titles, and their repaired texts."""
+    path = scratch(spark, "archive")
+    _landed_titles(spark, d, path)
+    report = store.repair_archive(spark, path)
+    # A file holds one third of the ids; which one is read off the file itself.
+    part = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), (F.col("doc_id") % 3).alias("part")).distinct()
+    repaired = F.md5(F.array_join(F.sort_array(F.collect_list(F.md5("repaired"))), ","))
+    by_file = report.groupBy("Archive_Date", "file").agg(F.count(F.lit(1)).alias("titles"), repaired.alias("repaired"))
+    return by_file.join(part, "file").drop("file")
+
+
 @query(
     "rebuilt_history",
     f"""WITH {_TEACHERS_SQL} SELECT Broad_Category, Archive_Date, District, sum FROM allsum""",
@@ -175,11 +208,12 @@ def weekly_job(spark: SparkSession, d: str) -> DataFrame:
     targets = {n: scratch(spark, n) for n in ("category_counts", "faculty_history", "institution_totals")}
     rows = settled(he_rows(spark, d))
     expected = rows.select(F.col("Institution").alias("source")).distinct()
+    checks = [coverage(["Title", "Institution", "Link"]), encoding("Title")]
     days = [r[0] for r in rows.select("Archive_Date").distinct().orderBy("Archive_Date").collect()]
     for day in [*days, days[-1]]:
         week = rows.filter(F.col("Archive_Date") == F.lit(day))
         try:
-            weekly.run_week(week, higher_ed.history_tables, raw, targets, "institution_totals", "Institution", expected, log, dt.datetime(2024, 2, 1))
+            weekly.run_week(week, higher_ed.history_tables, raw, targets, "institution_totals", "Institution", expected, log, dt.datetime(2024, 2, 1), checks)
         except QualityError:
             # A day of less than half the postings is refused; it was looked at and is accepted without that check.
             store.write_snapshot(week, raw)
@@ -189,14 +223,18 @@ def weekly_job(spark: SparkSession, d: str) -> DataFrame:
     return store.read_history(spark, targets["institution_totals"]).select("Archive_Date", "Institution", "n")
 
 
+_FACULTY_TITLES = [title for title, (job_type, *_) in HE_EXPECTED.items() if job_type in (FACULTY_JOB_TYPE, ADJUNCT_JOB_TYPE)]
+
+
 @query(
     "late_snapshot",
     f"""WITH {HE_SQL}, edge AS (SELECT min(Archive_Date) AS day FROM he), kept AS (
-  SELECT he.* FROM he, edge WHERE Archive_Date <> day OR NOT regexp_matches(Title, '(?i)professor|instructor|lecturer|faculty'))
-SELECT Archive_Date, Institution, count(*) AS n FROM kept GROUP BY ALL""",
+  SELECT he.* FROM he, edge WHERE Archive_Date <> day OR NOT list_contains({sql_list(_FACULTY_TITLES)}, Title))
+SELECT 'totals' AS kind, Archive_Date, Institution, count(*) AS n FROM kept GROUP BY ALL
+UNION ALL SELECT 'faculty', Archive_Date, NULL, count(*) FROM kept WHERE list_contains({sql_list(_FACULTY_TITLES)}, Title) GROUP BY ALL""",
 )
 def late_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """The stream meets the oldest date again, now without its teaching posts: the date is replaced, and
+    """The stream meets the oldest date again, now without its faculty posts: the date is replaced, and
     where a table has no rows for it any more, cleared."""
     raw, state = scratch(spark, "raw"), scratch(spark, "state")
     targets = {n: scratch(spark, n) for n in ("institution_totals", "faculty_history")}
@@ -209,12 +247,65 @@ def late_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
     follow()
     first = rows.agg(F.min("Archive_Date")).first()[0]
-    late = rows.filter((F.col("Archive_Date") == F.lit(first)) & ~F.col("Title").rlike("(?i)professor|instructor|lecturer|faculty"))
+    late = rows.filter((F.col("Archive_Date") == F.lit(first)) & ~he_job_type("Title").isin(FACULTY_JOB_TYPE, ADJUNCT_JOB_TYPE))
     store.write_snapshot(late, raw)
     follow()
-    totals = store.read_history(spark, targets["institution_totals"])
-    gone = store.read_history(spark, targets["faculty_history"]).filter(F.col("Archive_Date") == F.lit(first))
-    return totals.join(gone.select("Archive_Date").distinct(), "Archive_Date", "left_anti").select("Archive_Date", "Institution", "n")
+    totals = store.read_history(spark, targets["institution_totals"]).select(F.lit("totals").alias("kind"), "Archive_Date", "Institution", "n")
+    faculty = row_counts(store.read_history(spark, targets["faculty_history"]), ["Archive_Date"])
+    return totals.unionByName(faculty.select(F.lit("faculty").alias("kind"), "Archive_Date", F.lit(None).cast("string").alias("Institution"), "n"))
+
+
+# The third date is late, and arrives twice: with two of three rows, then with all.
+_LATE = 2
+_DATED_SQL = """days AS (SELECT DISTINCT Archive_Date AS day FROM he),
+pairs AS (SELECT a.day, (SELECT max(b.day) FROM days b WHERE b.day <= a.day - {back}) AS base FROM days a)"""
+
+
+def _followed(spark: SparkSession, d: str, change: Callable[[dict[str, str]], Change]) -> DataFrame:
+    """A change table kept by the stream: all dates but one, then that one in part, then whole."""
+    raw, state = scratch(spark, "raw"), scratch(spark, "state")
+    targets = {n: scratch(spark, n) for n in ("postings", "institution_totals")}
+    kept = change(targets)
+    rows = settled(he_rows(spark, d).withColumn("_part", F.xxhash64("Link") % 3))
+    late = F.col("Archive_Date") == F.lit(rows.select("Archive_Date").distinct().orderBy("Archive_Date").collect()[_LATE][0])
+    schema = None
+
+    def derive(snapshots: DataFrame) -> dict[str, DataFrame]:
+        return {"postings": snapshots, "institution_totals": higher_ed.institution_totals(snapshots)}
+
+    for arriving in (rows.filter(~late), rows.filter(late & (F.col("_part") != 0)), rows.filter(late)):
+        store.write_snapshot(arriving.drop("_part"), raw)
+        schema = schema or spark.read.parquet(raw).schema
+        follow_snapshots(spark, raw, schema, derive, targets, state, once=True, changes=[kept]).awaitTermination()
+    return store.read_history(spark, kept.path)
+
+
+@query(
+    "late_new_postings",
+    f"""WITH {HE_SQL}, {_DATED_SQL.format(back=1)}
+SELECT Archive_Date, Institution, count(*) AS n FROM he JOIN pairs ON Archive_Date = day
+WHERE base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM he b WHERE b.Archive_Date = base AND b.Title IS NOT DISTINCT FROM he.Title
+  AND b.Location IS NOT DISTINCT FROM he.Location AND b.Institution IS NOT DISTINCT FROM he.Institution)
+GROUP BY ALL""",
+)
+def late_new_postings(spark: SparkSession, d: str) -> DataFrame:
+    """New postings of every date, kept while a date arrives late: the date after it is derived again."""
+    found = _followed(
+        spark, d,
+        lambda targets: Change(targets["postings"], scratch(spark, "new"), partial(new_by_date, keys=("Title", "Location", "Institution"))),
+    )
+    return row_counts(found, ["Archive_Date", "Institution"])
+
+
+@query(
+    "late_deltas",
+    f"""WITH {HE_SQL}, {_DATED_SQL.format(back=5)}, t AS (SELECT Archive_Date, count(*) AS n FROM he GROUP BY 1)
+SELECT a.Archive_Date, a.n AS latest_n, base AS prior_date, b.n AS prior_n, a.n - b.n AS delta
+FROM t a JOIN pairs ON a.Archive_Date = day LEFT JOIN t b ON b.Archive_Date = base""",
+)
+def late_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The total of every date against the newest one five days earlier, kept while a date arrives late."""
+    return _followed(spark, d, lambda targets: Change(targets["institution_totals"], scratch(spark, "deltas"), deltas_by_date, back=5))
 
 
 @query(
@@ -225,8 +316,8 @@ def overwritten_table(spark: SparkSession, d: str) -> DataFrame:
     """A current table refreshed from itself."""
     path = scratch(spark, "current")
     store.overwrite_table(he_rows(spark, d), path)
-    store.overwrite_table(spark.read.parquet(path).filter("Location IS NOT NULL"), path)
-    return row_counts(spark.read.parquet(path), ["Institution"])
+    store.overwrite_table(store.read_history(spark, path).filter("Location IS NOT NULL"), path)
+    return row_counts(store.read_history(spark, path), ["Institution"])
 
 
 @query(

@@ -9,7 +9,9 @@ at run time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import datetime as dt
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -53,6 +55,16 @@ def mark_dates(df: DataFrame, date: str = DATE, **days_back: int) -> dict[str, C
     return {name: F.lit(row[name]).cast(kind) for name in names}
 
 
+def base_dates(dates: Iterable[dt.date], back: int = 1) -> list[tuple[dt.date, dt.date | None]]:
+    """Each date with the newest one at least ``back`` days before it (None where there is none)."""
+    known = sorted(set(dates))
+    bases = []
+    for day in known:
+        place = bisect_right(known, day - dt.timedelta(back))
+        bases.append((day, known[place - 1] if place else None))
+    return bases
+
+
 def as_of_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, values: Sequence[str],
     hot_rows: int = HOT_ROWS,

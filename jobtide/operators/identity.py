@@ -80,16 +80,17 @@ def add_posting_identity(
     if "Archive_Date" in df.columns:
         marked = marked.withColumn("_day", _component(marked, "Archive_Date", False))
         group.append("_day")
-    # One copy, read in two parts: a row whose link is its identity needs no number.
+    # One copy, read in two parts. A row whose link is its identity needs no number, but it counts
+    # among its equals: it goes through the numbering as a key and a place, without its fields.
     rows = settled(marked)
     method = F.when(F.col("_statewide"), METHOD_STATEWIDE).otherwise(METHOD_SOURCE)
     fallback = F.concat(F.lit("fallback:"), F.col("_base"), F.lit("#"), F.col("_occurrence").cast("string"))
+    placed = rows.select(*group, F.col(seq).alias("_seq"), F.when(~F.col("_stable"), F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("_row"))
+    numbered = number_settled(placed, group, "_seq", "_occurrence").filter("_row is not null").select("_row.*", "_occurrence")
     by_link = rows.filter("_stable").withColumns(
         {"Posting_Identity_Method": F.lit(METHOD_URL), "Posting_ID": F.concat(F.lit("url:"), F.lower("_url"))}
     )
-    by_fields = number_settled(rows.filter("not _stable"), group, seq, "_occurrence").withColumns(
-        {"Posting_Identity_Method": method, "Posting_ID": fallback}
-    )
+    by_fields = numbered.withColumns({"Posting_Identity_Method": method, "Posting_ID": fallback})
     own = ["_url", "_statewide", "_stable", "_base", "_hi", "_lo", "_day"]
     return by_link.drop(*own).unionByName(by_fields.drop(*own, "_occurrence"))
 

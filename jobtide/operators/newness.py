@@ -28,3 +28,16 @@ def new_since_previous(history: DataFrame, keys: Sequence[str] = ("Posting_ID",)
     )
     same = reduce(and_, (F.col(f"now.{k}").eqNullSafe(F.col(f"_{k}")) for k in keys))
     return now.join(before, same, "left_anti")
+
+
+def new_by_date(history: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("Posting_ID",), date: str = DATE) -> DataFrame:
+    """The rows of every date in ``pairs`` whose keys the date's base did not have.
+
+    ``pairs`` is (date, _base), one row per snapshot date; a date without a base has nothing new.  Missing key
+    values match each other.  The earlier side is reduced to its distinct keys, as above.
+    """
+    dated = F.broadcast(pairs.filter("_base is not null"))
+    now = history.join(dated, date).alias("now")
+    before = history.select(F.col(date).alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    same = reduce(and_, (F.col(f"now.{k}").eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    return now.join(before, (F.col("now._base") == F.col("_at")) & same, "left_anti").drop("_base").select(*history.columns)

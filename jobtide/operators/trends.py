@@ -34,6 +34,17 @@ def week_over_week(totals: DataFrame, min_days_back: int = 5, date: str = DATE,
     )
 
 
+def deltas_by_date(totals: DataFrame, pairs: DataFrame, date: str = DATE, n: str = "n") -> DataFrame:
+    """Every date in ``pairs`` (date, _base) with its total, its base's, and the difference (null without a base)."""
+    daily = daily_totals(totals, date, n)
+    base = daily.select(F.col(date).alias("prior_date"), F.col(n).alias("prior_n"))
+    dated = daily.join(F.broadcast(pairs), date).withColumnRenamed("_base", "prior_date")
+    joined = dated.join(base, "prior_date", "left")
+    return joined.select(
+        date, F.col(n).alias("latest_n"), "prior_date", "prior_n", (F.col(n) - F.col("prior_n")).alias("delta")
+    )
+
+
 def movers(
     totals: DataFrame, name: str, min_days_back: int = 21, date: str = DATE, n: str = "n", marks: Mapping[str, Column] | None = None
 ) -> DataFrame:

@@ -1,31 +1,95 @@
-"""The weekly job of one side: check, archive, append, log."""
+"""The weekly job: check, archive, append, log; of one side, or of several that are taken or refused together."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from contextlib import ExitStack
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.asof import DATE
-from ..operators.quality import require_not_halved
+from ..operators.checks import Check, failures, observed, one_date
+from ..operators.quality import QualityError, require_not_halved
+from ..session import settled_for_now
 from ..sinks import store
+from ..sinks.changes import Change, refresh
 from ..sources.shape import ingest_audit
 
 Derive = Callable[[DataFrame], Mapping[str, DataFrame]]
 
 
-def guard_against_loss(totals: DataFrame, path: str, entity: str, date: str = DATE) -> None:
-    """Refuse counts of less than half of what the newest earlier date had, over all entities."""
-    spark = totals.sparkSession
-    if not store.table_exists(spark, path):
-        return
-    history, now = store.read_history(spark, path), totals.agg(F.max(date)).first()[0]
-    earlier = history.filter(F.col(date) < F.lit(now))
-    newest = earlier.agg(F.max(date)).first()[0]
-    if newest is not None:
-        side = F.lit("all").alias("side")
-        require_not_halved(earlier.filter(F.col(date) == F.lit(newest)).select(side, "n"), totals.select(side, "n"), "side")
+@dataclass(frozen=True)
+class Side:
+    """One side's snapshot and where it goes.
+
+    ``derive`` (``history_tables`` of a side) works out all tables and raises if totals do not add up;
+    its table ``totals`` has (entity, date, n).  ``checks`` are judged on the snapshot's rows while they are
+    read; ``changes`` are kept over tables in ``targets``.
+    """
+
+    name: str
+    raw: DataFrame
+    derive: Derive
+    raw_path: str
+    targets: Mapping[str, str]
+    totals: str
+    entity: str
+    expected: DataFrame | None = None
+    checks: Sequence[Check] = ()
+    changes: Sequence[Change] = ()
+
+
+def _earlier(side: Side, day: dt.date, date: str = DATE) -> DataFrame | None:
+    """(side, n) of the newest earlier date in the history of totals."""
+    spark, path = side.raw.sparkSession, side.targets[side.totals]
+    days = [d for d in store.stored_dates(spark, path, date) if d < day]
+    if not days:
+        return None
+    return store.read_history(spark, path).filter(F.col(date) == F.lit(days[-1])).select(F.lit(side.name).alias("side"), "n")
+
+
+def run_sides(sides: Sequence[Side], log_path: str | None = None, at: dt.datetime | None = None) -> None:
+    """One snapshot date of every side through all steps.
+
+    Each side's rows are read once: the pass that puts them aside also counts what the checks
+    need.  If any side has more than one date, fails a check, has totals that do not add up, or has less than half the
+    postings of its newest earlier date, nothing of any side is written.  Only then are the snapshots
+    archived, every table in ``targets`` appended, the changes derived, and the
+    audit of the ``expected`` sources logged.
+    """
+    with ExitStack() as held:
+        taken, before, after = [], [], []
+        for side in sides:
+            checks = [one_date(DATE), *side.checks]
+            watched, seen = observed(side.raw, checks)
+            rows = held.enter_context(settled_for_now(watched))
+            metrics = seen.get
+            days = {metrics[f"{DATE}_first"], metrics[f"{DATE}_last"]}
+            if len(days) != 1 or None in days or metrics[f"{DATE}_missing"]:
+                raise ValueError(f"{side.name}: expected one snapshot date, got {sorted(map(str, days))}")
+            failed = failures(checks, metrics)
+            if failed:
+                raise QualityError(f"{side.name}: " + "; ".join(map(str, failed)))
+            tables, day = side.derive(rows), days.pop()
+            after.append(tables[side.totals].select(F.lit(side.name).alias("side"), "n"))
+            earlier = _earlier(side, day)
+            before += [] if earlier is None else [earlier]
+            taken.append((side, rows, tables, day))
+        if before:
+            require_not_halved(reduce(DataFrame.unionByName, before), reduce(DataFrame.unionByName, after), "side")
+        for side, rows, tables, day in taken:
+            store.write_snapshot(rows, side.raw_path)
+            for name, path in side.targets.items():
+                store.replace_dates(tables[name], path, [day])
+            for change in side.changes:
+                refresh(rows.sparkSession, change, [day])
+            if side.expected is not None and log_path is not None:
+                source = side.expected.columns[0]
+                audit = ingest_audit(side.expected, rows.select(F.col(side.entity).alias(source)), source=source)
+                store.append_log(audit, log_path, at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
 
 def run_week(
@@ -38,23 +102,7 @@ def run_week(
     expected: DataFrame | None = None,
     log_path: str | None = None,
     at: dt.datetime | None = None,
+    checks: Sequence[Check] = (),
 ) -> None:
-    """One snapshot date through all steps.
-
-    ``derive`` (``history_tables`` of a side) works out all tables and raises if totals do not
-    add up; the table ``totals`` (entity, date, n) must not have lost half of its postings.
-    Only then is the snapshot archived and every table in ``targets`` appended, and the
-    audit of the ``expected`` sources logged.
-    """
-    dates = [r[0] for r in raw.select(DATE).distinct().limit(2).collect()]
-    if len(dates) != 1:
-        raise ValueError(f"run_week: expected one snapshot date, got {len(dates)}")
-    tables = derive(raw)
-    guard_against_loss(tables[totals], targets[totals], entity)
-    store.write_snapshot(raw, raw_path)
-    for name, path in targets.items():
-        store.replace_dates(tables[name], path, dates)
-    if expected is not None and log_path is not None:
-        source = expected.columns[0]
-        audit = ingest_audit(expected, raw.select(F.col(entity).alias(source)), source=source)
-        store.append_log(audit, log_path, at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+    """``run_sides`` for a side on its own."""
+    run_sides([Side(entity, raw, derive, raw_path, targets, totals, entity, expected, checks)], log_path, at)

@@ -59,17 +59,18 @@ def _shared_path(spark: SparkSession, path: str):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder on shared storage, which is deleted when the session's process ends."""
+    """A path on shared storage for a new table or folder; what is written there is deleted when the session's process ends."""
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     files, folder = _shared_path(spark, path)
     files.mkdirs(folder)  # only what is there can be marked
     files.deleteOnExit(folder)
-    return path
+    return f"{path}/data"
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder from ``shared_folder`` now."""
     files, folder = _shared_path(spark, path)
-    files.delete(folder, True)
+    files.delete(folder.getParent(), True)
 
 
 def _copied(df: DataFrame, path: str) -> DataFrame:

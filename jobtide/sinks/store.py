@@ -3,6 +3,10 @@
 Writes are idempotent by date.  With dynamic partition overwrite a write
 replaces exactly the dates it carries, so a re-run of a day never doubles it,
 and the cost of a week does not depend on the length of the history.
+
+A table that is replaced as a whole keeps its rows in versions below its folder.  The newest file in
+``_current`` names the one that counts; it is empty and written last, so a version is either
+there for readers or not.  Read tables through ``read_history``, which looks the version up.
 """
 
 from __future__ import annotations
@@ -18,14 +22,91 @@ from ..operators.asof import DATE
 from ..operators.ordering import keep_first
 from ..operators.quality import QualityError, require_same_columns
 from ..schemas import RUN_LOG, SALARY_HISTORY
-from ..session import settled
+from ..session import settled, settled_for_now
 from ..sources.files import read_snapshots
 
+VERSIONS, CURRENT = "_versions", "_current"
+#: The version in use and the one before it, which running readers may still read.
+KEPT_VERSIONS = 2
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds anything (asked of the file system that owns it)."""
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, sorted; nothing if it is not there."""
+    fs, folder = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     fs, jvm_path = _file_system(spark, path)
-    return bool(fs.exists(jvm_path)) and len(fs.listStatus(jvm_path)) > 0
+    fs.delete(jvm_path, True)
+
+
+def location(spark: SparkSession, path: str) -> str:
+    """The folder with the table's rows: its newest version, or the table's own folder if it has none."""
+    pointers = _names(spark, f"{path}/{CURRENT}")
+    return f"{path}/{VERSIONS}/{pointers[-1].partition('.')[2]}" if pointers else path
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table has a folder that holds anything."""
+    return bool(_names(spark, location(spark, path)))
+
+
+def stored_dates(spark: SparkSession, path: str, date: str = DATE) -> list[dt.date]:
+    """The dates a table has rows for, from its partition folders."""
+    names = _names(spark, location(spark, path))
+    return sorted(dt.date.fromisoformat(n.partition("=")[2]) for n in names if n.startswith(f"{date}="))
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Make a version the one that counts: one empty file is created, which is there or is not."""
+    pointers = _names(spark, f"{path}/{CURRENT}")
+    number = int(pointers[-1].partition(".")[0]) + 1 if pointers else 1
+    fs, pointer = _file_system(spark, f"{path}/{CURRENT}/{number:012d}.{version}")
+    if not fs.createNewFile(pointer):
+        raise OSError(f"could not create {pointer}")
+
+
+def _forget_old(spark: SparkSession, path: str) -> None:
+    """Delete what only older pointers name, the rows of a time before versions included."""
+    pointers = _names(spark, f"{path}/{CURRENT}")
+    for pointer in pointers[:-KEPT_VERSIONS]:
+        _delete(spark, f"{path}/{VERSIONS}/{pointer.partition('.')[2]}")
+        _delete(spark, f"{path}/{CURRENT}/{pointer}")
+    if len(pointers) >= KEPT_VERSIONS:
+        for name in _names(spark, path):
+            if name not in (VERSIONS, CURRENT):
+                _delete(spark, f"{path}/{name}")
+
+
+def replace_tables(frames: dict[str, DataFrame], by: str | None = None) -> None:
+    """Write whole tables anew, {path: rows}; all of them are written before the first one counts.
+
+    A frame may be read from the table it replaces.  If a write fails, no table has changed and what
+    was written is deleted; if the process is killed, no table has changed.
+    """
+    versions = {path: uuid.uuid4().hex for path in frames}
+    try:
+        for path, df in frames.items():
+            writer = df.hint("rebalance", F.col(by)).write.partitionBy(by) if by else df.write
+            writer.parquet(f"{path}/{VERSIONS}/{versions[path]}")
+    except BaseException:
+        for path, df in frames.items():
+            _delete(df.sparkSession, f"{path}/{VERSIONS}/{versions[path]}")
+        raise
+    for path, df in frames.items():
+        _point(df.sparkSession, path, versions[path])
+        _forget_old(df.sparkSession, path)
+
+
+def replace_table(df: DataFrame, path: str, date: str = DATE) -> None:
+    """Write a table partitioned by date anew, so that nothing of the old one stays."""
+    replace_tables({path: df}, date)
 
 
 def _dates_in(df: DataFrame, date: str) -> list:
@@ -33,35 +114,35 @@ def _dates_in(df: DataFrame, date: str) -> list:
     return [r[0] for r in df.select(date).distinct().limit(2).collect()]
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+def _write_dates(df: DataFrame, path: str, date: str) -> None:
+    (
+        df.hint("rebalance", F.col(date))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(date)
+        .parquet(path)
+    )
 
 
 def replace_dates(df: DataFrame, path: str, dates: Iterable[dt.date] | None = None, date: str = DATE) -> None:
     """Write the frame's dates, replacing those dates and no others.
 
     ``dates`` names the dates that were derived again: those of them the frame has no
-    rows for are cleared, as that is what is now known of them.  Rows are gathered
-    by date before writing, so a date gets few files; adaptive execution cuts a date
+    rows for are cleared, as that is what is now known of them, after the others are written.  Rows are
+    gathered by date before writing, so a date gets few files; adaptive execution cuts a date
     that holds most of the rows into several write tasks.
     """
     spark = df.sparkSession
-    if dates is not None:
-        df = settled(df)
-        filled = {str(r[0]) for r in df.select(date).distinct().collect()}
-        for emptied in {str(d) for d in dates} - filled:
-            fs, folder = _file_system(spark, f"{path}/{date}={emptied}")
-            fs.delete(folder, True)
-        if not filled:
-            return
-    (
-        df.hint("rebalance", F.col(date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(date)
-        .parquet(path)
-    )
+    target = location(spark, path)
+    if dates is None:
+        _write_dates(df, target, date)
+        return
+    with settled_for_now(df) as rows:
+        filled = {str(r[0]) for r in rows.select(date).distinct().collect()}
+        if filled:
+            _write_dates(rows, target, date)
+    for emptied in {str(d) for d in dates} - filled:
+        _delete(spark, f"{target}/{date}={emptied}")
 
 
 def write_snapshot(df: DataFrame, path: str, date: str = DATE) -> None:
@@ -69,17 +150,6 @@ def write_snapshot(df: DataFrame, path: str, date: str = DATE) -> None:
     replace_dates(df, path, date=date)
 
 
-def replace_table(df: DataFrame, path: str, date: str = DATE) -> None:
-    """Write the table anew beside the old one and put it in its place, so that nothing of the old one stays."""
-    fresh = f"{path}.new-{uuid.uuid4().hex}"
-    df.hint("rebalance", F.col(date)).write.partitionBy(date).parquet(fresh)
-    spark = df.sparkSession
-    fs, old = _file_system(spark, path)
-    fs.delete(old, True)
-    fs.mkdirs(old.getParent())
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), old)
-
-
 def replaced(existing: DataFrame, new: DataFrame, date: str = DATE) -> DataFrame:
     """The frame an append by date leads to, without writing: the dates of
     ``new`` are dropped from ``existing``, then both are united."""
@@ -107,8 +177,9 @@ def append_by_date(new: DataFrame, path: str, schema: T.StructType | None = None
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table's rows, of its newest version if it has versions."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(location(spark, path))
 
 
 # -- year-keyed archive ------------------------------------------------------
@@ -141,10 +212,10 @@ def archive_year_snapshot(current: DataFrame, path: str, schema: T.StructType =
     )
     exists = table_exists(spark, path)
     existing = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
-    missing = settled(missing_year_rows(existing, snapshot))
-    if missing.isEmpty():
-        return False
-    missing.write.mode("append").parquet(path)
+    with settled_for_now(missing_year_rows(existing, snapshot)) as missing:
+        if missing.isEmpty():
+            return False
+        missing.write.mode("append").parquet(path)
     return True
 
 
@@ -152,9 +223,8 @@ def archive_year_snapshot(current: DataFrame, path: str, schema: T.StructType =
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:
-    """Full refresh.  The frame may have been read from ``path`` itself, so it is
-    settled on shared storage before the old files go."""
-    settled(df).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    """Full refresh.  The frame may have been read from the table itself."""
+    replace_tables({path: df})
 
 
 def append_log(audit: DataFrame, path: str, at: dt.datetime) -> None:
@@ -171,27 +241,58 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def repair_archive(spark: SparkSession, path: str, column: str = "title", apply: bool = False, date: str = DATE) -> DataFrame:
-    """Report titles that byte or mojibake repair would change; with ``apply``
-    rewrite the dates that hold any, and only those."""
+    """Report (date, file, original, repaired) for the texts that byte or mojibake repair would change; with
+    ``apply`` rewrite the files that hold any, and only those.
+
+    A file keeps its name and its other rows.  The new file is complete before the old one is set aside,
+    and the old one is deleted only once the new one has its place; if a file cannot be put in
+    place the old one is put back.  ``file`` is the path as Spark gives it.
+    """
     archive = spark.read.option("mergeSchema", "true").parquet(path)
     if column not in archive.columns:
         raise ValueError(f"repair_archive: no column {column!r}")
-    both = archive.withColumn("_repaired", repair_title(column))
+    both = archive.withColumns({"_repaired": repair_title(column), "file": F.col("_metadata.file_path")})
     report = both.filter(F.col(column) != F.col("_repaired")).select(
-        date, F.col(column).alias("original"), F.col("_repaired").alias("repaired")
+        date, "file", F.col(column).alias("original"), F.col("_repaired").alias("repaired")
     )
     if not apply:
         return report
     report = settled(report)
-    touched = report.select(date).distinct()
-    fixed = settled(
-        both.join(touched, date, "left_semi").withColumn(column, F.col("_repaired")).select(*archive.columns)
-    )
-    if not fixed.isEmpty():
-        replace_dates(fixed, path, date=date)
+    # One short row for each file with a change; the files themselves are read and written by tasks.
+    touched = {r["file"]: r["key"] for r in report.select("file", F.hex(F.xxhash64("file")).alias("key")).distinct().collect()}
+    if not touched:
+        return report
+    dates = [r[0] for r in report.select(date).distinct().collect()]
+    keys = spark.createDataFrame([(f,) for f in touched], "file string")
+    fixed = both.filter(F.col(date).isin(dates)).join(keys, "file", "left_semi")
+    fixed = fixed.withColumns({column: F.col("_repaired"), "_key": F.hex(F.xxhash64("file"))})
+    staged = f"{path}/_repair-{uuid.uuid4().hex}"
+    # A file's rows fit one task as they stood in one file; the date is in the folder's name.
+    fixed.select(*[c for c in archive.columns if c != date], "_key").repartition("_key").sortWithinPartitions("_key").write.partitionBy("_key").parquet(staged)
+    for file, key in touched.items():
+        _put_in_place(spark, f"{staged}/_key={key}", file)
+    _delete(spark, staged)
     return report
 
 
+def _put_in_place(spark: SparkSession, folder: str, file: str) -> None:
+    """Put the only file of ``folder`` in the place of ``file``; the old one is put back if that fails."""
+    parts = [n for n in _names(spark, folder) if n.startswith("part-")]
+    if len(parts) != 1:
+        raise OSError(f"expected one file in {folder}, found {len(parts)}")
+    uri = spark._jvm.java.net.URI(file)
+    old = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = spark._jvm.org.apache.hadoop.fs.Path(old.getParent(), f"_old-{old.getName()}")
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{parts[0]}")
+    if not fs.rename(old, aside):
+        raise OSError(f"could not set {file} aside")
+    if not fs.rename(fresh, old):
+        fs.rename(aside, old)
+        raise OSError(f"could not replace {file}")
+    fs.delete(aside, False)
+
+
 def rebuild(
     spark: SparkSession, raw_path: str, derive: Callable[[DataFrame], dict[str, DataFrame]], targets: dict[str, str], date: str = DATE
 ) -> None:
@@ -203,5 +304,4 @@ def rebuild(
     archive is no longer in them either.
     """
     frames = derive(read_snapshots(spark, raw_path))
-    for name, path in targets.items():
-        replace_table(frames[name], path, date)
+    replace_tables({path: frames[name] for name, path in targets.items()}, date)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import repair_invalid_bytes
@@ -15,9 +18,13 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "nullValue"
 ROW_INDEX_COLUMN = "X"
 
 
-def read_table_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, quotes doubled and missing values written as NA."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def read_table_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header, quotes doubled and missing values written as NA.
+
+    Quoted values may hold line breaks, which makes each file one task; say ``line_breaks=False`` of files
+    known to have none, and large ones are cut into many.
+    """
+    return spark.read.schema(schema).options(**CSV_OPTIONS | {"multiLine": str(line_breaks).lower()}).csv(path)
 
 
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,12 +33,6 @@ def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_raw_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file: (path, body) with the bytes untouched."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("content").alias("body"))
-
-
 def parse_csv_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
     """Repair the bytes first, parse afterwards.  For files without quoted line breaks."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -41,17 +42,25 @@ def parse_csv_lines(lines: DataFrame, schema: T.StructType, column: str = "value
 
 
 def _headers(spark: SparkSession, path: str, glob: str) -> dict[str, list[str]]:
-    """{header line: files}.  Spark reads the first line of each file; the driver
-    sees one short row per file, which the file listing already gave it."""
-    lines = (
-        spark.read.option("pathGlobFilter", glob).text(path)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at"))
-        .filter(F.col("file_block_start") == 0)
-    )
-    first = lines.groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
+    """{header line: files}.
+
+    In a session of its own, in which every file is one task and a task is asked for one line at a time, each file is
+    opened, its first line read and the rest left alone.  The driver sees one short row per file, which the
+    file listing already gave it.
+    """
+    alone = spark.newSession()
+    whole = str(1 << 40)  # larger than any file: a file is one split, and no task takes two
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        alone.conf.set(key, whole)
+    alone.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    lines = alone.read.option("pathGlobFilter", glob).text(path).select("value", "_metadata.file_path")
+
+    def first(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from islice((f for f in frames if f.num_rows), 1)
+
     found = defaultdict(list)
-    for row in first.toLocalIterator():
-        found[row["header"]].append(unquote(row["file_path"]))  # it comes as an escaped URI
+    for row in lines.mapInArrow(first, "value string, file_path string").collect():
+        found[row["value"]].append(unquote(row["file_path"]))  # it comes as an escaped URI
     return found
 
 

@@ -117,13 +117,15 @@ def test_numbering_missing_keys(spark):
         assert values(ordering.number_within(df, ["k"], "seq", "n", hot_rows), "seq", "n") == [(1, 1), (2, 2), (5, 1)]
 
 
-def test_identity_evaluates_its_input_once_and_numbers_no_stable_rows(spark):
-    rows = [(f"T{i % 3}", "L", D(2026, 1, 1), f"https://x.example/jobs/{i}" if i % 2 else None, "D", i) for i in range(100)]
+def test_identity_evaluates_its_input_once_and_moves_no_stable_rows(spark):
+    """Every third row has one title; every other one has a link of its own and counts among its equals."""
+    rows = [(f"T{i % 3}", "L", D(2026, 1, 1), f"https://x.example/jobs/{i}" if i % 2 else None, "D", i) for i in range(90)]
     once, evaluated = counted(spark, spark.createDataFrame(rows, "title string, location string, date_posted date, url string, District string, seq long"))
     got = identity.add_posting_identity(once)
-    assert got.filter("Posting_ID like 'url:%'").count() == 50 and evaluated.value == 100
-    plan = got.filter("Posting_Identity_Method like 'Stable%'")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" not in plan.split("Union")[0] and sorted(r.Posting_ID.split("#")[1] for r in got.filter("seq % 6 = 0").collect()) == sorted(str(i) for i in range(1, 18))
+    numbers = {r.seq: int(r.Posting_ID.split("#")[1]) for r in got.filter("Posting_ID like 'fallback:%'").collect()}
+    assert numbers == {i: i // 3 + 1 for i in range(0, 90, 2)} and evaluated.value == 90
+    by_link = got.filter("Posting_Identity_Method like 'Stable%'")
+    assert by_link.count() == 45 and "Exchange" not in by_link._jdf.queryExecution().executedPlan().toString().split("Union")[-1].split("Window")[0]
 
 
 @pytest.mark.parametrize("extreme", [[], [float("inf")] * 3, [-1.7e308, 1.7e308], [5e-324, 1e-323]])
@@ -355,6 +357,16 @@ def test_gap_fill_with_given_values_and_wide_keys(spark):
     assert got.select("p", "q", "r").distinct().count() == 60 * 37 * 2
 
 
+def test_gap_fill_refuses_a_product_that_is_too_large(spark):
+    df = spark.createDataFrame([(i if i else None, i, 1) for i in range(60)], "p int, q int, n long")
+    assert gapfill.gap_fill(df, ["p", "q"], {"n": 0}, at_most=3600).count() == 3600
+    with pytest.raises(ValueError, match="3,600 combinations of .'p': 60, 'q': 60. are more than 3,599"):
+        gapfill.gap_fill(df, ["p", "q"], {"n": 0}, at_most=3599)
+    with pytest.raises(ValueError, match="120"):
+        gapfill.gap_fill(df, ["p", "q"], {"n": 0}, {"q": [1, 2]}, at_most=119)
+    assert gapfill.gap_fill(df.limit(0), ["p", "q"], {"n": 0}).count() == 0
+
+
 # -- joins -------------------------------------------------------------------
 
 

@@ -65,6 +65,24 @@ def test_source_drift_and_page_signals(spark):
     assert report.first().check == "drift" and '"name":"a"' in report.first().detail
 
 
+def test_the_whole_report(spark):
+    rows = [("a", D(2026, 8, d)) for d in (6, 13) for _ in range(10)] + [("b", D(2026, 8, 20))]
+    snapshots = spark.createDataFrame(rows, "source string, Archive_Date date")
+    urls = spark.createDataFrame([("a", "u")], "name string, url string")
+    pages = spark.createDataFrame([("u", "Apply now View details Job title")], "url string, text string")
+    df = spark.createDataFrame([("x", 1.0, None), ("y", None, 7.0), ("z", 99.0, 8.0), ("z", 99.0, 9.0)], "e string, v double, w double")
+    prior = spark.createDataFrame([(n, 100.0) for n in "abcdef"], "name string, value double")
+    now = spark.createDataFrame([(n, 100.0 + i) for i, n in enumerate("abcde")] + [("f", 200.0)], "name string, value double")
+    report = health.source_health(
+        health.source_checks(snapshots, "source", urls, pages), health.value_checks(df, "e", ["e", "v", "w"], {"v": (0.0, 10.0), "w": (0.0, 8.5)}, min_ok=4), health.salary_checks(now, prior)
+    )
+    assert values(report) == sorted([
+        ("bounds", "v", "z", 99.0, "0.0 to 10.0"), ("bounds", "w", "z", 9.0, "0.0 to 8.5"), ("coverage", "v", None, 3.0, "at least 4"), ("coverage", "w", None, 3.0, "at least 4"),
+        ("drift", "source", "a", 0.0, "mean 10.00"), ("page", "source", "a", 0.0, "likely_broken"), ("plausibility", "value", "f", 1.0, "100.00 to 200.00"),
+    ], key=lambda t: [(v is None, str(v)) for v in t])
+    assert health.value_checks(df.limit(0), "e", ["e"], {"v": (0.0, 1.0)}).count() == 0
+
+
 def test_coverage_and_bounds(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 99.0)], "e string, v double")
     assert values(quality.coverage_gaps(df, ["v", "e"], 3)) == [("v", 3, 2)]

@@ -4,10 +4,12 @@ import pytest
 from .conftest import values
 from pyspark.sql import functions as F
 
+from jobtide.operators import checks, newness, quality, trends
+from jobtide.operators.asof import base_dates
 from jobtide.operators.quality import QualityError
 from jobtide.plans import higher_ed, k12, weekly
 from jobtide.schemas import RAW_PAYLOAD, empty
-from jobtide.sinks import store
+from jobtide.sinks import changes, store
 from jobtide.sources import files, shape, vintages
 from jobtide.schemas import struct
 from jobtide.streaming.snapshots import follow_snapshots
@@ -67,7 +69,7 @@ def test_overwriting_its_own_source(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
     store.overwrite_table(spark.read.parquet(path).filter("id > 0"), path)
-    assert values(spark.read.parquet(path)) == [(1,), (2,)]
+    assert values(store.read_history(spark, path)) == [(1,), (2,)]
 
 
 def test_run_log_and_audit(spark, tmp_path):
@@ -100,12 +102,26 @@ def test_snapshot_files_with_different_columns(spark, tmp_path):
         files.read_snapshot_csvs(spark, str(tmp_path), "*.nope")
 
 
+def test_only_the_first_lines_are_read_for_the_headers(spark, tmp_path):
+    for i in range(12):
+        names = "title,Archive_Date" if i % 3 else "Archive_Date,title,X"
+        row = "t,2026-08-06" if i % 3 else "2026-08-06,t,1"
+        (tmp_path / f"f{i}.csv").write_text("\n".join([names, *[row] * (40_000 if i == 5 else i)]) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = files._headers(spark, str(tmp_path), "*.csv")
+    assert {h: len(f) for h, f in found.items()} == {"title,Archive_Date": 8, "Archive_Date,title,X": 4}
+    got = files.read_snapshot_csvs(spark, str(tmp_path))
+    assert got.columns == ["title", "Archive_Date"] or set(got.columns) == {"title", "Archive_Date"}
+    assert got.filter("title = 't' and Archive_Date = date'2026-08-06'").count() == got.count() == 40_000 + sum(range(12)) - 5
+    schema = struct(title="s", Archive_Date="s")
+    large = files.read_table_csv(spark, str(tmp_path / "f5.csv"), schema, line_breaks=False)
+    assert large.count() == 40_000
+
+
 def test_raw_bytes_survive_the_scan(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'title,n\n"Math \x96 HS",1\n')
     lines = files.read_raw_lines(spark, str(tmp_path / "a.csv"))
     assert values(files.parse_csv_lines(lines, struct(title="s", n="n"))) == [("Math – HS", 1)]
-    body = files.read_raw_documents(spark, str(tmp_path), "*.csv").first().body
-    assert bytes(body).startswith(b"title,n\n\"Math \x96")
 
 
 def test_ledger_title_line(spark, tmp_path):
@@ -184,10 +200,10 @@ def test_appends_equal_rebuild_equal_stream(spark, tmp_path):
             spark, raw, schema, k12.history_tables, streamed, str(tmp_path / state), files_per_batch=1, once=True
         ).awaitTermination()
     for t in TABLES:
-        frames = [spark.read.parquet(p[t]) for p in (appended, rebuilt, streamed)]
+        frames = [store.read_history(spark, p[t]) for p in (appended, rebuilt, streamed)]
         wanted = values(frames[0], *sorted(frames[0].columns))
         assert wanted and all(values(f, *sorted(f.columns)) == wanted for f in frames[1:]), t
-    counts = spark.read.parquet(appended["category_counts"])
+    counts = store.read_history(spark, appended["category_counts"])
     assert counts.filter("District = 'Total'").agg(F.sum("sum")).first() == counts.filter("District <> 'Total'").agg(F.sum("sum")).first()
 
 
@@ -201,15 +217,15 @@ def test_a_rebuild_and_a_late_date_leave_nothing_behind(spark, tmp_path):
     late = weeks[0].filter("title = 'Cook'")
     store.write_snapshot(late, raw)
     follow_snapshots(spark, raw, spark.read.parquet(raw).schema, k12.history_tables, targets, str(tmp_path / "state"), once=True).awaitTermination()
-    teachers = spark.read.parquet(targets["teacher_history"])
+    teachers = store.read_history(spark, targets["teacher_history"])
     assert values(teachers.select("Archive_Date").distinct()) == [(D(2026, 8, 7),), (D(2026, 8, 18),)]
-    assert spark.read.parquet(targets["category_counts"]).filter("Archive_Date = '2026-08-06'").count() == 0
+    assert store.read_history(spark, targets["category_counts"]).filter("Archive_Date = '2026-08-06'").count() == 0
     # An archive without the other dates.
     only = str(tmp_path / "only")
     store.write_snapshot(weeks[2], only)
     store.rebuild(spark, only, k12.history_tables, targets)
     for path in targets.values():
-        assert values(spark.read.parquet(path).select("Archive_Date").distinct()) == [(D(2026, 8, 18),)]
+        assert values(store.read_history(spark, path).select("Archive_Date").distinct()) == [(D(2026, 8, 18),)]
 
 
 def test_totals_of_postings_without_a_district(spark):
@@ -240,7 +256,7 @@ def test_weekly_job(spark, tmp_path):
     rebuilt = _paths(tmp_path, "again")
     store.rebuild(spark, raw, k12.history_tables, rebuilt)
     for t in TABLES:
-        a, b = spark.read.parquet(targets[t]), spark.read.parquet(rebuilt[t])
+        a, b = store.read_history(spark, targets[t]), store.read_history(spark, rebuilt[t])
         assert values(a, *sorted(a.columns)) == values(b, *sorted(b.columns))
 
 
@@ -266,3 +282,159 @@ def test_weekly_build_end_to_end(spark):
     checked = k12.checked_category_counts(k12.teacher_rows(current))
     assert values(checked, "Broad_Category", "District", "sum") == [("Math", "D1", 1), ("Math", "Total", 1)]
     assert values(k12.category_counts_now(checked)) == [("Math", 1, "D1"), ("Math", 1, "Total")]
+
+
+# -- versions ----------------------------------------------------------------
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path, other = str(tmp_path / "t"), str(tmp_path / "u")
+    first = week(spark, D(2026, 8, 6), ("a", 1.0))
+    store.replace_dates(first, path)  # a table without versions
+    for n in (2.0, 3.0, 4.0):
+        store.replace_table(week(spark, D(2026, 8, 13), ("b", n)), path)
+        assert values(store.read_history(spark, path), "District", "n") == [("b", n)]
+    names = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert names == ["_current", "_versions"] and len(list((tmp_path / "t" / "_versions").iterdir())) == 2
+    before = values(store.read_history(spark, path))
+    # The pointer cannot be written.
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_point", lambda *a: (_ for _ in ()).throw(OSError("no")))
+        with pytest.raises(OSError, match="no"):
+            store.replace_table(first, path)
+    # The second table of a rebuild cannot be written: the first one is not replaced either.
+    bad = first.withColumn("n", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        store.replace_tables({path: first, other: bad}, "Archive_Date")
+    assert values(store.read_history(spark, path)) == before and not store.table_exists(spark, other)
+    # A killed process leaves a version without a pointer.
+    first.write.partitionBy("Archive_Date").parquet(f"{path}/_versions/orphan")
+    assert values(store.read_history(spark, path)) == before
+    # Dates are replaced inside the version in use.
+    store.replace_dates(week(spark, D(2026, 8, 20), ("c", 1.0)), path, [D(2026, 8, 13), D(2026, 8, 20)])
+    assert values(store.read_history(spark, path), "District") == [("c",)] and store.stored_dates(spark, path) == [D(2026, 8, 20)]
+
+
+def test_dates_are_cleared_only_after_the_write(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.replace_dates(week(spark, D(2026, 8, 6), ("a", 1.0)), path)
+    bad = week(spark, D(2026, 8, 13), ("b", 1.0)).withColumn("n", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        store.replace_dates(bad, path, [D(2026, 8, 6), D(2026, 8, 13)])
+    assert values(store.read_history(spark, path), "District") == [("a",)]
+
+
+def test_repair_by_file(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "the raw zone")
+    schema = "title string, n int, Archive_Date date"
+    for part in range(3):  # three files per date, one of them clean
+        rows = [("Café" if part != 1 else "Fine", part * 10 + i, D(2026, 8, 6 + i % 2)) for i in range(4)]
+        corrupt = F.translate(F.decode(F.encode("title", "utf-8"), "iso-8859-1"), "", "")
+        spark.createDataFrame(rows, schema).withColumn("title", corrupt).coalesce(1).write.mode("append").partitionBy("Archive_Date").parquet(path)
+    files = {str(f): f.read_bytes() for f in sorted((tmp_path / "the raw zone").rglob("part-*.parquet"))}
+    report = store.repair_archive(spark, path)
+    assert len(files) == 6 and report.select("file").distinct().count() == 4 and report.count() == 8
+    # One file cannot be put in place: it stays as it was.
+    rename = store._put_in_place
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_put_in_place", lambda spark, folder, file: rename(spark, folder + "-gone", file))
+        with pytest.raises(OSError, match="expected one file"):
+            store.repair_archive(spark, path, apply=True)
+    assert {str(f): f.read_bytes() for f in sorted((tmp_path / "the raw zone").rglob("part-*.parquet")) if "/_repair-" not in str(f)} == files
+    done = store.repair_archive(spark, path, apply=True)
+    assert done.count() == 8
+    after = {str(f): f.read_bytes() for f in sorted((tmp_path / "the raw zone").rglob("part-*.parquet")) if "/_repair-" not in str(f)}
+    assert set(after) == set(files) and sum(after[f] != files[f] for f in files) == 4
+    read = spark.read.parquet(path)
+    assert values(read, "title", "n") == sorted((("Café" if n // 10 != 1 else "Fine", n) for n in range(24) if n % 10 < 4), key=lambda t: [(False, str(v)) for v in t])
+    assert store.repair_archive(spark, path).count() == 0
+
+
+# -- changes -----------------------------------------------------------------
+
+
+def test_affected_dates_equal_brute_force():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(500):
+        days = [D(2026, 1, 1) + dt.timedelta(x) for x in rng.sample(range(40), 12)]
+        now, changed, back = set(days[:9]), set(rng.sample(days, 2)), rng.randrange(1, 9)
+        before = (now - changed) | {d for d in changed if rng.random() < 0.5}
+        bases = {d: b for d, b in base_dates(now, back)}
+        old = {d: b for d, b in base_dates(before, back)}
+        must = changed | {d for d, b in bases.items() if b in changed or old.get(d, b) != b}
+        assert must <= set(changes.affected(now, changed, back)) <= must | now
+
+
+def test_a_late_date_changes_the_dates_that_rest_on_it(spark, tmp_path):
+    def snapshot(day, *ids):
+        return spark.createDataFrame([(i, day) for i in ids], "Posting_ID string, Archive_Date date")
+
+    raw, state = str(tmp_path / "raw"), str(tmp_path / "state")
+    path = lambda n: str(tmp_path / n)
+    kept = [
+        changes.Change(path("h"), path("new"), newness.new_by_date),
+        changes.Change(path("t"), path("delta"), trends.deltas_by_date, back=5),
+    ]
+    derive = lambda rows: {"h": rows, "t": rows.groupBy("Archive_Date").agg(F.count(F.lit(1)).alias("n"))}
+    targets = {"h": path("h"), "t": path("t")}
+
+    def follow():
+        follow_snapshots(spark, raw, snapshot(None).schema, derive, targets, state, once=True, changes=kept).awaitTermination()
+        for i, change in enumerate(kept):
+            again = changes.Change(change.source, path(f"again{i}"), change.derive, change.back)
+            changes.rebuild(spark, again)
+            columns = sorted(store.read_history(spark, change.path).columns)
+            assert values(store.read_history(spark, change.path), *columns) == values(store.read_history(spark, again.path), *columns)
+        return values(store.read_history(spark, path("new")), "Archive_Date", "Posting_ID")
+
+    days = [D(2026, 8, d) for d in (1, 8, 15, 22)]
+    store.write_snapshot(snapshot(days[0], "a", "b").unionByName(snapshot(days[2], "a", "c")).unionByName(snapshot(days[3], "a", "c", "d")), raw)
+    assert follow() == [(days[2], "c"), (days[3], "d")]
+    # A date arrives late: the following date rests on it now.
+    store.write_snapshot(snapshot(days[1], "b", "c"), raw)
+    assert follow() == [(days[1], "c"), (days[2], "a"), (days[3], "d")]
+    assert values(store.read_history(spark, path("delta")), "Archive_Date", "delta") == [(days[0], None), (days[1], 0), (days[2], 0), (days[3], 1)]
+    # A date is replaced.
+    store.write_snapshot(snapshot(days[2], "c", "d", "e"), raw)
+    assert follow() == [(days[1], "c"), (days[2], "d"), (days[2], "e"), (days[3], "a")]
+
+
+# -- checks while writing ----------------------------------------------------
+
+
+def test_observed_checks_equal_the_operators(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0, "ok", True), ("b", None, "bad \ufffd", False), (None, 99.0, "ok", False)], "e string, v double, t string, is_total boolean")
+    asked = [checks.coverage(["e", "v", "t"]), checks.coverage(["v"], expected=5, min_ok=2), checks.bounds("v", 0.0, 10.0), checks.encoding("t"), checks.totals("is_total", "v")]
+    watched, seen = checks.observed(df, asked)
+    watched.write.parquet(str(tmp_path / "x"))
+    found = {(f.check, f.name): f.actual for f in checks.failures(asked, seen.get)}
+    gaps = {("coverage", r.name): r.actual for r in quality.coverage_gaps(df, ["e", "v", "t"], 3).collect()}
+    assert found == gaps | {
+        ("bounds", "v"): quality.out_of_bounds(df, "e", "v", 0.0, 10.0, "v").count(), ("encoding", "t"): quality.encoding_faults(df, "t").count(), ("totals", "v"): 1.0,
+    }
+    assert checks.failures([checks.bounds("v", 0, 100)], {"v_outside": 0}) == []
+
+
+def test_sides_are_taken_or_refused_together(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    def side(name, day, n, title="Math Professor"):
+        rows = spark.createDataFrame([(title, None, None, f"u{i}", f"C{i % 2}", day) for i in range(n)], "Title string, Location string, Posted_Date string, Link string, Institution string, Archive_Date date")
+        targets = {t: str(tmp_path / name / t) for t in ("institution_totals", "faculty_history", "category_counts")}
+        return weekly.Side(name, rows.mapInPandas(look, rows.schema), higher_ed.history_tables, str(tmp_path / name / "raw"), targets, "institution_totals", "Institution", checks=[checks.encoding("Title"), checks.coverage(["Title", "Link"])])
+
+    weekly.run_sides([side("x", D(2026, 8, 6), 10), side("y", D(2026, 8, 6), 4)])
+    assert seen.value == 14, "each side's rows are read once"
+    held = lambda n: values(spark.read.parquet(str(tmp_path / n / "raw")).groupBy("Archive_Date").count())
+    assert held("x") == [(D(2026, 8, 6), 10)] and held("y") == [(D(2026, 8, 6), 4)]
+    for bad, why in ((side("y", D(2026, 8, 13), 1), "half"), (side("y", D(2026, 8, 13), 5, "bad \ufffd"), "encoding"), (side("y", D(2026, 8, 13), 5, None), "coverage")):
+        with pytest.raises(QualityError, match=why):
+            weekly.run_sides([side("x", D(2026, 8, 13), 9), bad])
+        assert held("x") == [(D(2026, 8, 6), 10)] and held("y") == [(D(2026, 8, 6), 4)]
