@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 from .words import batches
+from .workspace import ship
 
 
 def with_computed(
@@ -23,6 +24,7 @@ def with_computed(
     ``compute`` sees the text, the kept columns and those in ``reads``.  Computed columns replace columns
     of the same name.
     """
+    ship(docs.sparkSession)
     names = [f.name for f in fields]
     kept = [c for c in keep if c not in names]
     schema = StructType([docs.schema[c] for c in kept] + fields)

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .words import IS_WORD, LOWER, batches, mix, text_bytes
-from .workspace import Workspace
+from .workspace import Workspace, ship
 
 BUCKETS = 1 << 13
 _LETTER = np.where(IS_WORD, LOWER, 32).astype(np.uint64)
-_DECLARED = re.compile(r"<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _HIDDEN = ("script", "style")
 
 
@@ -49,6 +49,19 @@ def page_text(page: str) -> str:
     return html.unescape(" ".join(out))
 
 
+def declared_language(page: str) -> str:
+    """The lang attribute of the first html tag that has one, in lower case; empty if none has."""
+    at, lower = 0, page.lower() if page.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
+    while (start := lower.find("<html", at)) >= 0:
+        end = page.find(">", start)
+        end = len(page) if end < 0 else end
+        found = _LANG.search(page, start + 5, end) if not page[start + 5 : start + 6].isalnum() else None
+        if found:
+            return found[1].lower()
+        at = end
+    return ""
+
+
 def trigrams(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Counts of hashed byte trigrams by row; case is folded and all that is no word character is a blank."""
     n = len(bounds) - 1
@@ -61,8 +74,10 @@ def trigrams(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return counts
 
 
-def language_model(docs: DataFrame, least_documents: int = 20) -> tuple[list[str], np.ndarray]:
-    """Languages with at least ``least_documents`` labelled documents, and the log-likelihood of each trigram bucket.
+def language_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The labelled languages, and the log-likelihood of each trigram bucket.
+
+    Half a trigram is added to every bucket, so a language with few documents has a flat distribution.
 
     Each task counts its own documents; what is shuffled and collected is languages x BUCKETS numbers, which
     does not grow with the documents.
@@ -86,11 +101,12 @@ def language_model(docs: DataFrame, least_documents: int = 20) -> tuple[list[str
             columns = [pa.array([name] * len(buckets)), pa.array(buckets), pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
+    ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull()).select("text", "lang")
     partial = labelled.mapInArrow(run, "lang string, bucket int, n double")
     counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, buckets, n = (counted.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
-    languages = sorted(str(x) for x in names[(buckets < 0) & (n >= least_documents)])
+    languages = sorted(str(x) for x in names[buckets < 0])
     table = np.full((len(languages), BUCKETS), 0.5)
     for i, name in enumerate(languages):
         mine = (names == name) & (buckets >= 0)
@@ -112,8 +128,7 @@ def _evidence(pages: DataFrame, table: np.ndarray, overlap: float) -> DataFrame:
                 raw = [x or "" for x in part.column("text").to_pylist()]
                 texts = pa.array([page_text(x) for x in raw], pa.large_string())
                 likely = (trigrams(*text_bytes(texts)) @ shared.value.T / overlap).astype(float)
-                found = [_DECLARED.search(x) for x in raw]
-                declared = pa.array([m[1].lower() if m else "" for m in found], pa.string())
+                declared = pa.array([declared_language(x) for x in raw], pa.string())
                 columns = [part.column("page_id"), part.column("url"), declared, pa.array(likely.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "declared", "likely"])
 
@@ -134,7 +149,7 @@ def _sums(soft: Column, width: int) -> list[Column]:
 
 
 def identify(
-    pages: DataFrame, docs: DataFrame, *, strength: float = 5.0, overlap: float = 3.0, least_documents: int = 20
+    pages: DataFrame, docs: DataFrame, *, strength: float = 5.0, overlap: float = 3.0
 ) -> DataFrame:
     """page_id, host, declared, text_lang, lang, confidence and posterior (by language) for every page.
 
@@ -145,7 +160,7 @@ def identify(
     lang.  Repeated pages count as often as they stand.  An empty table gives no rows.
     """
     work = Workspace(pages.sparkSession, "langid")
-    languages, table = language_model(docs, least_documents)
+    languages, table = language_model(docs)
     width = len(languages)
     url = F.lower(F.coalesce(F.col("url"), F.lit("")))
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)

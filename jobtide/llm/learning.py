@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import batches, text_bytes
+from .keys import text_keys
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -14,37 +12,17 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_texts(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int, text_bytes_at_most: int
-) -> pa.Table:
-    """Up to ``rows`` different texts with their label (0 or 1), each of at most ``text_bytes_at_most`` bytes.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
+    """text, _label (0 or 1) and the text's key (hi, lo): up to ``rows`` different whole texts.
 
     Rows of the held-out fold are left out before anything is chosen.  The choice goes by a hash of the
-    id, so it is the same in every run.  The result is at most rows x text_bytes_at_most bytes, whatever
-    the size of the tables; the chosen ids are at most ``rows``, which makes their broadcast safe.
+    id, so it is the same in every run; the chosen ids are at most ``rows``, which makes their broadcast
+    safe.  Of one text with several labels the smaller counts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(
         F.col("_label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out)
     )
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows).dropDuplicates(["doc_id"])
-    texts = docs.where(F.octet_length("text") <= text_bytes_at_most).select("doc_id", "text")
-    table = (
-        texts.join(F.broadcast(chosen), "doc_id")
-        .select("text", "_label", F.xxhash64("text").alias("_order"))
-        .orderBy("_order", "text", "_label")
-        .limit(rows)
-        .toArrow()
-    )
-    orders = table.column("_order").to_numpy()
-    first = np.ones(len(orders), dtype=bool)
-    first[1:] = orders[1:] != orders[:-1]
-    return table.select(["text", "_label"]).filter(pa.array(first))
-
-
-def slices(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Bytes, row offsets and first row of each few MB of a table's texts."""
-    out, at = [], 0
-    for batch in batches(iter(table.combine_chunks().to_batches())):
-        out.append((*text_bytes(batch.column("text")), at))
-        at += batch.num_rows
-    return out
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows).groupBy("doc_id").agg(F.min("_label").alias("_label"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    different = texts.select("text", "_label", *text_keys()).groupBy("hi", "lo")
+    return different.agg(F.first("text").alias("text"), F.min("_label").alias("_label")).orderBy("hi", "lo").limit(rows)

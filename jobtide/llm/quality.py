@@ -5,6 +5,9 @@ its words and how often words repeat; none of these depends on vocabulary or lan
 square-rooted, weighted by inverse document frequency and projected on the leading singular directions of
 the labelled sample.  Every document is compared with every labelled vector by exact cosine products, in
 blocks; its nearest neighbours vote, weighted by similarity.
+
+Vectors and directions are rounded to whole numbers of 1 / GRID.  Products and their sums are then exact in
+floating point, so a score depends on its text and the model alone and not on the rows beside it.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from .arrow import with_computed
-from .learning import fold, labelled_texts, slices
-from .words import mix, text_bytes, words_of
+from .learning import fold, labelled_texts
+from .words import batches, mix, text_bytes, words_of
+from .workspace import ship
 
 SHAPE_BUCKETS = 512
 LENGTHS = 16
@@ -87,8 +91,14 @@ def features(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.sqrt(np.hstack([_shapes(flat, bounds), by_length, repeats]))
 
 
+#: Numbers of at most 1 in steps of 2^-20: WIDTH products of two of them add up exactly in 53 bits.
+GRID = 1 << 20
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    """Rows of length 1, in whole numbers of 1 / GRID."""
+    x = np.ascontiguousarray(x, float)
+    return np.rint(x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) * GRID)
 
 
 @dataclass
@@ -103,54 +113,66 @@ class NeighbourModel:
     sharpness: float
 
     def place(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return _unit(_unit(features(flat, bounds) * self.weights) @ self.directions).astype(np.float32)
+        return _unit(_unit(features(flat, bounds) * self.weights) @ self.directions)
 
     def score(self, flat: np.ndarray, bounds: np.ndarray, block: int = 512) -> np.ndarray:
-        n = len(bounds) - 1
-        if not len(self.labels):
+        n, known = len(bounds) - 1, len(self.labels)
+        if not known:
             return np.ones(n)
         prior, out, placed = self.labels.mean(), np.empty(n), self.place(flat, bounds)
-        k = min(self.neighbours, len(self.labels))
+        k = min(self.neighbours, known)
+        # Similarity first, then the earlier label row, as one number.
+        later = np.arange(known)[::-1]
         for at in range(0, n, block):
             products = placed[at : at + block] @ self.vectors.T
-            near = np.argpartition(-products, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(products, near, 1).astype(float), 0) ** self.sharpness
+            keys = products.astype(np.int64) * known + later
+            near = np.argpartition(keys, known - k, axis=1)[:, known - k :]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(keys, near, 1), axis=1), 1)
+            votes = np.maximum(np.take_along_axis(products, near, 1) / GRID**2, 0) ** self.sharpness
             out[at : at + block] = ((votes * self.labels[near]).sum(1) + 0.5 * prior) / (votes.sum(1) + 0.5)
         return np.clip(np.round(out, 6), 0, 1)
 
 
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample, worked out by the executors: WIDTH numbers come back for each text."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            counts = features(*text_bytes(batch.column("text")))
+            columns = [*(batch.column(c) for c in ("hi", "lo", "_label")), pa.array([x.tobytes() for x in counts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "_label", "counts"])
+
+    ship(docs.sparkSession)
+    found = labelled_texts(docs, labels, "quality", 4, 2, rows).mapInArrow(run, "hi long, lo long, _label int, counts binary")
+    table = found.toArrow().sort_by([("hi", "ascending"), ("lo", "ascending")])
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), float).reshape(-1, WIDTH)
+    return counts, table.column("_label").to_numpy().astype(float)
+
+
 def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    rows: int = 4096,
-    text_bytes_at_most: int = 16_384,
-    dimensions: int = 48,
-    neighbours: int = 15,
-    sharpness: float = 8.0,
+    docs: DataFrame, labels: DataFrame, *, rows: int = 4096, dimensions: int = 48, neighbours: int = 15, sharpness: float = 8.0
 ) -> NeighbourModel:
-    """Learn from at most ``rows`` labelled texts of at most ``text_bytes_at_most`` bytes (labels.quality).
+    """Learn from at most ``rows`` labelled texts (labels.quality), each read whole.
 
     Rows whose crc32(doc_id) modulo 4 is 2 are never learned from.  The broadcast model holds
-    rows x dimensions floats, about 0.8 MB with the defaults.  Without labelled rows every score is 1.
+    rows x dimensions numbers, about 1.6 MB with the defaults.  Without labelled rows every score is 1.
     """
-    table = labelled_texts(docs, labels, "quality", 4, 2, rows, text_bytes_at_most)
-    known = table.column("_label").to_numpy().astype(float)
+    counts, known = _sample(docs, labels, rows)
     if not len(known):
-        return NeighbourModel(np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros((0, 1), np.float32), known, neighbours, sharpness)
-    counts = np.vstack([features(flat, bounds) for flat, bounds, _ in slices(table)])
+        return NeighbourModel(np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros((0, 1)), known, neighbours, sharpness)
     weights = np.maximum(np.log(1 / ((counts > 0).mean(0) + 1e-3)) + 0.2, 0.2)
     weighted = _unit(counts * weights)
-    _, directions = np.linalg.eigh(weighted.T @ weighted)
-    directions = directions[:, ::-1][:, :dimensions]
-    return NeighbourModel(weights, directions, _unit(weighted @ directions).astype(np.float32), known, neighbours, sharpness)
+    _, directions = np.linalg.eigh((weighted / GRID).T @ (weighted / GRID))
+    directions = np.rint(directions[:, ::-1][:, :dimensions] * GRID)
+    return NeighbourModel(weights, directions, _unit(weighted @ directions), known, neighbours, sharpness)
 
 
 def score_quality(docs: DataFrame, model: NeighbourModel, keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """``keep`` (all columns of ``docs`` by default) with score (0 to 1, higher is better) and predicted.
 
     A null or empty text has no features and is scored by the vote of the vectors nearest to nothing,
-    which is the prior of the labels.  Repeated rows are scored alike; columns named score or predicted
+    which is the prior of the labels.  Neighbours are ordered by similarity; of equally similar ones the one whose
+    text has the smaller key comes first.  Repeated rows are scored alike; columns named score or predicted
     are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

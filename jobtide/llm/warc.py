@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .spread import look_up
-from .workspace import Workspace
+from .workspace import Workspace, ship
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -216,6 +216,7 @@ def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    ship(spark)
     lines = spark.read.option("lineSep", BREAK).text(path)
     return lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_name").alias("file")).mapInArrow(run, RECORD)
 

@@ -16,6 +16,20 @@ def test_text_of_a_page():
     assert langid.page_text("<script>" * 3000 + "x").strip() == ""
 
 
+def test_declared_language():
+    far = "<html " + "data-x='y' " * 5_000 + "LANG = 'De-at'>"
+    assert langid.declared_language(far) == "de" and langid.declared_language("İ<HTML lang=fr") == "fr"
+    assert langid.declared_language("<htmlx lang='de'><html><html lang=\"es\">") == "es"
+    assert langid.declared_language("<html>lang='de'") == langid.declared_language("") == langid.declared_language("<html " * 100_000) == ""
+
+
+def test_a_rare_language_is_not_left_out(spark):
+    docs = spark.createDataFrame([("the cat and the dog of the house", "en")] * 30 + [("ein zwei drei vier fünf und sechs", "de")], "text string, lang string")
+    assert langid.language_model(docs)[0] == ["de", "en"]
+    got = langid.identify(spark.createDataFrame([(1, None, "drei vier fünf")], PAGE), docs).first()
+    assert got.text_lang == "de"
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -49,8 +63,7 @@ def test_evidence_is_fused_as_written_out(spark, docs):
         like = (langid.trigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) @ table.T / 3.0)[0].astype(float)
         soft = np.exp(like - like.max())
         host = url.split("@")[1].split(":")[0] if url else ""
-        found = langid._DECLARED.search(html)
-        pages.append((page_id, host, ".".join(host.split(".")[-2:]) if "." in host else "", host.split(".")[-1], found[1].lower() if found else "", like, soft / soft.sum()))
+        pages.append((page_id, host, ".".join(host.split(".")[-2:]) if "." in host else "", host.split(".")[-1], langid.declared_language(html), like, soft / soft.sum()))
     total, n = sum(p[6] for p in pages), len(pages)
     share = (total + 1) / (n + len(languages))
     for page_id, host, domain, suffix, declared, like, soft in pages:

@@ -34,14 +34,37 @@ def test_learning_never_sees_the_held_out_fold(spark, tables):
 def test_votes_equal_brute_force(spark, tables):
     docs, labels = tables
     model = quality.fit(docs, labels, rows=200)
+    # Twins of labelled vectors with the other label: every text near them meets ties.
+    model.vectors, model.labels = np.vstack([model.vectors, model.vectors[::-1]]), np.append(model.labels, 1 - model.labels[::-1])
     some = docs.orderBy("doc_id").limit(40)
     got = {r.doc_id: r.score for r in quality.score_quality(some, model, ["doc_id"]).collect()}
+    vectors = [[int(x) for x in v] for v in model.vectors]
     for row in some.collect():
-        own = model.place(np.frombuffer(row.text.encode(), np.uint8), np.array([0, len(row.text.encode())]))[0]
-        near = sorted(range(len(model.labels)), key=lambda i: -float(own @ model.vectors[i]))[: model.neighbours]
-        votes = [max(float(own @ model.vectors[i]), 0) ** model.sharpness for i in near]
+        own = [int(x) for x in model.place(np.frombuffer(row.text.encode(), np.uint8), np.array([0, len(row.text.encode())]))[0]]
+        products = [sum(a * b for a, b in zip(own, v)) for v in vectors]
+        near = sorted(range(len(vectors)), key=lambda i: (-products[i], i))[: model.neighbours]
+        votes = [max(products[i] / quality.GRID**2, 0) ** model.sharpness for i in near]
         want = (sum(v * model.labels[i] for v, i in zip(votes, near)) + 0.5 * model.labels.mean()) / (sum(votes) + 0.5)
-        assert got[row.doc_id] == pytest.approx(want, abs=2e-5)
+        assert got[row.doc_id] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_score_is_its_rows_own(spark, tables):
+    """The same in any company, in any batch."""
+    docs, labels = tables
+    model = quality.fit(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(300).collect()]
+    flat, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    together = model.score(flat, bounds)
+    alone = [model.score(flat[a:b], np.array([0, b - a]))[0] for a, b in zip(bounds, bounds[1:])]
+    assert together.tolist() == alone == model.score(flat, bounds, block=7).tolist()
+
+
+def test_long_texts_are_learned_from_whole(spark):
+    long = [" ".join(f"w{(i * j) % 97}" for j in range(6000)) + "." for i in range(1, 9)]
+    docs = H.documents(spark, long)
+    counts, known = quality._sample(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int"), 100)
+    kept = [i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(known) == len(kept) and sorted(counts[:, quality.SHAPE_BUCKETS : quality.SHAPE_BUCKETS + quality.LENGTHS].__pow__(2).sum(1).round()) == [6000] * len(kept)
 
 
 def test_odd_rows_and_clashing_columns(spark, tables):
