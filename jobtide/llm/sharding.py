@@ -34,12 +34,32 @@ class Target:
     boundary: int = 0
 
 
-def _key() -> Column:
-    """31 bits of the text's hash, then 32 bits of the row's."""
+#: Copies of a row that one array lists at a time.
+_AT_ONCE = 65_536
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and key of every row.
+
+    key: 31 bits of the text's hash, then 32 bits of the row's.  Rows alike in id and text are counted and told apart
+    by their number, so keys depend on the rows alone, and not on how they are dealt over files or tasks.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    upper = F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)), 32)
-    lower = F.xxhash64("doc_id", text, F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 32) - 1))
-    return upper.bitwiseOR(lower)
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("hash"),
+        F.xxhash64(F.lit(17), text).alias("other"),
+    )
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    many = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _AT_ONCE)))
+    some = F.least(F.lit(_AT_ONCE).cast("long"), F.col("n") - F.col("block") * _AT_ONCE)
+    numbered = alike.withColumn("block", many).withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), some)))
+    upper = F.shiftleft(F.col("hash").bitwiseAND(F.lit((1 << 31) - 1)), 32)
+    number = F.col("block") * _AT_ONCE + F.col("at")
+    lower = F.xxhash64("doc_id", "hash", "other", number).bitwiseAND(F.lit((1 << 32) - 1))
+    return numbered.select("doc_id", "size", "text_crc32", upper.bitwiseOR(lower).alias("key"))
 
 
 def _refine(rows: DataFrame, targets: list[Target], tolerances: dict[str, float]) -> None:
@@ -97,21 +117,14 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 16, cells: int = 256, toler
     size is the UTF-8 bytes of the text plus 1; a null text has none.  Shard sizes differ by at most
     ``tolerance`` of a mean shard at each boundary, or by one row where a row is larger.  slot numbers a
     shard's rows without gaps from 0 in key order, so equal texts are neighbours.  Repeated rows are rows
-    of their own.  An empty table gives no rows.
+    of their own.  The same rows give the same shards and slots, in whatever files they come.  An empty table
+    gives no rows.
 
     Slots are ranks in one of about ``cells`` key ranges of equal row counts plus the rows in the ranges
     before it, so no task orders a whole shard.
     """
     work = Workspace(docs.sparkSession, "shard")
-    rows = work.settle(
-        docs.select(
-            "doc_id",
-            (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-            _key().alias("key"),
-        ),
-        "rows",
-    )
+    rows = work.settle(keyed_rows(docs), "rows")
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     whole = {"bytes": total["bytes"] or 0, "rows": total["rows"]}
     cuts = [Target("bytes", whole["bytes"] * i / shards) for i in range(1, shards)]

@@ -21,29 +21,24 @@ SCALE = 256
 _ROOM = 1e-9  # relative slack of the pruning bounds, far above rounding
 
 
-def _integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows hold a whole vector, and their components as floor(SCALE * x)."""
-    good, out = [], []
-    for row, value in enumerate(column):
-        parts = value.as_py() if value.is_valid else None
-        if parts is not None and not any(x is None for x in parts):
-            parts = np.array(parts, np.float64)
-            if np.isfinite(parts).all():
-                good.append(row)
-                out.append(np.floor(parts * SCALE).astype(np.int64))
-    return np.array(good, np.int64), out
-
-
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (int64 components as bytes) and norm; rows without id or with bad components are left out."""
+    """vec_id, v (floor(SCALE * x) as doubles, which hold these whole numbers exactly, in bytes) and norm; rows without
+    id or with bad components are left out."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            good, parts = _integers(batch.column(1))
-            norms = [float(np.sqrt((x.astype(float) ** 2).sum())) for x in parts]
+            good, parts = [], []
+            for row, value in enumerate(batch.column(1)):
+                found = value.as_py() if value.is_valid else None
+                if found is not None and not any(x is None for x in found):
+                    found = np.array(found, np.float64)
+                    if np.isfinite(found).all():
+                        good.append(row)
+                        parts.append(np.floor(found * SCALE))
+            norms = [float(np.sqrt((x**2).sum())) for x in parts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(good)),
+                    batch.column(0).take(pa.array(good, pa.int64())),
                     pa.array([x.tobytes() for x in parts], pa.binary()),
                     pa.array(norms, pa.float64()),
                 ],
@@ -55,23 +50,44 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
 def _products(a: np.ndarray, b: np.ndarray, largest: float) -> np.ndarray:
-    """Exact integer products; in floating point while every partial sum is exact there."""
+    """Exact products of whole numbers, none of which is larger than ``largest``: in floating point or 64 bits while
+    every partial sum fits, else in Python's integers."""
     if largest < 2.0**52:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+        return (a @ b.T).astype(np.int64)
+    if largest < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(a).astype(object).dot(whole(b).astype(object).T)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best: score falls, then id rises."""
-    order = np.lexsort((ids, -scores, query))
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(ids)), key=lambda i: (query[i], -scores[i], ids[i])), np.int64)
+    else:
+        order = np.lexsort((ids, -scores, query))
     first = np.searchsorted(query[order], query[order])
     return order[np.arange(len(order)) - first < k]
 
 
+LOWEST = -(2**63)
+
+
+def _long(scores: np.ndarray, query: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit numbers.  One that is too large is among the best, whatever the other blocks hold, and is
+    named; one that is too low becomes the lowest number, and matters only if it stays among the best."""
+    if scores.dtype == object:
+        for score, q, v in zip(scores.tolist(), query.tolist(), ids.tolist(), strict=True):
+            if score >= 2**63:
+                raise OverflowError(f"the product of vec_id {q} and vec_id {v} does not fit in 64 bits: {score}")
+        scores = np.array([max(x, LOWEST) for x in scores.tolist()], np.int64)
+    return scores
+
+
 def _survivors(q: np.ndarray, q_norm: float, least: float, v: np.ndarray, norms: np.ndarray, local: float, focus: int) -> np.ndarray:
     """Rows of a bucket (norms falling) that may reach the product ``least`` with q."""
     if q_norm == 0 or least <= 0:
@@ -110,7 +126,8 @@ def top_products(
     Queries are the vectors whose id ``query_every`` divides.  All other vectors are candidates; a query
     does not meet vectors of its own id, and a repeated row (same id, same vector) counts once.  Vectors that
     are null or hold null or non-finite components, and rows without id, take no part; all others must
-    have one length.  An empty table gives no rows.  Products must fit in 64 bits.
+    have one length, else ValueError says so before any product.  An empty table gives no rows.  Products are
+    exact however large; a score among the ``k`` best that does not fit in 64 bits raises an error with its ids.
 
     The only broadcasts are ``seeds`` vectors and the bucket table (at most 8 buckets for each doubling of the
     length, so about 16,000 rows for any doubles).  Work goes by (block of queries, block of a bucket).
@@ -122,6 +139,10 @@ def top_products(
         .withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 8)).otherwise(-100_000).cast("int")),
         "vectors",
     )
+    shape = own.agg(F.min(F.octet_length("v") / 8).alias("least"), F.max(F.octet_length("v") / 8).alias("most")).first()
+    if shape["least"] != shape["most"]:
+        work.drop()
+        raise ValueError(f"vectors of different lengths: {shape['least']:.0f} to {shape['most']:.0f} components")
     is_query = F.col("vec_id") % query_every == 0
     # One row for each bucket; its vectors are dealt into blocks.
     buckets = own.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("norm").alias("longest"))
@@ -147,6 +168,7 @@ def top_products(
                 least = np.full(len(q), -np.inf)
                 if scores.shape[1] >= k:
                     least = np.partition(scores, -k, axis=1)[:, -k]
+                    least -= np.abs(least) * 1e-12  # a large product was rounded above
                 useful = [numbers[(least[i] <= 0) | (norms[i] * lengths * (1 + _ROOM) >= least[i])] for i in range(len(q))]
                 columns = [*part.columns, pa.array(least), pa.array(useful, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "norm", "least", "buckets"])
@@ -184,14 +206,18 @@ def top_products(
             scores = _products(q[i : i + 1], v[rows], q_norms[i] * norms[0])[0]
             rows, scores = rows[scores >= least[i]], scores[scores >= least[i]]
             if len(rows) > 4 * k:  # far fewer are needed; equal scores stay together
-                bar = np.partition(scores, -k)[-k]
+                bar = np.sort(scores)[-k] if scores.dtype == object else np.partition(scores, -k)[-k]
                 rows, scores = rows[scores >= bar], scores[scores >= bar]
             found.append((np.full(len(rows), i), ids[rows], scores))
         query, vec, score = (np.concatenate(x) for x in zip(*found, strict=True))
         best = _best(query, vec, score, k)
-        return pa.table({"query_id": pa.array(q_ids[query[best]]), "vec_id": pa.array(vec[best]), "score": pa.array(score[best])})
+        query, vec = q_ids[query[best]], vec[best]
+        return pa.table({"query_id": pa.array(query), "vec_id": pa.array(vec), "score": pa.array(_long(score[best], query, vec))})
 
     keys = ["q_block", "bucket", "part"]
     met = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(verify, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return work.finish(met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
+    named = F.concat(F.lit("the product of vec_id "), "query_id", F.lit(" and vec_id "), "vec_id", F.lit(" does not fit in 64 bits"))
+    score = F.when(F.col("score") == LOWEST, F.raise_error(named).cast("long")).otherwise(F.col("score"))
+    return work.finish(best.select("query_id", "rank", "vec_id", score.alias("score")))

@@ -42,6 +42,42 @@ def test_hot_copies_odd_and_repeated_rows(spark, shards):
     check(rows, dict(zip(ids, texts, strict=True)), shards, 0.0005)
 
 
+def test_equals_brute_force_in_any_files(spark, tmp_path):
+    """Rows in key order, cut where the bytes before a cut are nearest to an equal share; slots are places in a shard."""
+    texts = ["hot " * 9] * 900 + ["", None, "é" * 70_000] + [f"t{i} " * (i % 50) for i in range(2500)]
+    ids = [None if i == 7 else i // 3 for i in range(len(texts))]  # rows alike in id and text among them
+    docs = H.documents(spark, texts, ids=ids)
+    tolerance, shards = 0.0005, 8
+    rows = sorted((r.key, -1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size) for r in sharding.keyed_rows(docs).collect())
+    assert len(rows) == len(texts) and len({r[0] for r in rows}) == len(rows)
+    got = [tuple(r) for r in sharding.shard_by_bytes(docs, shards=shards, tolerance=tolerance).collect()]
+    total, before = sum(r[3] for r in rows), [0]
+    for r in rows:
+        before.append(before[-1] + r[3])
+    sizes = [sum(r[1] for r in got if r[3] == s) for s in range(shards)]
+    cuts, at = [0], 0
+    for shard in range(1, shards):
+        at += sizes[shard - 1]
+        wanted = total * shard / shards
+        best = min(abs(b - wanted) for b in before)
+        assert abs(at - wanted) <= best + tolerance * total / shards
+        cuts.append(before.index(at))
+    cuts.append(len(rows))
+    want = [(r[1], r[3], r[2], s, i) for s in range(shards) for i, r in enumerate(rows[cuts[s] : cuts[s + 1]])]
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
+    docs.repartition(7).write.parquet(f"{tmp_path}/other")
+    again = sharding.shard_by_bytes(spark.read.parquet(f"{tmp_path}/other").repartition(3), shards=shards, tolerance=tolerance)
+    assert sorted(map(str, again.collect())) == sorted(map(str, sharding.shard_by_bytes(docs, shards=shards, tolerance=tolerance).collect()))
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_AT_ONCE", 7)
+    docs = H.documents(spark, ["same"] * 100 + ["one"], ids=[1] * 100 + [2])
+    assert sharding.keyed_rows(docs).select("key").distinct().count() == 101
+    rows = sharding.shard_by_bytes(docs, shards=4).collect()
+    assert sorted(sum(r.shard == s for r in rows) for s in range(4)) == [25, 25, 25, 26]
+
+
 def test_equal_texts_are_neighbours_and_order_is_by_key(spark):
     docs = H.documents(spark, [f"t{i % 40}" for i in range(400)])
     rows = sorted(sharding.shard_by_bytes(docs, shards=4).collect(), key=lambda r: (r.shard, r.slot))

@@ -45,9 +45,42 @@ def test_extreme_values_and_few_rows(spark):
     assert topk.top_products(spark.createDataFrame([(50, [1.0])], KIND)).collect() == []
 
 
-def test_same_rows_as_sql(spark):
-    vectors = spark.read.parquet(f"{H.SF}/embeddings.parquet")
-    got, want = H.against_sql(spark, queries.op7_norm_bucket_top5(spark, H.SF), queries.OP7_SQL, embeddings=vectors)
+@pytest.mark.parametrize("size", [2e3, 3e7, 4e12, 1e17])
+def test_large_components_are_exact_or_refused(spark, size):
+    random = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in random.normal(size=3) * size / 256]) for i in range(60)]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [-1.0, 0.0, 0.5])]  # short ones among the long ones
+    df = spark.createDataFrame(rows, KIND)
+    wanted = brute(rows)
+    if max(abs(r[3]) for r in wanted) < 2**63:
+        assert H.rows_of(topk.top_products(df, block=16, seeds=8), "query_id", "rank", "vec_id", "score") == wanted
+    else:
+        with pytest.raises(Exception, match="does not fit in 64 bits"):
+            topk.top_products(df, block=16, seeds=8)
+    assert size < 1e12 or max(abs(r[3]) for r in wanted) > 2**63
+
+
+def test_a_product_that_is_too_low_matters_only_among_the_best(spark):
+    rows = [(0, [1e8, 0.0]), (1, [-1e12, 0.0]), *((i, [0.0, float(i)]) for i in range(2, 7))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r[2] for r in H.rows_of(topk.top_products(df), "query_id", "rank", "vec_id", "score")]
+    assert got == [2, 3, 4, 5, 6]
+    with pytest.raises(Exception, match="vec_id 0 and vec_id 1 does not fit"):
+        topk.top_products(df.where("vec_id < 6"))
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    with pytest.raises(ValueError, match="different lengths: 1 to 2"):
+        topk.top_products(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0]), (2, [None, 2.0, 3.0])], KIND))
+
+
+def test_same_rows_as_sql(spark, tmp_path):
+    """Also with rows that are there twice, and with two vectors under one id."""
+    vectors = spark.read.parquet(f"{H.SF}/embeddings.parquet").select("vec_id", "embedding")
+    again = vectors.where("vec_id < 60").unionByName(vectors.where("vec_id = 3").selectExpr("50L as vec_id", "embedding"))
+    vectors.unionByName(again).write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = H.against_sql(spark, queries.op7_norm_bucket_top5(spark, str(tmp_path)), queries.OP7_SQL, embeddings=vectors)
     assert got == want
 
 
