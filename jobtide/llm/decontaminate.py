@@ -7,16 +7,21 @@ search, located by sampled suffix positions, and their spans are merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from .arrow import with_computed
 from .fmindex import FMIndex
-from .words import text_bytes, words_of
+from .keys import text_keys
+from .words import batches, text_bytes, words_of
+from .workspace import Workspace, ship
 
 WINDOW = 13
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -32,35 +37,53 @@ FIELDS = [
 
 @dataclass
 class Phrases:
-    """Different phrases of a block of benchmark items, and the items each belongs to."""
+    """Different phrases of a block, as arrays: the vocabulary of word hashes, for each length the phrases as rows of
+    symbols (1 is the first word of the vocabulary), and whose they are, phrase after phrase."""
 
     vocabulary: np.ndarray
     by_length: list[np.ndarray]
-    owners: list[list[np.ndarray]]
-    items: list[str]
-
-
-def phrases_of(items: list[str], texts: pa.Array, window: int = WINDOW) -> Phrases:
-    """Runs of ``window`` words of each item; an item of fewer words is one phrase."""
-    words = words_of(*text_bytes(texts))
-    vocabulary = np.unique(words.hashes)
-    symbols = np.searchsorted(vocabulary, words.hashes) + 1
-    found: dict[bytes, set[int]] = {}
-    sizes: dict[bytes, int] = {}
-    for item in range(len(items)):
-        lo, hi = np.searchsorted(words.rows, [item, item + 1])
-        own = symbols[lo:hi].astype(np.int32)
-        size = min(window, len(own))
-        for at in range(len(own) - size + 1 if size else 0):
-            key = own[at : at + size].tobytes()
-            found.setdefault(key, set()).add(item)
-            sizes[key] = size
-    by_length, owners = [], []
-    for size in sorted(set(sizes.values())):
-        keys = [k for k in found if sizes[k] == size]
-        by_length.append(np.frombuffer(b"".join(keys), np.int32).reshape(-1, size).astype(np.int64))
-        owners.append([np.fromiter(sorted(found[k]), np.int64) for k in keys])
-    return Phrases(vocabulary, by_length, owners, items)
+    bounds: list[np.ndarray]  # of each length: where each phrase's owners begin
+    owners: list[np.ndarray]
+    items: np.ndarray
+
+
+def phrase_pairs(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(phrase, item), each once: a phrase is the hashes of ``window`` words in a row as bytes, or of a shorter item's words."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            words = words_of(*text_bytes(batch.column("text")))
+            first = np.searchsorted(words.rows, np.arange(batch.num_rows + 1))
+            for row, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                size, item = min(window, hi - lo), batch.column("item")[row]
+                for at in range(lo, hi - size + 1 if size else lo, 8_192):
+                    part = words.hashes[at : min(at + 8_191 + size, hi)]
+                    windows = np.lib.stride_tricks.sliding_window_view(part, size)
+                    phrases = pa.array([w.tobytes() for w in windows], pa.binary())
+                    yield pa.RecordBatch.from_arrays([phrases, pa.array([item.as_py()] * len(phrases), pa.string())], names=["phrase", "item"])
+
+    ship(benchmark.sparkSession)
+    items = benchmark.select("text", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"))
+    return items.mapInArrow(run, "phrase binary, item string").distinct()
+
+
+def phrases_of(pairs: pa.Table) -> Phrases:
+    """The arrays of a block of pairs."""
+    table = pairs.append_column("size", pc.binary_length(pairs.column("phrase"))).sort_by([("size", "ascending"), ("phrase", "ascending"), ("item", "ascending")])
+    names = table.column("item").combine_chunks().dictionary_encode()
+    sizes, codes = table.column("size").to_numpy() // 8, names.indices.to_numpy()
+    flat = np.frombuffer(b"".join(table.column("phrase").to_pylist()), np.uint64)
+    vocabulary, symbols = np.unique(flat, return_inverse=True)
+    by_length, bounds, owners, at = [], [], [], 0
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        rows = symbols[at : at + size * len(mine)].reshape(-1, size) + 1
+        at += size * len(mine)
+        fresh = np.append(True, (rows[1:] != rows[:-1]).any(1))  # equal phrases stand together
+        by_length.append(rows[fresh].astype(np.int32))
+        bounds.append(np.append(np.flatnonzero(fresh), len(rows)))
+        owners.append(codes[mine].astype(np.int32))
+    return Phrases(vocabulary, by_length, bounds, owners, np.array(names.dictionary.to_pylist(), object))
 
 
 def occurrences(words, rows: int, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
@@ -86,16 +109,20 @@ def occurrences(words, rows: int, phrases: Phrases) -> tuple[np.ndarray, list[se
     word_at = np.zeros(len(text), np.int64)
     word_at[place] = chosen
     index = FMIndex(text, len(phrases.vocabulary))
-    for table, owners in zip(phrases.by_length, phrases.owners, strict=True):
-        low, high = index.search(table)
-        phrase = np.repeat(np.arange(len(table)), high - low)
-        inside = np.arange(len(phrase)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-        at = word_at[index.locate(low[phrase] + inside)]
+    there = np.zeros(len(phrases.vocabulary) + 1, bool)
+    there[text] = True
+    for table, bounds, owners in zip(phrases.by_length, phrases.bounds, phrases.owners, strict=True):
+        # A phrase with a word that the shard does not have cannot occur in it.
+        possible = np.flatnonzero(there[table].all(1))
+        low, high = index.search(table[possible].astype(np.int64))
+        found = np.repeat(np.arange(len(possible)), high - low)
+        inside = np.arange(len(found)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        at = word_at[index.locate(low[found] + inside)]
         np.add.at(hit, at, 1)
         np.add.at(hit, at + table.shape[1], -1)
-        for met in np.unique(words.rows[at] * len(table) + phrase).tolist():
+        for met in np.unique(words.rows[at] * len(table) + possible[found]).tolist():
             row, number = divmod(met, len(table))
-            items[row].update(phrases.items[i] for i in owners[number].tolist())
+            items[row].update(phrases.items[owners[bounds[number] : bounds[number + 1]]].tolist())
     return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -109,6 +136,33 @@ def _spans(hit: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[kept], ends[kept]
 
 
+#: Found by the blocks before: of each text its key, hit words and items.
+_BEFORE = StructType([StructField("hi", LongType()), StructField("lo", LongType()), FIELDS[2], FIELDS[3]])
+
+
+def _hits(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """hi, lo, items and hit_words of the texts that share a phrase with this block, each text once."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            words = words_of(*text_bytes(batch.column("text")))
+            base = np.searchsorted(words.rows, np.arange(batch.num_rows + 1))
+            hit, items = occurrences(words, batch.num_rows, shared.value)
+            met = [row for row in range(batch.num_rows) if items[row]]
+            spans: dict[int, list[dict]] = {row: [] for row in met}
+            for lo, hi in zip(*(x.tolist() for x in _spans(hit, words.rows)), strict=True):
+                row = int(words.rows[lo])
+                spans[row].append({"start": lo - int(base[row]), "end": hi - int(base[row])})
+            at = pa.array(met, pa.int64())
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            columns = [batch.column(c).take(at) for c in ("hi", "lo")]
+            columns += [pa.array([sorted(items[row]) for row in met], pa.list_(pa.string())), pa.array([spans[row] for row in met], kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=_BEFORE.names)
+
+    return docs.select("text", *text_keys()).mapInArrow(run, _BEFORE).dropDuplicates(["hi", "lo"])
+
+
 def _search(docs: DataFrame, phrases: Phrases, keep: list[str], again: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
@@ -118,11 +172,11 @@ def _search(docs: DataFrame, phrases: Phrases, keep: list[str], again: bool) ->
         words = words_of(flat, bounds)
         base = np.searchsorted(words.rows, np.arange(n + 1))
         hit, items = occurrences(words, n, shared.value)
-        if again:  # what the blocks before this one have found
-            before = zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)
+        if again:  # what the other blocks have found
+            before = zip(batch.column("_hit_words").to_pylist(), batch.column("_items").to_pylist(), strict=True)
             for row, (spans, names) in enumerate(before):
-                items[row] |= set(names)
-                for span in spans:
+                items[row] |= set(names or ())
+                for span in spans or ():
                     hit[base[row] + span["start"] : base[row] + span["end"]] = True
         n_words = np.diff(base)
         n_hit = np.bincount(words.rows[hit], minlength=n)
@@ -142,11 +196,11 @@ def _search(docs: DataFrame, phrases: Phrases, keep: list[str], again: bool) ->
             pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
         ]
 
-    return with_computed(docs, compute, FIELDS, keep, ("items", "hit_words") if again else ())
+    return with_computed(docs, compute, FIELDS, keep, ("_items", "_hit_words") if again else ())
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, *, window: int = WINDOW, block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, *, window: int = WINDOW, pairs_at_once: int = 100_000
 ) -> DataFrame:
     """``keep`` (all columns by default) with what each document shares with the benchmark.
 
@@ -154,25 +208,30 @@ def find_contamination(
     sorted), hit_words and spans (merged removal spans in words and in code points, end exclusive) and
     contaminated (n_hit > 0 and 20 n_hit >= n_words).
 
-    Phrases go to the executors in blocks of about ``block_bytes`` of benchmark text, one pass each, so
-    that no broadcast grows with the benchmark; a small benchmark is one block.  A null or empty text has
-    no words and no hits, and so has everything when the benchmark is empty.  Items without words are
-    never found; items of one id count once, an item without id is called "".  Repeated documents are
+    The benchmark is read once, into pairs of a phrase and an item.  Pairs go to the executors in blocks of about
+    ``pairs_at_once``, some 120 bytes a pair; one block is one pass over the documents.  All blocks but the
+    last are settled one by one, as one narrow row for each text with a hit, so no task ever holds two blocks;
+    the last pass joins what they found by the text's 128-bit key.
+
+    A null or empty text has no words and no hits, and so has everything when the benchmark is empty.  Items without
+    words are never found; items of one id count once, an item without id is called "".  Repeated documents are
     judged alike.  Columns of the names above are replaced.
     """
     keep = [c for c in (keep or docs.columns) if c not in {f.name for f in FIELDS}]
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-        "text",
-        F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"),
-    )
-    found = docs
-    for block in range(blocks):
-        table = items.where(F.col("block") == block).select("item", "text").toArrow()
-        phrases = phrases_of(table.column("item").to_pylist(), table.column("text"), window)
-        last = block == blocks - 1
-        columns = keep if last or "text" in keep else [*keep, "text"]
-        found = _search(found, phrases, columns, block > 0)
-    return found
+    work = Workspace(docs.sparkSession, "contamination")
+    pairs = work.settle(phrase_pairs(benchmark, window), "pairs")
+    blocks = max(1, -(-pairs.count() // pairs_at_once))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("phrase", "item"), F.lit(blocks)))
+
+    def block(number: int) -> Phrases:
+        return phrases_of(pairs.where(F.col("block") == number).select("phrase", "item").toArrow())
+
+    if blocks == 1:
+        return _search(docs, block(0), keep, False)
+    found = [work.settle(_hits(docs, block(number)), f"hits-{number}") for number in range(blocks - 1)]
+    merged = reduce(DataFrame.unionByName, found).groupBy("hi", "lo")
+    merged = merged.agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("hit_words")).alias("_hit_words"))
+    merged = work.settle(merged.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_items", "_hit_words"), "merged")
+    keyed = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])], *text_keys("_own_hi", "_own_lo"))
+    joined = keyed.join(merged, (F.col("_own_hi") == F.col("_hi")) & (F.col("_own_lo") == F.col("_lo")), "left")
+    return _search(joined, block(blocks - 1), keep, True)

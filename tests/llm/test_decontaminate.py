@@ -44,8 +44,8 @@ TEXTS = [
 def test_equals_brute_force_in_one_block_and_in_many(spark):
     docs = H.documents(spark, TEXTS, schema=H.DOC + ", items string, n_hit int", extra=("i", 1))
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
-    for block_bytes in (8 << 20, 60):
-        rows = {r.doc_id: r for r in D.find_contamination(docs, bench, block_bytes=block_bytes).collect()}
+    for pairs in (100_000, 6, 1):
+        rows = {r.doc_id: r for r in D.find_contamination(docs, bench, pairs_at_once=pairs).collect()}
         for i, text in enumerate(TEXTS):
             own, hit, found = brute(text, ITEMS)
             r = rows[i]
@@ -69,6 +69,32 @@ def test_same_rows_as_sql(spark):
     assert df.where("n_items = 0").select("items_sha256").distinct().first()[0] == empty
 
 
+def test_memory_does_not_grow_with_the_blocks(spark):
+    """A benchmark of many blocks: what is broadcast, and what a stage holds, is one block."""
+    import pickle
+
+    random = np.random.default_rng(3)
+    items = [(f"i{i}", " ".join(f"w{x}" for x in random.integers(0, 5000, 60))) for i in range(420)]
+    items.append(("one long item", " ".join(f"v{x}" for x in random.integers(0, 9000, 3000))))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    pairs = D.phrase_pairs(bench).toArrow()
+    assert len(pairs) == 420 * 48 + 2988
+    whole, sent = len(pickle.dumps(D.phrases_of(pairs))), []
+    original = spark.sparkContext.broadcast
+    spark.sparkContext.broadcast = lambda value: (sent.append(len(pickle.dumps(value))), original(value))[1]
+    try:
+        docs = H.documents(spark, [items[7][1] + " tail", "nothing here", items[-1][1][500:2000], items[7][1] + " and " + items[300][1]])
+        df = D.find_contamination(docs, bench, pairs_at_once=len(pairs) // 40 + 1)
+    finally:
+        del spark.sparkContext.broadcast
+    assert len(sent) == 40 and max(sent) < whole / 12
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    rows = {r.doc_id: r for r in df.collect()}
+    whole = {r.doc_id: r for r in D.find_contamination(docs, bench).collect()}
+    assert rows == whole and rows[3].items == ["i300", "i7"] and rows[2].items == ["one long item"] and not rows[1].items
+
+
 def test_empty_tables(spark):
     docs, bench = H.documents(spark, TEXTS), spark.createDataFrame([], "item_id string, text string")
     assert {(r.n_hit, r.contaminated) for r in D.find_contamination(docs, bench).collect()} == {(0, False)}
