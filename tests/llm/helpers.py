@@ -2,11 +2,13 @@
 
 import collections
 import re
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import Row
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -1,17 +1,25 @@
+import os
+import subprocess
+import sys
+
 import corpus_pipeline as C
 import numpy as np
 import pytest
 import __spark_entry__ as entry
 
+from pyspark.sql import functions as F
+
 from . import helpers as H
 from jobtide.llm import lines, packing, quality, queries
 
 LABELS = "/root/testdata/sf0.01"
+#: Names that operators use for their own columns, and odd ones.
+CLASHING = ["score", "Predicted", "n_lines", "n_dropped", "n_words", "n_hit", "items", "hit_words", "spans", "contaminated", "hi", "lo", "gone", "a.b", "tick`s", "with space", "_items", "in_0"]
 
 
 def test_registered():
     names = entry.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
     assert set(queries.ORACLE) <= set(queries.QUERIES) and [n for n, _ in C.STAGES] == ["quality", "line dedup", "near-duplicates", "decontamination", "packing"]
 
 
@@ -31,7 +39,9 @@ def folder(spark, tmp_path_factory):
     extra = [near, near, variant, f"{passage} {' '.join(base[300:330])}", "", None, "", " ".join(base[600:720])]
     rows = [(10_000 + i, t, "en", "planted", None if t is None else len(t)) for i, t in enumerate(extra)]
     rows += [(20_000 + i, f"Shared footer 12{i} of the site\n" + " ".join(random.permutation(base)[:80]), "en", "planted", 0) for i in range(10)]
-    docs = real.unionByName(spark.createDataFrame(rows, real.schema)).withColumn("extra", real["doc_id"] * 0 + 1)
+    docs = real.unionByName(spark.createDataFrame(rows, real.schema)).withColumn("extra", F.lit(1))
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
     docs.write.parquet(f"{path}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{LABELS}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
@@ -46,12 +56,24 @@ def test_every_stage_against_brute_force(spark, folder, tmp_path):
         frames.append(spark.read.parquet(f"{tmp_path}/{number}"))
         if number < 4:
             assert frames[-1].columns == docs.columns
+            for place, name in enumerate(docs.columns):
+                if name in CLASHING:
+                    assert all(r[place] == f"{name} of {r[0]}" for r in frames[-1].collect()), (number, name)
     start, good, cleaned, single, clean, packed = ([tuple(r) for r in f.collect()] for f in frames)
     key = lambda r: str(r)
-    # Quality: exactly the documents that score 0.7.
+    # Quality: exactly the documents whose nearest labelled vectors, one product after the other, vote 0.7.
     model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    kept = {r.doc_id for r in quality.score_quality(docs, model, ["doc_id"]).collect() if r.score >= 0.7}
-    assert sorted(good, key=key) == sorted((r for r in start if r[0] in kept), key=key)
+    vectors, near = model.vectors.astype(np.int64), model.neighbours
+
+    def vote(text):
+        raw = (text or "").encode()
+        own = model.place(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].astype(np.int64)
+        products = (vectors * own).sum(1).tolist()
+        first = sorted(range(len(products)), key=lambda i: (-products[i], i))[:near]
+        votes = [max(products[i] / quality.GRID**2, 0) ** model.sharpness for i in first]
+        return (sum(v * model.labels[i] for v, i in zip(votes, first)) + 0.5 * model.labels.mean()) / (sum(votes) + 0.5)
+
+    assert sorted(good, key=key) == sorted((r for r in start if round(vote(r[1]), 6) >= 0.7), key=key)
     # Lines: the SQL form of the operator over what quality kept.
     got, want = H.against_sql(spark, frames[2].select("doc_id", "text"), f"SELECT doc_id, text FROM ({lines.lines_sql()})", documents=frames[1])
     assert got == want
@@ -93,3 +115,34 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """The driver is started elsewhere and finds the package by its own path only."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(H.ROOT)!r})
+import __spark_entry__ as entry
+from jobtide.session import local_session
+spark = local_session(2)
+for name in ("op3_quality_votes", "op9_benchmark_windows", "op12_part_codes"):
+    print(name, entry.queries()[name](spark, {H.SF!r}).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert [line.split()[0] for line in done.stdout.splitlines() if line.startswith("op")] == ["op3_quality_votes", "op9_benchmark_windows", "op12_part_codes"], done.stderr[-3000:]
+
+
+def test_what_calls_leave_is_deleted_at_the_end(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(H.ROOT)!r})
+import __spark_entry__ as entry
+from jobtide.session import local_session
+spark = local_session(2, **{{"spark.checkpoint.dir": {str(tmp_path / "shared")!r}}})
+for name in ("op4_template_lines", "op8_bagminhash_classes", "op11_capture_transactions", "new_since_previous", "rebuilt_history"):
+    print(name, entry.queries()[name](spark, {H.SF!r}).count())
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert done.stdout.count("\n") == 5, done.stderr[-3000:]
+    assert not [p for p in (tmp_path / "shared").rglob("*.parquet")]
