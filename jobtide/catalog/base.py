@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import signals, urls
 from ..session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,10 +172,9 @@ K12_SQL = f"""{EVENTS_SQL}, k12 AS (
 
 IDENTITY_SQL = f"""{K12_SQL}, tagged AS (
   SELECT *, coalesce(source, 'Direct district board') AS Posting_Source,
-         coalesce(source = '{STATEWIDE}' OR url LIKE '%apps.opi.mt.gov/mtjobsforteachers%', FALSE) AS statewide
+         coalesce(source = '{STATEWIDE}' OR regexp_matches(url, '(?i){urls.STATEWIDE_FEED}'), FALSE) AS statewide
   FROM k12), based AS (
-  SELECT *, (NOT statewide AND coalesce(regexp_matches(url,
-           '(/jobs?/[^/?#]+|/job-list/[^/?#]+|ViewJob\\.aspx\\?JobID=|[?&](jobId|jobID|id)=|\\.pdf([?#]|$))'), FALSE)) AS stable,
+  SELECT *, (NOT statewide AND coalesce(regexp_matches(url, '{urls.STABLE_POSTING_URL}'), FALSE)) AS stable,
          concat_ws(chr(31), CASE WHEN statewide THEN 'opi-fallback' ELSE 'source-fallback' END,
                    lower(Posting_Source), lower(District), lower(title), lower(location),
                    CAST(date_posted AS VARCHAR)) AS base
@@ -211,6 +211,15 @@ HE_SQL = f"""{EVENTS_SQL}, he AS (
   FROM ev)"""
 
 
+def signal_sql(column: str) -> str:
+    """What a page's text says about its board, from the same phrases as the operator."""
+    return (
+        f"CASE WHEN {column} IS NULL THEN 'inconclusive' "
+        f"WHEN len(regexp_extract_all({column}, '(?i){signals.LIVE_BOARD}')) >= {signals.LIVE_BOARD_MIN_HITS} THEN 'likely_broken' "
+        f"WHEN regexp_matches({column}, '(?i){signals.EMPTY_BOARD}') THEN 'looks_genuinely_empty' ELSE 'inconclusive' END"
+    )
+
+
 def sql_case(column: str, rules: list[tuple[str, ...]], default: str) -> str:
     """A rule set as a SQL CASE."""
     quote = lambda s: s.replace("'", "''")

@@ -16,6 +16,7 @@ from .base import (
     he_rows,
     k12_rows,
     query,
+    signal_sql,
     sql_case,
     sql_expected,
     sql_map,
@@ -310,12 +311,11 @@ def location_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "url_predicates",
-    r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url || '&id=' || page_id
+    rf"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url || '&id=' || page_id
   WHEN 2 THEN 'https://a.example/job/' || page_id WHEN 3 THEN 'https://a.example/x.pdf?v=1'
   WHEN 4 THEN 'https://APPS.opi.mt.gov/MTjobsforteachers/' || page_id ELSE NULL END AS link FROM pages)
-SELECT page_id, coalesce(regexp_matches(link, '(?i)apps\.opi\.mt\.gov/mtjobsforteachers'), FALSE) AS statewide,
-       coalesce(regexp_matches(link,
-         '(/jobs?/[^/?#]+|/job-list/[^/?#]+|ViewJob\.aspx\?JobID=|[?&](jobId|jobID|id)=|\.pdf([?#]|$))'), FALSE) AS stable,
+SELECT page_id, coalesce(regexp_matches(link, '(?i){urls.STATEWIDE_FEED}'), FALSE) AS statewide,
+       coalesce(regexp_matches(link, '{urls.STABLE_POSTING_URL}'), FALSE) AS stable,
        regexp_replace(link, '\?.*$', '') AS bare
 FROM u""",
 )
@@ -410,14 +410,10 @@ def marker_radius(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "page_signal",
-    r"""WITH v AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    rf"""WITH v AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
     '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)
-SELECT page_id, md5(t) AS visible, CASE
-  WHEN len(regexp_extract_all(t, '(?i)apply now|view details|job title|posted:|closing date|date posted|JobID')) >= 3
-    THEN 'likely_broken'
-  WHEN regexp_matches(t, '(?i)no (open |current )?(job|position|vacan)|no openings|not currently (hiring|accepting)|there are (currently )?no')
-    THEN 'looks_genuinely_empty' ELSE 'inconclusive' END AS signal
+SELECT page_id, md5(t) AS visible, {signal_sql("t")} AS signal
 FROM v""",
 )
 def page_signal(spark: SparkSession, d: str) -> DataFrame:
@@ -427,14 +423,10 @@ def page_signal(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "text_signal",
-    r"""WITH t AS (SELECT doc_id, 'There are currently no openings. ' || text AS empty_page,
+    rf"""WITH t AS (SELECT doc_id, 'There are currently no openings. ' || text AS empty_page,
          'Job Title ' || text || ' Apply now. Closing date: soon' AS live_page FROM documents), s AS (
 SELECT doc_id, unnest([empty_page, live_page]) AS page FROM t)
-SELECT doc_id, md5(page) AS page, CASE
-  WHEN len(regexp_extract_all(page, '(?i)apply now|view details|job title|posted:|closing date|date posted|JobID')) >= 3
-    THEN 'likely_broken'
-  WHEN regexp_matches(page, '(?i)no (open |current )?(job|position|vacan)|no openings|not currently (hiring|accepting)|there are (currently )?no')
-    THEN 'looks_genuinely_empty' ELSE 'inconclusive' END AS signal
+SELECT doc_id, md5(page) AS page, {signal_sql("page")} AS signal
 FROM s""",
 )
 def text_signal(spark: SparkSession, d: str) -> DataFrame:

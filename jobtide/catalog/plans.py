@@ -28,6 +28,7 @@ from .base import (
     k12_rows,
     pick,
     query,
+    signal_sql,
     scratch,
     sql_expected,
     sql_list,
@@ -967,15 +968,12 @@ def institution_context_landed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "corroborated_drift",
-    r"""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events), t AS (SELECT user_id, day, count(*) AS n FROM e GROUP BY ALL),
+    f"""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events), t AS (SELECT user_id, day, count(*) AS n FROM e GROUP BY ALL),
 m AS (SELECT max(day) AS latest FROM t), b AS (SELECT user_id, count(*) AS w, avg(n) AS mean FROM t, m WHERE day < latest GROUP BY 1),
 c AS (SELECT user_id, n FROM t, m WHERE day = latest),
 f AS (SELECT user_id, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (user_id) WHERE w >= 2 AND coalesce(n, 0) <= mean * 0.2)
 SELECT CAST(user_id AS VARCHAR) AS name, n AS count, url,
-  CASE WHEN html IS NULL THEN 'inconclusive'
-       WHEN len(regexp_extract_all(html, '(?i)apply now|view details|job title|posted:|closing date|date posted|JobID')) >= 3 THEN 'likely_broken'
-       WHEN regexp_matches(html, '(?i)no (open |current )?(job|position|vacan)|no openings|not currently (hiring|accepting)|there are (currently )?no')
-         THEN 'looks_genuinely_empty' ELSE 'inconclusive' END AS signal
+  {signal_sql('html')} AS signal
 FROM f LEFT JOIN pages ON page_id = user_id""",
 )
 def corroborated_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -988,19 +986,13 @@ def corroborated_drift(spark: SparkSession, d: str) -> DataFrame:
     return health.corroborated(flagged, addresses, texts).select("name", "count", "url", "signal")
 
 
-_SIGNAL_SQL = r"""CASE WHEN html IS NULL THEN 'inconclusive'
-       WHEN len(regexp_extract_all(html, '(?i)apply now|view details|job title|posted:|closing date|date posted|JobID')) >= 3 THEN 'likely_broken'
-       WHEN regexp_matches(html, '(?i)no (open |current )?(job|position|vacan)|no openings|not currently (hiring|accepting)|there are (currently )?no')
-         THEN 'looks_genuinely_empty' ELSE 'inconclusive' END"""
-
-
 @query(
     "health_report",
     f"""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events), t AS (SELECT user_id, day, count(*) AS n FROM e GROUP BY ALL),
 m AS (SELECT max(day) AS latest FROM t), b AS (SELECT user_id, count(*) AS w, avg(n) AS mean FROM t, m WHERE day < latest GROUP BY 1),
 f AS (SELECT b.user_id, mean, coalesce(n, 0) AS n FROM b LEFT JOIN t ON t.user_id = b.user_id AND t.day = (SELECT latest FROM m)
   WHERE w >= 2 AND coalesce(n, 0) <= mean * 0.2), s AS (
-  SELECT f.*, {_SIGNAL_SQL} AS signal FROM f LEFT JOIN pages ON page_id = user_id), y AS (
+  SELECT f.*, {signal_sql('html')} AS signal FROM f LEFT JOIN pages ON page_id = user_id), y AS (
   SELECT o_custkey, year(o_orderdate) AS y, round(sum(o_totalprice)) AS t FROM orders GROUP BY 1, 2), p AS (
   SELECT a.o_custkey AS name, b.t AS prior, a.t AS current, (a.t - b.t) / b.t AS c
   FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND a.y = 2000 AND b.y = 1999 WHERE b.t <> 0), c AS (

@@ -13,6 +13,8 @@ import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style"))
 # An opening tag on the left ends an open element on the right, unless a boundary lies between.
@@ -87,6 +89,51 @@ class _Element:
     last_child: tuple[str, str] = ("", "")
 
 
+_ELEMENT = ("role", "text", "href", "classes", "lead", "header", "before", "first")
+
+
+class Found:
+    """What was found on some pages, column by column; the fields of cards lie flat, with the places where each begins."""
+
+    def __init__(self) -> None:
+        self.item: list[int] = []
+        self.columns: dict[str, list] = {name: [] for name in _ELEMENT}
+        self.has_fields: list[bool] = []
+        self.map_ends, self.roles = [0], []
+        self.list_ends, self.texts, self.hrefs = [0], [], []
+
+    def card(self, pos: int, fields: dict[str, list]) -> None:
+        self.item.append(pos)
+        self.has_fields.append(True)
+        for role, links in fields.items():
+            self.roles.append(role)
+            for text, href in links:
+                self.texts.append(text)
+                self.hrefs.append(href)
+            self.list_ends.append(len(self.texts))
+        self.map_ends.append(len(self.roles))
+        for column in self.columns.values():
+            column.append(None)
+
+    def element(self, pos: int, *values: object) -> None:
+        self.item.append(pos)
+        self.has_fields.append(False)
+        self.map_ends.append(len(self.roles))
+        for column, value in zip(self.columns.values(), values, strict=True):
+            column.append(value)
+
+    def arrays(self, names: list[str]) -> list[pa.Array]:
+        """The columns called ``names`` as Arrow arrays."""
+        links = pa.StructArray.from_arrays([pa.array(self.texts, pa.string()), pa.array(self.hrefs, pa.string())], names=["text", "href"])
+        lists = pa.ListArray.from_arrays(pa.array(self.list_ends, pa.int32()), links)
+        # A null offset makes the row's map null.
+        starts = [start if there else None for start, there in zip(self.map_ends, self.has_fields)] + self.map_ends[-1:]
+        maps = pa.MapArray.from_arrays(pa.array(starts, pa.int32()), pa.array(self.roles, pa.string()), lists)
+        made = {"item": pa.array(self.item, pa.int64()), "fields": maps}
+        made |= {n: pa.array(v, pa.bool_() if n == "first" else pa.string()) for n, v in self.columns.items()}
+        return [made[n] for n in names]
+
+
 @dataclass
 class Outline:
     """Compiled picks.  With ``card`` set, only elements inside (or equal to) an
@@ -110,8 +157,8 @@ class Outline:
         reader.finish()
         return sorted(reader.found, key=lambda f: (f[1], f[2]))
 
-    def rows(self, html: str) -> list[dict]:
-        """One row per card, or per element without cards, in document order.
+    def add(self, html: str, out: Found) -> None:
+        """Add one row per card, or per element without cards, in document order.
 
         A card has the texts and links of its elements by role.  An element has its own, the
         newest header at or before it, the text of the element before it, and
@@ -119,25 +166,21 @@ class Outline:
         """
         found = self.matches(html)
         if self.card is not None:
-            by_card: dict[int, dict] = {}
+            cards: dict[int, tuple[list[int], dict[str, list]]] = {}
             for card, pos, role, text, href, _, _ in found:
-                row = by_card.setdefault(card, {"item": pos, "fields": {}})
-                row["item"] = min(row["item"], pos)
-                row["fields"].setdefault(role, []).append({"text": text, "href": href})
-            return [{**row, "fields": list(row["fields"].items())} for row in by_card.values()]
-        out, header, before, seen = [], None, None, set()
+                places, fields = cards.setdefault(card, ([pos], {}))
+                places[0] = min(places[0], pos)
+                fields.setdefault(role, []).append((text, href))
+            for (pos,), fields in cards.values():
+                out.card(pos, fields)
+            return
+        header, before, seen = None, None, set()
         for _, pos, role, text, href, classes, lead in found:
             if self.header_below is not None and role == "header" and 0 < len(text) < self.header_below:
                 header = text
-            out.append(
-                {
-                    "item": pos, "role": role, "text": text, "href": href, "classes": classes, "lead": lead,
-                    "header": header, "before": before, "first": text not in seen,
-                }
-            )
+            out.element(pos, role, text, href, classes, lead, header, before, text not in seen)
             before = text
             seen.add(text)
-        return out
 
 
 class _Selectors:

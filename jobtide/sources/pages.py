@@ -43,21 +43,19 @@ def read_pages(pages: DataFrame, outline: Outline | Mapping[str, Outline], by: s
     """
     kept = [c for c in pages.columns if c != "body" and c not in _FOUND.names]
     schema = T.StructType([*pages.select(*kept).schema.fields, *_FOUND.fields])
-    link = pa.struct([("text", pa.string()), ("href", pa.string())])
-    kinds = {"item": pa.int64(), "fields": pa.map_(pa.string(), pa.list_(link)), "first": pa.bool_()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which = batch.column(by).to_pylist() if isinstance(outline, Mapping) else [None] * batch.num_rows
-            owner, rows = [], []
-            for page, (body, name) in enumerate(zip(batch.column("body"), which, strict=True)):
+            owner, found = [], _outline_module.Found()
+            for page, (body, name) in enumerate(zip(batch.column("body").to_pylist(), which, strict=True)):
                 plan = outline.get(name) if isinstance(outline, Mapping) else outline
-                found = plan.rows(body.as_py()) if plan is not None and body.is_valid else []
-                owner += [page] * len(found)
-                rows += found
+                before = len(found.item)
+                if plan is not None and body is not None:
+                    plan.add(body, found)
+                owner += [page] * (len(found.item) - before)
             own = batch.select(kept).take(pa.array(owner, pa.int64()))
-            cells = [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in _FOUND.names]
-            yield pa.RecordBatch.from_arrays([*own.columns, *cells], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*own.columns, *found.arrays(_FOUND.names)], names=schema.names)
 
     source = pages.filter(F.col(by).isin(*outline)) if isinstance(outline, Mapping) else pages
     return source.select(*kept, repair_invalid_bytes("body").alias("body")).mapInArrow(find, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import parse_with
 from ..functions.signals import looks_like_title_line
-from ..functions.text import repair_invalid_bytes, trim_blanks
+from ..functions.text import computed_once, repair_invalid_bytes, trim_blanks
 
 # Markers, section header shape and towns of the three layouts.
 SECTION_START = "JOB OPENINGS"
@@ -43,18 +43,18 @@ def _before_first(lines: Column, *markers: str) -> Column:
 def sections(lines: Column, header: str) -> Column:
     """array<struct<header, lines>>: what follows each header line, in order.
 
-    Splitting the text at the header lines is linear in its length; lines
+    The lines are looked at once, for headers; a section is then a slice between two of them.  Lines
     before the first header belong to no section.
     """
-    text = F.array_join(lines, "\n")
-    whole_line = f"(?md)^({header})$"
-    headers = F.regexp_extract_all(text, F.lit(whole_line), F.lit(1))
-    chunks = F.slice(F.split(text, whole_line), 2, F.size(headers))
-    return F.zip_with(
-        headers,
-        chunks,
-        lambda h, c: F.struct(h.alias("header"), F.filter(F.split(c, "\n"), lambda x: x != "").alias("lines")),
-    )
+
+    def between(own: Column) -> Column:
+        places = F.filter(F.transform(own, lambda line, at: F.when(line.rlike(f"^({header})$"), at)), lambda at: at.isNotNull())
+        return computed_once(places, lambda heads: F.transform(heads, lambda at, number: F.struct(
+            F.get(own, at).alias("header"),
+            F.slice(own, at + 2, F.coalesce(F.get(heads, number + 1), F.size(own)) - at - 1).alias("lines"),
+        )))
+
+    return computed_once(lines, between)
 
 
 def _titles(pages: DataFrame, titles: Column, location: str, posted: Column | None = None) -> DataFrame:
