@@ -19,6 +19,7 @@ from .bagminhash import PLACES, compact, shingles, signatures, similarity
 from .components import components
 from .words import batches, mix, text_bytes
 from .keys import text_keys
+from .spread import look_up
 from .workspace import Workspace
 
 BAND = 4
@@ -162,8 +163,10 @@ def near_duplicates(
         "texts",
     )
     bands = _bands(texts)
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = work.settle(bands.join(sizes, "bucket"), "members")
+    sizes = work.settle(bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    counts, total = sizes.withColumnRenamed("members", "n"), BANDS * texts.where("worded").count()
+    of_bucket = lambda rows, values: look_up(rows, values, counts, "bucket", total, F.col("id"))
+    members = work.settle(of_bucket(bands, sizes).where("members is not null"), "members")
     # The member that meets most others is compared with everyone else in its bucket.
     degrees = members.groupBy("id").agg(F.sum("members").alias("degree"))
     centre = (
@@ -172,7 +175,8 @@ def near_duplicates(
         .select("bucket", (-F.col("best.id")).alias("centre"))
     )
     a, b = F.least("id", "centre"), F.greatest("id", "centre")
-    star = members.join(centre, "bucket").where("id <> centre").select(a.alias("a"), b.alias("b")).distinct()
+    centre = work.settle(centre, "centre")
+    star = of_bucket(members, centre).where("id <> centre").select(a.alias("a"), b.alias("b")).distinct()
     # Whole texts of the members: of each text, the row with the smallest doc_id.
     wanted = members.select("id").distinct().join(texts.select("id", *_KEY[:2], *_doc_key()), "id")
     bodies = docs.select("text", *text_keys(), *_doc_key()).join(wanted, _KEY).dropDuplicates(_KEY)
