@@ -10,6 +10,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settled
+
 #: Rows a gap-filled table may have unless the caller allows more.
 AT_MOST = 1_000_000_000
 
@@ -32,6 +34,7 @@ def gap_fill(
     that names them, before anything is multiplied.
     """
     values = dict(values or {})
+    df = settled(df)  # read for the counts, for each key's values and for the join
     read = [k for k in keys if k not in values]
     # Counts of distinct values leave out null, which is a value here.
     counted = df.agg(*[(F.count_distinct(k) + F.max(F.col(k).isNull().cast("int"))).alias(k) for k in read], F.count(F.lit(1)).alias("_rows")).first()
