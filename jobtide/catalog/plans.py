@@ -477,13 +477,14 @@ def _institution_registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _districts(spark: SparkSession, d: str) -> DataFrame:
-    tables = k12.history_tables(k12_rows(spark, d))
-    return views.district_map(_district_registry(spark, d), at_latest(tables["postings"]), tables["teacher_history"])
+    postings = settled(k12.current_postings(k12.identify(k12_rows(spark, d))))
+    return views.district_map(_district_registry(spark, d), at_latest(postings), k12.teacher_rows(postings))
 
 
 def _institutions(spark: SparkSession, d: str) -> DataFrame:
-    tables = higher_ed.history_tables(he_rows(spark, d))
-    return views.institution_map(_institution_registry(spark, d), at_latest(tables["postings"]), tables["faculty_history"])
+    postings = he_rows(spark, d)
+    faculty = settled(higher_ed.faculty_rows(postings))
+    return views.institution_map(_institution_registry(spark, d), at_latest(postings), faculty)
 
 
 # Both sides in one statement: events are defined once, the title tables under two names.

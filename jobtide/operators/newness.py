@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .asof import DATE, mark_dates
 
 
-def new_since_previous(history: DataFrame, keys: Sequence[str] = ("Posting_ID",), date: str = DATE) -> DataFrame:
+def new_since_previous(
+    history: DataFrame, keys: Sequence[str] = ("Posting_ID",), date: str = DATE, marks: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Latest-snapshot rows whose keys are absent from the previous snapshot.
 
     Missing key values match each other (a posting without a location is not
-    new every week).  With fewer than two snapshots nothing is new.
+    new every week).  With fewer than two snapshots nothing is new.  ``marks`` are the history's dates if
+    the caller has looked them up.
 
     The earlier side is reduced to its distinct keys, so one key with many rows
     is skew on the streamed side only, which adaptive execution can split.
     """
-    marks = mark_dates(history, date)
+    marks = marks or mark_dates(history, date)
     latest, previous = marks["latest"], marks["previous"]
     now = history.filter((F.col(date) == latest) & previous.isNotNull()).alias("now")
     before = (

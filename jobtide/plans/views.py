@@ -27,7 +27,7 @@ from ..functions.rules import (
     recode,
 )
 from ..functions.text import squish
-from ..operators.asof import DATE, at_latest, mark_dates
+from ..operators.asof import DATE, mark_dates
 from ..operators.counts import (
     TOTAL,
     count_where,
@@ -44,7 +44,6 @@ from ..operators.newness import new_since_previous
 from ..operators.ordering import top_per_key
 from ..operators.trends import biggest_mover, current_trends, daily_totals, last_n_series, top_k, week_over_week
 from ..schemas import ENTITY_MAP, conform
-from ..session import settled
 
 K12_TYPE, HE_TYPE = "K-12 District", "Higher Ed Institution"
 ALL = "all"
@@ -154,10 +153,6 @@ def he_job_list(
     )
 
 
-def k12_new(teacher_history: DataFrame) -> DataFrame:
-    return new_since_previous(teacher_history, ["Posting_ID"])
-
-
 def he_new(faculty_history: DataFrame, appointment: str = ALL) -> DataFrame:
     """New faculty postings by title, location and institution, for want of an identity."""
     new = new_since_previous(faculty_history, ["Title", "Location", "Institution"])
@@ -212,32 +207,30 @@ def _with_ratios(df: DataFrame, positions: str) -> DataFrame:
     )
 
 
-def _two_latest(history: DataFrame) -> DataFrame:
-    """The rows of the two newest dates, worked out once: all that the map asks of a history."""
-    marks = mark_dates(history)
-    return settled(history.filter((F.col(DATE) == marks["latest"]) | (F.col(DATE) == marks["previous"])))
-
-
 def district_map(context: DataFrame, current: DataFrame, teacher_history: DataFrame) -> DataFrame:
-    """Districts; the vacancy numerator is distinct teacher postings at the latest date."""
-    recent = _two_latest(teacher_history)
-    openings = distinct_counts(at_latest(recent), ["District"], out="Vacancy_Numerator")
+    """Districts; the vacancy numerator is distinct teacher postings at the latest date.
+
+    The history's dates are looked up once; only its two newest dates are then read.
+    """
+    marks = mark_dates(teacher_history)
+    latest = teacher_history.filter(F.col(DATE) == marks["latest"])
+    openings = distinct_counts(latest, ["District"], out="Vacancy_Numerator")
     once = distinct_postings(current, ["Posting_ID"], order=ONCE_ORDER)
     jobs = once.withColumn("District", squish("District"))
+    new = new_since_previous(teacher_history, ["Posting_ID"], marks=marks)
     filled = _with_activity(
-        context.withColumnRenamed("District", "Name"), "Name", jobs, k12_new(recent), openings, "District", "title"
+        context.withColumnRenamed("District", "Name"), "Name", jobs, new, openings, "District", "title"
     ).withColumnRenamed("Job_Link", "Link")
     return conform(_with_ratios(filled, "Teachers_Total_FTE").withColumn("Type", F.lit(K12_TYPE)), ENTITY_MAP)
 
 
 def institution_map(context: DataFrame, current: DataFrame, faculty_history: DataFrame) -> DataFrame:
     """Institutions; only full-time faculty postings count, like the denominator."""
-    recent = _two_latest(faculty_history)
-    full_time = at_latest(recent).filter(F.col("Job_Type") == FACULTY_JOB_TYPE)
-    openings = row_counts(full_time, ["Institution"], "Vacancy_Numerator")
-    filled = _with_activity(
-        context, "Name", current, he_new(recent), openings, "Institution", "Title"
-    )
+    marks = mark_dates(faculty_history)
+    latest = faculty_history.filter(F.col(DATE) == marks["latest"])
+    openings = row_counts(latest.filter(F.col("Job_Type") == FACULTY_JOB_TYPE), ["Institution"], "Vacancy_Numerator")
+    new = new_since_previous(faculty_history, ["Title", "Location", "Institution"], marks=marks)
+    filled = _with_activity(context, "Name", current, new, openings, "Institution", "Title")
     return conform(_with_ratios(filled, "Faculty_Count").withColumn("Type", F.lit(HE_TYPE)), ENTITY_MAP)
 
 

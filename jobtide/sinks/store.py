@@ -12,6 +12,7 @@ there for readers or not.  Read tables through ``read_history``, which looks the
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -21,7 +22,7 @@ from ..functions.text import repair_title
 from ..operators.asof import DATE
 from ..operators.ordering import keep_first
 from ..operators.quality import QualityError, require_same_columns
-from ..schemas import RUN_LOG, SALARY_HISTORY
+from ..schemas import RUN_LOG, SALARY_HISTORY, empty
 from ..session import settled, settled_for_now
 from ..sources.files import read_snapshots
 
@@ -59,8 +60,8 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def stored_dates(spark: SparkSession, path: str, date: str = DATE) -> list[dt.date]:
     """The dates a table has rows for, from its partition folders."""
-    names = _names(spark, location(spark, path))
-    return sorted(dt.date.fromisoformat(n.partition("=")[2]) for n in names if n.startswith(f"{date}="))
+    found = (re.fullmatch(rf"{re.escape(date)}=(\d{{4}}-\d\d-\d\d)", n) for n in _names(spark, location(spark, path)))
+    return sorted(dt.date.fromisoformat(m[1]) for m in found if m)
 
 
 def _point(spark: SparkSession, path: str, version: str) -> None:
@@ -177,9 +178,10 @@ def append_by_date(new: DataFrame, path: str, schema: T.StructType | None = None
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The table's rows, of its newest version if it has versions."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(location(spark, path))
+    """The table's rows, of its newest version if it has versions.  With a schema, a table that is not there is empty."""
+    if schema is None:
+        return spark.read.parquet(location(spark, path))
+    return spark.read.schema(schema).parquet(location(spark, path)) if table_exists(spark, path) else empty(spark, schema)
 
 
 # -- year-keyed archive ------------------------------------------------------
@@ -210,8 +212,7 @@ def archive_year_snapshot(current: DataFrame, path: str, schema: T.StructType =
     snapshot = current.filter(F.col("Salary_Year") == years[0]).select(
         *[F.col(f.name).cast(f.dataType) for f in schema.fields]
     )
-    exists = table_exists(spark, path)
-    existing = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    existing = read_history(spark, path, schema)
     with settled_for_now(missing_year_rows(existing, snapshot)) as missing:
         if missing.isEmpty():
             return False

@@ -350,6 +350,14 @@ def test_repair_by_file(spark, tmp_path, monkeypatch):
     assert store.repair_archive(spark, path).count() == 0
 
 
+def test_tables_that_are_not_there_and_rows_without_a_date(spark, tmp_path):
+    schema = week(spark, None).schema
+    assert store.read_history(spark, str(tmp_path / "none"), schema).collect() == []
+    path = str(tmp_path / "t")
+    store.replace_dates(week(spark, D(2026, 8, 6), ("a", 1.0)).unionByName(week(spark, None, ("b", 2.0))), path)
+    assert store.stored_dates(spark, path) == [D(2026, 8, 6)] and store.read_history(spark, path).count() == 2
+
+
 # -- changes -----------------------------------------------------------------
 
 
