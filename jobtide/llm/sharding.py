@@ -111,7 +111,11 @@ def _place(key: Column, boundaries: list[int], low: int = 0) -> Column:
     )
 
 
-def shard_by_bytes(docs: DataFrame, *, shards: int = 16, cells: int = 256, tolerance: float = 0.0005) -> DataFrame:
+#: Key ranges that slots are numbered in: so many at least and at most, and about so many rows in each between.
+LEAST_CELLS, MOST_CELLS, CELL_ROWS = 256, 4096, 1_000_000
+
+
+def shard_by_bytes(docs: DataFrame, *, shards: int = 16, cells: int | None = None, tolerance: float = 0.0005) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row.
 
     size is the UTF-8 bytes of the text plus 1; a null text has none.  Shard sizes differ by at most
@@ -121,12 +125,14 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 16, cells: int = 256, toler
     gives no rows.
 
     Slots are ranks in one of about ``cells`` key ranges of equal row counts plus the rows in the ranges
-    before it, so no task orders a whole shard.
+    before it, so no task orders a whole shard.  Without a number given, there are more ranges for more rows, from
+    LEAST_CELLS to MOST_CELLS.
     """
     work = Workspace(docs.sparkSession, "shard")
     rows = work.settle(keyed_rows(docs), "rows")
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     whole = {"bytes": total["bytes"] or 0, "rows": total["rows"]}
+    cells = cells or max(LEAST_CELLS, min(MOST_CELLS, whole["rows"] // CELL_ROWS))
     cuts = [Target("bytes", whole["bytes"] * i / shards) for i in range(1, shards)]
     fine = [Target("rows", whole["rows"] * i / cells) for i in range(1, cells)]
     if whole["rows"]:

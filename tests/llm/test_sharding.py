@@ -70,6 +70,12 @@ def test_equals_brute_force_in_any_files(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, sharding.shard_by_bytes(docs, shards=shards, tolerance=tolerance).collect()))
 
 
+def test_more_ranges_give_the_same_slots(spark):
+    docs = H.documents(spark, [f"text {i} " * (i % 9) for i in range(6000)])
+    few, many = (sorted(map(str, sharding.shard_by_bytes(docs, shards=4, cells=c, tolerance=0.001).collect())) for c in (8, 2000))
+    assert few == many
+
+
 def test_many_copies_of_a_row(spark, monkeypatch):
     monkeypatch.setattr(sharding, "_AT_ONCE", 7)
     docs = H.documents(spark, ["same"] * 100 + ["one"], ids=[1] * 100 + [2])
