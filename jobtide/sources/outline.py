@@ -221,6 +221,9 @@ class _Reader(HTMLParser):
         self.found: list[tuple] = []
         self.cards = self.seen = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def _end(self) -> None:
         done = self.open.pop()
         wanted = done.roles or done.tag == self.lead_tag
