@@ -77,7 +77,10 @@ def totals(is_total: str, value: str) -> Check:
 
 
 def observed(df: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, Observation]:
-    """The frame with the checks' counts attached; they are known once an action has read it."""
+    """The frame with the checks' counts attached; they are known once an action has read it.
+
+    A frame that Spark knows to be empty is not read, and nothing is counted: ask for its rows first.
+    """
     metrics: dict[str, Column] = {}
     for check in checks:
         metrics |= check.metrics

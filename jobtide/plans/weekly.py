@@ -66,6 +66,8 @@ def run_sides(sides: Sequence[Side], log_path: str | None = None, at: dt.datetim
             checks = [one_date(DATE), *side.checks]
             watched, seen = observed(side.raw, checks)
             rows = held.enter_context(settled_for_now(watched))
+            if rows.isEmpty():  # nothing was counted then
+                raise ValueError(f"{side.name}: expected one snapshot date, got no rows")
             metrics = seen.get
             days = {metrics[f"{DATE}_first"], metrics[f"{DATE}_last"]}
             if len(days) != 1 or None in days or metrics[f"{DATE}_missing"]:

@@ -129,21 +129,19 @@ def replace_dates(df: DataFrame, path: str, dates: Iterable[dt.date] | None = No
     """Write the frame's dates, replacing those dates and no others.
 
     ``dates`` names the dates that were derived again: those of them the frame has no
-    rows for are cleared, as that is what is now known of them, after the others are written.  Rows are
-    gathered by date before writing, so a date gets few files; adaptive execution cuts a date
-    that holds most of the rows into several write tasks.
+    rows for are cleared, as that is what is now known of them, after the others are written.  The frame is
+    evaluated once.  Rows are gathered by date before writing, so a date gets few files; adaptive
+    execution cuts a date that holds most of the rows into several write tasks.
     """
     spark = df.sparkSession
     target = location(spark, path)
-    if dates is None:
-        _write_dates(df, target, date)
-        return
-    with settled_for_now(df) as rows:
-        filled = {str(r[0]) for r in rows.select(date).distinct().collect()}
-        if filled:
-            _write_dates(rows, target, date)
-    for emptied in {str(d) for d in dates} - filled:
-        _delete(spark, f"{target}/{date}={emptied}")
+    folders = [f"{target}/{date}={d}" for d in dates or ()]
+    before = {folder: _names(spark, folder) for folder in folders}
+    _write_dates(df, target, date)
+    # A date that was written holds new files, whose names occur once.
+    for folder, names in before.items():
+        if names and _names(spark, folder) == names:
+            _delete(spark, folder)
 
 
 def write_snapshot(df: DataFrame, path: str, date: str = DATE) -> None:

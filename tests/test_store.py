@@ -247,8 +247,9 @@ def test_weekly_job(spark, tmp_path):
     with pytest.raises(QualityError, match="half"):
         job(last.limit(2))
     assert values(spark.read.parquet(raw).select("Archive_Date").distinct()) == [(D(2026, 8, 6),)]
-    with pytest.raises(ValueError, match="one snapshot date"):
-        job(first.unionByName(last))
+    for bad in (first.unionByName(last), first.limit(0), spark.createDataFrame([], first.schema), first.withColumn("Archive_Date", F.expr("if(seq = 3, null, Archive_Date)"))):
+        with pytest.raises(ValueError, match="one snapshot date"):
+            job(bad)
     job(last)
     job(last)
     assert spark.read.parquet(raw).count() == 32
@@ -310,6 +311,8 @@ def test_a_failed_replacement_leaves_the_old_table(spark, tmp_path, monkeypatch)
     # A killed process leaves a version without a pointer.
     first.write.partitionBy("Archive_Date").parquet(f"{path}/_versions/orphan")
     assert values(store.read_history(spark, path)) == before
+    store.replace_dates(first.limit(0), path, [D(2026, 8, 6)])  # nothing to write, nothing to clear
+    assert values(store.read_history(spark, path)) == before
     # Dates are replaced inside the version in use.
     store.replace_dates(week(spark, D(2026, 8, 20), ("c", 1.0)), path, [D(2026, 8, 13), D(2026, 8, 20)])
     assert values(store.read_history(spark, path), "District") == [("c",)] and store.stored_dates(spark, path) == [D(2026, 8, 20)]
