@@ -21,6 +21,9 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles a method of more than 8,000 bytes; Spark runs such a stage faster expression by
+    # expression than as one method that stays interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Landed pages are large rows; keep the batches that go to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
