@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.rules import department_institution, location_institution, matches
-from ..functions.text import repair_invalid_bytes, trim_blanks
+from ..functions.text import computed_once, repair_invalid_bytes, trim_blanks
 from ..functions.urls import absolute_url, resolve_url, without_query
 from ..session import settled
 from . import outline as _outline_module
@@ -35,6 +35,9 @@ _FOUND = T.StructType(
     ]
 )
 
+#: Rows and links a reader holds before it gives them back; a page's own stay together.
+GIVEN_BACK_AT = 8192
+
 
 def read_pages(pages: DataFrame, outline: Outline | Mapping[str, Outline], by: str = "platform") -> DataFrame:
     """The cards or elements of every page, whole pages read; a mapping gives the outline by column ``by``.
@@ -46,16 +49,20 @@ def read_pages(pages: DataFrame, outline: Outline | Mapping[str, Outline], by: s
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which = batch.column(by).to_pylist() if isinstance(outline, Mapping) else [None] * batch.num_rows
+            own, bodies = batch.select(kept), batch.column("body")
+            which = batch.column(by) if isinstance(outline, Mapping) else None
             owner, found = [], _outline_module.Found()
-            for page, (body, name) in enumerate(zip(batch.column("body").to_pylist(), which, strict=True)):
-                plan = outline.get(name) if isinstance(outline, Mapping) else outline
+            for page in range(batch.num_rows):
+                plan, body = outline if which is None else outline.get(which[page].as_py()), bodies[page].as_py()
                 before = len(found.item)
                 if plan is not None and body is not None:
                     plan.add(body, found)
                 owner += [page] * (len(found.item) - before)
-            own = batch.select(kept).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, *found.arrays(_FOUND.names)], names=schema.names)
+                # What is held does not grow with the pages of a batch.
+                if found.size >= GIVEN_BACK_AT or page == batch.num_rows - 1:
+                    taken = own.take(pa.array(owner, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, *found.arrays(_FOUND.names)], names=schema.names)
+                    owner, found = [], _outline_module.Found()
 
     source = pages.filter(F.col(by).isin(*outline)) if isinstance(outline, Mapping) else pages
     return source.select(*kept, repair_invalid_bytes("body").alias("body")).mapInArrow(find, schema)
@@ -157,7 +164,8 @@ def label_value_postings(pages: DataFrame) -> DataFrame:
     )
     cards = read_pages(html, outline)
     texts = lambda role: F.coalesce(F.transform(F.col("fields")[role], lambda e: e["text"]), F.array().cast("array<string>"))
-    return cards.withColumn("_f", _pair_labels(texts("label"), texts("value"))).select(
+    paired = computed_once(texts("value"), lambda values: _pair_labels(texts("label"), values))
+    return cards.withColumn("_f", paired).select(
         *_page_columns(cards),
         "item",
         F.try_element_at(texts("title"), F.lit(1)).alias("title"),

@@ -1,11 +1,13 @@
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from .conftest import values
 from pyspark.sql import functions as F
 
 from jobtide.sources import boards, census, pages, rendered, reports
-from jobtide.sources.outline import Outline, Pick, selector_pattern
+from jobtide.sources.outline import Outline, Pick, _Reader, selector_pattern
 
 
 def page(spark, body, url="https://a.example/jobs/list"):
@@ -161,3 +163,46 @@ def test_unwrap_script(spark):
     df = spark.createDataFrame([("document.write('<a href=\\'x\\'>');\nz;document.write('b');",)], "js string")
     assert df.select(pages.unwrap_script("js").alias("h")).first().h == "<a href='x'>b"
     assert df.select(pages.unwrap_script(F.lit("none")).alias("h")).first().h == ""
+
+
+def test_a_reader_gives_back_what_it_found_before_a_batch_ends(spark, monkeypatch):
+    """A batch of many pages comes back in parts, none of a page's rows lost or apart."""
+    taken = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, find, schema: taken.update(find=find))
+    frame = spark.createDataFrame([(0, "")], "page long, body string")
+    pages.read_pages(frame, Outline({"x": Pick("li")}, card="ul"))
+    body = "<ul>" + "<li>a</li>" * 50 + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"page": list(range(1000)), "body": [body * 2] * 999 + [None]})
+    parts = list(taken["find"](iter([batch])))
+    assert len(parts) > 1
+    assert max(p.num_rows for p in parts) <= pages.GIVEN_BACK_AT // 50
+    assert [x for p in parts for x in p.column("page").to_pylist()] == [n for n in range(999) for _ in range(2)]
+    assert all(len(dict(f)["x"]) == 50 for p in parts for f in p.column("fields").to_pylist())
+
+
+def test_plain_tags_are_read_as_the_standard_parser_reads_them():
+    bits = """< > </ /> " ' = & &amp &amp; <!-- --> <!DOCTYPE_html> <?x> <script> </script> <title> </title> a b_c <a_href="x?a=1&amp;b=2">
+        <a_class="c_d"_id=q_href='e'> </a> <p> </p> <li> </li> <ul> </ul> <td> <tr> <table> </table> <br> <br/> <DIV_CLASS="X"> </DIV_> </div>
+        <div_data-x="a>b<c"> <h4> </h4> <b <b_x="1"y="2"> <_b> </_p> </> <a-b> <a:b> <p_CLASS="z"_class="w"> &#65 &notit; <noscript>"""
+    bits = [bit.replace("_", " ") for bit in bits.split()] + ["\n", '<p\u00a0class="n">']
+    picks = {"a": Pick("a"), "p": Pick("p.w"), "li": Pick("ul li"), "x": Pick("*"), "first": Pick("tr > td:nth-child(1)")}
+    chosen = random.Random(3)
+    for numbered in (False, True):
+        outline = Outline({k: v for k, v in picks.items() if numbered or k != "first"}, lead="h4")
+        outline.matches("")
+        for _ in range(3000):
+            html = "".join(chosen.choice(bits) for _ in range(chosen.randint(1, 20)))
+            standard = _Reader(outline._plan[0], "h4")
+            standard.feed(html)
+            standard.close()
+            standard.finish()
+            assert outline.matches(html) == sorted(standard.found, key=lambda f: (f[1], f[2])), html
+
+
+def test_a_reader_forgets_places_and_reads_on():
+    outline = Outline({"x": Pick("td:nth-child(2)")}, card="tr")
+    outline.matches("")
+    outline._plan[0].REMEMBERED = 20
+    page = "<table>" + "".join(f"<tr><td>a</td><td>{n}</td></tr>" for n in range(50)) + "</table>"
+    for _ in range(2):
+        assert [f[3] for f in outline.matches(page)] == [str(n) for n in range(50)]
