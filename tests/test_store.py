@@ -4,6 +4,7 @@ import pytest
 from .conftest import values
 from pyspark.sql import functions as F
 
+from jobtide import catalog
 from jobtide.operators import checks, newness, quality, trends
 from jobtide.operators.asof import base_dates
 from jobtide.operators.quality import QualityError
@@ -412,6 +413,28 @@ def test_a_late_date_changes_the_dates_that_rest_on_it(spark, tmp_path):
     assert follow() == [(days[1], "c"), (days[2], "d"), (days[2], "e"), (days[3], "a")]
 
 
+def test_a_table_without_rows_can_be_read(spark, tmp_path):
+    path, other = str(tmp_path / "t"), str(tmp_path / "u")
+    rows = week(spark, D(2026, 8, 6), ("a", 1.0))
+    store.replace_dates(rows, path)
+    store.replace_dates(rows.limit(0), path, [D(2026, 8, 6)])  # its only date is emptied
+    store.replace_table(rows.limit(0), other)
+    for emptied in (path, other):
+        held = store.read_history(spark, emptied)
+        assert held.count() == 0 and held.dtypes == [(n, t) for n, t in rows.dtypes if n != "Archive_Date"] + [("Archive_Date", "date")]
+        store.append_by_date(rows, emptied)
+        assert values(store.read_history(spark, emptied), "District", "n") == [("a", 1.0)]
+
+
+def test_late_postings_none_of_which_is_new(spark, tmp_path):
+    days = spark.range(4).select(
+        F.col("id").alias("event_id"), F.expr("timestamp'2024-01-01' + make_dt_interval(int(id))").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    days.write.parquet(str(tmp_path / "events.parquet"))
+    assert catalog.QUERIES["late_new_postings"](spark, str(tmp_path)).collect() == []
+
+
 # -- checks while writing ----------------------------------------------------
 
 
