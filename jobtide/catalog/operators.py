@@ -13,7 +13,7 @@ from ..plans import k12
 from ..schemas import empty, struct
 from ..session import settled
 from ..sinks import store
-from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, query, scratch, table
+from .base import EVENTS_SQL, HE_SQL, IDENTITY_SQL, events, he_rows, k12_rows, query, scratch, table, whole_total
 
 
 # -- identity and de-duplication ---------------------------------------------
@@ -558,7 +558,7 @@ p AS (SELECT a.o_custkey AS name, b.t AS prior, a.t AS current, (a.t - b.t) / b.
 
 def _yearly(spark: SparkSession, d: str, year: int) -> DataFrame:
     spent = table(spark, d, "orders").filter(F.year("o_orderdate") == year).groupBy(F.col("o_custkey").alias("name"))
-    return spent.agg(F.round(F.sum("o_totalprice")).alias("value"))
+    return spent.agg(whole_total("o_totalprice").alias("value"))
 
 
 @query(

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from .conftest import values
 
+from jobtide import catalog
 from jobtide.operators import quality
 from jobtide.plans import health
 from jobtide.schemas import REQUIRED_COLUMNS, struct
@@ -65,6 +66,19 @@ def test_source_drift_and_page_signals(spark):
     assert report.first().check == "drift" and '"name":"a"' in report.first().detail
 
 
+def test_totals_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    write = lambda df, name: df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    # Added as doubles in this order, the prices of 2000 come to 613933.4999999999.
+    prices = [(1, 2000, 331826.61), (1, 2000, 239681.31), (1, 2000, 42425.58), (1, 1999, 100000.0)]
+    prices += [(c, y, 1000.0) for c in (2, 3, 4) for y in (1999, 2000)]
+    write(spark.createDataFrame([(c, dt.datetime(y, 6, 1), p) for c, y, p in prices], "o_custkey long, o_orderdate timestamp, o_totalprice double"), "orders")
+    write(spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "user_id long, ts timestamp").selectExpr("*", "1L event_id", "'view' event_type", "1D value", "'{\"k\": 1}' props"), "events")
+    write(spark.createDataFrame([(1, "u", "")], "page_id long, url string, html string"), "pages")
+    write(spark.createDataFrame([(2, 5.0)], "c_custkey long, c_acctbal double"), "customer")
+    report = catalog.QUERIES["health_report"](spark, str(tmp_path))
+    assert values(report.filter("check = 'plausibility'"), "entity", "detail") == [("1", "100000.00 to 613934.00")]
+
+
 def test_the_whole_report(spark):
     rows = [("a", D(2026, 8, d)) for d in (6, 13) for _ in range(10)] + [("b", D(2026, 8, 20))]
     snapshots = spark.createDataFrame(rows, "source string, Archive_Date date")
