@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from .conftest import values
@@ -262,6 +263,15 @@ def test_weekly_job(spark, tmp_path):
         assert values(a, *sorted(a.columns)) == values(b, *sorted(b.columns))
 
 
+def test_a_weekly_job_reads_its_own_date_only(spark, monkeypatch):
+    filters = []
+    monkeypatch.setattr(weekly, "run_week", lambda week, derive, raw, targets, *_: (
+        filters.append(re.findall(r"PartitionFilters: \[(.*?)\]", week._jdf.queryExecution().toString())), store.write_snapshot(derive(week)["institution_totals"], targets["institution_totals"]))
+    )
+    catalog.QUERIES["weekly_job"](spark, "/root/testdata/sf0.001")
+    assert len(filters) == 31 and all(found and all("Archive_Date" in f for f in found) for found in filters)
+
+
 def test_higher_ed_tables(spark):
     rows = [("Adjunct, Math", "x"), ("Math Professor", "x"), ("Math Professor", "y"), ("Chef", "x")]
     board = spark.createDataFrame([(t, None, None, "u", i) for t, i in rows], "Title string, Location string, Posted_Date date, Link string, Institution string")
