@@ -42,9 +42,14 @@ def parse_any_date(x: Column | str) -> Column:
     )
 
 
+#: Dates in ISO form, which the layout "yyyy M d" reads as a cast does.
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+
+
 def standardize_date(x: Column | str) -> Column:
-    """Drop a trailing parenthesised remark, then parse."""
-    return parse_any_date(F.regexp_replace(as_column(x).cast("string"), r"\s*\(.*\)$", ""))
+    """Drop a trailing parenthesised remark, then parse.  Dates in ISO form, the most common one, are cast, with the same outcome."""
+    text = as_column(x).cast("string")
+    return F.when(text.rlike(ISO_DATE), text.try_cast("date")).otherwise(parse_any_date(F.regexp_replace(text, r"\s*\(.*\)$", "")))
 
 
 def archive_date(x: Column | str) -> Column:

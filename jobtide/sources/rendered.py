@@ -95,13 +95,16 @@ def numbered_postings(pages: DataFrame, location: str = "Plentywood") -> DataFra
     announcements = F.filter(F.split(repair_invalid_bytes("body"), "\n"), lambda line: line.rlike(NUMBERED_LINE))
 
     def titles_of(line: Column) -> Column:
-        day = F.regexp_replace(F.regexp_extract(line, NUMBERED_DATE, 1), r",\s*", ",")
+        # The date is parsed once a line, not once a title.
+        written = F.regexp_replace(F.regexp_extract(line, NUMBERED_DATE, 1), r",\s*", ",")
+        posted = parse_with(written, "MMMM d,yyyy").cast("string")
         found = F.transform(F.regexp_extract_all(line, F.lit(NUMBERED_ITEM), F.lit(1)), trim_blanks)
-        return F.transform(F.filter(found, lambda t: t != ""), lambda t: F.struct(t.alias("title"), day.alias("day")))
+        titles = F.filter(found, lambda t: t != "")
+        return computed_once(posted, lambda day: F.transform(titles, lambda t: F.struct(t.alias("title"), day.alias("day"))))
 
     titles = F.flatten(F.transform(announcements, titles_of))
     rows = pages.select(*kept, F.col("url").alias("Link"), F.posexplode(titles).alias("item", "_t"))
     return rows.select(
         *kept, F.col("item").cast("long").alias("item"), F.col("_t.title").alias("Title"),
-        F.lit(location).alias("Location"), parse_with(F.col("_t.day"), "MMMM d,yyyy").cast("string").alias("Posted_Date"), "Link",
+        F.lit(location).alias("Location"), F.col("_t.day").alias("Posted_Date"), "Link",
     )

@@ -37,6 +37,23 @@ def test_normalising_is_idempotent_and_keeps_null(spark):
     assert df.filter(~(text.normalize_posting_text(once) == once)).count() == 0
 
 
+def test_looking_for_a_pattern_first_changes_no_result(spark):
+    lines = raw(spark, b"\r\n a\x92\r\nb\x85\n")
+    assert lines.select(text.normalize_posting_text("x")).first()[0] == "a\u2019 b\u2026"
+    odd = ["A  b", "A\tb", "A b", "a\x0bB \f c", " A\r\n\nb ", "\u00a0 \u00a0", "", None]
+    plain = F.regexp_replace(F.lower("x"), r"\s{2,}|[^\S ]", " ")
+    df = spark.createDataFrame([(v,) for v in odd], "x string")
+    assert df.filter(~text.identity_component("x", normalised=True).eqNullSafe(plain)).count() == 0
+    links = ["/jobs/1", "/job/", "/job-list/a", "ViewJob.aspx?JobID=", "?jobId=1", "a&id=", "x.pdf#a", "x.pdfx", "=", "", None]
+    found = spark.createDataFrame([(v,) for v in links], "x string").select(urls.is_stable_posting_url("x", normalised=True))
+    assert [r[0] for r in found.collect()] == [True, False, True, True, True, True, True, False, False, False, False]
+    days = ["2024-02-29", "2024-02-30", "0000-01-01", "0999-12-31", "2024-13-01", " 2024-07-01", "2024-07-01 (open)", None]
+    both = spark.createDataFrame([(v,) for v in days], "x string").select(
+        *[c.cast("string") for c in (dates.standardize_date("x"), dates.parse_any_date(F.regexp_replace("x", r"\s*\(.*\)$", "")))]
+    )
+    assert all(a == b for a, b in both.collect()) and both.first()[0] == "2024-02-29"
+
+
 @pytest.mark.parametrize(
     ("given", "wanted"),
     [("A\t\tB", "a b"), ("  A  b ", "a b"), ("x\r\ny", "x y"), ("É \n z", "é z"), (None, None), ("a b", "a b")],
