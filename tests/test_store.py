@@ -230,6 +230,22 @@ def test_a_rebuild_and_a_late_date_leave_nothing_behind(spark, tmp_path):
         assert values(store.read_history(spark, path).select("Archive_Date").distinct()) == [(D(2026, 8, 18),)]
 
 
+def test_each_title_is_classified_once(spark):
+    weeks = k12_weeks(spark)
+    both = weeks[0].unionByName(weeks[2]).withColumn("title", F.expr("case when seq = 4 then null when seq = 6 then 'Aide' else title end"))
+    tables = k12.history_tables(both)
+    # The tables read labels that were worked out before, title by title.
+    for name in ("postings", "teacher_history"):
+        assert "RLIKE" not in tables[name]._jdf.queryExecution().optimizedPlan().toString().upper(), name
+    by_row = k12.current_postings(k12.identify(both))
+    assert values(tables["postings"]) == values(by_row) and by_row.filter("title is null").count() == 2
+    assert values(tables["teacher_history"]) == values(k12.teacher_rows(by_row)) and tables["teacher_history"].columns == k12.teacher_rows(by_row).columns
+    assert values(tables["district_totals"]) == values(k12.district_totals(by_row))
+    classes = values(k12.title_classes(by_row.select("title")))
+    assert [c[0] for c in classes] == ["Aide", "Art Teacher", "Cook", "Math Teacher", "SPED Teacher", None]
+    assert classes[2] == ("Cook", "Food Services", None, "Other") and classes[3] == ("Math Teacher", "Teacher", "Mathematics Education", "Math")
+
+
 def test_totals_of_postings_without_a_district(spark):
     week = k12_weeks(spark)[0].withColumn("District", F.expr("case seq % 3 when 0 then null when 1 then 'Total' else 'D' end"))
     tables = k12.history_tables(week)
