@@ -8,7 +8,7 @@ from contextlib import ExitStack
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..operators.asof import DATE
 from ..operators.checks import Check, failures, observed, one_date
@@ -27,7 +27,9 @@ class Side:
 
     ``derive`` (``history_tables`` of a side) works out all tables and raises if totals do not add up;
     its table ``totals`` has (entity, date, n).  ``checks`` are judged on the snapshot's rows while they are
-    read; ``changes`` are kept over tables in ``targets``.
+    read; ``changes`` are kept over tables in ``targets``.  ``failures`` holds (source, error_message) of the
+    ``expected`` sources whose fetch did not land.  ``loss_accepted`` takes a loss of more than half of the
+    postings, which the log then tells; every other check still refuses.
     """
 
     name: str
@@ -40,6 +42,8 @@ class Side:
     expected: DataFrame | None = None
     checks: Sequence[Check] = ()
     changes: Sequence[Change] = ()
+    failures: DataFrame | None = None
+    loss_accepted: bool = False
 
 
 def _earlier(side: Side, day: dt.date, date: str = DATE) -> DataFrame | None:
@@ -51,15 +55,34 @@ def _earlier(side: Side, day: dt.date, date: str = DATE) -> DataFrame | None:
     return store.read_history(spark, path).filter(F.col(date) == F.lit(days[-1])).select(F.lit(side.name).alias("side"), "n")
 
 
+def _audits(side: Side, rows: DataFrame, losses: Sequence[Row]) -> list[DataFrame]:
+    """What the run log is told of a side: how its expected sources did, and a loss that was accepted."""
+    audits = []
+    if side.expected is not None:
+        source = side.expected.columns[0]
+        audits.append(ingest_audit(side.expected, rows.select(F.col(side.entity).alias(source)), side.failures, source))
+    lost = [
+        (side.name, "halved", r["after_n"], f"accepted: more than half of {r['before_n']} postings are gone")
+        for r in losses if r["side"] == side.name
+    ]
+    if lost:
+        audits.append(rows.sparkSession.createDataFrame(lost, "source string, status string, n_rows long, error_message string"))
+    return audits
+
+
 def run_sides(sides: Sequence[Side], log_path: str | None = None, at: dt.datetime | None = None) -> None:
     """One snapshot date of every side through all steps.
 
     Each side's rows are read once: the pass that puts them aside also counts what the checks
     need.  If any side has more than one date, fails a check, has totals that do not add up, or has less than half the
-    postings of its newest earlier date, nothing of any side is written.  Only then are the snapshots
+    postings of its newest earlier date without ``loss_accepted``, nothing of any side is written: the last is a
+    ``HalvedError``, raised when nothing else is wrong.  Only then are the snapshots
     archived, every table in ``targets`` appended, the changes derived, and the
-    audit of the ``expected`` sources logged.
+    audit of the ``expected`` sources logged, with their ``failures`` and accepted losses.
     """
+    for side in sides:
+        if side.failures is not None and (side.expected is None or log_path is None):
+            raise ValueError(f"{side.name}: failures are logged by expected source: give expected and log_path")
     with ExitStack() as held:
         taken, before, after = [], [], []
         for side in sides:
@@ -80,18 +103,20 @@ def run_sides(sides: Sequence[Side], log_path: str | None = None, at: dt.datetim
             earlier = _earlier(side, day)
             before += [] if earlier is None else [earlier]
             taken.append((side, rows, tables, day))
+        losses: list[Row] = []
         if before:
-            require_not_halved(reduce(DataFrame.unionByName, before), reduce(DataFrame.unionByName, after), "side")
+            accepted = [side.name for side in sides if side.loss_accepted]
+            losses = require_not_halved(reduce(DataFrame.unionByName, before), reduce(DataFrame.unionByName, after), "side", accepted)
         for side, rows, tables, day in taken:
             store.write_snapshot(rows, side.raw_path)
             for name, path in side.targets.items():
                 store.replace_dates(tables[name], path, [day])
             for change in side.changes:
                 refresh(rows.sparkSession, change, [day])
-            if side.expected is not None and log_path is not None:
-                source = side.expected.columns[0]
-                audit = ingest_audit(side.expected, rows.select(F.col(side.entity).alias(source)), source=source)
-                store.append_log(audit, log_path, at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+            if log_path is not None:
+                now = at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+                for audit in _audits(side, rows, losses):
+                    store.append_log(audit, log_path, now)
 
 
 def run_week(
@@ -105,6 +130,9 @@ def run_week(
     log_path: str | None = None,
     at: dt.datetime | None = None,
     checks: Sequence[Check] = (),
+    failures: DataFrame | None = None,
+    loss_accepted: bool = False,
 ) -> None:
     """``run_sides`` for a side on its own."""
-    run_sides([Side(entity, raw, derive, raw_path, targets, totals, entity, expected, checks)], log_path, at)
+    side = Side(entity, raw, derive, raw_path, targets, totals, entity, expected, checks, failures=failures, loss_accepted=loss_accepted)
+    run_sides([side], log_path, at)

@@ -6,11 +6,12 @@ from .conftest import values
 from pyspark.sql import functions as F
 
 from jobtide import catalog
+from jobtide.catalog import storage
 from jobtide.operators import checks, newness, quality, trends
 from jobtide.operators.asof import base_dates
 from jobtide.operators.quality import QualityError
 from jobtide.plans import higher_ed, k12, weekly
-from jobtide.schemas import RAW_PAYLOAD, empty
+from jobtide.schemas import RAW_PAYLOAD, RUN_LOG, empty
 from jobtide.sinks import changes, store
 from jobtide.sources import files, shape, vintages
 from jobtide.schemas import struct
@@ -288,6 +289,70 @@ def test_a_weekly_job_reads_its_own_date_only(spark, monkeypatch):
     assert len(filters) == 31 and all(found and all("Archive_Date" in f for f in found) for found in filters)
 
 
+def _landed_events(spark, folder, *days):
+    """Events of days from 2024-01-01 on as (day, number, user)."""
+    rows = [(100 * day + i, dt.datetime(2024, 1, 1 + day, 12), user, "view", 1.0, '{"k": 3}') for day, n, user in days for i in range(n)]
+    columns = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, columns).write.parquet(str(folder / "events.parquet"))
+
+
+def test_a_halved_date_goes_through_the_whole_weekly_job(spark, tmp_path, monkeypatch):
+    _landed_events(spark, tmp_path, (0, 10, 25), (1, 4, 25))
+    monkeypatch.setattr(storage, "scratch", lambda spark, name: str(tmp_path / name))
+    totals = catalog.QUERIES["weekly_job"](spark, str(tmp_path))
+    assert values(totals) == [(D(2024, 1, 1), "College 0", 10), (D(2024, 1, 2), "College 0", 4)]
+    # Every delivery is in the log, and that a loss was accepted.
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert values(log, "source", "status", "n_rows") == [("College 0", "ok", 10)] + 2 * [("College 0", "ok", 4)] + 2 * [("Institution", "halved", 4)]
+
+
+@pytest.mark.parametrize("n", [4, 10])
+def test_a_date_that_fails_a_check_does_not_look_like_a_result(spark, tmp_path, monkeypatch, n):
+    # An institution is missing, with and without a loss of postings.
+    _landed_events(spark, tmp_path, (0, 10, 25), (1, n - 1, 25), (1, 1, None))
+    monkeypatch.setattr(storage, "scratch", lambda spark, name: str(tmp_path / name))
+    with pytest.raises(QualityError, match="coverage"):
+        catalog.QUERIES["weekly_job"](spark, str(tmp_path))
+    held = lambda name: values(store.read_history(spark, str(tmp_path / name)).select("Archive_Date").distinct())
+    assert held("raw") == held("institution_totals") == [(D(2024, 1, 1),)]
+
+
+def test_failed_fetches_and_accepted_losses_are_logged(spark, tmp_path):
+    raw, log, targets = str(tmp_path / "raw"), str(tmp_path / "log"), {"institution_totals": str(tmp_path / "totals")}
+    expected = spark.createDataFrame([("C0",), ("C1",), ("C2",)], "source string")
+    failed = spark.createDataFrame([("C1", "timed out")], "source string, error_message string")
+
+    def job(day, n, title="Math Professor", log=log, **extra):
+        rows = spark.createDataFrame([(title, None, None, "u", "C0", day)] * n, "Title string, Location string, Posted_Date string, Link string, Institution string, Archive_Date date")
+        weekly.run_week(rows, higher_ed.history_tables, raw, targets, "institution_totals", "Institution", expected, log, dt.datetime(2026, 8, 6), [checks.encoding("Title")], **extra)
+
+    # A source whose fetch failed is not told as one without postings.
+    job(D(2026, 8, 6), 10, failures=failed)
+    assert values(spark.read.parquet(log), *RUN_LOG.names[1:]) == [("C0", "ok", 10, None), ("C1", "error", 0, "timed out"), ("C2", "empty", 0, None)]
+    with pytest.raises(ValueError, match="failures are logged"):
+        job(D(2026, 8, 13), 10, log=None, failures=failed)
+    # Only the loss is accepted, and only a loss is logged as one.
+    with pytest.raises(quality.HalvedError):
+        job(D(2026, 8, 13), 4)
+    with pytest.raises(QualityError, match="encoding"):
+        job(D(2026, 8, 13), 4, "bad \ufffd", loss_accepted=True)
+    assert store.stored_dates(spark, raw) == [D(2026, 8, 6)]
+    job(D(2026, 8, 13), 4, loss_accepted=True)
+    job(D(2026, 8, 20), 4, loss_accepted=True)
+    assert store.stored_dates(spark, raw) == [D(2026, 8, 6), D(2026, 8, 13), D(2026, 8, 20)]
+    halved = spark.read.parquet(log).filter("status = 'halved'")
+    assert values(halved, *RUN_LOG.names[1:]) == [("Institution", "halved", 4, "accepted: more than half of 10 postings are gone")]
+
+
+def test_an_accepted_loss_covers_its_own_side_only(spark):
+    before = spark.createDataFrame([("k12", 10), ("he", 10), (None, 10)], "side string, n long")
+    after = spark.createDataFrame([("k12", 4)], "side string, n long")
+    with pytest.raises(quality.HalvedError, match="he") as refused:
+        quality.require_not_halved(before, after, "side", ["k12"])
+    assert "k12" not in str(refused.value) and "None" in str(refused.value)
+    assert [tuple(r) for r in quality.require_not_halved(before.filter("side = 'k12'"), after, "side", ["k12"])] == [("k12", 10, 4)]
+
+
 def test_higher_ed_tables(spark):
     rows = [("Adjunct, Math", "x"), ("Math Professor", "x"), ("Math Professor", "y"), ("Chef", "x")]
     board = spark.createDataFrame([(t, None, None, "u", i) for t, i in rows], "Title string, Location string, Posted_Date date, Link string, Institution string")
